@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.llm import language_id, quality, secret_scan, token_counts
+from siftlake.llm import language_id, quality, secret_scan, sentencepiece_codec, simhash, token_counts
 from siftlake.llm.common import held_out, session
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return session(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = sentencepiece_codec.Vocabulary.load(public_tokenizers.path("piece_bpe_32k.model"))
+    return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), vocabulary)
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, seed=42, bits=4)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), usable=~held_out())
@@ -42,6 +51,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op3_simhash": op3_simhash,
     "op5_quality": op5_quality,
     "op7_secret_scan": op7_secret_scan,
     "op8_token_counts": op8_token_counts,

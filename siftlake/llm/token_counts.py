@@ -1,32 +1,41 @@
 """Token counts without ids: pieces are counted once per distinct pre-token.
 
-1. Tasks cut texts into pre-tokens and write, per block of documents, one row per distinct pre-token
-   with its postings (which document of the block, how often).
-2. The distinct pre-tokens of the corpus are encoded once each; only their numbers of pieces are kept.
-3. Postings are joined to these numbers and summed per document.
-
-A posting row replaces the pre-token's string in each document of a block, so the shuffle is small.
+1. Tasks cut texts into pre-tokens and write, per block of documents and share of the vocabulary, one
+   row with the distinct pre-tokens and their postings (which document of the block, how often).
+2. Rows are dealt by the share, so that all postings of a pre-token meet in one task. It counts the
+   pieces of each pre-token once, multiplies them into the postings and sums per document.
+3. The sums of a block's documents are dealt by block and added up.
+
+Ids are never made. A pre-token's string crosses the network once a block, not once a document, and
+rows are compressed, so the shuffle stays well below the input.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import pickle
 import re
 import unicodedata
-import uuid
-from collections.abc import Callable
+import zlib
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm.common import arrow_map, arrow_schema, stored, texts_of
+from siftlake.llm.common import arrow_schema, texts_of
 
-ROW_BITS = 12
-BLOCK_ROWS = 1 << ROW_BITS
-BLOCK_CHARS = 12_000_000
-MOST = (1 << (31 - ROW_BITS)) - 1
+BLOCK_ROWS = 1 << 15
+BLOCK_CHARS = 24_000_000
+#: Pre-tokens that a task keeps with their numbers of pieces.
+KEPT = 1_000_000
 
 
 def ranges(points: list[int]) -> str:
@@ -85,105 +94,156 @@ class PreTokens:
         return out
 
 
-def postings(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str) -> DataFrame:
-    """Rows of two kinds: ``word`` null, ``ids``/``sizes``: the block's documents; else a word's postings in the block."""
-    id_type = dict(docs.dtypes)[id_col]
-    schema = f"block string, word string, codes array<int>, ids array<{id_type}>, sizes array<bigint>"
+def piece_counter(tokenizer_path: str) -> Callable[[list[str]], list[int]]:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    made = Tokenizer.from_file(tokenizer_path)
+    made.no_truncation()
+    made.no_padding()
+    made.normalizer = normalizers.Sequence([])  # words come normalised and cut
+    made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    return lambda words: [len(e.ids) for e in made.encode_batch(words, add_special_tokens=False)]
+
+
+def packed(found: dict[str, list[int]], words: list[str]) -> bytes:
+    """Words and their postings. Words hold no white space; a posting is the place and the frequency."""
+    parts = ["\n".join(words).encode()]
+    lists = [found[w] for w in words]
+    flat = np.fromiter(chain.from_iterable(lists), dtype=np.int64)
+    sizes = np.fromiter(map(len, lists), dtype=np.uint32, count=len(lists)) // 2
+    parts += [sizes.tobytes(), flat[::2].astype(np.uint16).tobytes(), flat[1::2].astype(np.uint32).tobytes()]
+    return pickle.dumps([zstandard.compress(p, 3) for p in parts])
+
 
+def unpacked(payload: bytes) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    text, *arrays = map(zstandard.decompress, pickle.loads(payload))  # noqa: S301  written by ``packed`` in this job
+    sizes, places, counts = (np.frombuffer(x, dtype=t) for x, t in zip(arrays, (np.uint32, np.uint16, np.uint32), strict=True))
+    return text.decode().split("\n"), sizes, places, counts
+
+
+def postings(docs: DataFrame, tokenizer_path: str, shares: int, id_col: str, text_col: str) -> DataFrame:
+    """Rows of two kinds: with ``share`` -1 the ids and byte sizes of a block's documents, else postings."""
+    schema = f"block long, share int, payload binary, ids array<{dict(docs.dtypes)[id_col]}>, sizes array<bigint>"
     arrow = arrow_schema(schema)
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = PreTokens(tokenizer_path)
+        block = (TaskContext.get().partitionId() << 24) - 1  # the same again if the task is run again
         ids: list = []
         sizes: list[int] = []
-        found: dict[str, list[int]] = {}
+        found: defaultdict[str, list[int]] = defaultdict(list)
         chars = 0
 
-        def flush():
-            block = uuid.uuid4().hex
-            n = len(found) + 1
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([block] * n, arrow.field(0).type),
-                    pa.array([None, *found], arrow.field(1).type),
-                    pa.array([None, *found.values()], arrow.field(2).type),
-                    pa.array([ids] + [None] * (n - 1), arrow.field(3).type),
-                    pa.array([sizes] + [None] * (n - 1), arrow.field(4).type),
-                ],
-                schema=arrow,
-            )
+        def flush() -> pa.RecordBatch:
+            by_share: dict[int, list[str]] = {}
+            for word in found:
+                by_share.setdefault(zlib.crc32(word.encode()) % shares, []).append(word)
+            rows = [packed(found, sorted(words)) for words in by_share.values()]
+            n = len(rows) + 1
+            columns = [[block] * n, [-1, *by_share], [None, *rows], [ids] + [None] * (n - 1), [sizes] + [None] * (n - 1)]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            for key, text in zip(keys, texts_of(batch.column(1)), strict=True):
+            for key, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
                 row = len(ids)
                 ids.append(key)
                 sizes.append(len(text.encode()))
                 chars += len(text)
-                counts: dict[str, int] = {}
-                for word in cut(text):
-                    counts[word] = counts.get(word, 0) + 1
-                for word, n in counts.items():
-                    codes = found.get(word)
-                    if codes is None:
-                        codes = found[word] = []
-                    while n > MOST:
-                        codes.append(MOST << ROW_BITS | row)
-                        n -= MOST
-                    codes.append(n << ROW_BITS | row)
+                for word, n in Counter(cut(text)).items():
+                    found[word] += (row, n)
                 if len(ids) == BLOCK_ROWS or chars >= BLOCK_CHARS:
-                    yield from flush()
-                    ids, sizes, found, chars = [], [], {}, 0
+                    block += 1
+                    yield flush()
+                    ids, sizes, found, chars = [], [], defaultdict(list), 0
         if ids:
-            yield from flush()
+            block += 1
+            yield flush()
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def piece_counter(tokenizer_path: str) -> Callable[[list[str]], list[int]]:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+def sums_of_shares(rows: DataFrame, tokenizer_path: str) -> DataFrame:
+    """Tokens per document of a block from the pre-tokens of a task's shares; rows with ids pass through."""
+    schema = "block long, sums binary, " + ", ".join(f"{c} {t}" for c, t in rows.select("ids", "sizes").dtypes)
+    arrow = arrow_schema(schema)
 
-    made = Tokenizer.from_file(tokenizer_path)
-    made.no_truncation()
-    made.no_padding()
-    made.normalizer = normalizers.Sequence([])  # words come normalised and cut
-    made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-    return lambda words: [len(e.ids) for e in made.encode_batch(words, add_special_tokens=False)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = piece_counter(tokenizer_path)
+        known: dict[str, int] = {}
+        block, sums = None, np.zeros(0, dtype=np.int64)
 
+        def summed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([block]), pa.array([zstandard.compress(sums.astype(np.int64).tobytes(), 3)]), *(pa.nulls(1, f.type) for f in list(arrow)[2:])],
+                schema=arrow,
+            )
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
+        for batch in batches:
+            heads = pc.equal(batch.column(1), -1)
+            some = batch.filter(heads)
+            if some.num_rows:
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.nulls(some.num_rows, arrow.field(1).type), some.column(3), some.column(4)], schema=arrow)
+            for b, share, payload in zip(*(batch.column(k) for k in range(3)), strict=True):
+                if share.as_py() == -1:
+                    continue
+                if b.as_py() != block:
+                    if block is not None:
+                        yield summed()
+                    block, sums = b.as_py(), np.zeros(0, dtype=np.int64)
+                words, sizes, places, counts = unpacked(payload.as_py())
+                new = [w for w in words if w not in known]
+                if new:
+                    if len(known) + len(new) > KEPT:
+                        known.clear()
+                        new = words
+                    known.update(zip(new, count(new), strict=True))
+                pieces = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+                got = np.bincount(places, np.repeat(pieces, sizes) * counts, minlength=len(sums)).astype(np.int64)
+                got[: len(sums)] += sums
+                sums = got
+        if block is not None:
+            yield summed()
+
+    return rows.select("block", "share", "payload", "ids", "sizes").mapInArrow(run, schema)
+
+
+def count_tokens(
+    docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, shares: int | None = None
+) -> DataFrame:
     """One row per input row: id, ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit`` (more than ``limit``).
 
     A null text counts as empty (0 bytes, 0 tokens). Null ids and repeated rows each give a row of
     their own: documents are told apart by their place in a block. Other columns are ignored.
+    ``shares`` of the vocabulary, by default the session's shuffle partitions, set how many tasks count.
     """
-    table = stored(postings(docs, tokenizer_path, id_col, text_col), "postings")
-    words = table.where(F.col("word").isNotNull()).select("block", "word", "codes")
+    spark = docs.sparkSession
+    shares = shares or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = postings(docs, tokenizer_path, shares, id_col, text_col)
+    dealt = rows.repartition(shares, "share").sortWithinPartitions("block", "share")
+    partial = sums_of_shares(dealt, tokenizer_path).repartition("block").sortWithinPartitions("block", F.col("ids").isNull())
+    schema = f"{id_col} {dict(docs.dtypes)[id_col]}, n_bytes long, n_tokens long, over_limit boolean"
+    arrow = arrow_schema(schema)
 
-    def make():
-        count = piece_counter(tokenizer_path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, ids, sizes, total = None, None, None, np.zeros(0, dtype=np.int64)
 
-        def step(batch):
-            got = batch.column(0).to_pylist()
-            return {"word": batch.column(0), "pieces": count(got)}
-
-        return step
-
-    pieces = arrow_map(words.select("word").distinct(), make, "word string, pieces int")
-    rows = (1 << ROW_BITS) - 1
-    sums = (
-        words.join(pieces.hint("merge"), "word")
-        .select("block", F.explode("codes").alias("code"), "pieces")
-        .groupBy("block", F.col("code").bitwiseAND(rows).alias("place"))
-        .agg(F.sum(F.shiftright("code", ROW_BITS).cast("long") * F.col("pieces")).alias("n"))
-    )
-    places = (
-        table.where(F.col("word").isNull())
-        .select("block", F.posexplode(F.arrays_zip("ids", "sizes")).alias("place", "doc"))
-        .select("block", "place", F.col("doc.ids").alias(id_col), F.col("doc.sizes").alias("n_bytes"))
-    )
-    n = F.coalesce(F.col("n"), F.lit(0)).cast("long")
-    return places.join(sums.hint("merge"), ["block", "place"], "left").select(
-        id_col, "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit")
-    )
+        def finished() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([ids, sizes, pa.array(total), pa.array(total > limit)], schema=arrow)
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                b, payload = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                if b != block:  # the first row of a block holds its ids
+                    if block is not None:
+                        yield finished()
+                    block = b
+                    ids, sizes = (batch.column(j)[k].values.cast(t) for j, t in ((2, arrow.field(0).type), (3, arrow.field(1).type)))
+                    total = np.zeros(len(ids), dtype=np.int64)
+                else:
+                    part = np.frombuffer(zstandard.decompress(payload), dtype=np.int64)
+                    total[: len(part)] += part
+        if block is not None:
+            yield finished()
+
+    return partial.mapInArrow(run, schema)
