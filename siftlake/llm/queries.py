@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.llm import language_id, quality, secret_scan, sentencepiece_codec, simhash, token_counts, top_k, warc
+from siftlake.llm import decontaminate, language_id, quality, secret_scan, sentencepiece_codec, simhash, token_counts, top_k, warc
 from siftlake.llm.common import held_out, session
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, seed=42, bits=4)
 
@@ -60,6 +64,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_decontaminate": op2_decontaminate,
     "op3_simhash": op3_simhash,
     "op5_quality": op5_quality,
     "op6_warc": op6_warc,
