@@ -11,11 +11,13 @@ import math
 import re
 from dataclasses import dataclass
 
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from siftlake.llm.common import arrow_map, texts_of
+from siftlake.llm.common import texts_of
 
 UNDETERMINED = "und"
 
@@ -118,32 +120,33 @@ class Encoder:
         return self.langs[best], 1.0 / sum(odds), margin
 
 
-def identify(
-    docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text", min_margin: float = 0.004
-) -> DataFrame:
-    """One row per input row: id, ``lang_pred``, ``score`` (0 to 1), ``margin`` and ``rejected``.
+def identified(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", min_margin: float = 0.004) -> DataFrame:
+    """``docs`` with the columns ``lang_pred``, ``score`` (0 to 1), ``margin`` and ``rejected`` added, row for row.
 
     The whole text is encoded. A null text, or one without a letter, is ``und`` with score 0 and is
     rejected; a text whose relative margin is below ``min_margin`` keeps the best language but is
-    rejected. Sizes that tie go to the language first in order (margin 0: rejected). Repeated rows
-    each give a row; other columns are ignored.
+    rejected. Sizes that tie go to the language first in order (margin 0: rejected).
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = f"{id_col} {dict(docs.dtypes)[id_col]}, lang_pred string, score double, margin double, rejected boolean"
+    place, extra = docs.columns.index(text_col), [("lang_pred", pa.string()), ("score", pa.float64()), ("margin", pa.float64()), ("rejected", pa.bool_())]
+    schema = docs.withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0), "margin": F.lit(0.0), "rejected": F.lit(True)}).schema
 
-    def make():
+    def run(batches):
         encoder = Encoder(shared.value)
+        for batch in batches:
+            got = [encoder.decide(t) for t in texts_of(batch.column(place))]
+            rows = [(*g, g[0] == UNDETERMINED or g[2] < min_margin) for g in got]
+            for k, (name, kind) in enumerate(extra):
+                made = pa.array([r[k] for r in rows], kind)
+                at = batch.schema.get_field_index(name)
+                batch = batch.set_column(at, name, made) if at >= 0 else batch.append_column(name, made)
+            yield batch
 
-        def step(batch):
-            got = [encoder.decide(t) for t in texts_of(batch.column(1))]
-            return {
-                id_col: batch.column(0),
-                "lang_pred": [g[0] for g in got],
-                "score": [g[1] for g in got],
-                "margin": [g[2] for g in got],
-                "rejected": [g[0] == UNDETERMINED or g[2] < min_margin for g in got],
-            }
+    return docs.mapInArrow(run, StructType([StructField(f.name, f.dataType, True) for f in schema]))
 
-        return step
 
-    return arrow_map(docs.select(id_col, text_col), make, schema)
+def identify(
+    docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text", min_margin: float = 0.004
+) -> DataFrame:
+    """``identified`` with the id alone: one row per input row, repeated rows included; other columns are ignored."""
+    return identified(docs.select(id_col, text_col), model, text_col=text_col, min_margin=min_margin).drop(text_col)

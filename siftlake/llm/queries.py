@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.llm import decontaminate, language_id, quality, secret_scan, sentencepiece_codec, simhash, token_counts, top_k, warc
+from siftlake.llm import decontaminate, language_id, paragraphs, quality, secret_scan, sentencepiece_codec, simhash, token_counts, top_k, warc
 from siftlake.llm.common import held_out, session
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, seed=42, bits=4)
 
 
+def op4_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated(table(spark, sf_dir, "documents"), least_words=40, size=5, similarity=0.8)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), usable=~held_out())
@@ -66,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_decontaminate": op2_decontaminate,
     "op3_simhash": op3_simhash,
+    "op4_paragraph_dedup": op4_paragraph_dedup,
     "op5_quality": op5_quality,
     "op6_warc": op6_warc,
     "op7_secret_scan": op7_secret_scan,
