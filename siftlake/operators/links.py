@@ -231,9 +231,9 @@ def blocked_addresses(df: DataFrame, ip: str = "ip", blocks: tuple[str, ...] = f
     n = F.coalesce(U.ipv4_number(F.col(ip)), U.ipv4_number(mapped))
     v6 = F.lower(F.col(ip))
     six = v6.isin("::", "::1") | v6.rlike(r"^(f[cd]|fe[89ab]|ff)")
-    inside = F.lit(False)
-    for net in nets:  # a fixed list: a range test of an expression, no join
-        inside = inside | n.between(int(net.network_address), int(net.broadcast_address))
+    # A fixed list: a range test of an expression, no join.
+    ranges = F.array(*[F.struct(F.lit(int(x.network_address)).alias("lo"), F.lit(int(x.broadcast_address)).alias("hi")) for x in nets])
+    inside = F.exists(ranges, lambda r: n.between(r["lo"], r["hi"]))
     return df.withColumn("blocked", F.when(n.isNotNull(), inside).otherwise(F.coalesce(six, F.lit(True)) | ~F.contains(v6, F.lit(":"))))
 
 

@@ -1 +1,136 @@
-"""Queries."""
+"""Queries on pages and their links."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from siftlake.functions import urls as U
+from siftlake.operators import links as L
+from siftlake.plans.bindings import Views
+from siftlake.plans.registry import query
+
+HOST = r"lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1))"
+CANON = rf"lower(regexp_extract(url, '^([a-z]+)://', 1)) || '://' || {HOST} || regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]+|[?#].*$', '', 'g'), '/+$', '')"
+QUERY = r"regexp_extract(regexp_replace(url, '#.*$', ''), '\?(.+)$', 1)"
+
+
+@query("l01_l02_l04_canonical", f"SELECT page_id, {CANON} AS canonical, {CANON} || CASE WHEN {QUERY} <> '' THEN '?' || array_to_string(list_sort(string_split({QUERY}, '&')), '&') ELSE '' END AS with_query, regexp_matches(url, '^https?://') AS is_http FROM pages")
+def canonical(v: Views) -> DataFrame:
+    url = U.clean_url(F.col("url"))
+    return v.table("pages").select("page_id", U.canonical_url(url).alias("canonical"), U.canonical_url(url, keep_query=True).alias("with_query"), U.is_http(url).alias("is_http"))
+
+
+@query("t19_post_id", r"SELECT page_id, regexp_extract(regexp_replace(url, '/+$', ''), '([^/]*)$', 1) AS post_id FROM pages")
+def post_id(v: Views) -> DataFrame:
+    return v.table("pages").select("page_id", U.post_id(F.lit("other"), F.col("url")).alias("post_id"))
+
+
+ABS = "(SELECT page_id, ord, regexp_extract(base, '^([a-z]+://[^/?#]+)', 1) || href AS url, base FROM hrefs WHERE starts_with(href, '/'))"
+
+
+@query("l05_extract_links", f"SELECT page_id, CAST(ord AS INTEGER) AS ord, url FROM (SELECT page_id, regexp_replace(url, '[.,;:!?。，]+$', '') AS url, row_number() OVER (PARTITION BY page_id ORDER BY ord) AS ord FROM {ABS})", "hrefs")
+def extract(v: Views) -> DataFrame:
+    got = L.extract_links(v.table("pages"), key="page_id", text="html", base="url", resolve_relative=True)
+    return got.where(F.col("kind") == "anchor_href").select("page_id", "ord", "url")
+
+
+def absolute(v: Views) -> DataFrame:
+    root = F.regexp_extract("base", "^([a-z]+://[^/?#]+)", 1)
+    return v.hrefs.where(F.startswith("href", F.lit("/"))).select("page_id", "ord", F.concat(root, F.col("href")).alias("url"), "base", F.lit("anchor_href").alias("kind"), F.lit("").alias("text"))
+
+
+@query("l06_exclude_self", f"SELECT count(*) AS n FROM {ABS} x WHERE {CANON} NOT IN (SELECT {CANON} FROM (SELECT DISTINCT url FROM {ABS} WHERE page_id % 5 = 0))", "hrefs")
+def exclude_self(v: Views) -> DataFrame:
+    rows = absolute(v)
+    return L.exclude_self(rows, rows.where("page_id % 5 = 0").select("url")).agg(F.count(F.lit(1)).alias("n"))
+
+
+BARE = r"lower(regexp_replace(url, '[?#].*$', ''))"
+PRIORITY = rf"CASE WHEN regexp_matches({BARE}, '\.(avif|css|gif|ico|jpeg|jpg|js|png|svg|webp)$') THEN 10 WHEN regexp_matches({BARE}, '/download|/release|/invite|/file|t\.me') THEN 100 ELSE 80 END"
+
+
+@query("l07_link_priority", f"SELECT page_id, ord, {PRIORITY} AS priority FROM {ABS}", "hrefs")
+def priority(v: Views) -> DataFrame:
+    return L.link_priority(absolute(v)).select("page_id", "ord", "priority")
+
+
+BEST = f"SELECT page_id, {CANON} AS canonical_url, min(ord) AS ord, count(*) AS n, count(DISTINCT url) AS spelt FROM {ABS} GROUP BY ALL"
+
+
+@query("l08_best_links", f"SELECT page_id, canonical_url, ord, spelt - 1 AS aliases FROM ({BEST})", "hrefs")
+def best(v: Views) -> DataFrame:
+    rows = L.best_links(L.link_priority(absolute(v)), key="page_id")
+    return rows.select("page_id", "canonical_url", "ord", F.size("aliases").cast("bigint").alias("aliases"))
+
+
+@query("l09_top_links", f"SELECT page_id, ord, CAST(r AS INTEGER) AS link_rank FROM (SELECT page_id, ord, row_number() OVER (PARTITION BY page_id ORDER BY {PRIORITY} DESC, ord) AS r FROM {ABS}) WHERE r <= 3", "hrefs")
+def top(v: Views) -> DataFrame:
+    return L.top_links(L.link_priority(absolute(v)), key="page_id", n=3).select("page_id", "ord", "link_rank")
+
+
+@query("l10_link_stats", f"""SELECT page_id, raw, unique_urls, candidates, aliases, least(candidates, 3) AS selected, least(candidates, 50) AS stored FROM (SELECT page_id, count(*) AS raw, count(DISTINCT url) AS unique_urls FROM {ABS} GROUP BY 1)
+    JOIN (SELECT page_id, count(*) AS candidates, CAST(sum(spelt - 1) AS BIGINT) AS aliases FROM ({BEST}) GROUP BY 1) USING (page_id)""", "hrefs")
+def stats(v: Views) -> DataFrame:
+    rows = absolute(v)
+    return L.link_stats(rows, L.best_links(L.link_priority(rows), key="page_id"), key="page_id")
+
+
+@query("l11_l12_j06_domains", f"SELECT page_id, d.domain FROM pages JOIN (VALUES ('example.net'), ('example.com'), ('blog.tionble.example.com')) d(domain) ON {HOST} = d.domain OR ends_with({HOST}, '.' || d.domain)")
+def domains(v: Views) -> DataFrame:
+    listed = v.spark.createDataFrame([("example.net",), ("example.com",), ("blog.tionble.example.com",)], "domain string")
+    return L.domain_matches(v.table("pages"), listed, host=U.host_of(F.col("url")), key="page_id")
+
+
+@query("l14_page_title", r"SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS page_title FROM pages")
+def title(v: Views) -> DataFrame:
+    return L.page_evidence(v.table("pages")).select("page_id", "page_title")
+
+
+@query("l14_page_evidence")
+def evidence(v: Views) -> DataFrame:
+    return L.page_evidence(v.table("pages")).select("page_id", "indicators", "is_distribution_site")
+
+
+@query("l15_j05_blocked", "SELECT page_id, page_id % 256 = 10 OR page_id % 256 = 127 OR page_id % 256 >= 224 OR page_id % 256 = 0 OR (page_id % 256 = 172 AND page_id % 40 BETWEEN 16 AND 31) OR (page_id % 256 = 192 AND page_id % 40 = 0 AND page_id % 7 IN (0, 2)) AS blocked FROM (SELECT * FROM pages WHERE page_id % 256 NOT IN (100, 169, 198, 203))")
+def blocked(v: Views) -> DataFrame:
+    p = F.col("page_id")
+    ip = F.concat_ws(".", (p % 256).cast("string"), (p % 40).cast("string"), (p % 7).cast("string"), F.lit("5"))
+    rows = v.table("pages").where(~(p % 256).isin(100, 169, 198, 203)).select("page_id", ip.alias("ip"))
+    return L.blocked_addresses(rows).select("page_id", "blocked")
+
+
+@query("l16_url_policy", r"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'port' WHEN page_id % 3 = 1 THEN 'scheme' END AS reason FROM pages")
+def policy(v: Views) -> DataFrame:
+    k = F.col("page_id") % 3
+    url = F.when(k == 0, F.regexp_replace("url", "^([a-z]+://[^/?#]+)", "$1:8443")).when(k == 1, F.regexp_replace("url", "^[a-z]+:", "ftp:")).otherwise(F.col("url"))
+    return v.table("pages").select("page_id", U.policy_reason(url).alias("reason"))
+
+
+@query("l18_listing_links", "SELECT page_id, url, min(ord) AS ord FROM (SELECT page_id, regexp_replace(href, '\\?.*$', '') AS url, ord FROM hrefs WHERE regexp_matches(href, '^/[a-z]+$')) GROUP BY ALL", "hrefs")
+def listing(v: Views) -> DataFrame:
+    rows = v.hrefs.withColumn("title", F.lit("")).withColumn("text", F.col("href"))
+    return L.listing_links(rows, board="page_id", pattern=F.lit("/[a-z]+$")).select("page_id", "url", "ord")
+
+
+@query("l19_board_pages", "SELECT page_id, CAST(p AS INTEGER) AS page, CASE WHEN p = 1 THEN url ELSE url || '/p' || p END AS page_url FROM (SELECT page_id, url, unnest(generate_series(1, 1 + page_id % 3)) AS p FROM pages)")
+def board_pages(v: Views) -> DataFrame:
+    boards = v.table("pages").select("page_id", F.col("url").alias("board_url"), F.concat("url", F.lit("/p{page}")).alias("page_template"), (1 + F.col("page_id") % 3).cast("int").alias("max_pages"))
+    return L.board_pages(boards).select("page_id", "page", "page_url")
+
+
+@query("l20_next_page", "SELECT page_id, arg_min(href, ord) AS next_url FROM hrefs WHERE contains(href, 'th') GROUP BY 1", "hrefs")
+def next_page(v: Views) -> DataFrame:
+    return L.next_page(v.hrefs.withColumn("text", F.col("href")), "th", board="page_id")
+
+
+@query("a26_link_risk", f"SELECT page_id AS detection_id, count(*) AS extracted, count(*) FILTER (ord <= 5) AS checked, count(*) FILTER (ord <= 5 AND ord % 2 = 0) AS risky FROM {ABS} GROUP BY 1", "hrefs")
+def link_risk(v: Views) -> DataFrame:
+    from siftlake.operators.reports import link_risk as report
+
+    row = F.struct("ord", "url")
+    per = absolute(v).groupBy(F.col("page_id").alias("detection_id")).agg(F.sort_array(F.collect_list(row)).alias("r"))
+    checked = F.transform(F.filter("r", lambda x: x["ord"] <= 5), lambda x: F.struct(x["url"].alias("url"), F.lit("web").alias("kind"), (x["ord"] % 2 == 0).alias("is_distribution_site")))
+    output = F.to_json(F.struct(F.transform("r", lambda x: x["url"]).alias("extracted"), checked.alias("links")))
+    got = report(per.select("detection_id", output.alias("output")))
+    return got.select("detection_id", *[F.col(c).cast("bigint").alias(c) for c in ("extracted", "checked", "risky")])

@@ -1 +1,332 @@
-"""Queries."""
+"""Queries on posts, candidates, funnels, labels and conversations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from siftlake.functions import text as X
+from siftlake.operators import dedup, merge, reports, rules, scoring, selection
+from siftlake.plans.bindings import LEXICON, Views
+from siftlake.plans.registry import query
+from siftlake.sources import io
+
+# ---- text functions
+
+@query("t01_t03_clean_text", r"""SELECT doc_id, sha256(translate(regexp_replace(text, '\p{Cf}', '', 'g'), 'аеорсхуВНМТКАЕОРСХοαεκν', 'aeopcxyBHMTKAEOPCXoaekv')) AS h FROM documents""")
+def clean_text(v: Views) -> DataFrame:
+    return v.documents.select("doc_id", F.sha2(X.fold_homoglyphs(X.strip_format(F.col("text"))), 256).alias("h"))
+
+
+@query("t04_t05_normalize")
+def normalize(v: Views) -> DataFrame:
+    rows = v.documents.select("doc_id", "text", X.normalize_text(F.col("text")).alias("clean"))
+    return rows.select("doc_id", F.sha2("clean", 256).alias("h"), X.removed_chars(F.col("text"), F.col("clean")).alias("removed"))
+
+
+@query("t06_t07_compact", r"SELECT doc_id, length(regexp_replace(lower(regexp_replace(text, '\p{Cf}', '', 'g')), '[\p{P}\p{S}\p{Z}]', '', 'g')) AS n FROM documents")
+def compact(v: Views) -> DataFrame:
+    return v.documents.select("doc_id", F.length(X.compact(X.match_text(F.col("text")))).cast("bigint").alias("n"))
+
+
+@query("t08_lexicon", """SELECT doc_id, regexp_matches(lower(text), '(^|[^a-z0-9])(license|password|token)([^a-z0-9]|$)') OR contains(lower(text), 'für') AS hit FROM documents""")
+def lexicon(v: Views) -> DataFrame:
+    rows = v.documents.select("doc_id", X.match_text(F.col("text")).alias("m"))
+    return rows.select("doc_id", X.contains_any(F.col("m"), X.compact(F.col("m")), ("license", "password", "token", "für")).alias("hit"))
+
+
+@query("t09_title_keywords", "SELECT ord, contains(lower(title), 'ver') OR contains(lower(title), 'ing') AS hit FROM candidates", "candidates")
+def keywords(v: Views) -> DataFrame:
+    return v.candidates.select("ord", X.has_keyword(F.col("title"), F.array(F.lit("Ver"), F.lit("ing"))).alias("hit"))
+
+
+SIGNALS = {"high": r"(?:ing|tion)\b", "contact": r"\b(?:the|der)\b", "never": "zzzz"}
+
+
+@query("t10_signals", r"""SELECT doc_id, least(len(list_distinct(regexp_extract_all(text, '(?i)(?:ing|tion)(?:[^\p{L}\p{N}_]|$)'))) , 1) > 0 AS has_high,
+    len(regexp_extract_all(text, '(?i)token = "[0-9a-f]+"')) AS tokens FROM documents""")
+def signals(v: Views) -> DataFrame:
+    got = X.signals(F.col("text"), {"high": r"(?:ing|tion)(?![\p{L}\p{N}_])", "never": "zzzz"})
+    tokens = F.regexp_extract_all("text", F.lit('(?i)token = "[0-9a-f]+"'), F.lit(0))
+    return v.documents.select("doc_id", (X.signal_count(got) > 0).alias("has_high"), F.size(tokens).cast("bigint").alias("tokens"))
+
+
+@query("a13_signal_breakdown", r"""SELECT family, count(*) AS docs, CAST(sum(n) AS BIGINT) AS hits FROM (
+    SELECT 'upper' AS family, least(10, len(list_distinct(regexp_extract_all(text, '[A-Z]{4,}')))) AS n FROM documents
+    UNION ALL SELECT 'number', least(10, len(list_distinct(regexp_extract_all(text, '[0-9]+')))) FROM documents) WHERE n > 0 GROUP BY family""")
+def signal_breakdown(v: Views) -> DataFrame:
+    # Case matters here, so the families are made from the flagless forms.
+    found = F.create_map(*[x for name, p in (("upper", "[A-Z]{4,}"), ("number", "[0-9]+")) for x in (F.lit(name), F.slice(F.array_distinct(F.regexp_extract_all("text", F.lit(p), F.lit(0))), 1, 10))])
+    return reports.signal_breakdown(v.documents.select(F.map_filter(found, lambda _, h: F.size(h) > 0).alias("signals")))
+
+
+@query("t11_preview", r"SELECT doc_id, sha256(substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 1200)) AS h FROM documents")
+def preview(v: Views) -> DataFrame:
+    return v.documents.select("doc_id", F.sha2(X.preview(F.col("text")), 256).alias("h"))
+
+
+@query("t12_t13_excerpts", r"""SELECT doc_id, sha256(CASE WHEN length(t) <= 500 THEN t ELSE regexp_replace(substr(t, 1, 500), '\s+$', '') || '…' END) AS e, CASE WHEN length(text) <= 40 THEN text ELSE substr(text, 1, 37) || '...' END AS a
+    FROM (SELECT doc_id, text, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents)""")
+def excerpts(v: Views) -> DataFrame:
+    return v.documents.select("doc_id", F.sha2(X.excerpt(F.col("text")), 256).alias("e"), X.abbreviate(F.col("text"), 40).alias("a"))
+
+
+@query("t15_content_hash", "SELECT doc_id, sha256(text) AS h FROM documents")
+def content_hash(v: Views) -> DataFrame:
+    return v.documents.select("doc_id", X.content_hash(F.col("text")).alias("h"))
+
+
+@query("t16_t18_language_time", "SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+def language_codes(v: Views) -> DataFrame:
+    return v.documents.groupBy(X.language_code(F.col("lang")).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("t17_language_profiles", """SELECT lang, g, n FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, g) AS r FROM (
+    SELECT lang, substr(text, p, 3) AS g, count(*) AS n FROM (SELECT lang, lower(text) AS text, unnest(generate_series(1, length(text) - 2)) AS p FROM documents WHERE length(text) >= 3) GROUP BY ALL)) WHERE r <= 100""")
+def language_profiles(v: Views) -> DataFrame:
+    grams = F.transform(F.sequence(F.lit(1), F.length("t") - 2), lambda p: F.substring(F.col("t"), p, F.lit(3)))
+    rows = v.documents.select("lang", F.lower("text").alias("t")).where(F.length("t") >= 3)
+    counts = rows.select("lang", F.explode(grams).alias("g")).groupBy("lang", "g").agg(F.count(F.lit(1)).alias("n"))
+    return selection.top_per_group(counts, ["lang"], [F.desc("n"), F.asc("g")], 100)
+
+
+@query("t21_numeric_key", r"SELECT page_id, CASE WHEN len(k) > 0 THEN k ELSE [0] END AS k FROM (SELECT page_id, list_transform(regexp_extract_all(url, '\d+'), lambda x: CAST(x AS BIGINT)) AS k FROM pages)")
+def numeric_key(v: Views) -> DataFrame:
+    return v.table("pages").select("page_id", X.numeric_key(F.lit(""), F.col("url")).alias("k"))
+
+
+# ---- candidates
+
+def _alt(terms: tuple[str, ...]) -> str:
+    plain = "|".join(t for t in terms if t.isascii())
+    other = "|".join(t for t in terms if not t.isascii())
+    hit = f"regexp_matches(hay, '(^|[^a-z0-9])({plain})([^a-z0-9]|$)')"
+    return f"({hit} OR regexp_matches(hay, '{other}') OR regexp_matches(bare, '{other}'))" if other else hit
+
+
+SCORED = f"""SELECT *, CASE WHEN score >= 70 AND strong >= 2 THEN 'P0' WHEN score >= 45 AND strong >= 2 THEN 'P1'
+        WHEN score >= 25 AND (h OR c OR d) AND NOT (l AND NOT (c OR d)) THEN 'P2' ELSE 'P3' END AS priority_bucket FROM (
+    SELECT *, greatest(0, 4 + kw * 25 + h::INT * 30 + c::INT * 20 + d::INT * 20 + g::INT * 10 + CASE WHEN x AND (kw = 1 OR h OR c OR d) THEN 8 ELSE 0 END
+        + CASE WHEN has_title_keywords AND kw = 0 THEN 6 ELSE 0 END - l::INT * 15) AS score, (kw = 1 OR h)::INT + c::INT + d::INT AS strong FROM (
+    SELECT *, keyword_matched::INT AS kw, {_alt(LEXICON["high_risk"])} AS h, {_alt(LEXICON["contact"])} AS c, {_alt(LEXICON["download"])} AS d, {_alt(LEXICON["game"])} AS g, {_alt(LEXICON["context"])} AS x, {_alt(LEXICON["low_intent"])} AS l
+    FROM (SELECT *, regexp_replace(hay, '[\\p{{P}}\\p{{S}}\\p{{Z}}]', '', 'g') AS bare FROM (SELECT *, lower(site_id || ' ' || board_url || ' ' || title) AS hay FROM candidates))))"""
+
+
+def scored(v: Views) -> DataFrame:
+    return scoring.score_candidates(v.candidates, lexicon=LEXICON, source_risk={}, dedicated=()).withColumn("numeric_key", F.array(F.col("ord") % 7, "ord"))
+
+
+@query("c01_c02_scores", f"SELECT ord, score, priority_bucket FROM ({SCORED})", "candidates")
+def scores(v: Views) -> DataFrame:
+    return scored(v).select("ord", "score", "priority_bucket")
+
+
+@query("c03_candidate_order", "SELECT ord, row_number() OVER (ORDER BY keyword_matched DESC, [ord % 7, ord] DESC, ord) AS place FROM candidates QUALIFY place <= 200", "candidates")
+def candidate_order(v: Views) -> DataFrame:
+    rows = v.candidates.withColumn("numeric_key", F.array(F.col("ord") % 7, "ord"))
+    first = rows.orderBy(*scoring.candidate_order()).limit(200).agg(F.sort_array(F.collect_list(F.struct((~F.col("keyword_matched")).alias("a"), F.transform("numeric_key", lambda x: -x).alias("b"), "ord"))).alias("r"))
+    return first.select(F.posexplode("r").alias("p", "r")).select("r.ord", (F.col("p") + 1).cast("bigint").alias("place"))
+
+
+SELECTED = f"""SELECT *, row_number() OVER (PARTITION BY board_url ORDER BY p3, q) AS selection_rank FROM (SELECT *, priority_bucket = 'P3' AS p3, row_number() OVER (PARTITION BY board_url, priority_bucket = 'P3'
+    ORDER BY CASE WHEN priority_bucket = 'P3' AND keyword_matched THEN 0 ELSE CASE WHEN priority_bucket = 'P3' THEN 1 ELSE 0 END END, score DESC, [-(ord % 7), -ord], url) AS q FROM ({SCORED})) WHERE NOT p3 OR q <= 2 QUALIFY selection_rank <= 20"""
+
+
+@query("w01_priority_budget", f"SELECT site_id, ord, selection_rank FROM ({SELECTED})", "candidates")
+def budget(v: Views) -> DataFrame:
+    return selection.priority_budget(scored(v), cap=2, limit=20).select("site_id", "ord", "selection_rank")
+
+
+@query("s07_candidate_inventory", f"SELECT c.ord, s.ord IS NOT NULL AS selected FROM candidates c LEFT JOIN ({SELECTED}) s USING (ord)", "candidates")
+def inventory(v: Views) -> DataFrame:
+    rows = scored(v)
+    return io.candidate_inventory(rows, selection.priority_budget(rows, cap=2, limit=20)).select("ord", "selected")
+
+
+@query("a10_inventory_summary", f"""SELECT site_id, count(*) AS discovered, count(*) FILTER (selected) AS selected, count(*) FILTER (keyword_matched) AS keyword, count(*) FILTER (priority_bucket = 'P0') AS p0,
+    count(*) FILTER (priority_bucket = 'P1') AS p1, count(*) FILTER (priority_bucket = 'P2') AS p2, count(*) FILTER (priority_bucket = 'P3') AS p3 FROM (SELECT *, score >= 50 AS selected FROM ({SCORED})) GROUP BY ROLLUP (site_id)""", "candidates")
+def inventory_summary(v: Views) -> DataFrame:
+    return reports.inventory_summary(scored(v).withColumn("selected", F.col("score") >= 50))
+
+
+@query("w02_probe_sample", f"""WITH s AS ({SCORED.replace("FROM candidates", "FROM cand")}), cand AS (SELECT * FROM candidates) SELECT ord, 'p2_top' AS sample_reason FROM (SELECT * FROM s WHERE priority_bucket = 'P2' ORDER BY score DESC, site_id, url LIMIT 80)
+    UNION ALL SELECT ord, CASE WHEN keyword_matched THEN 'p3_selected' ELSE 'p3_sample' END FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY keyword_matched DESC, score DESC, url) AS r FROM s WHERE priority_bucket = 'P3') WHERE r <= 2""".replace("WITH s AS", "SELECT * FROM (WITH cand AS (SELECT * FROM candidates), s AS").replace(", cand AS (SELECT * FROM candidates) SELECT ord, 'p2_top'", " SELECT ord, 'p2_top'") + ")", "candidates")
+def probe_sample(v: Views) -> DataFrame:
+    return selection.probe_sample(scored(v).withColumn("selected", F.col("keyword_matched")), p2=80, p3=2).select("ord", "sample_reason")
+
+
+@query("a11_probe_groups", """SELECT dimension, value, count(*) AS total, count(*) FILTER (is_real) AS real, count(*) FILTER (signal_count > 0) AS with_signal, count(*) FILTER (NOT ok) AS errors, round(count(*) FILTER (is_real) / count(*), 6) AS real_rate,
+    round(count(*) FILTER (signal_count > 0) / count(*), 6) AS with_signal_rate, round(count(*) FILTER (NOT ok) / count(*), 6) AS errors_rate FROM (SELECT unnest([{'dimension': 'site', 'value': source}, {'dimension': 'lang', 'value': CASE WHEN doc_id % 9 = 0 THEN '—' ELSE lang END}], recursive := true),
+    length(text) >= 200 AS is_real, doc_id % 3 AS signal_count, doc_id % 10 <> 0 AS ok FROM documents) GROUP BY ALL""")
+def probe_groups(v: Views) -> DataFrame:
+    rows = v.documents.select(F.col("source").alias("site"), F.when(F.col("doc_id") % 9 != 0, F.col("lang")).alias("lang"), (F.length("text") >= 200).alias("is_real"), (F.col("doc_id") % 3).alias("signal_count"), (F.col("doc_id") % 10 != 0).alias("ok"))
+    return reports.probe_groups(rows, ["site", "lang"])
+
+
+@query("o04_problem_samples", "SELECT doc_id, length(text) AS n FROM documents WHERE length(text) < 200 ORDER BY doc_id LIMIT 12")
+def problem_samples(v: Views) -> DataFrame:
+    return v.documents.where(F.length("text") < 200).orderBy("doc_id").limit(12).select("doc_id", F.length("text").cast("bigint").alias("n"))
+
+
+# ---- validation, dedup, funnel
+
+KIND = """CASE WHEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') = '' THEN 'empty' WHEN length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) < 50 THEN 'short' WHEN contains(text, 'hCaptcha') THEN 'captcha' ELSE 'real' END"""
+
+
+@query("r02_r03_a12_content_kinds", f"SELECT {KIND} AS kind, count(*) AS n FROM documents GROUP BY 1")
+def content_kinds(v: Views) -> DataFrame:
+    kind = rules.content_kind(F.col("text"), rules.site_family(F.col("source")))
+    return v.documents.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("d01_body_duplicates", "SELECT doc_id AS post_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1 AND trim(text) <> '' AS duplicate FROM documents")
+def duplicates(v: Views) -> DataFrame:
+    return dedup.body_duplicates(v.posts.withColumn("arrival", F.col("post_id"))).select("post_id", "duplicate")
+
+
+@query("d01_j07_history", "SELECT count(*) FILTER (dup) AS duplicates, count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1 OR text IN (SELECT text FROM documents WHERE doc_id < 300) AS dup FROM documents WHERE doc_id >= 300)")
+def history(v: Views) -> DataFrame:
+    old = v.posts.where("post_id < 300").select(X.content_hash(F.col("body")).alias("body_hash"))
+    got = dedup.body_duplicates(v.posts.where("post_id >= 300").withColumn("arrival", F.col("post_id")), old)
+    return got.agg(F.count_if("duplicate").alias("duplicates"), F.count(F.lit(1)).alias("n"))
+
+
+@query("d02_first_seen", "SELECT user_id AS url, coalesce(min(ts) FILTER (event_id % 2 = 0), min(ts)) AS first_seen FROM events GROUP BY user_id")
+def first_seen(v: Views) -> DataFrame:
+    rows = v.table("events").select(F.col("user_id").alias("url"), F.col("ts").alias("first_seen"), "event_id")
+    return dedup.first_seen(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"))
+
+
+@query("d03_a27_purge", "SELECT count(*) FILTER (f > TIMESTAMP '2024-01-08') AS kept, count(*) FILTER (f <= TIMESTAMP '2024-01-08') AS removed FROM (SELECT user_id, min(ts) AS f FROM events WHERE user_id % 3 = 0 OR event_id > 5000 GROUP BY user_id)")
+def purge(v: Views) -> DataFrame:
+    rows = v.table("events").where("user_id % 3 = 0 or event_id > 5000").groupBy(F.col("user_id").alias("url")).agg(F.min("ts").alias("first_seen"))
+    kept, gone = dedup.purge(rows, F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"))
+    return kept.select(F.lit(1).alias("k")).unionAll(gone.select(F.lit(0).alias("k"))).agg(F.count_if(F.col("k") == 1).alias("kept"), F.count_if(F.col("k") == 0).alias("removed"))
+
+
+@query("w05_u03_first_in_run", "SELECT arrival, url FROM (SELECT doc_id AS arrival, md5(text) AS url, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
+def first_in_run(v: Views) -> DataFrame:
+    rows = v.documents.select(F.col("doc_id").alias("arrival"), F.md5("text").alias("url"))
+    return selection.first_per_key(rows, ["url"], [F.asc("arrival")])
+
+
+DISPOSED = f"""SELECT source AS site_name, doc_id, CASE WHEN n_seen > 1 THEN 'seen_in_run' WHEN doc_id % 11 = 0 THEN 'seen_before' WHEN doc_id % 7 = 0 THEN 'fetch_failed' WHEN kind IN ('empty', 'short') THEN 'empty' WHEN kind = 'captcha' THEN 'blocked'
+    WHEN dup THEN 'duplicate_body' ELSE 'enqueued' END AS disposition FROM (SELECT *, {KIND} AS kind, row_number() OVER (PARTITION BY source, n_chars % 400 ORDER BY doc_id) AS n_seen, row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1 AND trim(text) <> '' AS dup FROM documents)"""
+
+
+def disposed(v: Views) -> DataFrame:
+    from pyspark.sql import Window
+
+    rows = dedup.body_duplicates(v.documents.withColumn("arrival", F.col("doc_id")).withColumnRenamed("text", "body"))
+    seen = F.row_number().over(Window.partitionBy("source", F.col("n_chars") % 400).orderBy("doc_id")) > 1
+    made = rules.disposition(seen, F.col("doc_id") % 11 == 0, F.col("doc_id") % 7 != 0, rules.content_kind(F.col("body"), rules.site_family(F.col("source"))), F.col("duplicate"))
+    return rows.select(F.col("source").alias("site_name"), "doc_id", made.alias("disposition"))
+
+
+@query("r04_r05_disposition", f"SELECT doc_id, disposition FROM ({DISPOSED})")
+def dispositions(v: Views) -> DataFrame:
+    return disposed(v).select("doc_id", "disposition")
+
+
+@query("a18_funnel", "SELECT site_name, count(*) AS selected, " + ", ".join(f"count(*) FILTER (disposition = '{d}') AS {d}" for d in reports.FUNNEL) + f", count(*) FILTER (disposition IN ('empty', 'sticky', 'blocked', 'unknown')) AS validator_skipped FROM ({DISPOSED}) GROUP BY ROLLUP (site_name)")
+def funnel(v: Views) -> DataFrame:
+    return reports.funnel(disposed(v))
+
+
+@query("a19_u01_funnel_total", f"""SELECT count(*) FILTER (disposition IN ('seen_in_run', 'seen_before', 'duplicate_body')) AS duplicates, count(*) FILTER (disposition IN ('empty', 'sticky', 'blocked', 'unknown')) AS skipped,
+    count(*) FILTER (disposition = 'enqueued' AND doc_id % 2 = 0) AS enqueued_0, count(*) FILTER (disposition = 'enqueued' AND doc_id % 2 = 1) AS enqueued_1 FROM ({DISPOSED})""")
+def funnel_total(v: Views) -> DataFrame:
+    rows = disposed(v)
+    return reports.funnel_total([rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1")])
+
+
+@query("d04_permanent_marks", f"SELECT doc_id FROM ({DISPOSED}) WHERE disposition IN ('sticky', 'enqueued')")
+def permanent(v: Views) -> DataFrame:
+    return dedup.permanent_marks(disposed(v)).select("doc_id")
+
+
+@query("m01_upsert_sources", """SELECT source AS site_name, CASE WHEN source < 'src15' THEN coalesce(CASE WHEN source < 'src12' THEN 'old ' || source END, 'new ' || source) ELSE 'new ' || source END AS board_name, 'u' AS base_url FROM (SELECT DISTINCT source FROM documents)""")
+def upsert_sources(v: Views) -> DataFrame:
+    s = v.posts.select("site_name").distinct()
+    old = s.where("site_name < 'src15'").select("site_name", F.when(F.col("site_name") < "src12", F.concat(F.lit("old "), F.col("site_name"))).alias("board_name"), F.lit("u").alias("base_url"))
+    return merge.upsert_sources(old, s.select("site_name", F.concat(F.lit("new "), F.col("site_name")).alias("board_name"), F.lit("u").alias("base_url")))
+
+
+@query("m02_m07_upsert_posts", """SELECT site_name, CAST(k AS VARCHAR) AS post_id_at_source, coalesce(n.body, o.body) AS body, coalesce(n.post_url, o.post_url) AS post_url, coalesce(o.crawled_at, n.crawled_at) AS crawled_at FROM
+    (SELECT source AS site_name, doc_id % 50 AS k, arg_max(md5(text), doc_id) AS body, 'old' AS post_url, TIMESTAMP '2024-01-01' AS crawled_at FROM documents WHERE doc_id % 50 < 30 GROUP BY ALL) o
+    FULL JOIN (SELECT source AS site_name, doc_id % 50 AS k, arg_max(md5(text || 'x'), doc_id) AS body, arg_max(CASE WHEN doc_id % 3 = 0 THEN 'new' || doc_id END, doc_id) FILTER (doc_id % 3 = 0) AS post_url, TIMESTAMP '2024-02-01' AS crawled_at FROM documents WHERE doc_id % 50 >= 20 GROUP BY ALL) n USING (site_name, k)""")
+def upsert_posts(v: Views) -> DataFrame:
+    d = v.documents.withColumn("k", F.col("doc_id") % 50)
+    key = [F.col("source").alias("site_name"), F.col("k").cast("string").alias("post_id_at_source")]
+    at = lambda t: F.lit(t).cast("timestamp_ntz").alias("crawled_at")
+    old = d.where("k < 30").groupBy(*key).agg(F.max_by(F.md5("text"), "doc_id").alias("body")).select("site_name", "post_id_at_source", "body", F.lit("xx").alias("language"), at("2024-01-01 00:00:00"), F.lit("old").alias("post_url"))
+    new = d.where("k >= 20").select(*key, F.md5(F.concat("text", F.lit("x"))).alias("body"), F.col("lang").alias("language"), at("2024-02-01 00:00:00"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("new"), F.col("doc_id").cast("string"))).alias("post_url"), F.col("doc_id").alias("ord"))
+    return merge.upsert_posts(old, new).drop("language")
+
+
+@query("t20_url_backfill", """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'kept' WHEN doc_id % 4 = 1 THEN 'https://www.52pojie.cn/thread-' || replace(doc_id || '_1_1', '_', '-') || '.html' WHEN doc_id % 4 = 2 THEN 'https://bbs.nga.cn/read.php?tid=' || doc_id END AS url FROM documents""")
+def url_backfill(v: Views) -> DataFrame:
+    from siftlake.functions.urls import backfilled_url
+
+    d, k = v.documents, F.col("doc_id") % 4
+    site = F.when(k == 1, "52pojie").when(k == 2, "nga").otherwise("ptt")
+    post = F.when(k == 1, F.concat(F.col("doc_id").cast("string"), F.lit("_1_1"))).otherwise(F.col("doc_id").cast("string"))
+    return d.select("doc_id", backfilled_url(site, post, F.when(k == 0, "kept")).alias("url"))
+
+
+# ---- labels, samples, documents of parts
+
+@query("a20_label_agreement", """SELECT dimension, value, count(*) AS total, count(*) FILTER (known) AS judgeable, count(*) FILTER (agree) AS agree, coalesce(round(count(*) FILTER (agree) / nullif(count(*) FILTER (known), 0), 6), 0) AS rate FROM (
+    SELECT unnest([{'dimension': 'all', 'value': 'all'}, {'dimension': 'lang', 'value': lang}], recursive := true), known, known AND label = predicted AS agree FROM (SELECT lang, doc_id % 6 <> 0 AS known, CAST(toxic AS VARCHAR) AS label, CASE WHEN length(text) < 1500 THEN '1' ELSE '0' END AS predicted FROM documents JOIN labels USING (doc_id))) GROUP BY ALL""")
+def agreement(v: Views) -> DataFrame:
+    rows = v.documents.join(v.table("labels"), "doc_id").select("lang", F.when(F.col("doc_id") % 6 == 0, "unknown").otherwise(F.col("toxic").cast("string")).alias("label"), F.when(F.length("text") < 1500, "1").otherwise("0").alias("predicted"))
+    return reports.label_agreement(rows, label="label", predicted="predicted", by=["lang"]).withColumn("rate", F.round("rate", 6))
+
+
+@query("a21_confusion", "SELECT toxic AS truth, CAST(length(text) < 1500 AS INTEGER) AS predicted, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL")
+def confusion(v: Views) -> DataFrame:
+    rows = v.documents.join(v.table("labels"), "doc_id").select(F.col("toxic").alias("truth"), (F.length("text") < 1500).cast("int").alias("predicted"))
+    return reports.confusion(rows, "truth", "predicted")
+
+
+@query("a22_quality", """SELECT round(count(*) FILTER (t AND p) / count(*) FILTER (t), 6) AS recall, round(count(*) FILTER (NOT t AND NOT p) / count(*) FILTER (NOT t), 6) AS specificity, round(count(*) FILTER (t = p) / count(*), 6) AS accuracy
+    FROM (SELECT toxic = 1 AS t, length(text) < 1500 AS p FROM documents JOIN labels USING (doc_id))""")
+def quality(v: Views) -> DataFrame:
+    rows = v.documents.join(v.table("labels"), "doc_id")
+    got = reports.binary_quality(rows, F.col("toxic") == 1, F.length("text") < 1500)
+    return got.select(*[F.round(c, 6).alias(c) for c in got.columns])
+
+
+@query("w03_stratified_sample", """WITH l AS (SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'clean' WHEN toxic = 1 THEN 'toxic' ELSE 'poor' END AS k, sha256(doc_id || ':42') AS h FROM labels), m AS (SELECT * FROM l WHERE k <> 'clean')
+    SELECT doc_id, k FROM (SELECT *, row_number() OVER (ORDER BY late, h, doc_id) AS o FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY k ORDER BY h, doc_id) > 15 // greatest(1, (SELECT count(DISTINCT k) FROM m)) THEN 1 ELSE 0 END AS late FROM m)) WHERE o <= 15
+    UNION ALL SELECT doc_id, k FROM (SELECT *, row_number() OVER (ORDER BY h, doc_id) AS o FROM l WHERE k = 'clean') WHERE o <= 15""")
+def stratified(v: Views) -> DataFrame:
+    k = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "clean").when(F.col("toxic") == 1, "toxic").otherwise("poor")
+    return selection.stratified_sample(v.table("labels").select("doc_id", k.alias("k")), n=30, stratum="k", clean="clean", id_col="doc_id", seed=42)
+
+
+@query("s08_assemble_turns", "SELECT conv_id, string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn, role || ': ' || coalesce(text, '')) AS document, count(*) AS turns FROM conversations GROUP BY conv_id")
+def turns(v: Views) -> DataFrame:
+    return io.assemble_turns(v.table("conversations"))
+
+
+@query("s10_merge_search_results", """SELECT l_partkey, query_no, rank FROM (SELECT l_partkey, l_orderkey AS query_no, l_linenumber AS rank, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS r FROM lineitem) WHERE r = 1 ORDER BY query_no, rank, l_partkey LIMIT 500""")
+def search_results(v: Views) -> DataFrame:
+    rows = v.table("lineitem").select("l_partkey", F.col("l_orderkey").alias("query_no"), F.col("l_linenumber").alias("rank"))
+    return io.merge_search_results(rows, 500, "l_partkey")
+
+
+@query("s05_archive_rows", "SELECT source AS site, CAST(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS DATE) AS crawl_date, count(*) AS n FROM documents WHERE trim(text) <> '' GROUP BY ALL")
+def archive_rows(v: Views) -> DataFrame:
+    kept = v.posts.where((F.coalesce(X.strip(F.col("body")), F.lit("")) != "") & F.col("site_name").rlike(r"^[A-Za-z0-9_\-]+$"))
+    return kept.groupBy(F.col("site_name").alias("site"), F.to_date("crawled_at").alias("crawl_date")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s01_u02_event_decode", "SELECT count(*) FILTER (doc_id % 3 = 0) AS good, count(*) FILTER (doc_id % 3 <> 0) AS corrupt FROM documents")
+def event_decode(v: Views) -> DataFrame:
+    k = F.col("doc_id") % 3
+    base = v.documents.select(k.alias("k"), F.col("doc_id").cast("string").alias("post_id"), F.col("source").alias("source_id"), F.col("source").alias("site_name"), F.col("text").alias("raw_text"), F.col("lang").alias("language"), F.lit("2024-01-01T00:00:00Z").alias("detected_at"), F.lit("c").alias("correlation_id"))
+    fields = [c for c in base.columns if c != "k"]
+    raw = F.when(F.col("k") == 0, F.to_json(F.struct(*fields))).when(F.col("k") == 1, F.to_json(F.struct(*fields, F.lit(1).alias("surprise")))).otherwise(F.to_json(F.struct(*fields[1:])))
+    made = io.with_event(base.select(raw.alias("raw")))
+    return made.agg(F.count_if(~F.col("is_corrupt")).alias("good"), F.count_if("is_corrupt").alias("corrupt"))
