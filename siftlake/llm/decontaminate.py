@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 1. Every word n-gram of the test items is counted over all documents.
-2. An item's seeds are its rarer n-grams: those whose document count is at most the item's median. So
-   each item keeps seeds, also one that a large share of the documents copies.
+2. An item's seeds are its rarer n-grams: of those that occur, the ones whose document count is at most
+   the item's median. So each item keeps seeds, also one that a large share of the documents copies.
 3. Seeds are joined to the documents that hold them; the words around them travel along.
 4. Each passage so found is aligned with the item; copies with edits keep a high score.
 """
@@ -120,13 +120,13 @@ def gram_counts(docs: DataFrame, keys: DataFrame, sizes: list[int], text_col: st
 
 
 def seeds_of(docs: DataFrame, items: DataFrame, n: int, text_col: str) -> DataFrame:
-    """``g`` and ``item``: each item's n-grams whose document count is at most the item's median count."""
+    """``g`` and ``item``: of each item's n-grams that occur at all, those whose document count is at most the median."""
     keys = items.select("item", F.size("words").alias("m"), F.explode("g").alias("g"))
     sizes = sorted({r[0] for r in keys.select(F.least("m", F.lit(n)).alias("m")).distinct().collect()})  # at most n numbers
     counts = stored(gram_counts(docs, keys, sizes, text_col), "gram-counts")
-    counted = keys.join(counts.hint("merge"), "g", "left").select("item", "g", F.coalesce("n", F.lit(0)).alias("n"))
+    counted = keys.join(counts.hint("merge"), "g").select("item", "g", "n")
     medians = counted.groupBy("item").agg(F.percentile("n", F.lit(0.5)).alias("median"))
-    return counted.join(medians.hint("merge"), "item").where((F.col("n") <= F.col("median")) & (F.col("n") > 0)).select("g", "item")
+    return counted.join(medians.hint("merge"), "item").where(F.col("n") <= F.col("median")).select("g", "item")
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:

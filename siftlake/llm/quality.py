@@ -19,13 +19,14 @@ from siftlake.llm.common import arrow_map, texts_of
 
 @dataclass(frozen=True)
 class Settings:
-    """``buckets`` x ``dim`` bounds the model; ``sample_rows`` of at most ``sample_chars`` each bound the fit."""
+    """``buckets`` x ``dim`` bounds the model; ``sample_rows`` of at most ``sample_chars`` each, and ``steps``, bound the fit."""
 
     buckets: int = 1 << 16
     dim: int = 12
     shortest: int = 2
     longest: int = 4
-    epochs: int = 5
+    steps: int = 8000
+    epochs_most: int = 40
     rate: float = 0.4
     sample_rows: int = 1600
     sample_chars: int = 8000
@@ -100,7 +101,7 @@ class QualityModel:
 
 
 def fit_rows(rows: list[tuple[str, int]], s: Settings) -> QualityModel:
-    """Stochastic gradient descent over the rows, one document a step, the rate falling to zero."""
+    """Stochastic gradient descent, one document a step, the rate falling to zero over ``steps`` (few rows: ``epochs_most`` passes)."""
     rng = np.random.default_rng(s.seed)
     vectors = rng.uniform(-1 / s.dim, 1 / s.dim, (s.buckets, s.dim)).astype(np.float32)
     layer = np.zeros((2, s.dim), dtype=np.float32)
@@ -111,9 +112,9 @@ def fit_rows(rows: list[tuple[str, int]], s: Settings) -> QualityModel:
     if not counts.all():  # one class, or none: a constant with one pseudo row for each class
         share = (counts + 1) / (counts.sum() + 2)
         return QualityModel(s, np.zeros_like(vectors), layer, np.log(share).astype(np.float32))
-    done, steps = 0, s.epochs * len(inputs)
-    for _ in range(s.epochs):
-        for k in rng.permutation(len(inputs)):
+    done, steps = 0, min(s.steps, s.epochs_most * len(inputs))
+    while done < steps:
+        for k in rng.permutation(len(inputs))[: steps - done]:
             b, w, y = inputs[k]
             rate = s.rate * (1 - done / steps)
             done += 1
