@@ -188,3 +188,21 @@ def test_ingest_and_merge(spark):
     seen = []
     streams.merge_batches(stream_of(spark, raw), lambda df, n: seen.append((n, df.count())), f"{at}/cp2").awaitTermination()
     assert sum(n for _, n in seen) == 2
+
+
+def test_retries(spark):
+    import time
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    at = folder()
+    spark.createDataFrame([("p1", "claimed"), ("p2", "claimed")], "post_id string, event string").write.parquet(f"{at}/in")
+    source = spark.readStream.schema("post_id string, event string").parquet(f"{at}/in")
+    q = streams.retries(source, timeout_ms=1000, most=1).writeStream.format("memory").queryName("k8").outputMode("update").option("checkpointLocation", f"{at}/cp").trigger(processingTime="1 second").start()
+    try:
+        end = time.time() + 90
+        while time.time() < end and spark.table("k8").where("action = 'dead_letter'").count() < 2:
+            time.sleep(1)
+        assert {(r.post_id, r.action) for r in spark.table("k8").collect()} == {(p, a) for p in ("p1", "p2") for a in ("requeue", "dead_letter")}
+    finally:
+        q.stop()
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
