@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftlake.functions.text import content_hash, strip
@@ -11,14 +11,16 @@ from siftlake.functions.text import content_hash, strip
 def body_duplicates(df: DataFrame, history: DataFrame | None = None, *, body: str = "body", arrival: str = "arrival") -> DataFrame:
     """``df`` with ``body_hash`` and ``duplicate``: an equal body came before, here or in ``history`` (``body_hash``).
 
-    Blank and null bodies are never duplicates. The window sorts by hash, so equal bodies beyond the
-    first cost a sort; hashes of blank bodies are spread by arrival.
+    Blank and null bodies are never duplicates. ``arrival`` is unique. The earliest arrival of each hash is
+    found by a combining aggregate and joined back; a body that very many rows share is split by the
+    skew join, and rows without a hash are spread by their arrival.
     """
     blank = F.coalesce(strip(F.col(body)), F.lit("")) == ""
     df = df.withColumn("body_hash", F.when(~blank, content_hash(F.col(body))))
-    key = F.coalesce("body_hash", F.col(arrival).cast("string"))
-    first = F.row_number().over(Window.partitionBy(key).orderBy(arrival))
-    df = df.withColumn("_later", F.col("body_hash").isNotNull() & (first > 1))
+    df = df.withColumn("_k", F.coalesce("body_hash", F.col(arrival).cast("string")))
+    first = df.where(F.col("body_hash").isNotNull()).groupBy(F.col("body_hash").alias("_k")).agg(F.min(arrival).alias("_first"))
+    later = F.coalesce(F.col(arrival) > F.col("_first"), F.lit(False))
+    df = df.join(first.hint("merge"), "_k", "left").withColumn("_later", later).drop("_k", "_first")
     if history is None:
         return df.withColumnRenamed("_later", "duplicate")
     known = history.select("body_hash").distinct().withColumn("_known", F.lit(True))
