@@ -25,25 +25,22 @@ CHUNK = 50_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
-class Words:
-    """Words of a text as 64-bit hashes: lower case, split at white space, signs at a word's ends dropped."""
+class Words(dict):
+    """Words of a text as 64-bit hashes: lower case, split at white space, signs at a word's ends dropped. Keeps what it has hashed."""
 
     SIGNS = ".,;:!?\"'()[]{}|*#$%&<>-_"
+    MOST = 500_000
 
-    def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+    def __missing__(self, word: str) -> int:
+        bare = word.strip(self.SIGNS)
+        got = self[word] = xxhash.xxh64_intdigest(bare) if bare else 0
+        return got
 
     def __call__(self, text: str) -> np.ndarray:
-        known, words = self.known, text.lower().split()
-        new = set(words).difference(known)
-        if new:
-            if len(known) > 500_000:
-                known.clear()
-                new = set(words)
-            for w in new:
-                bare = w.strip(self.SIGNS)
-                known[w] = xxhash.xxh64_intdigest(bare) if bare else 0
-        got = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+        if len(self) > self.MOST:
+            self.clear()
+        words = text.lower().split()
+        got = np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
         return got[got != 0]  # a word of signs only is none
 
 
@@ -112,7 +109,9 @@ def gram_counts(docs: DataFrame, keys: DataFrame, sizes: list[int], text_col: st
                 for n in sizes:
                     if len(words) >= n:
                         g = grams(words, n)
-                        found.append(np.unique(g[places(g, bits)]))
+                        at = places(g, bits)
+                        if len(at):
+                            found.append(np.unique(g[at]))
             g, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n.astype(np.int64))], names=["g", "n"])
 
@@ -200,11 +199,12 @@ def contaminated(
                     if len(words) >= size:
                         g = grams(words, size)
                         at = places(g, bits)
-                        hits.append(at)
-                        keys.append(g[at])
-                at, g = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hits, keys))
-                if not len(at):
+                        if len(at):
+                            hits.append(at)
+                            keys.append(g[at])
+                if not hits:
                     continue
+                at, g = np.concatenate(hits), np.concatenate(keys)
                 order = np.argsort(at, kind="stable")
                 at, g = at[order], g[order].view(np.int64)
                 # Seeds whose surroundings overlap share a passage; a passage spans at most CHUNK words and some.
