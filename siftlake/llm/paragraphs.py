@@ -39,7 +39,7 @@ def shingles(words: list[str], size: int) -> np.ndarray:
 
 
 def bands(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band: a hash of its rows' least values."""
+    """A key for each band: a hash of its number and its rows' least values."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(hashes), SLICE):
         mixed = hashes[at : at + SLICE, None] * _A + _B
@@ -49,7 +49,7 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     out = keys[:, 0].copy()
     for k in range(1, ROWS):
         out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + keys[:, k]
-    return out
+    return (out ^ np.arange(BANDS, dtype=np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -69,8 +69,8 @@ def cut(text: str) -> Iterator[tuple[int, int]]:
 
 
 def paragraphs(docs: DataFrame, *, id_col: str, text_col: str, least_words: int, size: int) -> DataFrame:
-    """``id``, ``start``, ``end`` (code points), ``h`` (128-bit hash of the words), ``bands`` and ``shingles``."""
-    schema = f"id {dict(docs.dtypes)[id_col]}, start long, end long, h binary, bands array<long>, shingles array<long>"
+    """``id``, ``start``, ``end`` (code points), ``h`` (128-bit hash of the words), ``bands`` and ``words``."""
+    schema = f"id {dict(docs.dtypes)[id_col]}, start long, end long, h binary, bands array<long>, words string"
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,29 +81,58 @@ def paragraphs(docs: DataFrame, *, id_col: str, text_col: str, least_words: int,
                 for start, end in cut(text):
                     words = text[start:end].lower().split()
                     if len(words) >= least_words:
-                        s = shingles(words, size)
-                        h = xxhash.xxh3_128_digest(" ".join(words))
-                        rows.append((key.as_py(), start, end, h, bands(s).view(np.int64), s.view(np.int64)))
+                        joined = " ".join(words)
+                        h = xxhash.xxh3_128_digest(joined)
+                        rows.append((key.as_py(), start, end, h, bands(shingles(words, size)).view(np.int64), joined))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(arrow)], schema=arrow)
 
     return docs.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(run, schema)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) and whether their shingle sets are similar enough (``good``)."""
-    first = pairs.join(sets.select(F.col("h").alias("a"), F.col("shingles").alias("sa")).hint("merge"), "a")
-    both = first.join(sets.select(F.col("h").alias("b"), F.col("shingles").alias("sb")).hint("merge"), "b")
+def colliding(keyed: DataFrame) -> DataFrame:
+    """The rows (``key``, ``h``) whose key another row has too.
+
+    One shuffle and a sort; a task looks at neighbouring rows as they stream by and holds a single one,
+    so a key that very many rows share needs no memory.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, held_too = None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
+            key = rows.column(0).to_numpy()
+            too = np.zeros(len(key), dtype=bool)
+            too[0] = held_too
+            same = key[1:] == key[:-1]
+            too[1:] |= same
+            too[:-1] |= same
+            held, held_too = rows.slice(len(key) - 1, 1), bool(too[-1])
+            too[-1] = False
+            yield rows.filter(pa.array(too))
+        if held_too:
+            yield held
+
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, keyed.schema)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) and whether the shingle sets of their words are similar enough (``good``)."""
+    first = pairs.join(sets.select(F.col("h").alias("a"), F.col("words").alias("wa")).hint("merge"), "a")
+    both = first.join(sets.select(F.col("h").alias("b"), F.col("words").alias("wb")).hint("merge"), "b")
 
     def make():
         def step(batch):
             good = [
-                jaccard(np.asarray(x.values), np.asarray(y.values)) >= similarity for x, y in zip(batch.column(2), batch.column(3), strict=True)
+                jaccard(shingles(x.as_py().split(" "), size), shingles(y.as_py().split(" "), size)) >= similarity
+                for x, y in zip(batch.column(2), batch.column(3), strict=True)
             ]
             return {"a": batch.column(0), "b": batch.column(1), "good": good}
 
         return step
 
-    return arrow_map(both.select("a", "b", "sa", "sb"), make, "a binary, b binary, good boolean")
+    return arrow_map(both.select("a", "b", "wa", "wb"), make, "a binary, b binary, good boolean")
 
 
 def repeated(
@@ -127,25 +156,24 @@ def repeated(
     texts = stored(
         table.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "start")).alias("first"), F.first("bands").alias("bands")), "texts"
     )
-    keyed = texts.select("h", "n", F.posexplode("bands").alias("band", "key"))
-    sizes = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1)
-    open_rows = stored(keyed.join(sizes.select("band", "key").hint("merge"), ["band", "key"]), "collisions")
-    sets = texts.select("h", F.col("first.id").alias("id"), F.col("first.start").alias("start")).join(open_rows.select("h").distinct().hint("merge"), "h", "left_semi")
+    met = stored(colliding(texts.select(F.explode("bands").alias("key"), "h")), "collisions")
+    open_rows = met.join(texts.select("h", "n").hint("merge"), "h")
+    chosen = texts.select("h", F.col("first.id").alias("id"), F.col("first.start").alias("start")).join(met.select("h").distinct().hint("merge"), "h", "left_semi")
     sets = stored(
-        table.select("h", "id", "start", "shingles").join(sets.hint("merge"), ["h", "id", "start"], "left_semi").dropDuplicates(["h"]), "shingle-sets"
+        table.select("h", "id", "start", "words").join(chosen.hint("merge"), ["h", "id", "start"], "left_semi").dropDuplicates(["h"]), "colliding-texts"
     )
     links = None
     for _ in range(rounds):
         if open_rows.isEmpty():
             break
-        hubs = open_rows.groupBy("band", "key").agg(F.max_by("h", F.struct("n", "h")).alias("hub"))
-        against = open_rows.join(hubs.hint("merge"), ["band", "key"]).where(F.col("h") != F.col("hub"))
+        hubs = open_rows.groupBy("key").agg(F.max_by("h", F.struct("n", "h")).alias("hub"))
+        against = open_rows.join(hubs.hint("merge"), "key").where(F.col("h") != F.col("hub"))
         pairs = against.select(F.greatest("h", "hub").alias("a"), F.least("h", "hub").alias("b")).distinct()
-        checked = stored(verified(pairs, sets, similarity), "checked")
+        checked = stored(verified(pairs, sets, size, similarity), "checked")
         good = checked.where("good").select("a", "b")
         links = good if links is None else links.unionAll(good)
         rest = against.withColumn("a", F.greatest("h", "hub")).withColumn("b", F.least("h", "hub"))
-        open_rows = stored(rest.join(good.hint("merge"), ["a", "b"], "left_anti").select("h", "n", "band", "key"), "collisions")
+        open_rows = stored(rest.join(good.hint("merge"), ["a", "b"], "left_anti").select("key", "h", "n"), "collisions")
     # A text keeps its own hash as class unless it is linked.
     named = texts.select("h", "n")
     if links is not None:
