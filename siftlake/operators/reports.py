@@ -225,3 +225,8 @@ def link_risk(runs: DataFrame, output: str = "output") -> DataFrame:
     risky = F.filter(F.coalesce(links, none.cast("array<struct<url:string,kind:string,is_distribution_site:boolean>>")), lambda x: F.coalesce(x["is_distribution_site"], F.lit(False)))
     per = runs.select("detection_id", F.greatest(size(o.getField("extracted")), F.lit(0)).alias("e"), F.greatest(size(links), F.lit(0)).alias("c"), F.size(risky).alias("r"))
     return per.groupBy("detection_id").agg(F.sum("e").alias("extracted"), F.sum("c").alias("checked"), F.sum("r").alias("risky"))
+
+
+def error_reasons(df: DataFrame, reason: str, by: str) -> DataFrame:
+    """Counts of error reasons by site and, with a null site, in all."""
+    return df.where(F.col(reason).isNotNull()).groupingSets([[reason, by], [reason]], reason, by).agg(F.count(F.lit(1)).alias("n"))

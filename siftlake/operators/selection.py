@@ -116,3 +116,10 @@ def claimable(outbox: DataFrame, as_of: Column, *, stale: str = "5 minutes", mos
     old = F.col("claimed_at") < as_of - F.make_dt_interval(mins=F.lit(int(number))) if unit.startswith("min") else F.col("claimed_at") < as_of
     open_ = (F.col("status") == "PENDING") | ((F.col("status") == "PROCESSING") & old)
     return outbox.where(open_ & (F.col("attempts") < most_attempts)).orderBy("created_at", "id").limit(limit)
+
+
+def trace_of(runs: DataFrame, detections: DataFrame, detection_id: int) -> DataFrame:
+    """The traces of a detection in order; an error if there is no such detection."""
+    if detections.where(F.col("id") == detection_id).isEmpty():
+        raise LookupError(f"no detection {detection_id}")
+    return runs.where(F.col("detection_id") == detection_id).orderBy("created_at", "stage")
