@@ -7,11 +7,15 @@
    the most frequent text is compared with the others, and of those it is not similar to, the most
    frequent again, ``rounds`` times; so no group is ever paired with itself.
 3. Candidates are verified by the exact Jaccard similarity of their shingle sets.
-4. Connected components make the classes; all occurrences but the first of a class are removals.
+4. Where a collision still holds texts of several components, those texts are compared across
+   components if they share one of the rarest shingles that similar sets must share. Texts of one
+   component are not compared again, so no link that would join two components is missed.
+5. Connected components make the classes; all occurrences but the first of a class are removals.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +32,8 @@ _RNG = np.random.default_rng(7)
 _A = _RNG.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 SLICE = 4096
+#: Shingles are counted by this many slots of their hash, to put rare ones first; a table of fixed size.
+SLOTS = 1 << 18
 
 
 def shingles(words: list[str], size: int) -> np.ndarray:
@@ -135,6 +141,62 @@ def verified(pairs: DataFrame, sets: DataFrame, size: int, similarity: float) ->
     return arrow_map(both.select("a", "b", "wa", "wb"), make, "a binary, b binary, good boolean")
 
 
+def rare_first(texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """``shingle``, ``h``, ``c`` and ``n`` (number of shingles) for each text's leading shingles, rarest first.
+
+    Two sets of that similarity share a shingle among the first n - ceil(similarity * n) + 1 of each, whatever
+    common order is used; counts by slot are such an order, and put what very many texts share last.
+    """
+
+    def count():
+        def step(batch):
+            if not batch.num_rows:
+                return None
+            found = [shingles(w.as_py().split(" "), size) for w in batch.column(0)]
+            slots, n = np.unique(np.concatenate(found) % np.uint64(SLOTS), return_counts=True)
+            return {"slot": slots.astype(np.int32), "n": n.astype(np.int64)}
+
+        return step
+
+    counts = np.zeros(SLOTS, dtype=np.int64)
+    total = arrow_map(texts.select("words"), count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS rows
+    counts[total.column(0).to_numpy()] = total.column(1).to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def lead():
+        def step(batch):
+            lists, sizes = [], []
+            for w in batch.column(2):
+                found = shingles(w.as_py().split(" "), size)
+                keep = len(found) - math.ceil(similarity * len(found) - 1e-9) + 1
+                order = np.lexsort((found, shared.value[found % np.uint64(SLOTS)]))
+                lists.append(found[order[:keep]].view(np.int64))
+                sizes.append(len(found))
+            return {"h": batch.column(0), "c": batch.column(1), "n": sizes, "lead": lists}
+
+        return step
+
+    return arrow_map(texts.select("h", "c", "words"), lead, "h binary, c binary, n int, lead array<long>").select(F.explode("lead").alias("shingle"), "h", "c", "n")
+
+
+def across(met: DataFrame, parts: DataFrame, sets: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Candidates (a, b) of different components among the texts of collisions that hold several components.
+
+    In each list of a shingle the rows outside its largest component meet all rows of other components.
+    """
+    named = met.join(parts.hint("merge"), F.col("h") == F.col("node"), "left").select("key", "h", F.coalesce("component", "h").alias("c"))
+    mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+    left = named.join(mixed.hint("merge"), "key", "left_semi").select("h", "c").distinct()
+    texts = stored(sets.select("h", "words").join(left.hint("merge"), "h"), "open-texts")
+    entries = stored(rare_first(texts, size, similarity), "leading-shingles")
+    held = entries.groupBy("shingle", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("shingle")
+    largest = held.agg(F.max_by("c", F.struct("k", "c")).alias("largest"), F.count(F.lit(1)).alias("k")).where("k > 1").select("shingle", "largest")
+    fewer = entries.join(largest.hint("merge"), "shingle").where("c <> largest").select("shingle", F.col("h").alias("g"), F.col("c").alias("d"), F.col("n").alias("m"))
+    near = F.least("m", "n") >= similarity * F.greatest("m", "n") - 1e-9
+    found = fewer.join(entries.hint("merge"), "shingle").where((F.col("c") != F.col("d")) & near)
+    return found.select(F.greatest("g", "h").alias("a"), F.least("g", "h").alias("b")).distinct()
+
+
 def repeated(
     docs: DataFrame,
     *,
@@ -162,7 +224,7 @@ def repeated(
     sets = stored(
         table.select("h", "id", "start", "words").join(chosen.hint("merge"), ["h", "id", "start"], "left_semi").dropDuplicates(["h"]), "colliding-texts"
     )
-    links = None
+    links = tried = None
     for _ in range(rounds):
         if open_rows.isEmpty():
             break
@@ -171,13 +233,17 @@ def repeated(
         pairs = against.select(F.greatest("h", "hub").alias("a"), F.least("h", "hub").alias("b")).distinct()
         checked = stored(verified(pairs, sets, size, similarity), "checked")
         good = checked.where("good").select("a", "b")
-        links = good if links is None else links.unionAll(good)
+        tried = checked if tried is None else tried.unionAll(checked)
+        links = tried.where("good").select("a", "b")
         rest = against.withColumn("a", F.greatest("h", "hub")).withColumn("b", F.least("h", "hub"))
         open_rows = stored(rest.join(good.hint("merge"), ["a", "b"], "left_anti").select("key", "h", "n"), "collisions")
     # A text keeps its own hash as class unless it is linked.
     named = texts.select("h", "n")
     if links is not None:
-        parts = connected_components(links)
+        parts = stored(connected_components(links), "components")
+        more = across(met, parts, sets, size, similarity).join(tried.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
+        more = stored(verified(more, sets, size, similarity).where("good").select("a", "b"), "links-across")
+        parts = connected_components(more.unionAll(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
         named = named.join(parts.hint("merge"), F.col("h") == F.col("node"), "left").select("h", "n", F.coalesce("component", "h").alias("class"))
     else:
         named = named.withColumn("class", F.col("h"))

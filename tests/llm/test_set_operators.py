@@ -155,6 +155,44 @@ def test_paragraphs(spark, odd, empty):
     assert paragraphs.repeated(empty).count() == 0 and paragraphs.repeated(odd).count() == 0
 
 
+def test_paragraph_chains_are_not_cut(spark):
+    """Edited copies of edited copies, and many unlike texts over one form, equal brute force: no joining link is lost."""
+    rng = np.random.default_rng(5)
+    rows, texts = [], []
+
+    def add(words, times=1):
+        for _ in range(times):
+            rows.append((len(rows), " ".join(words)))
+            texts.append(paragraphs.shingles(words, 5))
+
+    for chain in range(25):
+        words = [f"w{chain}x{k}" for k in range(60)]
+        add(words, 3)
+        for step in range(6):  # one more word changed at each step
+            words = list(words)
+            words[3 + 9 * step] = f"e{chain}x{step}"
+            add(words)
+    for k in range(40):
+        add([f"form{j}" if j % 20 < 14 else f"own{k}x{j}" for j in range(60)])
+    n = len(rows)
+    top = list(range(n))
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a in range(n):
+        for b in range(a):
+            if paragraphs.jaccard(texts[a], texts[b]) >= 0.8:
+                low, high = sorted((find(a), find(b)))
+                top[high] = low
+    expected = {a: find(a) for a in range(n)}
+    got = {r.doc_id: r.class_id for r in paragraphs.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    shared = {a for a in expected if list(expected.values()).count(expected[a]) > 1}
+    assert got == {a: expected[a] for a in shared}
+
+
 def test_archives(spark, tables):
     big = "<p>" + "x" * 1200
     rows = [(1, "http://a/\r\nb", big), (2, None, big), (3, "u", None), (4, "u", ""), (5, "u", "small"), (6, "u", "small"), (7, "u", big + "é"), (None, "u", big), (9, "u", big), (9, "u", big)]
