@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-1. Every word n-gram of the test items is counted over all documents.
-2. An item's seeds are its rarer n-grams: of those that occur, the ones whose document count is at most
-   the item's median. So each item keeps seeds, also one that a large share of the documents copies.
-3. Seeds are joined to the documents that hold them; the words around them travel along.
-4. Each passage so found is aligned with the item; copies with edits keep a high score.
+1. Every word n-gram of a test item is a seed, so that a document's result depends on no other row.
+2. Seeds are joined to the documents that hold them; the words around them travel along.
+3. A passage that holds too few of the item's words to reach the least score is passed over: no alignment
+   matches a word that the passage has not.
+4. Each other passage is aligned with the item; copies with edits keep a high score.
 """
 
 from __future__ import annotations
@@ -96,38 +96,6 @@ def places(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return np.flatnonzero(bits[keys & np.uint64(FILTER_BITS - 1)])
 
 
-def gram_counts(docs: DataFrame, keys: DataFrame, sizes: list[int], text_col: str) -> DataFrame:
-    """``g`` and the number of documents that hold it, for the n-grams that pass the filter of ``keys``."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(filter_of(keys)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, words_of = np.unpackbits(shared.value).astype(bool), Words()
-        for batch in batches:
-            found = []
-            for value in batch.column(0):
-                words = words_of(value.as_py() or "")
-                for n in sizes:
-                    if len(words) >= n:
-                        g = grams(words, n)
-                        at = places(g, bits)
-                        if len(at):
-                            found.append(np.unique(g[at]))
-            g, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n.astype(np.int64))], names=["g", "n"])
-
-    return docs.select(text_col).mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-
-
-def seeds_of(docs: DataFrame, items: DataFrame, n: int, text_col: str) -> DataFrame:
-    """``g`` and ``item``: of each item's n-grams that occur at all, those whose document count is at most the median."""
-    keys = items.select("item", F.size("words").alias("m"), F.explode("g").alias("g"))
-    sizes = sorted({r[0] for r in keys.select(F.least("m", F.lit(n)).alias("m")).distinct().collect()})  # at most n numbers
-    counts = stored(gram_counts(docs, keys, sizes, text_col), "gram-counts")
-    counted = keys.join(counts.hint("merge"), "g").select("item", "g", "n")
-    medians = counted.groupBy("item").agg(F.percentile("n", F.lit(0.5)).alias("median"))
-    return counted.join(medians.hint("merge"), "item").where(F.col("n") <= F.col("median")).select("g", "item")
-
-
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     """Smith-Waterman over words: best local score and the aligned span of the passage.
 
@@ -179,7 +147,7 @@ def contaminated(
     is one seed as a whole. Rows with a null id take no part; a repeated row gives its pairs once.
     """
     items = stored(items_of(benchmark.where(F.col(item_col).isNotNull()), n, item_col, item_text_col), "items")
-    seeds = stored(seeds_of(docs, items, n, text_col), "seeds")
+    seeds = stored(items.select(F.explode("g").alias("g"), "item").distinct(), "seeds")
     limits = items.agg(F.max(F.size("words"))).first()[0] or 0
     sizes = sorted({r[0] for r in items.select(F.least(F.size("words"), F.lit(n)).alias("m")).distinct().collect() if r[0] > 0})
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(filter_of(seeds)))
@@ -225,6 +193,8 @@ def contaminated(
             out = {k: [] for k in ("id", "item_id", "score", "start", "end")}
             for key, start, item, item_words, words in zip(*(batch.column(k) for k in range(5)), strict=True):
                 a, b = (np.asarray(x.values) for x in (item_words, words))
+                if np.isin(a, b).sum() < least_score * len(a):
+                    continue
                 best, low, high = align(a, b)
                 score = best / (MATCH * len(a))
                 if score >= least_score:
