@@ -197,33 +197,12 @@ def across(met: DataFrame, parts: DataFrame, sets: DataFrame, size: int, similar
     return found.select(F.greatest("g", "h").alias("a"), F.least("g", "h").alias("b")).distinct()
 
 
-def repeated(
-    docs: DataFrame,
-    *,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    least_words: int = 40,
-    size: int = 5,
-    similarity: float = 0.8,
-    rounds: int = 2,
-) -> DataFrame:
-    """One row per occurrence of a repeated paragraph: id, ``start``, ``end``, ``class_id``, ``class_size`` and ``removed``.
+def classes_of(texts: DataFrame, met: DataFrame, sets: DataFrame, *, size: int, similarity: float, rounds: int = 2) -> DataFrame:
+    """``h``, ``n`` and ``class`` of each text (``h``, its number ``n``): the least hash among the texts it is linked to.
 
-    A class holds the occurrences of similar paragraphs (words in lower case, any white space); its
-    ``class_id`` is the least id among them. The first occurrence (by id, then place) stays, the others
-    are ``removed``. Occurrences may be in one document. Paragraphs that do not repeat, shorter ones,
-    null and empty texts and rows with a null id give no row; a repeated row repeats its paragraphs.
+    ``met`` has the collisions (``key``, ``h``) and ``sets`` the ``words`` of the texts in them.
     """
-    table = stored(paragraphs(docs, id_col=id_col, text_col=text_col, least_words=least_words, size=size), "paragraphs")
-    texts = stored(
-        table.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "start")).alias("first"), F.first("bands").alias("bands")), "texts"
-    )
-    met = stored(colliding(texts.select(F.explode("bands").alias("key"), "h")), "collisions")
     open_rows = met.join(texts.select("h", "n").hint("merge"), "h")
-    chosen = texts.select("h", F.col("first.id").alias("id"), F.col("first.start").alias("start")).join(met.select("h").distinct().hint("merge"), "h", "left_semi")
-    sets = stored(
-        table.select("h", "id", "start", "words").join(chosen.hint("merge"), ["h", "id", "start"], "left_semi").dropDuplicates(["h"]), "colliding-texts"
-    )
     links = tried = None
     for _ in range(rounds):
         if open_rows.isEmpty():
@@ -247,6 +226,36 @@ def repeated(
         named = named.join(parts.hint("merge"), F.col("h") == F.col("node"), "left").select("h", "n", F.coalesce("component", "h").alias("class"))
     else:
         named = named.withColumn("class", F.col("h"))
+    return named
+
+
+def repeated(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    least_words: int = 40,
+    size: int = 5,
+    similarity: float = 0.8,
+    rounds: int = 2,
+) -> DataFrame:
+    """One row per occurrence of a repeated paragraph: id, ``start``, ``end``, ``class_id``, ``class_size`` and ``removed``.
+
+    A class holds the occurrences of similar paragraphs (words in lower case, any white space); its
+    ``class_id`` is the least id among them. The first occurrence (by id, then place) stays, the others
+    are ``removed``. Occurrences may be in one document. Paragraphs that do not repeat, shorter ones,
+    null and empty texts and rows with a null id give no row; a repeated row repeats its paragraphs.
+    """
+    table = stored(paragraphs(docs, id_col=id_col, text_col=text_col, least_words=least_words, size=size), "paragraphs")
+    texts = stored(
+        table.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "start")).alias("first"), F.first("bands").alias("bands")), "texts"
+    )
+    met = stored(colliding(texts.select(F.explode("bands").alias("key"), "h")), "collisions")
+    chosen = texts.select("h", F.col("first.id").alias("id"), F.col("first.start").alias("start")).join(met.select("h").distinct().hint("merge"), "h", "left_semi")
+    sets = stored(
+        table.select("h", "id", "start", "words").join(chosen.hint("merge"), ["h", "id", "start"], "left_semi").dropDuplicates(["h"]), "colliding-texts"
+    )
+    named = classes_of(texts, met, sets, size=size, similarity=similarity, rounds=rounds)
     firsts = texts.select("h", "first")
     classes = (
         named.join(firsts.hint("merge"), "h").groupBy("class").agg(F.sum("n").alias("class_size"), F.min("first").alias("first")).where(F.col("class_size") > 1)
