@@ -26,8 +26,8 @@ from siftlake.llm.common import arrow_schema, scratch_dir, stored
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
 READ = 1 << 20
-#: A record's header longer than this is no header.
-HEADER_MOST = 1 << 16
+#: A member's header is decoded in parts of at most this size, up to its end.
+HEADER_PART = 1 << 16
 #: Fixed by the format: profile of revisit records whose payload is that of an earlier record.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -136,8 +136,10 @@ def write_archives(
 
 def header_of(data: bytes) -> tuple[dict[str, str], int] | None:
     """The fields of a record's header and where its block begins; none if ``data`` begins otherwise."""
-    end = data.find(b"\r\n\r\n", 0, HEADER_MOST)
-    if end < 0 or not data.startswith(b"WARC/1."):
+    if not data.startswith(b"WARC/1."):
+        return None
+    end = data.find(b"\r\n\r\n")
+    if end < 0:
         return None
     fields = {}
     for line in data[:end].split(b"\r\n")[1:]:
@@ -171,16 +173,20 @@ def _is_member(window: _Window, k: int) -> bool:
     """Whether the candidate ``k`` bytes into the window decodes to a record's header."""
     unpack, got, fed = zlib.decompressobj(31), b"", k
     while True:
+        piece = unpack.unconsumed_tail
+        if not piece:
+            piece = window.data[fed : fed + 4096]
+            fed += len(piece)
+        seen = max(0, len(got) - 3)
         try:
-            got += unpack.decompress(window.data[fed : fed + 4096], HEADER_MOST)
+            got += unpack.decompress(piece, HEADER_PART)
         except zlib.error:
             return False
-        fed += 4096
-        if header_of(got) is not None:
-            return True
-        if not VERSION[:7].startswith(got[:7]) and not got.startswith(b"WARC/1.") or len(got) >= HEADER_MOST or unpack.eof:
+        if got.find(b"\r\n\r\n", seen) >= 0:
+            return header_of(got) is not None
+        if not VERSION[:7].startswith(got[:7]) and not got.startswith(b"WARC/1.") or unpack.eof:
             return False
-        if fed >= len(window.data) and not window.grow() and fed >= len(window.data):
+        if not unpack.unconsumed_tail and fed >= len(window.data) and not window.grow():
             return False
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from siftlake.llm import decontaminate
+import random
+
+from siftlake.llm import decontaminate, warc
 
 
 def test_edited_copies_beside_a_verbatim_one(spark):
@@ -12,3 +14,12 @@ def test_edited_copies_beside_a_verbatim_one(spark):
     bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
     got = {r.doc_id for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
     assert got == set(range(101))
+
+
+def test_pages_with_very_long_urls_are_read(spark):
+    rng = random.Random(3)
+    urls = ["http://a/" + "x" * 70_000, "http://a/" + "".join(rng.choice("abcdefghijklmnop0123456789") for _ in range(300_000)), "http://a/" + "y" * 500_000, "http://b/"]
+    rows = [(k, urls[k % 4], f"page {k}") for k in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for split in (500, 50_000, 8 << 20):
+        assert sorted(r.page_id for r in warc.archive_and_read(pages, split_bytes=split).collect()) == list(range(12))
