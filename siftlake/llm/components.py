@@ -24,12 +24,12 @@ def _starred(edges: DataFrame, small: bool) -> DataFrame:
     return moved.where(F.col("u") != F.col("v")).distinct()
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``component`` (the least node reachable) for every node that has a link to another.
 
     Links may be given in either direction and repeatedly; nulls and links of a node to itself are
     ignored; no links give no rows. Each round is written to the shared folder; only a count and a
-    checksum of the links come to the driver.
+    checksum of the links come to the driver. Rounds go on until nothing changes.
     """
     edges = (
         links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
@@ -37,11 +37,10 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", most_roun
         .distinct()
     )
     edges, before = stored(edges, "links"), None
-    for _ in range(most_rounds):
+    while True:  # each round halves the longest chain at least
         edges = stored(_starred(_starred(edges, small=False), small=True), "links")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
             return stars.unionAll(stars.select(F.col("component").alias("node"), "component").distinct())
         before = now
-    raise RuntimeError(f"links did not settle in {most_rounds} rounds")

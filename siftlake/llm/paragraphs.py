@@ -1,39 +1,55 @@
-"""Substring deduplication: paragraphs that repeat, exactly or nearly, within and across documents.
-
-1. Texts are cut at line ends; paragraphs of at least ``least_words`` words get a MinHash signature
-   over their word shingles, cut into bands. Sixteen bands of four find a pair of similarity 0.8 with
-   probability 0.9998.
-2. Equal paragraphs fall into one text. Texts whose bands collide are candidates: in each collision
-   the most frequent text is compared with the others, and of those it is not similar to, the most
-   frequent again, ``rounds`` times; so no group is ever paired with itself.
-3. Candidates are verified by the exact Jaccard similarity of their shingle sets.
-4. Where a collision still holds texts of several components, those texts are compared across
-   components if they share one of the rarest shingles that similar sets must share. Texts of one
-   component are not compared again, so no link that would join two components is missed.
-5. Connected components make the classes; all occurrences but the first of a class are removals.
+"""Substring deduplication: passages that repeat, exactly or nearly, within and across documents.
+
+1. A text is cut twice: into its lines, and, line ends ignored, into pieces whose ends are chosen by content (a word
+   whose hash is the least for ``REACH`` words on both sides), so that a passage is cut alike wherever it stands.
+2. Lines of ``least_words`` words and all pieces get MinHash bands over their word shingles. Eight bands of three rows
+   find lines of similarity 0.8 with probability 0.997; pieces (about a dozen shingles) have two bands of one row, 0.96,
+   and equal ones always collide.
+3. In each collision the most central text is compared with the others; components are formed; where a collision still
+   holds several components, each text outside the central one is compared, in blocks, with all of other components. So
+   no colliding pair that is similar enough stays apart, and no group is paired with itself.
+4. Candidates are verified by the exact Jaccard similarity of their shingle sets; connected components make the classes;
+   all occurrences but the first of a class are removals.
+5. Neighbouring units are joined into spans; spans of fewer than ``least_run`` words of pieces are no repeat.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftlake.llm.common import arrow_map, arrow_schema, stored
+from siftlake.llm.common import arrow_map, arrow_schema, stored, texts_of
 from siftlake.llm.components import connected_components
-
-BANDS, ROWS = 16, 4
+from siftlake.llm.decontaminate import filter_of, places
+
+#: A piece ends before a word whose hash is least among this many on both sides; the longest piece.
+REACH, LONGEST = 8, 32
+#: Bands and rows for lines (and whole texts), and for pieces.
+LINE_BANDS, PIECE_BANDS = (8, 3), (2, 1)
+#: Texts that a task remembers to have seen.
+SEEN = 1_000_000
+#: Texts of a block that are compared at once, and texts that pass by one block in one task.
+QUERIES, PASSING = 512, 4096
+SLAB = 1_000_000
 _RNG = np.random.default_rng(7)
-_A = _RNG.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-_B = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
-SLICE = 4096
-#: Shingles are counted by this many slots of their hash, to put rare ones first; a table of fixed size.
-SLOTS = 1 << 18
+_A = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
+_B = _RNG.integers(0, 2**63, 64, dtype=np.uint64)
+_MOST = np.uint64(np.iinfo(np.uint64).max)
+_SPACES = np.zeros(0x3002, dtype=bool)
+_SPACES[[c for c in range(0x3001) if chr(c).isspace()]] = True
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
 
 def shingles(words: list[str], size: int) -> np.ndarray:
@@ -44,251 +60,480 @@ def shingles(words: list[str], size: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(" ".join(words[k : k + size])) for k in range(n)], dtype=np.uint64))
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band: a hash of its number and its rows' least values."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), SLICE):
-        mixed = hashes[at : at + SLICE, None] * _A + _B
-        mixed ^= mixed >> np.uint64(31)
-        np.minimum(least, mixed.min(axis=0), out=least)
-    keys = least.reshape(BANDS, ROWS)
-    out = keys[:, 0].copy()
-    for k in range(1, ROWS):
-        out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + keys[:, k]
-    return (out ^ np.arange(BANDS, dtype=np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
-
-
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Exact similarity of two sorted sets; 1 for two empty ones."""
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def cut(text: str) -> Iterator[tuple[int, int]]:
-    """Start and end of each line of a text."""
-    at = 0
-    while at <= len(text):
-        end = text.find("\n", at)
-        end = len(text) if end < 0 else end
-        yield at, end
-        at = end + 1
+# ---- words, lines and pieces
+
+
+def word_spans(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end (code points) of each word of a text, and whether a line ends before it."""
+    points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    space = np.ones(len(points) + 2, dtype=bool)
+    space[1:-1] = _SPACES[np.minimum(points, 0x3001)]
+    turns = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = turns[::2], turns[1::2]
+    lines = np.cumsum(points == 10)
+    before = lines[starts] if len(starts) else starts
+    return starts, ends, np.concatenate(([True], before[1:] != before[:-1])) if len(starts) else np.zeros(0, dtype=bool)
 
 
-def paragraphs(docs: DataFrame, *, id_col: str, text_col: str, least_words: int, size: int) -> DataFrame:
-    """``id``, ``start``, ``end`` (code points), ``h`` (128-bit hash of the words), ``bands`` and ``words``."""
-    schema = f"id {dict(docs.dtypes)[id_col]}, start long, end long, h binary, bands array<long>, words string"
+def word_hashes(text: str) -> np.ndarray:
+    """A hash of each word of a text in lower case, computed over its code points, a slab of characters at a time."""
+    out = []
+    lowered = text.lower()
+    at = 0
+    while at < len(lowered):
+        end = at + SLAB
+        while end < len(lowered) and not lowered[end].isspace():
+            end += 1
+        slab = lowered[at:end]
+        at = end
+        starts, ends, _ = word_spans(slab)
+        if not len(starts):
+            continue
+        points = np.frombuffer(slab.encode("utf-32-le"), dtype=np.uint32)
+        sizes = ends - starts
+        powers = np.cumprod(np.full(int(sizes.max()), 0xD6E8FEB86659FD93, dtype=np.uint64))
+        place = np.arange(len(points)) - np.repeat(starts, np.diff(np.concatenate((starts, [len(points)])))) if starts[0] == 0 else None
+        if place is None:  # white space at the beginning counts with the first word
+            place = np.arange(len(points)) - np.repeat(starts, np.diff(np.concatenate(([0], starts[1:], [len(points)]))))
+        inside = (place >= 0) & ~_SPACES[np.minimum(points, 0x3001)]
+        value = np.where(inside, (points.astype(np.uint64) + np.uint64(1)) * powers[np.clip(place, 0, len(powers) - 1)], np.uint64(0))
+        out.append(mixed(np.add.reduceat(value, starts) + sizes.astype(np.uint64)))
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+
+
+def runs(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the runs of ``size`` words from each word on, as far as they go; the last ones are of no use."""
+    out = np.zeros(len(words), dtype=np.uint64)
+    for k in range(size):
+        out[: len(words) - k] = mixed(out[: len(words) - k] ^ words[k:])
+    return out
+
+
+def piece_starts(words: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """First words of the pieces: places chosen by content, and in long pieces every ``LONGEST`` words.
+
+    ``fresh`` marks each text's first word; what is chosen in a text does not depend on its neighbours.
+    """
+    n = len(words)
+    order = mixed(words)
+    order = np.where(fresh, order, mixed(order ^ np.concatenate((words[:1], words[:-1]))))
+    text = np.cumsum(fresh)
+    chosen = np.ones(n, dtype=bool)
+    for k in range(1, min(REACH, n - 1) + 1):
+        apart = text[k:] != text[:-k]
+        chosen[:-k] &= (order[:-k] <= order[k:]) | apart
+        chosen[k:] &= (order[k:] < order[:-k]) | apart
+    starts = np.flatnonzero(chosen | fresh)
+    within = np.arange(n) - np.repeat(starts, np.diff(np.concatenate((starts, [n]))))
+    return np.flatnonzero(within % LONGEST == 0)
+
+
+def least_of(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, size: int, bands: tuple[int, int], alone: np.ndarray) -> np.ndarray:
+    """Band keys (units x bands) of units of words, from the hashes of the runs at each word.
+
+    A unit shorter than a run has one shingle, ``alone``. Hash functions are taken one at a time, so memory is a few
+    times the words.
+    """
+    n, rows = bands
+    last = np.repeat(starts + sizes - size, sizes)
+    valid = np.arange(len(last)) <= last
+    short = sizes < size
+    keys = np.zeros((len(starts), n), dtype=np.uint64)
+    for band in range(n):
+        key = np.full(len(starts), band * 64 + rows, dtype=np.uint64)
+        for row in range(rows):
+            j = band * rows + row
+            values = hashes * _A[j] + _B[j]
+            values ^= values >> np.uint64(31)
+            least = np.minimum.reduceat(np.where(valid, values, _MOST), starts)
+            own = alone * _A[j] + _B[j]
+            key = mixed(key + np.where(short, own ^ (own >> np.uint64(31)), least))
+        keys[:, band] = key
+    return keys
+
+
+def unit_hashes(words: np.ndarray, place: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """128-bit hashes (n x 2) of units from their words and the words' places in them."""
+    return np.stack([np.add.reduceat(mixed(words ^ mixed(place + np.uint64(seed))), first) for seed in (11, 1 << 40)], axis=1)
+
+
+class Seen(dict):
+    """How many bands a text gives: all at its first occurrence in a task, one at the second, then none."""
+
+    def bands(self, hashes: np.ndarray, n: int) -> np.ndarray:
+        times = np.zeros(len(hashes), dtype=np.int64)
+        for j, h in enumerate(map(tuple, hashes.tolist())):
+            times[j] = self[h] = self.get(h, 0) + 1
+        if len(self) > SEEN:
+            self.clear()
+        return np.where(times == 1, n, np.where(times == 2, 1, 0))
+
+
+def hash_columns(hashes: np.ndarray, counts: np.ndarray, flat: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Columns ``h``, ``k`` and ``bands``."""
+    h = pa.Array.from_buffers(pa.binary(16), len(hashes), [None, pa.py_buffer(np.ascontiguousarray(hashes))]).cast(pa.binary())
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(flat.view(np.int64)))
+    return h, pa.array(hashes[:, 0].copy().view(np.int64)), lists
+
+
+def whole_texts(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and band keys of whole texts; zeros for those without words."""
+    joined = "\n".join(texts)
+    starts, _, _ = word_spans(joined)
+    hashes, keys = np.zeros((len(texts), 2), dtype=np.uint64), np.zeros((len(texts), LINE_BANDS[0]), dtype=np.uint64)
+    if len(starts):
+        words = word_hashes(joined)
+        of = np.searchsorted(np.cumsum([0, *(len(t) + 1 for t in texts[:-1])]), starts, side="right") - 1
+        first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        sizes = np.diff(np.concatenate((first, [len(words)])))
+        hashes[of[first]] = unit_hashes(words, (np.arange(len(words)) - np.repeat(first, sizes)).astype(np.uint64), first)
+        keys[of[first]] = least_of(runs(words, size), first, sizes, size, LINE_BANDS, hashes[of[first], 0])
+    return hashes, keys
+
+
+class Cutter:
+    """Cuts texts into lines of enough words (kind 0) and pieces (kind 1); many texts at once, as arrays."""
+
+    def __init__(self, least_words: int, size: int) -> None:
+        self.least_words, self.size = least_words, size
+
+    def __call__(self, texts: list[str], with_bands: bool = True) -> list[tuple[np.ndarray, ...]]:
+        """For each kind: texts' numbers, starts and ends (code points), numbers of words, hashes (n x 2), band keys or None,
+        and the first word's number among the words of all texts."""
+        joined = "\n".join(texts)
+        starts, ends, lines = word_spans(joined)
+        if not len(starts):
+            return []
+        words = word_hashes(joined)
+        begins = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+        text = np.searchsorted(begins, starts, side="right") - 1
+        fresh = np.concatenate(([True], text[1:] != text[:-1]))
+        grams = runs(words, self.size) if with_bands else None
+        n, out = len(words), []
+        for kind in (0, 1):
+            first = np.flatnonzero(lines) if kind == 0 else piece_starts(words, fresh)
+            sizes = np.diff(np.concatenate((first, [n])))
+            place = (np.arange(n) - np.repeat(first, sizes)).astype(np.uint64)
+            both = unit_hashes(words, place, first)
+            keep = sizes >= self.least_words if kind == 0 else np.ones(len(first), dtype=bool)
+            keys = least_of(grams, first, sizes, self.size, (LINE_BANDS, PIECE_BANDS)[kind], both[:, 0])[keep] if with_bands else None
+            until = ends[first + sizes - 1]
+            if kind:  # a piece reaches to the beginning of the next one of its text
+                until[:-1] = np.where(fresh[first[1:]], until[:-1], starts[first[1:]])
+            of = text[first]
+            out.append((of[keep], (starts[first] - begins[of])[keep], (until - begins[of])[keep], sizes[keep], both[keep], keys, first[keep]))
+        return out
+
+
+def units(docs: DataFrame, *, id_col: str, text_col: str, least_words: int, size: int) -> DataFrame:
+    """One row per unit: ``row`` (a number of the document's row), ``id``, ``start``, ``end``, ``words`` (their number),
+    ``kind``, ``h`` (128-bit hash of the words), ``k`` (its first half) and ``bands``.
+
+    A text's bands are given at its first occurrence in a task, at the second only the first band, later none: that
+    shows all collisions and repeats, and a text in very many documents costs at most two rows a task.
+    """
+    schema = f"row long, id {dict(docs.dtypes)[id_col]}, start long, end long, words int, kind byte, h binary, k long, bands array<long>"
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, seen = Cutter(least_words, size), Seen()
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            rows = []
-            for key, value in zip(batch.column(0), batch.column(1), strict=True):
-                text = value.as_py() or ""
-                for start, end in cut(text):
-                    words = text[start:end].lower().split()
-                    if len(words) >= least_words:
-                        joined = " ".join(words)
-                        h = xxhash.xxh3_128_digest(joined)
-                        rows.append((key.as_py(), start, end, h, bands(shingles(words, size)).view(np.int64), joined))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(arrow)], schema=arrow)
+            made = []
+            for kind, (of, starts, ends, sizes, both, keys, _) in enumerate(cut(list(texts_of(batch.column(1))))):
+                counts = seen.bands(both, keys.shape[1])
+                made.append((of, starts, ends, sizes, np.full(len(of), kind), both, counts, keys[np.arange(keys.shape[1])[None, :] < counts[:, None]]))
+            if made:
+                of, starts, ends, sizes, kinds, both, counts, flat = (np.concatenate(c) for c in zip(*made, strict=True))
+                columns = [row + of, batch.column(0).take(pa.array(of)), starts, ends, sizes, kinds, *hash_columns(both, counts, flat)]
+                yield pa.RecordBatch.from_arrays([(c if isinstance(c, pa.Array) else pa.array(c)).cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+            row += batch.num_rows
 
-    return docs.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
+
+
+def words_of(docs: DataFrame, wanted: DataFrame, *, text_col: str, least_words: int, size: int) -> DataFrame:
+    """``h`` and ``words`` (in lower case, space-joined) of the units whose ``k`` is in ``wanted``, from a second reading of
+    the texts: storing all words would cost several times the input. A bitmap of fixed size passes over most others."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(filter_of(wanted.select(F.col("k").alias("g")))))
+
+    def make():
+        bits, cut, seen = np.unpackbits(shared.value).astype(bool), Cutter(least_words, size), set()
+
+        def step(batch):
+            hashes, found, words = [], [], None
+            texts = list(texts_of(batch.column(0)))
+            for _, _, _, sizes, both, _, first in cut(texts, with_bands=False):
+                for j in places(both[:, 0], bits).tolist():
+                    h = both[j].tobytes()
+                    if h not in seen:
+                        if len(seen) > SEEN:
+                            seen.clear()
+                        seen.add(h)
+                        words = words or "\n".join(texts).lower().split()
+                        hashes.append(h)
+                        found.append(" ".join(words[first[j] : first[j] + sizes[j]]))
+            return {"h": hashes, "words": found}
+
+        return step
+
+    found = arrow_map(docs.select(text_col), make, "h binary, words string")
+    return found.dropDuplicates(["h"])
+
+
+# ---- collisions and links
 
 
 def colliding(keyed: DataFrame) -> DataFrame:
-    """The rows (``key``, ``h``) whose key another row has too.
+    """``key``, ``k`` and ``repeats`` of the rows (``key``, ``k``) that are not alone: with another ``k`` at their key
+    (``repeats`` false), or there more than once (true). One row for each key and ``k`` and case.
 
     One shuffle and a sort; a task looks at neighbouring rows as they stream by and holds a single one,
     so a key that very many rows share needs no memory.
     """
+    schema = "key long, k long, repeats boolean"
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, held_too = None, False
+        key, k = np.zeros(0, np.int64), np.zeros(0, np.int64)  # the rows of the last key and k so far: one or two
+        other = False  # whether the last key had another k before
+
+        def told(key, k, twice, met):
+            n, m = np.flatnonzero(met), np.flatnonzero(twice)
+            both = np.concatenate((n, m))
+            return pa.RecordBatch.from_arrays([pa.array(key[both]), pa.array(k[both]), pa.array(np.arange(len(both)) >= len(n))], schema=arrow)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
-            key = rows.column(0).to_numpy()
-            too = np.zeros(len(key), dtype=bool)
-            too[0] = held_too
-            same = key[1:] == key[:-1]
-            too[1:] |= same
-            too[:-1] |= same
-            held, held_too = rows.slice(len(key) - 1, 1), bool(too[-1])
-            too[-1] = False
-            yield rows.filter(pa.array(too))
-        if held_too:
-            yield held
-
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, keyed.schema)
+            key, k = np.concatenate((key, batch.column(0).to_numpy())), np.concatenate((k, batch.column(1).to_numpy()))
+            first = np.concatenate(([True], (key[1:] != key[:-1]) | (k[1:] != k[:-1])))
+            heads = np.flatnonzero(first)
+            counts = np.diff(np.concatenate((heads, [len(key)])))
+            a, b = key[heads], k[heads]
+            met = np.zeros(len(a), dtype=bool)
+            same = a[1:] == a[:-1]
+            met[1:] |= same
+            met[:-1] |= same
+            met[0] |= other
+            if len(a) > 1:
+                yield told(a[:-1], b[:-1], counts[:-1] > 1, met[:-1])
+                other = bool(same[-1])
+            keep = min(int(counts[-1]), 2)
+            key, k = np.repeat(a[-1:], keep), np.repeat(b[-1:], keep)
+        if len(key):
+            yield told(key[:1], k[:1], np.array([len(key) > 1]), np.array([other]))
+
+    return keyed.select("key", "k").repartition("key").sortWithinPartitions("key", "k").mapInArrow(run, schema)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) and whether the shingle sets of their words are similar enough (``good``)."""
+    """Those of the pairs (a, b) whose words have shingle sets that are similar enough."""
     first = pairs.join(sets.select(F.col("h").alias("a"), F.col("words").alias("wa")).hint("merge"), "a")
     both = first.join(sets.select(F.col("h").alias("b"), F.col("words").alias("wb")).hint("merge"), "b")
 
     def make():
         def step(batch):
             good = [
-                jaccard(shingles(x.as_py().split(" "), size), shingles(y.as_py().split(" "), size)) >= similarity
+                jaccard(shingles(x.as_py().split(), size), shingles(y.as_py().split(), size)) >= similarity
                 for x, y in zip(batch.column(2), batch.column(3), strict=True)
             ]
-            return {"a": batch.column(0), "b": batch.column(1), "good": good}
+            kept = batch.filter(pa.array(good, pa.bool_()))
+            return {"a": kept.column(0), "b": kept.column(1)}
 
         return step
 
-    return arrow_map(both.select("a", "b", "wa", "wb"), make, "a binary, b binary, good boolean")
+    return arrow_map(both.select("a", "b", "wa", "wb"), make, "a binary, b binary")
 
 
-def rare_first(texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """``shingle``, ``h``, ``c`` and ``n`` (number of shingles) for each text's leading shingles, rarest first.
+def _compare(rows: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Links between the queries of a group (``key``, ``block``, ``salt``) and the other rows of the group, by exact Jaccard.
 
-    Two sets of that similarity share a shingle among the first n - ceil(similarity * n) + 1 of each, whatever
-    common order is used; counts by slot are such an order, and put what very many texts share last.
+    Rows come sorted, a group's queries first: they are held, at most about ``QUERIES``, with an index of their shingles;
+    the others pass by one at a time. One link for two components is enough.
     """
+    schema = "a binary, b binary"
+    arrow = arrow_schema(schema)
 
-    def count():
-        def step(batch):
-            if not batch.num_rows:
-                return None
-            found = [shingles(w.as_py().split(" "), size) for w in batch.column(0)]
-            slots, n = np.unique(np.concatenate(found) % np.uint64(SLOTS), return_counts=True)
-            return {"slot": slots.astype(np.int32), "n": n.astype(np.int64)}
-
-        return step
-
-    counts = np.zeros(SLOTS, dtype=np.int64)
-    total = arrow_map(texts.select("words"), count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS rows
-    counts[total.column(0).to_numpy()] = total.column(1).to_numpy()
-    shared = texts.sparkSession.sparkContext.broadcast(counts)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, index, linked = None, [], {}, set()
+        for batch in batches:
+            out = []
+            for key, block, salt, role, h, c, words in zip(*(batch.column(n).to_pylist() for n in range(7)), strict=True):
+                if (key, block, salt) != group:
+                    group, held, index, linked = (key, block, salt), [], {}, set()
+                found = shingles(words.split(), size)
+                if role == 0:
+                    for s in found.tolist():
+                        index.setdefault(s, []).append(len(held))
+                    held.append((h, c, len(found)))
+                    continue
+                tally: dict[int, int] = {}
+                for s in found.tolist():
+                    for j in index.get(s, ()):
+                        tally[j] = tally.get(j, 0) + 1
+                for j, both in tally.items():
+                    g, d, n = held[j]
+                    if d != c and (c, d) not in linked and both >= similarity * (n + len(found) - both):
+                        linked |= {(c, d), (d, c)}
+                        out.append((g, h))
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], pa.binary()) for n in (0, 1)], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
+
+
+def links_of(met: DataFrame, sets: DataFrame, *, size: int, similarity: float) -> DataFrame:
+    """Links (a, b) that join just the texts which a chain of similar, colliding texts joins.
+
+    ``met`` has the collisions (``key``, ``h``), each with several texts, and ``sets`` the ``words`` of these. The text of a
+    collision that has most company over all its collisions is its centre: for the copies of one text that is the
+    same text in all bands, so that each copy is verified once. What is not joined to the centre of a collision by
+    then is compared, in blocks, with all texts of other components there.
+    """
+    met = stored(met.distinct(), "met")
+    company = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    weight = met.join(company.hint("merge"), "key").groupBy("h").agg(F.sum("n").alias("w"))
+    weighed = stored(met.join(weight.hint("merge"), "h"), "weighed")
+    centres = stored(weighed.groupBy("key").agg(F.max_by("h", F.struct("w", "h")).alias("centre")), "centres")
+    pairs = weighed.join(centres.hint("merge"), "key").where(F.col("h") != F.col("centre")).select(F.col("h").alias("a"), F.col("centre").alias("b")).distinct()
+    links = stored(verified(pairs, sets, size, similarity), "links")
+    parts = stored(connected_components(links), "components")
+    own = F.coalesce("component", "h").alias("c")
+    named = stored(met.join(parts.hint("merge"), F.col("h") == F.col("node"), "left").select("key", "h", own), "named")
+    central = centres.join(parts.hint("merge"), F.col("centre") == F.col("node"), "left").select("key", F.coalesce("component", "centre").alias("main"))
+    sides = named.join(central.hint("merge"), "key").withColumn("outside", F.col("c") != F.col("main"))
+    count = sides.groupBy("key").agg(F.count_if("outside").alias("o"), F.count(F.lit(1)).alias("n")).where("o > 0")
+    blocks, salts = F.ceil(F.col("o") / QUERIES).cast("int").alias("blocks"), F.ceil(F.col("n") / PASSING).cast("int").alias("salts")
+    split = sides.join(stored(count.select("key", blocks, salts), "open-collisions").hint("merge"), "key")
+    open_rows = stored(split.join(sets.hint("merge"), "h").select("key", "blocks", "salts", "outside", "h", "c", "words"), "open-rows")
+    at = F.xxhash64("h")
+    asking = open_rows.where("outside").select("key", F.pmod(at, F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), "h", "c", "words")
+    passing = open_rows.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(at, F.col("salts")).alias("salt"), F.lit(1).alias("role"), "h", "c", "words")
+    dealt = asking.unionByName(passing).repartition("key", "block", "salt").sortWithinPartitions("key", "block", "salt", "role")
+    return links.unionAll(stored(_compare(dealt, size, similarity), "links-outside"))
+
+
+# ---- the operator
+
+
+def text_classes(table: DataFrame, words_for: Callable[[DataFrame], DataFrame], *, order: list[str], size: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``table`` (with ``h``, ``k`` and ``bands``) whose texts repeat or collide, and ``h``, ``class_size`` and
+    ``least`` (the struct ``order`` of the class's first occurrence) of the texts that have a class of several occurrences.
+
+    ``words_for`` gives ``h`` and ``words`` of the texts of a table with ``k``.
+    """
+    hits = stored(colliding(table.select(F.explode("bands").alias("key"), "k")), "collisions")
+    again = stored(table.drop("bands").join(hits.select("k").distinct().hint("merge"), "k", "left_semi"), "again")
+    texts = stored(again.groupBy("h", "k").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("first")), "texts")
+    near = hits.where(~F.col("repeats")).select("key", "k")
+    met = near.join(texts.select("k", "h").hint("merge"), "k").select("key", "h")
+    sets = stored(words_for(near), "words")
+    parts = stored(connected_components(links_of(met, sets, size=size, similarity=similarity)), "classes")
+    named = texts.join(parts.hint("merge"), F.col("h") == F.col("node"), "left").select("h", "n", "first", F.coalesce("component", "h").alias("class"))
+    classes = named.groupBy("class").agg(F.sum("n").alias("class_size"), F.min("first").alias("least")).where("class_size > 1")
+    return again, stored(named.select("h", "class").join(classes.hint("merge"), "class").select("h", "class_size", "least"), "text-classes")
+
+
+def _occurrences(docs: DataFrame, *, id_col: str, text_col: str, least_words: int, size: int, similarity: float) -> DataFrame:
+    """The units that repeat: ``row``, ``id``, ``start``, ``end``, ``words``, ``kind``, ``class_id``, ``class_size`` and ``removed``."""
+    named = docs.where(F.col(id_col).isNotNull())
+    table = stored(units(named, id_col=id_col, text_col=text_col, least_words=least_words, size=size), "units")
+    order = ["id", "row", "start"]
+    again, of_text = text_classes(
+        table, lambda near: words_of(named, near, text_col=text_col, least_words=least_words, size=size), order=order, size=size, similarity=similarity
+    )
+    return again.join(of_text.hint("merge"), "h").select(
+        "row", "id", "start", "end", "words", "kind", F.col("least.id").alias("class_id"), "class_size", (F.struct(*order) != F.col("least")).alias("removed")
+    )
 
-    def lead():
-        def step(batch):
-            lists, sizes = [], []
-            for w in batch.column(2):
-                found = shingles(w.as_py().split(" "), size)
-                keep = len(found) - math.ceil(similarity * len(found) - 1e-9) + 1
-                order = np.lexsort((found, shared.value[found % np.uint64(SLOTS)]))
-                lists.append(found[order[:keep]].view(np.int64))
-                sizes.append(len(found))
-            return {"h": batch.column(0), "c": batch.column(1), "n": sizes, "lead": lists}
 
-        return step
+def _islands(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Numbers the runs of touching or overlapping spans among the rows of equal keys."""
+    order = Window.partitionBy(*keys).orderBy("start", "end")
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn(name, F.coalesce((F.col("start") > reached).cast("int"), F.lit(1))).withColumn(name, F.sum(name).over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
-    return arrow_map(texts.select("h", "c", "words"), lead, "h binary, c binary, n int, lead array<long>").select(F.explode("lead").alias("shingle"), "h", "c", "n")
 
+def _spans(docs: DataFrame, *, id_col: str, text_col: str, least_words: int, least_run: int, size: int, similarity: float) -> DataFrame:
+    """``row``, ``id``, ``start``, ``end``, ``class_id``, ``class_size`` and ``removed`` of the spans that ``repeated`` returns."""
+    found = _occurrences(docs, id_col=id_col, text_col=text_col, least_words=least_words, size=size, similarity=similarity)
+    whole = _islands(stored(found, "occurrences"), ["row"], "island")
+    total = F.sum(F.when(F.col("kind") == 1, F.col("words")).otherwise(0)).over(Window.partitionBy("row", "island"))
+    lines = F.min("kind").over(Window.partitionBy("row", "island"))
+    long_enough = whole.withColumn("total", total).withColumn("lines", lines).where((F.col("total") >= least_run) | (F.col("lines") == 0))
+    alike = _islands(long_enough, ["row", "island", "class_id", "removed"], "part")
+    return alike.groupBy("row", "id", "island", "class_id", "removed", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("class_size").alias("class_size"))
 
-def across(met: DataFrame, parts: DataFrame, sets: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Candidates (a, b) of different components among the texts of collisions that hold several components.
 
-    In each list of a shingle the rows outside its largest component meet all rows of other components.
-    """
-    named = met.join(parts.hint("merge"), F.col("h") == F.col("node"), "left").select("key", "h", F.coalesce("component", "h").alias("c"))
-    mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    left = named.join(mixed.hint("merge"), "key", "left_semi").select("h", "c").distinct()
-    texts = stored(sets.select("h", "words").join(left.hint("merge"), "h"), "open-texts")
-    entries = stored(rare_first(texts, size, similarity), "leading-shingles")
-    held = entries.groupBy("shingle", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("shingle")
-    largest = held.agg(F.max_by("c", F.struct("k", "c")).alias("largest"), F.count(F.lit(1)).alias("k")).where("k > 1").select("shingle", "largest")
-    fewer = entries.join(largest.hint("merge"), "shingle").where("c <> largest").select("shingle", F.col("h").alias("g"), F.col("c").alias("d"), F.col("n").alias("m"))
-    near = F.least("m", "n") >= similarity * F.greatest("m", "n") - 1e-9
-    found = fewer.join(entries.hint("merge"), "shingle").where((F.col("c") != F.col("d")) & near)
-    return found.select(F.greatest("g", "h").alias("a"), F.least("g", "h").alias("b")).distinct()
-
-
-def classes_of(texts: DataFrame, met: DataFrame, sets: DataFrame, *, size: int, similarity: float, rounds: int = 2) -> DataFrame:
-    """``h``, ``n`` and ``class`` of each text (``h``, its number ``n``): the least hash among the texts it is linked to.
-
-    ``met`` has the collisions (``key``, ``h``) and ``sets`` the ``words`` of the texts in them.
+def repeated(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    least_words: int = 40,
+    least_run: int = 20,
+    size: int = 5,
+    similarity: float = 0.8,
+) -> DataFrame:
+    """One row per span of repeated text: id, ``start``, ``end`` (code points), ``class_id``, ``class_size`` and ``removed``.
+
+    A class holds the occurrences of similar lines, or of similar pieces (words in lower case, any white space); its
+    ``class_id`` is the least id among them. The first occurrence (by id, then row, then place) stays, the others
+    are ``removed``. Touching or overlapping occurrences of one ``class_id`` and decision are one span, whose
+    ``class_size`` is its most frequent part's. Pieces count where neighbouring repeated ones have ``least_run`` words
+    together, lines from ``least_words`` words on. A passage of over 50 words that repeats holds 20 words in
+    whole pieces nearly always (tested); shorter ones may be found. Occurrences may be in one document.
+    Null and empty texts and rows with a null id give no row; a repeated row repeats all its text and is removed
+    like any later occurrence. Other columns are ignored.
     """
-    open_rows = met.join(texts.select("h", "n").hint("merge"), "h")
-    links = tried = None
-    for _ in range(rounds):
-        if open_rows.isEmpty():
-            break
-        hubs = open_rows.groupBy("key").agg(F.max_by("h", F.struct("n", "h")).alias("hub"))
-        against = open_rows.join(hubs.hint("merge"), "key").where(F.col("h") != F.col("hub"))
-        pairs = against.select(F.greatest("h", "hub").alias("a"), F.least("h", "hub").alias("b")).distinct()
-        checked = stored(verified(pairs, sets, size, similarity), "checked")
-        good = checked.where("good").select("a", "b")
-        tried = checked if tried is None else tried.unionAll(checked)
-        links = tried.where("good").select("a", "b")
-        rest = against.withColumn("a", F.greatest("h", "hub")).withColumn("b", F.least("h", "hub"))
-        open_rows = stored(rest.join(good.hint("merge"), ["a", "b"], "left_anti").select("key", "h", "n"), "collisions")
-    # A text keeps its own hash as class unless it is linked.
-    named = texts.select("h", "n")
-    if links is not None:
-        parts = stored(connected_components(links), "components")
-        more = across(met, parts, sets, size, similarity).join(tried.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
-        more = stored(verified(more, sets, size, similarity).where("good").select("a", "b"), "links-across")
-        parts = connected_components(more.unionAll(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-        named = named.join(parts.hint("merge"), F.col("h") == F.col("node"), "left").select("h", "n", F.coalesce("component", "h").alias("class"))
-    else:
-        named = named.withColumn("class", F.col("h"))
-    return named
+    spans = _spans(docs, id_col=id_col, text_col=text_col, least_words=least_words, least_run=least_run, size=size, similarity=similarity)
+    return spans.select(F.col("id").alias(id_col), "start", "end", "class_id", "class_size", "removed")
 
 
-def repeated(
+def without_repeats(
     docs: DataFrame,
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
     least_words: int = 40,
+    least_run: int = 20,
     size: int = 5,
     similarity: float = 0.8,
-    rounds: int = 2,
 ) -> DataFrame:
-    """One row per occurrence of a repeated paragraph: id, ``start``, ``end``, ``class_id``, ``class_size`` and ``removed``.
+    """``docs`` with removed spans cut out of their texts; all rows stay, an emptied text is empty.
 
-    A class holds the occurrences of similar paragraphs (words in lower case, any white space); its
-    ``class_id`` is the least id among them. The first occurrence (by id, then place) stays, the others
-    are ``removed``. Occurrences may be in one document. Paragraphs that do not repeat, shorter ones,
-    null and empty texts and rows with a null id give no row; a repeated row repeats its paragraphs.
+    Of repeated rows the first keeps its text: occurrences are told apart by what ``repeated`` finds in each row. The
+    columns stay as they are, whatever their names.
     """
-    table = stored(paragraphs(docs, id_col=id_col, text_col=text_col, least_words=least_words, size=size), "paragraphs")
-    texts = stored(
-        table.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "start")).alias("first"), F.first("bands").alias("bands")), "texts"
-    )
-    met = stored(colliding(texts.select(F.explode("bands").alias("key"), "h")), "collisions")
-    chosen = texts.select("h", F.col("first.id").alias("id"), F.col("first.start").alias("start")).join(met.select("h").distinct().hint("merge"), "h", "left_semi")
-    sets = stored(
-        table.select("h", "id", "start", "words").join(chosen.hint("merge"), ["h", "id", "start"], "left_semi").dropDuplicates(["h"]), "colliding-texts"
-    )
-    named = classes_of(texts, met, sets, size=size, similarity=similarity, rounds=rounds)
-    firsts = texts.select("h", "first")
-    classes = (
-        named.join(firsts.hint("merge"), "h").groupBy("class").agg(F.sum("n").alias("class_size"), F.min("first").alias("first")).where(F.col("class_size") > 1)
-    )
-    of_text = stored(named.select("h", "class").join(classes.hint("merge"), "class").select("h", "class_size", "first"), "classes")
-    rows = table.select("id", "start", "end", "h").join(of_text.hint("merge"), "h")
-    return rows.select(
-        F.col("id").alias(id_col),
-        "start",
-        "end",
-        F.col("first.id").alias("class_id"),
-        "class_size",
-        (F.struct("id", "start") != F.col("first")).alias("removed"),
-    )
-
-
-def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with removed paragraphs cut out of their texts; all rows stay, an emptied text is empty."""
-    gone = repeated(docs, id_col=id_col, text_col=text_col, **options).where("removed")
-    spans = gone.groupBy(id_col).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_spans"))
-    joined = docs.join(spans.hint("merge"), id_col, "left")
-    place, cuts = joined.columns.index(text_col), joined.columns.index("_spans")
+    names = [f"c{n}" for n in range(len(docs.columns))]  # whatever the columns are called
+    place = docs.columns.index(text_col)
+    key, text = F.col(names[docs.columns.index(id_col)]), names[place]
+    numbered = stored(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    keyed = numbered.select(F.when(key.isNotNull(), F.struct(key.alias("id"), "row")).alias("id"), text)
+    found = repeated(keyed, id_col="id", text_col=text, least_words=least_words, least_run=least_run, size=size, similarity=similarity).where("removed")
+    spans = found.groupBy("id.row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("gone"))
+    joined = numbered.join(spans.hint("merge"), "row", "left").select(*names, "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for value, spans_of in zip(batch.column(place), batch.column(cuts), strict=True):
-                text = value.as_py()
-                for span in reversed(spans_of.as_py() or []):
-                    if text is not None:
-                        text = text[: span["start"]] + text[span["end"] + 1 :]
+            for value, cuts in zip(batch.column(place), batch.column(batch.num_columns - 1), strict=True):
+                text, kept, at = value.as_py(), [], 0
+                if text is not None and cuts.as_py():
+                    for span in cuts.as_py():
+                        kept.append(text[at : max(at, span["start"])])
+                        at = max(at, span["end"])
+                    text = "".join([*kept, text[at:]])
                 out.append(text)
             field = batch.schema.field(place)
-            yield batch.set_column(place, field, pa.array(out, field.type)).drop_columns(["_spans"])
+            columns = [*batch.columns[:-1]]
+            columns[place] = pa.array(out, field.type)
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema)[:-1]))
 
-    return joined.mapInArrow(run, joined.drop("_spans").schema).select(*docs.columns)
+    return joined.mapInArrow(run, docs.toDF(*names).schema).toDF(*docs.columns)

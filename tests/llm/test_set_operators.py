@@ -138,59 +138,119 @@ def test_a_passage_in_most_documents_is_found(spark, tables):
     assert decontaminate.contaminated(docs, tables("benchmark").where(F.col("item_id") == item.item_id)).count() == 60
 
 
-def test_paragraphs(spark, odd, empty):
+def plain_repeats(rows, least_words=40, least_run=20):
+    """The spans by brute force over all pairs of units that share a band: links, classes, islands."""
+    cut, found = paragraphs.Cutter(least_words, 5), []
+    for row, (key, text) in enumerate(rows):
+        words = (text or "").lower().split()
+        for kind, (_, starts, ends, sizes, hashes, keys, first) in enumerate(cut([text or ""])):
+            for s, e, n, h, k, f in zip(starts, ends, sizes, hashes, keys, first):
+                found.append({"row": row, "id": key, "start": int(s), "end": int(e), "n": int(n), "kind": kind, "h": h.tobytes(), "keys": set(k.tolist()), "set": paragraphs.shingles(words[f : f + n], 5)})
+    texts = {u["h"]: u for u in reversed(found)}
+    near = lambda a, b: texts[a]["kind"] == texts[b]["kind"] and texts[a]["keys"] & texts[b]["keys"] and paragraphs.jaccard(texts[a]["set"], texts[b]["set"]) >= 0.8
+    root, members = classes(texts, near), {}
+    for u in sorted(found, key=lambda u: (u["id"], u["row"], u["start"])):
+        members.setdefault(root[u["h"]], []).append(u)
+    out = []
+    for group in members.values():
+        for k, u in enumerate(group):
+            if len(group) > 1:
+                out.append((u["row"], u["start"], u["end"], u["kind"], u["n"], u["id"], group[0]["id"], len(group), k > 0))
+    spans = []
+
+    def islands(units):
+        runs, reach = [], None
+        for u in sorted(units, key=lambda u: u[1:3]):
+            if reach is None or u[1] > reach:
+                runs.append([])
+            runs[-1].append(u)
+            reach = max(reach or 0, u[2])
+        return runs
+
+    for row in {u[0] for u in out}:
+        for run in islands(u for u in out if u[0] == row):
+            if any(u[3] == 0 for u in run) or sum(u[4] for u in run) >= least_run:
+                for key in {u[6::2] for u in run}:
+                    for part in islands(u for u in run if u[6::2] == key):
+                        spans.append((part[0][5], min(u[1] for u in part), max(u[2] for u in part), key[0], max(u[7] for u in part), key[1]))
+    return sorted(spans)
+
+
+def prose(rng, vocabulary, n):
+    return [rng.choice(vocabulary) for _ in range(n)]
+
+
+def test_passages_inside_and_across_lines(spark, odd, empty):
     rng = random.Random(2)
     words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(500)]
-    passage = [rng.choice(words) for _ in range(80)]
-    near = passage[:40] + ["changed"] + passage[41:]
-    rows = [(k, "\n".join([" ".join(rng.sample(words, 60)), " ".join(near if k == 3 else passage) if k < 5 else "short line", " ".join(rng.sample(words, 45))])) for k in range(9)]
-    rows.append((20, " ".join(passage) + "\n" + " ".join(passage)))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    texts = dict(rows)
-    got = paragraphs.repeated(docs).collect()
-    assert sorted(r.doc_id for r in got) == [0, 1, 2, 3, 4, 20, 20] and {r.class_id for r in got} == {0} and sum(not r.removed for r in got) == 1
-    assert all(texts[r.doc_id][r.start : r.end].split()[0] == passage[0] for r in got)
-    cut = {r.doc_id: r.text for r in paragraphs.without_repeats(docs).collect()}
-    assert cut[0] == texts[0] and passage[5] not in cut[20] and len(cut) == len(rows) and cut[8] == texts[8]
-    assert paragraphs.repeated(empty).count() == 0 and paragraphs.repeated(odd).count() == 0
-
-
-def test_paragraph_chains_are_not_cut(spark):
+    passages = [prose(rng, words, 51 + k % 30) for k in range(40)]
+    rows = []
+    for k, p in enumerate(passages):  # inside a longer line; over several short lines; once more in other letters
+        rows.append((2 * k, " ".join(prose(rng, words, 35) + p + prose(rng, words, 35))))
+        lines = [p[j : j + 12] for j in range(0, len(p), 12)]
+        rows.append((2 * k + 1, "\n".join(" ".join(x) for x in ([prose(rng, words, 9), *lines] if k % 2 else [*lines, prose(rng, words, 20)])).upper()))
+    rows += [(100 + k, "\n".join(" ".join(prose(rng, words, 45)) for _ in range(4))) for k in range(40)]  # nothing repeats
+    rows += [(200, " ".join(passages[0]) + "\n" + " ".join(passages[0])), (201, rows[0][1]), (201, rows[0][1]), (202, "of " * 300), (203, "of " * 200), (204, ""), (205, "\n \n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__gone", F.lit(1)).withColumn("row", F.lit("x"))
+    got = sorted(map(tuple, paragraphs.repeated(docs).collect()))
+    assert got == plain_repeats(rows)
+    assert {r[0] for r in got} >= set(range(80)) | {200, 201, 202, 203} and not any(100 <= r[0] < 200 for r in got)
+    assert sum(r[0] == 201 and r[5] for r in got) == 2  # the second of two equal rows goes too: both come after document 0
+    cut = [tuple(r) for r in paragraphs.without_repeats(docs).select("doc_id", "text", "__gone", "row").collect()]
+    texts = {r[0]: r[1] for r in cut}
+    assert len(cut) == len(rows) and all(texts[k] == t for k, t in rows if 100 <= k < 200 or k in (0, 204, 205)) and all(r[2:] == (1, "x") for r in cut)
+    assert all(len(texts[2 * k + 1].split()) <= len(rows[2 * k + 1][1].split()) - 20 for k in range(40)) and len(texts[203]) < 200
+    assert paragraphs.repeated(empty).count() == 0 and {r.doc_id for r in paragraphs.repeated(odd).collect()} == {5}
+    assert paragraphs.without_repeats(odd).count() == 9 and paragraphs.without_repeats(empty).count() == 0
+
+
+def test_equal_rows_are_told_apart(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")
+    got = sorted((r.removed, r.class_size) for r in paragraphs.repeated(docs).collect())
+    assert got == [(False, 2), (True, 2)]
+    assert sorted(r.text for r in paragraphs.without_repeats(docs).collect()) == ["", text]
+
+
+def test_paragraph_chains_are_not_cut(spark, monkeypatch):
     """Edited copies of edited copies, and many unlike texts over one form, equal brute force: no joining link is lost."""
-    rng = np.random.default_rng(5)
-    rows, texts = [], []
-
-    def add(words, times=1):
-        for _ in range(times):
-            rows.append((len(rows), " ".join(words)))
-            texts.append(paragraphs.shingles(words, 5))
-
-    for chain in range(25):
+    monkeypatch.setattr(paragraphs, "QUERIES", 7)
+    monkeypatch.setattr(paragraphs, "PASSING", 20)
+    rows = []
+    for chain in range(12):
         words = [f"w{chain}x{k}" for k in range(60)]
-        add(words, 3)
+        rows += [(len(rows) + k, " ".join(words)) for k in range(3)]
         for step in range(6):  # one more word changed at each step
             words = list(words)
             words[3 + 9 * step] = f"e{chain}x{step}"
-            add(words)
+            rows.append((len(rows), " ".join(words)))
     for k in range(40):
-        add([f"form{j}" if j % 20 < 14 else f"own{k}x{j}" for j in range(60)])
-    n = len(rows)
-    top = list(range(n))
-
-    def find(x):
-        while top[x] != x:
-            x = top[x]
-        return x
-
-    for a in range(n):
-        for b in range(a):
-            if paragraphs.jaccard(texts[a], texts[b]) >= 0.8:
-                low, high = sorted((find(a), find(b)))
-                top[high] = low
-    expected = {a: find(a) for a in range(n)}
-    got = {r.doc_id: r.class_id for r in paragraphs.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    shared = {a for a in expected if list(expected.values()).count(expected[a]) > 1}
-    assert got == {a: expected[a] for a in shared}
+        rows.append((len(rows), " ".join(f"form{j}" if j % 20 < 14 else f"own{k}x{j}" for j in range(60))))
+    rng = random.Random(4)
+    base = [f"b{j}" for j in range(100)]
+    for k in range(60):  # a large group on both sides of the least similarity
+        rows.append((len(rows), " ".join(rng.choice("xyz") + str(k) if rng.random() < 0.03 else w for w in base)))
+    got = paragraphs.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == plain_repeats(rows)
+
+
+def test_band_recall():
+    """Lines and pieces of similarity 0.8 collide as often as the bands say."""
+    rng, met = random.Random(9), {0: [], 1: []}
+    for k in range(300):
+        for kind, n, edits in ((0, 120, 3), (1, 0, 0)):
+            size = n or 14
+            a = [f"v{k}x{j}" for j in range(size)]
+            b = list(a)
+            for e in range(edits):
+                b[rng.randint(e * 40 + 6, e * 40 + 30)] = "new"
+            if kind:
+                b[0] = "new"
+            grams = [paragraphs.runs(paragraphs.word_hashes(" ".join(x)), 5) for x in (a, b)]
+            keys = [paragraphs.least_of(g, np.array([0]), np.array([size]), 5, (paragraphs.LINE_BANDS, paragraphs.PIECE_BANDS)[kind], g[:1]) for g in grams]
+            assert paragraphs.jaccard(*(paragraphs.shingles(x, 5) for x in (a, b))) >= 0.77
+            met[kind].append(bool((keys[0] == keys[1]).any()))
+    assert np.mean(met[0]) > 0.97 and np.mean(met[1]) > 0.93
 
 
 def test_archives(spark, tables):
@@ -264,9 +324,9 @@ def test_pipeline(spark, tables):
         sizes.append(out.count())
         if name != "sentencepiece":
             assert out.columns == docs.columns
-        if name == "simhash_dedup":
-            fps = {r.doc_id: int(r.fingerprint, 16) for r in simhash.near_duplicates(before, size=5, bits=4).collect()}
-            want = classes(sorted(fps), lambda a, b: bin(fps[a] ^ fps[b]).count("1") <= 4)
+        if name == "simhash_dedup":  # Jaccard 0.8 of five-word shingles, as for all stages on word shingles
+            sets = {r.doc_id: paragraphs.shingles((r.text or "").lower().split(), 5) for r in before.collect()}
+            want = classes(sorted(sets), lambda a, b: paragraphs.jaccard(sets[a], sets[b]) >= 0.8)
             assert {r.doc_id for r in out.collect()} == set(want.values())
         if name == "secret_scan":
             assert out.where(F.col("text").rlike("AKIA[A-Z0-9]{12,}")).count() == 0
