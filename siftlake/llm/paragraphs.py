@@ -3,8 +3,8 @@
 1. A text is cut twice: into its lines, and, line ends ignored, into pieces whose ends are chosen by content (a word
    whose hash is the least for ``REACH`` words on both sides), so that a passage is cut alike wherever it stands.
 2. Lines of ``least_words`` words and all pieces get MinHash bands over their word shingles. Eight bands of three rows
-   find lines of similarity 0.8 with probability 0.997; pieces (about a dozen shingles) have two bands of one row, 0.96,
-   and equal ones always collide.
+   find lines of similarity 0.8 with probability 0.997; pieces (about a dozen shingles) have three bands of two rows,
+   0.953, and equal ones always collide.
 3. In each collision the most central text is compared with the others; components are formed; where a collision still
    holds several components, each text outside the central one is compared, in blocks, with all of other components. So
    no colliding pair that is similar enough stays apart, and no group is paired with itself.
@@ -31,7 +31,7 @@ from siftlake.llm.decontaminate import filter_of, places
 #: A piece ends before a word whose hash is least among this many on both sides; the longest piece.
 REACH, LONGEST = 8, 32
 #: Bands and rows for lines (and whole texts), and for pieces.
-LINE_BANDS, PIECE_BANDS = (8, 3), (2, 1)
+LINE_BANDS, PIECE_BANDS = (8, 3), (3, 2)
 #: Texts that a task remembers to have seen.
 SEEN = 1_000_000
 #: Texts of a block that are compared at once, and texts that pass by one block in one task.
@@ -394,7 +394,7 @@ def links_of(met: DataFrame, sets: DataFrame, *, size: int, similarity: float) -
     ``met`` has the collisions (``key``, ``h``), each with several texts, and ``sets`` the ``words`` of these. The text of a
     collision that has most company over all its collisions is its centre: for the copies of one text that is the
     same text in all bands, so that each copy is verified once. What is not joined to the centre of a collision by
-    then is compared, in blocks, with all texts of other components there.
+    then is compared, in blocks, with all texts of other components there; where there are but two texts, that is done.
     """
     met = stored(met.distinct(), "met")
     company = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
@@ -408,7 +408,7 @@ def links_of(met: DataFrame, sets: DataFrame, *, size: int, similarity: float) -
     named = stored(met.join(parts.hint("merge"), F.col("h") == F.col("node"), "left").select("key", "h", own), "named")
     central = centres.join(parts.hint("merge"), F.col("centre") == F.col("node"), "left").select("key", F.coalesce("component", "centre").alias("main"))
     sides = named.join(central.hint("merge"), "key").withColumn("outside", F.col("c") != F.col("main"))
-    count = sides.groupBy("key").agg(F.count_if("outside").alias("o"), F.count(F.lit(1)).alias("n")).where("o > 0")
+    count = sides.groupBy("key").agg(F.count_if("outside").alias("o"), F.count(F.lit(1)).alias("n")).where("o > 0 and n > 2")
     blocks, salts = F.ceil(F.col("o") / QUERIES).cast("int").alias("blocks"), F.ceil(F.col("n") / PASSING).cast("int").alias("salts")
     split = sides.join(stored(count.select("key", blocks, salts), "open-collisions").hint("merge"), "key")
     open_rows = stored(split.join(sets.hint("merge"), "h").select("key", "blocks", "salts", "outside", "h", "c", "words"), "open-rows")
