@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from siftlake.llm.common import arrow_schema, scratch_dir, stored
 
 MAGIC = b"\x1f\x8b\x08"
+#: Ranges that a task reads at most.
+RANGES = 16
 VERSION = b"WARC/1.1\r\n"
 READ = 1 << 20
 #: A member's header is decoded in parts of at most this size, up to its end.
@@ -286,7 +288,9 @@ def read_archives(spark: SparkSession, files: DataFrame, folder: str, *, split_b
         if rows:
             yield batch_of()
 
-    tasks = F.xxhash64("path", "begin")
+    # A range is a few bytes to Spark and megabytes to its reader: the number of tasks is stated, so that ranges are not merged.
+    number = int(files.agg(F.sum(F.greatest(F.ceil(F.col("length") / split_bytes), F.lit(1)))).first()[0] or 0)
+    tasks = max(1, min(number, 4 * spark.sparkContext.defaultParallelism), -(-number // RANGES))
     return ranges.repartition(tasks).mapInArrow(run, schema)
 
 
