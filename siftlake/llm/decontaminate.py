@@ -1,7 +1,9 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 1. Every word n-gram of a test item is a seed, so that a document's result depends on no other row.
-2. Seeds are joined to the documents that hold them; the words around them travel along.
+2. Seeds are joined to the documents that hold them; the words around them travel along, as many on each side as an
+   alignment of the least score may reach: inserted words and all, an item of L words spans L + 2L(1 - least_score).
+   Items are put into classes by length, so that a very long item widens the surroundings of its own seeds only.
 3. A passage that holds too few of the item's words to reach the least score is passed over: no alignment
    matches a word that the passage has not.
 4. Each other passage is aligned with the item; copies with edits keep a high score.
@@ -141,23 +143,30 @@ def contaminated(
 ) -> DataFrame:
     """Aligned pairs: id, ``item_id``, ``score`` (best local score over that of a full match, 0 to 1), ``start`` and ``end``.
 
-    A pair is returned if a document and an item share a seed and the score is at least ``least_score``;
-    the best passage of a pair counts. ``start`` and ``end`` are places of words (signs dropped). Items
+    A pair is returned just if within the reach of an n-gram that both hold there is an alignment of at least
+    ``least_score``; the best one of a pair counts. ``start`` and ``end`` are places of words (signs dropped). Items
     without words, documents without words and null texts match nothing; an item of fewer than ``n`` words
     is one seed as a whole. Rows with a null id take no part; a repeated row gives its pairs once.
     """
     items = stored(items_of(benchmark.where(F.col(item_col).isNotNull()), n, item_col, item_text_col), "items")
-    seeds = stored(items.select(F.explode("g").alias("g"), "item").distinct(), "seeds")
-    limits = items.agg(F.max(F.size("words"))).first()[0] or 0
+    length_class = F.ceil(F.log2(F.size("words"))).cast("int")  # up to two to this power words
+    seeds = stored(items.where(F.size("words") > 0).select(F.explode("g").alias("g"), "item", length_class.alias("length_class")).distinct(), "seeds")
     sizes = sorted({r[0] for r in items.select(F.least(F.size("words"), F.lit(n)).alias("m")).distinct().collect() if r[0] > 0})
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(filter_of(seeds)))
+    classes = sorted(r[0] for r in seeds.select("length_class").distinct().collect())  # about thirty at most
+    reaches = np.zeros(FILTER_BITS, dtype=np.uint8)  # for a key, one more than the class of the longest item that may have it
+    for c in classes:
+        reaches[filter_of(seeds.where(F.col("length_class") == c))] = c + 1
+    shared = docs.sparkSession.sparkContext.broadcast(reaches)  # 16 MB, whatever the data
     kind = dict(docs.dtypes)[id_col]
     schema = f"id {kind}, start long, g array<long>, words array<long>"
     arrow = arrow_schema(schema)
-    reach = limits + limits // 2 + 1
+
+    def reach(words: np.ndarray | int) -> np.ndarray | int:
+        return words + np.floor(2 * words * (1 - least_score)).astype(np.int64) if isinstance(words, np.ndarray) else words + int(2 * words * (1 - least_score))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, words_of = np.unpackbits(shared.value).astype(bool), Words()
+        reaches, words_of = shared.value, Words()
+        bits = reaches > 0
         for batch in batches:
             rows = []
             for key, value in zip(batch.column(0), batch.column(1), strict=True):
@@ -174,17 +183,19 @@ def contaminated(
                     continue
                 at, g = np.concatenate(hits), np.concatenate(keys)
                 order = np.argsort(at, kind="stable")
-                at, g = at[order], g[order].view(np.int64)
+                at, g = at[order], g[order]
+                far = reach(np.left_shift(1, reaches[g & np.uint64(FILTER_BITS - 1)].astype(np.int64) - 1))
+                low, high = np.maximum(at - far, 0), at + n + far
                 # Seeds whose surroundings overlap share a passage; a passage spans at most CHUNK words and some.
-                cut = np.flatnonzero((np.diff(at) > 2 * reach) | (np.diff(at // CHUNK) > 0)) + 1
-                for part, seeds_here in zip(np.split(at, cut), np.split(g, cut), strict=True):
-                    low, high = max(0, int(part[0]) - reach), int(part[-1]) + reach
-                    rows.append((key.as_py(), low, np.unique(seeds_here), words[low:high].view(np.int64)))
+                cut = np.flatnonzero((low[1:] > np.maximum.accumulate(high)[:-1]) | (np.diff(at // CHUNK) > 0)) + 1
+                for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(at)], strict=True):
+                    begin, end = int(low[a:b].min()), int(high[a:b].max())
+                    rows.append((key.as_py(), begin, np.unique(g[a:b]).view(np.int64), words[begin:end].view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(arrow)], schema=arrow)
 
     passages = stored(docs.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(run, schema), "passages")
     keyed = passages.select("id", "start", F.explode("g").alias("g"))
-    pairs = keyed.join(seeds.hint("merge"), "g").select("id", "start", "item").distinct()
+    pairs = keyed.join(seeds.select("g", "item").hint("merge"), "g").select("id", "start", "item").distinct()
     asked = pairs.join(items.select("item", F.col("words").alias("item_words")).hint("merge"), "item")
     ready = asked.join(passages.select("id", "start", "words").distinct().hint("merge"), ["id", "start"])
 
@@ -195,11 +206,23 @@ def contaminated(
                 a, b = (np.asarray(x.values) for x in (item_words, words))
                 if np.isin(a, b).sum() < least_score * len(a):
                     continue
-                best, low, high = align(a, b)
-                score = best / (MATCH * len(a))
-                if score >= least_score:
-                    for name, v in zip(out, (key.as_py(), item.as_py(), score, start.as_py() + low, start.as_py() + high), strict=True):
-                        out[name].append(v)
+                # A passage may be wider than this item needs: the parts around its own seeds are aligned.
+                at = np.flatnonzero(np.isin(grams(b.view(np.uint64), min(n, len(a))), grams(a.view(np.uint64), n)))
+                far = reach(len(a))
+                ends = np.maximum.accumulate(at + n + far)
+                cut = np.flatnonzero(at[1:] - far > ends[:-1]) + 1
+                for part in np.split(at, cut):
+                    if not len(part):
+                        continue
+                    begin = max(0, int(part[0]) - far)
+                    around = b[begin : int(part[-1]) + n + far]
+                    if np.isin(a, around).sum() < least_score * len(a):
+                        continue
+                    best, low, high = align(a, around)
+                    score = best / (MATCH * len(a))
+                    if score >= least_score:
+                        for name, v in zip(out, (key.as_py(), item.as_py(), score, start.as_py() + begin + low, start.as_py() + begin + high), strict=True):
+                            out[name].append(v)
             return out
 
         return step
