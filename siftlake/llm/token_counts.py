@@ -2,8 +2,9 @@
 
 1. Tasks cut texts into pre-tokens and write, per block of documents and share of the vocabulary, one
    row with the distinct pre-tokens and their postings (which document of the block, how often).
-2. Rows are dealt by the share, so that all postings of a pre-token meet in one task. It counts the
-   pieces of each pre-token once, multiplies them into the postings and sums per document.
+2. Rows are dealt by the share and a group of blocks (those of 64 tasks, some GB of text), so that a pre-token of
+   all documents is spread over the groups. A task counts the pieces of each pre-token of a share and group once,
+   multiplies them into the postings and sums per document.
 3. The sums of a block's documents are dealt by block and added up.
 
 Ids are never made. A pre-token's string crosses the network once a block, not once a document, and
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 from siftlake.llm.common import arrow_schema, texts_of
 
 BLOCK_ROWS = 1 << 15
+#: Tasks of the first step whose postings of one pre-token meet in one task of the second.
+TASKS = 64
 BLOCK_CHARS = 24_000_000
 #: Pre-tokens that a task keeps with their numbers of pieces.
 KEPT = 1_000_000
@@ -69,6 +72,7 @@ class PreTokens:
             made = json.load(f)
         self.special = {t["content"] for t in made["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.mark = os.path.commonprefix(list(self.special))  # without it there is no special string
         split = next(p for p in made["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         pattern = split["pattern"]["Regex"]
         for group, members in classes().items():
@@ -83,7 +87,7 @@ class PreTokens:
         return self.find(text)
 
     def __call__(self, text: str) -> list[str]:
-        if self.cut is None or "<|" not in text:
+        if self.cut is None or self.mark not in text:
             return self._words(text)
         out: list[str] = []
         for k, part in enumerate(self.cut.split(text)):
@@ -171,7 +175,7 @@ def sums_of_shares(rows: DataFrame, tokenizer_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = piece_counter(tokenizer_path)
         known: dict[str, int] = {}
-        block, sums = None, np.zeros(0, dtype=np.int64)
+        block, own, sums = None, None, np.zeros(0, dtype=np.int64)
 
         def summed() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
@@ -187,10 +191,12 @@ def sums_of_shares(rows: DataFrame, tokenizer_path: str) -> DataFrame:
             for b, share, payload in zip(*(batch.column(k) for k in range(3)), strict=True):
                 if share.as_py() == -1:
                     continue
-                if b.as_py() != block:
+                if (b.as_py(), share.as_py()) != (block, own):
                     if block is not None:
                         yield summed()
-                    block, sums = b.as_py(), np.zeros(0, dtype=np.int64)
+                    if share.as_py() != own:
+                        known.clear()  # no other share holds these pre-tokens
+                    block, own, sums = b.as_py(), share.as_py(), np.zeros(0, dtype=np.int64)
                 words, sizes, places, counts = unpacked(payload.as_py())
                 new = [w for w in words if w not in known]
                 if new:
@@ -220,7 +226,8 @@ def count_tokens(
     spark = docs.sparkSession
     shares = shares or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = postings(docs, tokenizer_path, shares, id_col, text_col)
-    dealt = rows.repartition(shares, "share").sortWithinPartitions("block", "share")
+    group = F.shiftright("block", 24 + TASKS.bit_length() - 1)
+    dealt = rows.repartition(shares, "share", group).sortWithinPartitions("share", "block")
     partial = sums_of_shares(dealt, tokenizer_path).repartition("block").sortWithinPartitions("block", F.col("ids").isNull())
     schema = f"{id_col} {dict(docs.dtypes)[id_col]}, n_bytes long, n_tokens long, over_limit boolean"
     arrow = arrow_schema(schema)
