@@ -3,7 +3,8 @@
 Vectors are quantised to integers. A task cuts its candidates into blocks and sorts each dimension of
 a block once. For a query the lists are read from their favourable ends, level by level; vectors seen
 for the first time are scored in full, and the block is left as soon as the threshold - the score an
-unseen vector could have at most - falls below the query's k-th score so far.
+unseen vector could have at most - falls below the query's k-th score so far. Where a level brings a quarter of
+the block or more, all of the block's scores are computed at once, which is cheaper than picking out its new vectors.
 """
 
 from __future__ import annotations
@@ -12,13 +13,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftlake.llm.common import session
+from siftlake.llm.common import arrow_schema, session, stored
 
-BLOCK = 16_384
-LEVELS = (16, 64, 256, 1024, 4096, BLOCK)
+BLOCK = 8192
+LEVELS = (16, 64, 256, 1024, 4096)
 _SCHEMA = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
@@ -117,38 +119,92 @@ def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries:
     return scored
 
 
-def _search(candidates: DataFrame, query_ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
-    shared = candidates.sparkSession.sparkContext.broadcast((query_ids, queries))
+_BLOCK = "block long, ids binary, vectors binary, dim int, rows int"
+
+
+def _packed(ids: list[np.ndarray], lists: list[pa.Array], block: int) -> dict:
+    dim = max([1, *(int(np.asarray(v.value_lengths()).max(initial=0)) for v in lists)])
+    x = np.concatenate([matrix(v, dim) for v in lists])
+    for kind in (np.int16, np.int32):
+        if np.abs(x).max(initial=0) <= np.iinfo(kind).max:
+            x = x.astype(kind)
+            break
+    return {"block": block, "ids": np.concatenate(ids).tobytes(), "vectors": x.tobytes(), "dim": dim, "rows": len(x)}
+
+
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    cells = row["rows"] * row["dim"]
+    return np.frombuffer(row["ids"], dtype=np.int64), np.frombuffer(row["vectors"], dtype=f"i{len(row['vectors']) // max(cells, 1)}").reshape(row["rows"], row["dim"]).astype(np.int64)
+
+
+def packed(rows: DataFrame, size: int, block_col: str | None = None) -> DataFrame:
+    """One row per block of at most ``size`` vectors: of the rows of a task as they come, or of those of one ``block_col``."""
+    arrow = arrow_schema(_BLOCK)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        ids: list[np.ndarray] = []
+        lists: list[pa.Array] = []
+        block = None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal number
+            if ids:
+                made = _packed(ids, lists, number if block is None else block)
+                number += 1
+                ids.clear()
+                lists.clear()
+                yield pa.RecordBatch.from_arrays([pa.array([made[f.name]], f.type) for f in arrow], schema=arrow)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = batch.column(2).to_numpy() if block_col else np.zeros(batch.num_rows, dtype=np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(column)) + 1).tolist(), batch.num_rows]
+            for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if block_col and column[begin] != block:
+                    yield from flush()
+                    block = int(column[begin])
+                while begin < end:
+                    part = batch.slice(begin, min(end - begin, size - sum(map(len, ids))))
+                    ids.append(part.column(0).to_numpy())
+                    lists.append(part.column(1))
+                    begin += part.num_rows
+                    if sum(map(len, ids)) == size:
+                        yield from flush()
+        yield from flush()
+
+    return rows.select("vec_id", "v", *([F.col(block_col).cast("long")] if block_col else [])).mapInArrow(run, _BLOCK)
+
+
+def _search(pairs: DataFrame, k: int) -> DataFrame:
+    """The k best of each query over the pairs of blocks of a task, which come sorted by the queries' block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_ids, own = shared.value
-        best = Best(len(own_ids), k)
-        held: list[tuple[np.ndarray, pa.Array]] = []
+        asked, own_ids, own, best = None, None, None, None
 
-        def search() -> None:
-            dim = max([own.shape[1], *(int(np.asarray(v.value_lengths()).max(initial=0)) for _, v in held)])
-            x = np.concatenate([matrix(v, dim) for _, v in held])
-            search_block(np.concatenate([i for i, _ in held]), x, own_ids, np.pad(own, ((0, 0), (0, dim - own.shape[1]))), best)
-            held.clear()
+        def told() -> Iterator[pa.RecordBatch]:
+            counts = [len(i) for i in best.ids] if best else []
+            if sum(counts):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(own_ids, counts)), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.scores))], schema=_SCHEMA
+                )
 
-        size = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
-                if size + part.num_rows > BLOCK:
-                    search()
-                    size = 0
-                held.append((part.column(0).to_numpy(), part.column(1)))
-                size += part.num_rows
-        if size:
-            search()
-        counts = [len(i) for i in best.ids]
-        if sum(counts):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(own_ids, counts)), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.scores))], schema=_SCHEMA
-            )
-
-    return candidates.mapInArrow(run, "query_id long, vec_id long, score long")
+            for n in range(batch.num_rows):
+                row = {f.name: batch.column(j)[n].as_py() for j, f in enumerate(batch.schema)}
+                if (row["q"]["block"], row["q"]["ids"]) != asked:
+                    yield from told()
+                    asked = row["q"]["block"], row["q"]["ids"]
+                    own_ids, own = _unpacked(row["q"])
+                    best = Best(len(own_ids), k)
+                ids, x = _unpacked(row["c"])
+                dim = max(x.shape[1], own.shape[1])
+                x, queries = (np.pad(m, ((0, 0), (0, dim - m.shape[1]))) for m in (x, own))
+                search_block(ids, x, own_ids, queries, best)
+        yield from told()
+
+    return pairs.mapInArrow(run, "query_id long, vec_id long, score long")
 
 
 def top_k(
@@ -159,7 +215,8 @@ def top_k(
     scale: int = 64,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
-    query_block: int = 8192,
+    query_block: int = 4096,
+    block: int = BLOCK,
 ) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id`` and ``score`` of the k best candidates of each query.
 
@@ -169,23 +226,27 @@ def top_k(
     A repeated candidate row is a candidate each time, a repeated query row one query (of rows with one
     id, the least vector asks). Scores must fit in a long. Other columns are ignored.
 
-    Queries are taken in blocks of ``query_block`` at most (dealt by a hash of their id): that bounds what is sent to the driver and
-    to each task, however many queries there are. Each block reads the candidates once.
+    Queries and candidates are written as tables of blocks (about ``query_block`` and at most ``block`` vectors), whose
+    numbers are joined: each pair of a block of queries and a block of candidates is searched in one task, and the bests
+    are combined by query. No vector comes to the driver, whatever the numbers.
     """
     spark = session(vectors.sparkSession)
     rows = quantised(vectors, scale, id_col, vector_col)
-    asking = quantised(vectors.where(is_query), scale, id_col, vector_col).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n = asking.count()
-    parts = 1 if n <= query_block else -(-2 * n // query_block)
-    part_of = F.pmod(F.xxhash64("vec_id"), F.lit(parts))  # distinct ids: half full on average
-    found = None
-    for number in range(parts):
-        block = asking.where(part_of == number) if parts > 1 else asking
-        got = block.toArrow()
-        column = got.column("v").combine_chunks()
-        dim = int(np.asarray(column.value_lengths()).max(initial=0)) if len(got) else 0
-        part = _search(rows, got.column("vec_id").to_numpy(), matrix(column, dim), k)
-        found = part if found is None else found.unionAll(part)
+    asking = stored(quantised(vectors.where(is_query), scale, id_col, vector_col).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    asked = max(1, -(-asking.count() // query_block))
+    dealt = asking.withColumn("of", F.pmod(F.xxhash64("vec_id"), F.lit(asked))).repartition(asked, "of").sortWithinPartitions("of")
+    # A block may come in several rows where its hash has more than its share: each is a block of its own.
+    queries = stored(packed(dealt, 2 * query_block, "of"), "query-blocks")
+    candidates = stored(packed(rows, block), "candidate-blocks")
+    salts = max(1, candidates.count())
+    tasks = max(1, min(asked * salts, 4 * spark.sparkContext.defaultParallelism))
+    whole = lambda name: F.struct("block", "ids", "vectors", "dim", "rows").alias(name)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select(F.col("block").alias("of"), every(salts).alias("salt"), whole("q"))
+    numbered = candidates.select(whole("c"), F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int").alias("salt"), every(asked).alias("of"))
+    right = numbered.select("c", "salt", F.col("of").cast("long").alias("of"))
+    joined = left.repartition(tasks, "of", "salt").join(right.repartition(tasks, "of", "salt").hint("merge"), ["of", "salt"])
+    found = _search(joined.sortWithinPartitions("of").select("q", "c"), k)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
