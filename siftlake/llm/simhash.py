@@ -1,10 +1,12 @@
 """SimHash near-duplicates with a byte-position inverted index and count filtering.
 
 A 64-bit fingerprint has eight positional bytes. Two that differ in at most four bits share at least
-four of them, so a linked pair meets in at least one entry of the index keyed by four (position, byte)
-combinations. Within an entry the shared positional bytes of each pair are tallied; a pair is taken
-up only where the tally reaches the guaranteed minimum, in the first entry it meets in, and verified
-by its Hamming distance. Only distinct fingerprints are indexed, however many documents share them.
+four of them. Lists of a single (position, byte) hold a 256th of all fingerprints each and would give pairs
+by the square of the input, so the index is keyed by three of them together: its 56 lists a fingerprint are
+intersections of such lists, and a linked pair meets in at least four. Within a list the shared positional bytes
+of each pair are tallied; a pair is taken up only where the tally reaches the guaranteed minimum of four, in the
+first list it meets in, and then verified by its Hamming distance. Only distinct fingerprints are indexed, however
+many documents share them.
 """
 
 from __future__ import annotations
@@ -70,7 +72,8 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def _entries(bits: int) -> list[tuple[int, ...]]:
-    return list(combinations(range(BYTES), BYTES - bits))
+    """The positions of each list: one fewer than linked fingerprints share at least, so that the tally decides."""
+    return list(combinations(range(BYTES), max(1, BYTES - bits - 1)))
 
 
 def index_entries(fps: DataFrame, bits: int) -> DataFrame:
@@ -87,8 +90,8 @@ def index_entries(fps: DataFrame, bits: int) -> DataFrame:
 def linked_within(fps: np.ndarray, places: tuple[int, ...], bits: int, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """A spanning set of links among distinct fingerprints that share the bytes at ``places``.
 
-    Each pair's shared positional bytes are tallied against the minimum ``8 - bits``; a pair belongs to the
-    entry made of its first shared bytes. The rows of a block are compared with all, so memory is bounded.
+    Each pair's shared positional bytes are tallied; pairs that reach the minimum ``8 - bits``, and whose first
+    shared bytes are those of this list, are verified. The rows of a block are compared with all, so memory is bounded.
     """
     n, least = len(fps), BYTES - bits
     parent = np.arange(n)
@@ -102,18 +105,16 @@ def linked_within(fps: np.ndarray, places: tuple[int, ...], bits: int, rows: int
         return i
 
     for at in range(0, n, rows):
-        near = np.bitwise_count(fps[at : at + rows, None] ^ fps[None, :]) <= bits
-        i, j = np.nonzero(near)
+        tally = np.zeros((min(rows, n - at), n), dtype=np.uint8)
+        first = np.ones(tally.shape, dtype=bool)
+        for p in range(BYTES):
+            shared = cells[at : at + rows, p, None] == cells[None, :, p]
+            tally += shared
+            if p < places[-1] and p not in places:
+                first &= ~shared
+        i, j = np.nonzero((tally >= least) & first)
         i += at
-        keep = i < j
-        i, j = i[keep], j[keep]
-        shared = cells[i] == cells[j]
-        tally = shared.sum(axis=1)
-        first = np.ones(len(i), dtype=bool)
-        for p in range(places[-1] + 1):
-            if p not in places:
-                first &= ~shared[:, p]
-        keep = (tally >= least) & first
+        keep = (i < j) & (np.bitwise_count(fps[i] ^ fps[j]) <= bits)
         for x, y in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
             rx, ry = root(x), root(y)
             if rx != ry:
