@@ -13,8 +13,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,9 @@ from pyspark.sql import DataFrame
 from siftlake.llm.common import arrow_schema
 
 SPACE = "▁"
-#: Segments of up to this many characters are kept with their ids.
+#: Segments of up to this many characters are kept with their ids; longer ones come in parts.
 KEPT_CHARS = 48
+PART = 4096
 KEPT = 1_000_000
 #: Pieces whose followers are kept.
 PAIRS = 60_000
@@ -45,7 +47,10 @@ class Vocabulary:
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
-        """The pieces of a BPE model file with dummy prefix, kept white space and no character map."""
+        """The pieces of a model file with dummy prefix, kept white space and no character map.
+
+        The scores of a BPE model are whole numbers, the order of its merges; others are a unigram model's.
+        """
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -62,7 +67,8 @@ class Vocabulary:
             else:
                 ids[piece], scores[piece] = i, model.get_score(i)
                 surfaces.append(piece.replace(SPACE, " ").encode())
-        return cls(ids, scores, tuple(byte_ids[b] for b in range(256)) if len(byte_ids) == 256 else (), model.unk_id(), tuple(surfaces))
+        bpe = all(float(x).is_integer() for x in scores.values())
+        return cls(ids, scores, tuple(byte_ids[b] for b in range(256)) if len(byte_ids) == 256 else (), model.unk_id(), tuple(surfaces), bpe)
 
 
 class Codec:
@@ -139,73 +145,101 @@ class Codec:
                 y = right[j][1]
                 j += 1
 
-    def pieces_of(self, parts: Iterator[str]) -> Iterator[str]:
-        """Pieces of a normalised text that comes in parts, committed as soon as they are certain."""
-        window, base = "", 0  # the text from the last committed boundary on; its place
-        back: dict[int, tuple[int, str, float]] = {0: (0, "", 0.0)}  # boundary -> start and string of its last piece, path's score
-        at, reach, bpe = 0, 0, self.v.bpe  # the next boundary to go on from; the farthest one reached from before it
-
-        def path(end: int) -> list[str]:
-            out = []
-            while end > base:
-                start, piece, _ = back[end]
-                out.append(piece)
-                end = start
-            return out[::-1]
-
-        def commit(boundary: int) -> list[str]:
-            nonlocal window, base
-            out = path(boundary)
-            for k in range(base, boundary):
-                back.pop(k, None)
-            window, base = window[boundary - base :], boundary
-            return out
-
-        def relax() -> None:
-            nonlocal at, reach
-            _, before, score = back[at]
-            for n in range(1, min(self.longest, base + len(window) - at) + 1):
-                piece = window[at - base : at - base + n]
-                whole = self.trie.get(piece)
-                if n > 1 and whole is None:
-                    break
-                if n > 1 and not whole:
+    def committed(self, parts: Iterable[str]) -> Iterator[list[str]]:
+        """Pieces of a normalised text that comes in parts, in runs that are committed as soon as they are certain.
+
+        ``window`` holds the text from the last committed boundary on. A boundary is gone on from once all pieces that
+        may begin there are in the window; it is committed where no edge crosses it, or else, in a window of four
+        longest pieces, at the last boundary that the backpointer paths of all live boundaries run through.
+        """
+        longest, trie, pairs, bpe, scores, least = self.longest, self.trie, self.pairs, self.v.bpe, self.v.scores, self.least
+        window, starts, last, totals = "", [0], [""], {0: 0.0}  # for each boundary of the window: its last piece, the path's score
+        at, reach, certain, size = 0, 0, 0, 0  # the next boundary to go on from; the farthest one reached so far; the last one committed
+        wide = 4 * longest
+
+        for part in chain(parts, (None,)):
+            if part is not None:
+                if certain > wide:  # forget what is committed
+                    window, starts, last = window[certain:], [max(0, s - certain) for s in starts[certain:]], last[certain:]
+                    totals = {b - certain: t for b, t in totals.items() if b >= certain}
+                    at, reach, certain = at - certain, reach - certain, 0
+                window += part
+                size = len(window)
+                starts += [0] * len(part)
+                last += [None] * len(part)
+                until = size - longest + 1
+            else:
+                until = size
+            while at < until:
+                before = last[at]
+                if before is None:
+                    at += 1
                     continue
-                end, total = at + n, score + self.v.scores.get(piece, self.least)
-                held = back.get(end)
-                if (held is None and self.compatible(before, piece)) if bpe else (held is None or total > held[2]):
-                    back[end] = (at, piece, total)
-                    reach = max(reach, end)
-            at += 1
-
-        def meeting() -> int:
-            """The last boundary that the paths of all live boundaries run through."""
-            live = [b for b in back if b >= at]
-            ends = set(live)
-            while len(ends) > 1:
-                last = max(ends)
-                ends.remove(last)
-                ends.add(max(back[last][0], base) if last > base else base)
-            return ends.pop()
-
-        for part in parts:
-            window += part
-            while base + len(window) - at >= self.longest:
-                if at > base and reach <= at:
-                    yield from commit(at)
-                elif at - base >= 4 * self.longest and (b := meeting()) > base:
-                    yield from commit(b)
-                if at in back:
-                    relax()
+                if reach <= at or at - certain >= wide:
+                    done = at if reach <= at else self.meeting(at, starts, last)
+                    if done > certain:
+                        yield self.path(certain, done, starts, last)
+                        certain = done
+                if bpe:
+                    fits = pairs.get(before)
+                    if fits is None:
+                        if len(pairs) > PAIRS:
+                            pairs.clear()
+                        fits = pairs[before] = {}
+                    end, stop = at + 1, at + longest if at + longest < size else size
+                    piece = window[at:end]
+                    whole = True  # a single character may always stand alone
+                    while True:
+                        if whole and last[end] is None:
+                            good = fits.get(piece)
+                            if good is None:
+                                good = fits[piece] = self._compatible(before, piece)
+                            if good:
+                                starts[end], last[end] = at, piece
+                                if end > reach:
+                                    reach = end
+                        if end == stop:
+                            break
+                        end += 1
+                        piece = window[at:end]
+                        whole = trie.get(piece)
+                        if whole is None:
+                            break
                 else:
-                    at += 1
-        end = base + len(window)
-        while at < end:
-            if at in back:
-                relax()
-            else:
+                    for end in range(at + 1, min(at + longest, size) + 1):
+                        piece = window[at:end]
+                        whole = trie.get(piece)
+                        if whole is None and end > at + 1:
+                            break
+                        total = totals[at] + scores.get(piece, least)
+                        if (whole or end == at + 1) and (last[end] is None or total > totals[end]):
+                            starts[end], last[end], totals[end] = at, piece, total
+                            reach = max(reach, end)
                 at += 1
-        yield from path(end)
+        yield self.path(certain, size, starts, last)
+
+    @staticmethod
+    def path(begin: int, end: int, starts: list[int], last: list[str]) -> list[str]:
+        """The pieces on the path from one boundary to another."""
+        out = []
+        while end > begin:
+            out.append(last[end])
+            end = starts[end]
+        return out[::-1]
+
+    @staticmethod
+    def meeting(at: int, starts: list[int], last: list[str | None]) -> int:
+        """The last boundary that the paths of all live boundaries run through."""
+        ends = {b for b in range(at, len(last)) if last[b] is not None}
+        while len(ends) > 1:
+            top = max(ends)
+            ends.remove(top)
+            ends.add(starts[top])
+        return ends.pop()
+
+    def pieces_of(self, parts: Iterable[str]) -> Iterator[str]:
+        """Pieces of a normalised text that comes in parts."""
+        return chain.from_iterable(self.committed(parts))
 
     def cut(self, segment: str) -> list[str]:
         """A segment cut at the boundaries that all paths have."""
@@ -213,50 +247,16 @@ class Codec:
         ends = [k for k in range(1, len(segment)) if segment[k - 1 : k + 1] not in inner]
         return [segment[i:j] for i, j in zip([0, *ends], [*ends, len(segment)], strict=True)] if ends else [segment]
 
-    def pieces_of_short(self, text: str) -> list[str]:
-        """As ``pieces_of`` for a string no longer than a window or so: no need to commit before its end."""
-        if len(text) == 1:
-            return [text]
-        n, longest, trie, pairs = len(text), self.longest, self.trie, self.pairs
-        starts, last = [0] * (n + 1), [None] * (n + 1)
-        last[0] = ""
-        for at in range(n):
-            before = last[at]
-            if before is None:
-                continue
-            fits = pairs.get(before)
-            if fits is None:
-                fits = pairs[before] = {}
-            for end in range(at + 1, min(at + longest, n) + 1):
-                piece = text[at:end]
-                whole = trie.get(piece)
-                if whole is None and end > at + 1:
-                    break
-                if last[end] is None and (whole or end == at + 1):
-                    good = fits.get(piece)
-                    if good is None:
-                        good = fits[piece] = self._compatible(before, piece)
-                    if good:
-                        starts[end], last[end] = at, piece
-        if len(pairs) > PAIRS:
-            pairs.clear()
-        out = []
-        while n:
-            out.append(last[n])
-            n = starts[n]
-        return out[::-1]
-
-    def ids_of_short(self, text: str) -> bytes:
-        """Ids of a string between two certain boundaries, kept for the next time."""
+    def ids_of_part(self, text: str) -> bytes:
+        """Ids of a string between two certain boundaries; those of short ones are kept for the next time."""
         got = self.known.get(text)
         if got is None:
-            if len(text) > KEPT_CHARS or not self.v.bpe:
-                parts = (text[k : k + 4096] for k in range(0, len(text), 4096))
-                return np.array([i for p in self.pieces_of(parts) for i in self.ids_of_piece(p)], dtype=np.int32).tobytes()
-            got = np.array([i for p in self.pieces_of_short(text) for i in self.ids_of_piece(p)], dtype=np.int32).tobytes()
-            if len(self.known) >= KEPT:
-                self.known.clear()
-            self.known[text] = got
+            parts = (text[k : k + PART] for k in range(0, len(text), PART))
+            got = np.array([i for p in self.pieces_of(parts) for i in self.ids_of_piece(p)], dtype=np.int32).tobytes()
+            if len(text) <= KEPT_CHARS:
+                if len(self.known) >= KEPT:
+                    self.known.clear()
+                self.known[text] = got
         return got
 
     def ids_of_piece(self, piece: str) -> list[int]:
@@ -279,7 +279,7 @@ class Codec:
             yield from self.ids_of_piece(piece)
 
     def encode(self, text: str) -> np.ndarray:
-        """Ids of a text. Segments between certain boundaries are encoded once and kept."""
+        """Ids of a text. Segments between certain boundaries all go through ``committed``; short ones are encoded once and kept."""
         if not text:
             return np.zeros(0, dtype=np.int32)
         if not self.cuts_at_space:
@@ -288,7 +288,7 @@ class Codec:
         for segment in self.segment.findall(SPACE + text.replace(" ", SPACE)):
             got = known.get(segment)
             if got is None:
-                got = b"".join(map(self.ids_of_short, self.cut(segment)))
+                got = b"".join(map(self.ids_of_part, self.cut(segment)))
                 if len(segment) <= KEPT_CHARS:
                     known[segment] = got
             out.append(got)
