@@ -44,10 +44,12 @@ def fit(
 ) -> LanguageModel:
     """Dictionaries from a bounded sample of labelled rows.
 
-    At most ``sample_rows`` rows of each language are used (rows of up to ``prefer_bytes`` first, then
-    in the order of a hash of the id), and a dictionary holds at most ``dictionary_bytes``; what reaches
-    the driver is bounded by languages x ``sample_rows`` x ``dictionary_bytes``. Rows whose text, language
-    or id is null take no part. Without rows there are no languages and all texts are undetermined.
+    At most ``sample_rows`` distinct rows of each language are used (rows of up to ``prefer_bytes`` first, then
+    in the order of a hash of the id), and a dictionary holds at most ``dictionary_bytes``. A text of more than
+    ``dictionary_bytes / 4`` characters, used only where shorter ones are few, gives eight pieces of that length
+    together, spread evenly over it; what reaches the driver is bounded by languages x ``sample_rows`` x
+    ``dictionary_bytes``. Rows whose text, language or id is null take no part; repeated rows count once. Without
+    rows there are no languages and all texts are undetermined.
     """
     rows = docs.where(usable if usable is not None else F.lit(True)).where(
         F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")
@@ -57,27 +59,27 @@ def fit(
         F.col(lang_col).alias("_lang"),
         (F.octet_length(text_col) > prefer_bytes).alias("_long"),
         F.xxhash64(F.col(id_col).cast("string")).alias("_h"),
+        F.xxhash64(F.col(id_col).cast("string"), lang_col, text_col).alias("_x"),
     )
-    order = Window.partitionBy("_lang").orderBy("_long", "_h", "_id")
-    first = keys.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample_rows)
-    chosen = [tuple(r) for r in first.select("_id", "_lang", "_n").distinct().collect()]  # languages x sample_rows keys
-    share = max(1, dictionary_bytes // 4)
-    ids = sorted({r[0] for r in chosen})
+    order = Window.partitionBy("_lang").orderBy("_long", "_h", "_id", "_x")
+    first = keys.withColumn("_n", F.dense_rank().over(order)).where(F.col("_n") <= sample_rows)  # equal rows have one rank
+    places = {r[0]: (r[1], r[2]) for r in first.select("_x", "_lang", "_n").distinct().collect()}  # languages x sample_rows keys
+    share = max(8, dictionary_bytes // 4)
+    spread = [F.substring(F.col("_t"), (F.lit(1) + F.floor((F.length("_t") - share // 8) * k / 7)).cast("int"), F.lit(share // 8)) for k in range(8)]
     sample: dict[str, dict[int, bytes]] = {}
-    if ids:
-        places = {(i, lang): n for i, lang, n in chosen}
-        for i, lang, text in (
-            rows.where(F.col(id_col).isin(ids)).select(id_col, lang_col, F.substring(text_col, 1, share)).distinct().collect()
-        ):
-            if (i, lang) in places:
-                sample.setdefault(lang, {})[places[i, lang]] = letters_of(text).encode()
+    if places:
+        made = rows.select(F.xxhash64(F.col(id_col).cast("string"), lang_col, text_col).alias("_x"), F.col(text_col).alias("_t")).where(F.col("_x").isin(list(places)))
+        for x, text in made.select("_x", F.when(F.length("_t") <= share, F.col("_t")).otherwise(F.concat_ws(" ", *spread)).alias("_t")).dropDuplicates(["_x"]).collect():
+            lang, n = places[x]
+            sample.setdefault(lang, {})[n] = letters_of(text).encode()
     return LanguageModel(
         {lang: b" ".join(t for _, t in sorted(parts.items(), reverse=True))[-dictionary_bytes:] for lang, parts in sorted(sample.items())}
     )
 
 
-#: Case, digits and signs say nothing of the language.
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Case, digits and signs say nothing of the language. Signs for numbers, such as a half or a raised two, are no letters either.
+_NUMBERS = "".join(chr(c) for c in range(0x110000) if chr(c).isnumeric() and not chr(c).isalpha() and not chr(c).isdecimal())
+NOT_LETTERS = re.compile(rf"[\W\d_{_NUMBERS}]+")
 
 
 def letters_of(text: str) -> str:
