@@ -17,14 +17,16 @@ BATCH_BYTES = 2_000_000
 
 
 def session(spark: SparkSession) -> SparkSession:
-    """The session, with Arrow batches small enough for long texts."""
+    """The session, with Arrow batches small enough for long texts: a setting of the whole session, as Spark has no other."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where it is unset and the master is local (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not where:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         where = spark.sparkContext.getCheckpointDir()

@@ -145,8 +145,8 @@ def fit(
 
     The ``sample_rows`` labelled rows that come first by a hash of their id, among texts of up to
     ``sample_chars`` characters (a longer text is no training row), reach the driver, which trains
-    there. Rows with a null id, text or label, or a label other than 0 and 1, take no part. If only
-    one class, or none, is left, the score is a constant.
+    there. Rows with a null id, text or label, or a label other than 0 and 1, take no part; of several texts or
+    labels of one id the least by hash counts. If only one class, or none, is left, the score is a constant.
     """
     s = settings or Settings()
     marked = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("_y")).where(F.col("_y").isin(0, 1))
@@ -160,7 +160,8 @@ def fit(
     chosen = {}
     for r in first.collect():  # sample_rows keys
         chosen.setdefault(r[0], r[1])
-    texts = {r[0]: r[1] for r in rows.where(F.col(id_col).isin(list(chosen))).collect()} if chosen else {}
+    asked = rows.where(F.col(id_col).isin(list(chosen)))  # one text an id, however often the id repeats
+    texts = {r[0]: r[1] for r in asked.groupBy(id_col).agg(F.min_by("_t", F.struct(F.xxhash64("_t"), "_t"))).collect()} if chosen else {}
     return fit_rows([(texts[i], y) for i, y in chosen.items()], s)
 
 

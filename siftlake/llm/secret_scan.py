@@ -102,9 +102,13 @@ def find_secrets(text: str, model: np.ndarray, ratios: dict[str, float], least_m
     """Base spans and added spans of one text. ``ratios`` caches ratios of tokens."""
     base, _ = base_spans(text)
     added = []
+    at, reached = 0, 0  # the base spans come by start: those that begin before the run's end, and the farthest end of these
     for run in RUN.finditer(text):
         token = run.group()
-        if any(s < run.end() and run.start() < e for s, _, e in base):
+        while at < len(base) and base[at][0] < run.end():
+            reached = max(reached, base[at][2])
+            at += 1
+        if reached > run.start():
             continue
         ratio = ratios.get(token)
         if ratio is None:

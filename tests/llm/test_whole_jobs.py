@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import random
 
-from siftlake.llm import decontaminate, warc
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from siftlake.llm import decontaminate, language_id, secret_scan, warc
 
 
 def test_edited_copies_beside_a_verbatim_one(spark):
@@ -23,3 +27,81 @@ def test_pages_with_very_long_urls_are_read(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     for split in (500, 50_000, 8 << 20):
         assert sorted(r.page_id for r in warc.archive_and_read(pages, split_bytes=split).collect()) == list(range(12))
+
+
+def test_decontamination_finds_what_aligning_all_pairs_finds(spark, monkeypatch):
+    """Copies with words put in, left out and changed, items of all lengths: every pair, and its score, as by brute force."""
+    rng = random.Random(8)
+    vocabulary = [f"v{k}" for k in range(3000)]
+    items = {k: [rng.choice(vocabulary) for _ in range(n)] for k, n in enumerate([4, 9, 17, 30, 30, 40, 64, 65, 90, 300])}
+    items[20] = items[3][:15] + [rng.choice(vocabulary) for _ in range(15)]  # shares a half with another
+    docs = {}
+    for k, words in items.items():
+        for kind in range(8):
+            copy = []
+            for j, w in enumerate(words):
+                if kind == 1 and j % 4 == 0:
+                    continue
+                if kind in (2, 3) and rng.random() < (0.15, 0.3)[kind - 2]:
+                    w = rng.choice(vocabulary)
+                copy.append(w)
+                if kind in (4, 5) and rng.random() < (0.3, 0.8)[kind - 4]:
+                    copy += rng.sample(vocabulary, rng.randint(1, 2))
+                if kind == 6 and not len(words) // 2 <= j < len(words) // 2 + 2:  # a word between all words but three
+                    copy.append("between")
+            docs[100 * k + kind] = rng.choices(vocabulary, k=rng.randint(0, 900)) + copy + rng.choices(vocabulary, k=rng.randint(0, 900))
+    words_of = decontaminate.Words()
+    coded = {i: words_of(" ".join(w)) for i, w in items.items()}
+    want = {}
+    for d, words in docs.items():
+        text = words_of(" ".join(words))
+        for i, item in coded.items():
+            if np.isin(decontaminate.grams(text, 3), decontaminate.grams(item, 3)).any():
+                score, low, high = decontaminate.align(item, text)
+                inside = np.isin(decontaminate.grams(text[low:high], 3), decontaminate.grams(item, 3)).any()
+                if score >= len(item) and inside:
+                    want[d, i] = score / 2 / len(item)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    table = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(table, bench).collect()}
+    assert got == pytest.approx(want) and len(want) > 60
+    assert (306, 3) in got and got[306, 3] < 0.56  # thirty words with one word between, and one n-gram left
+
+
+def test_language_needs_a_letter(spark):
+    assert [language_id.letters_of(t) for t in ("½²", "①②", "\u0301\u0308", "Ⅷ", "12_3", "½a²")] == ["", "", "", "", "", "a"]
+    train = spark.createDataFrame([(1, "the one and only text of this language", "en"), (2, "der eine und einzige text dieser sprache", "de")] * 3, "doc_id long, text string, lang string")
+    odd = spark.createDataFrame([(k, t) for k, t in enumerate(["½²", "①", "\u0301", None, "", "x½"])], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(odd, language_id.fit(train)).collect()}
+    assert [got[k] == "und" for k in range(6)] == [True] * 5 + [False]
+
+
+def test_long_training_texts_are_read_over_their_whole_length(spark):
+    long = spark.createDataFrame([(1, "alpha " * 9000 + "omega " * 9000, "xx"), (1, "alpha " * 9000 + "omega " * 9000, "xx")], "doc_id long, text string, lang string")
+    (content,) = language_id.fit(long, dictionary_bytes=4096).dictionaries.values()
+    assert b"alpha" in content and b"omega" in content and len(content) <= 4096
+
+
+def test_archive_ranges_are_dealt_to_many_tasks(spark):
+    rows = [(k, "http://a/", "".join(random.Random(k).choices("abcdefghij", k=20_000))) for k in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = warc.archive_and_read(pages, split_bytes=20_000)
+    assert got.rdd.getNumPartitions() >= 8 and got.where(F.col("record_type") == "response").count() == 60
+
+
+def test_added_secret_spans_on_strings_held_out_of_training(spark):
+    """Random strings are found, ordinary identifiers are not; training sees other ones."""
+    rng = random.Random(12)
+    parts = "user name count index parse file reader default handler request value config session update table index_key http server client order total price list".split()
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    secret = lambda: "".join(rng.choice(alphabet) for _ in range(rng.randint(24, 44)))
+    name = lambda: rng.choice(["_", "", "-"]).join(rng.sample(parts, rng.randint(3, 6)))
+    train = [(k, f"password = {secret()} " + " ".join(name() for _ in range(40))) for k in range(150)]
+    model = secret_scan.train(spark.createDataFrame(train, "doc_id long, text string"))
+    new_secrets, new_names = [secret() for _ in range(400)], [name() for _ in range(400)]
+    found = [bool(secret_scan.find_secrets(f"see {t} here", model, {}, 1.0, 20.0)[1]) for t in new_secrets + new_names]
+    recall, wrong = np.mean(found[:400]), np.mean(found[400:])
+    assert recall >= 0.85 and wrong <= 0.01, (recall, wrong)
+    text = " ".join(f"token={t} {u}" for t, u in zip(new_secrets, reversed(new_secrets)))
+    base, added = secret_scan.find_secrets(text, model, {}, 1.0, 20.0)
+    assert len(base) == 400 and not any(s < e2 and s2 < e for s, _, e in base for s2, _, e2 in added) and len(added) >= 0.85 * 400
