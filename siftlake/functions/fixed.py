@@ -129,6 +129,24 @@ BLOCKED_BLOCKS = (
     "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4",
 )
 
+# IPv6 networks that are private, local, reserved, multicast or unspecified, and the parts of them that are global.
+BLOCKED_SIX = (
+    "::/8", "100::/8", "200::/7", "400::/6", "800::/5", "1000::/4", "2001::/23", "2001:db8::/32", "2002::/16", "3fff::/20", "4000::/3", "6000::/3", "8000::/3",
+    "a000::/3", "c000::/3", "e000::/4", "f000::/5", "f800::/6", "fc00::/7", "fe00::/9", "fe80::/10", "fec0::/10", "ff00::/8",
+)
+GLOBAL_SIX = ("2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28")
+
+# Types of the older label set and their newer names.
+OLD_TYPES = {"핵_배포": "불법프로그램_배포", "매크로_판매": "매크로_판매", "리세마라": "리세마라", "계정_거래": "계정_거래", "기타": "기타", "": "기타"}
+
+# Post ids in addresses by site.
+POST_ID_EPOCH = r"/M\.(\d+)(?:\.[A-Z]\.[0-9A-F]+)?\.html$"
+POST_ID_THREAD = r"/thread-(\d+)-(\d+)-(\d+)\.html$"
+POST_ID_BOARD, POST_ID_TOPIC = r"[?&]bsn=(\d+)", r"[?&]snA=(\d+)"
+POST_ID_NUMBER = r"tid=(\d+)"
+POST_ID_PAIR = r"^bsn(\d+)_snA(\d+)$"
+THREAD_URL, BOARD_URL = "https://www.52pojie.cn/thread-", "https://forum.gamer.com.tw/C.php?bsn="
+
 # Addresses of posts by site, rebuilt from the post id ("" marks the id).
 POST_URLS = {
     "inven_maple": "https://www.inven.co.kr/board/maple/2298/",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -95,35 +96,62 @@ def ipv4_number(c: Column) -> Column:
     return F.when(good & in_range, total)
 
 
-def post_id(site: Column, url: Column) -> Column:
-    """The post id in an address by the site's rule; null where the rule does not match. Other sites: last path part."""
+def post_id(site: Column, url: Column, rules: dict[str, Callable[[Column], Column]] | None = None) -> Column:
+    """The post id in an address by the site's rule; null where the rule does not match. Other sites: last path part.
+
+    ``rules`` adds or replaces rules: a function of the address by the name of a site.
+    """
 
     def part(pattern: str, group: int = 1) -> Column:
         got = F.regexp_extract(url, pattern, group)
         return F.nullif(got, F.lit(""))
 
-    epoch = part(r"/M\.(\d+)(?:\.[A-Z]\.[0-9A-F]+)?\.html$")
-    thread = F.concat_ws("_", *[part(r"/thread-(\d+)-(\d+)-(\d+)\.html$", k) for k in (1, 2, 3)])
-    board, topic = part(r"[?&]bsn=(\d+)"), part(r"[?&]snA=(\d+)")
+    thread = F.concat_ws("_", *[part(fixed.POST_ID_THREAD, k) for k in (1, 2, 3)])
+    pair = F.concat(F.lit("bsn"), part(fixed.POST_ID_BOARD), F.lit("_snA"), part(fixed.POST_ID_TOPIC))
     last = F.regexp_extract(F.regexp_replace(url, "/+$", ""), "([^/]*)$", 1)
+    made = reduce(lambda before, rule: F.when(site == rule[0], rule[1](url)) if before is None else before.when(site == rule[0], rule[1](url)), (rules or {}).items(), None)
+    first = (lambda c, v: F.when(c, v)) if made is None else made.when
     return (
-        F.when((site == "ptt") | F.startswith(site, F.lit("ptt_")), epoch)
+        first((site == "ptt") | F.startswith(site, F.lit("ptt_")), part(fixed.POST_ID_EPOCH))
         .when(site == "52pojie", F.nullif(thread, F.lit("")))
-        .when(F.startswith(site, F.lit("bahamut")), F.concat(F.lit("bsn"), board, F.lit("_snA"), topic))
-        .when(site == "nga", part(r"tid=(\d+)"))
+        .when(F.startswith(site, F.lit("bahamut")), pair)
+        .when(site == "nga", part(fixed.POST_ID_NUMBER))
         .otherwise(last)
     )
 
 
-def backfilled_url(site: Column, post: Column, url: Column) -> Column:
-    """The stored address, or one rebuilt from site and post id; null where it cannot be rebuilt."""
+def backfilled_url(site: Column, post: Column, url: Column, rules: dict[str, Callable[[Column], Column]] | None = None) -> Column:
+    """The stored address, or one rebuilt from site and post id; null where it cannot be rebuilt.
+
+    ``rules`` adds or replaces rules: a function of the post id by the name of a site.
+    """
+    known = {name: (lambda p, start=start: F.concat(F.lit(start), p)) for name, start in fixed.POST_URLS.items()}
+    known["52pojie"] = lambda p: F.concat(F.lit(fixed.THREAD_URL), F.replace(p, F.lit("_"), F.lit("-")), F.lit(".html"))
     made = F.lit(None).cast("string")
-    for name, start in fixed.POST_URLS.items():
-        made = F.when(site == name, F.concat(F.lit(start), post)).otherwise(made)
-    made = F.when(site == "52pojie", F.concat(F.lit("https://www.52pojie.cn/thread-"), F.replace(post, F.lit("_"), F.lit("-")), F.lit(".html"))).otherwise(made)
-    pair = r"^bsn(\d+)_snA(\d+)$"
+    for name, rule in (known | (rules or {})).items():
+        made = F.when(site == name, rule(post)).otherwise(made)
     board = F.when(
-        F.startswith(site, F.lit("bahamut_")) & post.rlike(pair),
-        F.concat(F.lit("https://forum.gamer.com.tw/C.php?bsn="), F.regexp_extract(post, pair, 1), F.lit("&snA="), F.regexp_extract(post, pair, 2)),
+        F.startswith(site, F.lit("bahamut_")) & post.rlike(fixed.POST_ID_PAIR),
+        F.concat(F.lit(fixed.BOARD_URL), F.regexp_extract(post, fixed.POST_ID_PAIR, 1), F.lit("&snA="), F.regexp_extract(post, fixed.POST_ID_PAIR, 2)),
     )
     return F.coalesce(url, made, board)
+
+
+def ipv6_hex(c: Column) -> Column:
+    """An IPv6 address as 32 hex digits, so that addresses compare as numbers; null for anything else.
+
+    Short forms, a zone and a dotted tail are read; groups of zeros left out are put in.
+    """
+    text = F.lower(F.regexp_replace(c, "%.*$", ""))
+    dotted = F.regexp_extract(text, r"(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})$", 1)
+    number = ipv4_number(dotted)
+    tail = F.concat(F.hex(F.shiftright(number, 16)), F.lit(":"), F.hex(number.bitwiseAND(65535)))
+    text = F.when(dotted == "", text).otherwise(F.lower(F.concat(F.regexp_replace(text, r"\d{1,3}(\.\d{1,3}){3}$", ""), tail)))
+    sides = F.split(text, "::")
+    groups = lambda side: F.filter(F.split(F.coalesce(side, F.lit("")), ":"), lambda g: g != "")
+    left, right = groups(F.try_element_at(sides, F.lit(1))), groups(F.try_element_at(sides, F.lit(2)))
+    padded = lambda gs: F.array_join(F.transform(gs, lambda g: F.lpad(g, 4, "0")), "")
+    n = F.size(left) + F.size(right)
+    shape = text.rlike(r"^([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?(::([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?)?$") & F.contains(text, F.lit(":"))
+    full = F.when(F.size(sides) == 1, n == 8).otherwise((F.size(sides) == 2) & (n <= 7))
+    return F.when(shape & full, F.concat(padded(left), F.repeat(F.lit("0000"), 8 - n), padded(right)))

@@ -20,12 +20,11 @@ def body_duplicates(df: DataFrame, history: DataFrame | None = None, *, body: st
     df = df.withColumn("_k", F.coalesce("body_hash", F.col(arrival).cast("string")))
     first = df.where(F.col("body_hash").isNotNull()).groupBy(F.col("body_hash").alias("_k")).agg(F.min(arrival).alias("_first"))
     later = F.coalesce(F.col(arrival) > F.col("_first"), F.lit(False))
-    df = df.join(first.hint("merge"), "_k", "left").withColumn("_later", later).drop("_k", "_first")
-    if history is None:
-        return df.withColumnRenamed("_later", "duplicate")
-    known = history.select("body_hash").distinct().withColumn("_known", F.lit(True))
-    df = df.join(known, "body_hash", "left")
-    return df.withColumn("duplicate", F.col("_later") | F.coalesce("_known", F.lit(False))).drop("_later", "_known")
+    if history is not None:  # known hashes are the same keys: one more input of the same aggregate
+        known = history.where(F.col("body_hash").isNotNull()).select(F.col("body_hash").alias("_k")).distinct().withColumn("_known", F.lit(True))
+        first = first.join(known.hint("merge"), "_k", "left")
+        later = later | F.coalesce("_known", F.lit(False))
+    return df.join(first.hint("merge"), "_k", "left").withColumn("duplicate", later).drop("_k", "_first", "_known")
 
 
 def first_seen(history: DataFrame, new: DataFrame, key: str = "url", at: str = "first_seen") -> DataFrame:

@@ -75,9 +75,13 @@ def extract_links(df: DataFrame, *, key: str, text: str, base: str | None = None
 
     source = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"), (F.col(base) if base else F.lit(None).cast("string")).alias("_b"))
     tags = source.mapInPandas(parse, f"{key} {kind}, at int, kind string, url string, text string")
-    t = F.coalesce(F.col(text), F.lit(""))
+    linked_image = r"(?i)\[!\[([^\]]*)\]\([^)]*\)\]\((https?://[^\s)]+)\)"
+    markdown = r"(?i)\[([^\]]*)\]\((https?://[^\s)]+)\)"
+    # Linked images are cut out before Markdown links are sought, and these before bare addresses: each counts once.
+    texts = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    texts = texts.withColumn("_m", F.regexp_replace("_t", linked_image, " ")).withColumn("_p", F.regexp_replace("_m", markdown, " "))
 
-    def found(name: str, pattern: str, group: int, label: int | None = None) -> Column:
+    def found(t: Column, name: str, pattern: str, group: int, label: int | None = None) -> Column:
         hits = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
         return F.transform(
             hits,
@@ -89,12 +93,12 @@ def extract_links(df: DataFrame, *, key: str, text: str, base: str | None = None
 
     # Patterns of addresses outside of tags.
     made = F.concat(
-        found("js_location", r"""(?i)(?:window\.)?location(?:\.href)?(?:\s*=\s*|\.(?:replace|assign)\(\s*)['"](https?://[^'"]+)['"]""", 1),
-        found("linked_image_href", r"(?i)\[!\[([^\]]*)\]\([^)]*\)\]\((https?://[^\s)]+)\)", 2, 1),
-        found("markdown_href", r"(?i)(?<!!)\[([^\]!]*)\]\((https?://[^\s)]+)\)", 2, 1),
-        found("bare_url", r"""(?i)(https?://[^\s<>"'()\[\]]+)""", 1),
+        found(F.col("_t"), "js_location", r"""(?i)(?:window\.)?location(?:\.href)?(?:\s*=\s*|\.(?:replace|assign)\(\s*)['"](https?://[^'"]+)['"]""", 1),
+        found(F.col("_t"), "linked_image_href", linked_image, 2, 1),
+        found(F.col("_m"), "markdown_href", markdown, 2, 1),
+        found(F.col("_p"), "bare_url", r"""(?i)(https?://[^\s<>"'()\[\]]+)""", 1),
     )
-    other = df.select(key, F.inline(made))
+    other = texts.select(key, F.inline(made))
     links = tags.unionByName(other).withColumn("url", U.unwrap_redirect(U.clean_url(F.col("url")))).where(U.is_http(F.col("url")))
     rank = F.create_map(*[F.lit(x) for k, n in enumerate(KINDS) for x in (n, k)])[F.col("kind")]
     w = Window.partitionBy(key).orderBy(rank, "at")
@@ -104,7 +108,7 @@ def extract_links(df: DataFrame, *, key: str, text: str, base: str | None = None
 def exclude_self(links: DataFrame, excluded: DataFrame, url: str = "url") -> DataFrame:
     """Without links whose address (no query) is an excluded one."""
     bad = excluded.select(U.canonical_url(F.col(url)).alias("_u")).distinct()
-    return links.withColumn("_u", U.canonical_url(F.col(url))).join(bad, "_u", "left_anti").drop("_u")
+    return links.withColumn("_u", U.canonical_url(F.col(url))).join(bad.hint("merge"), "_u", "left_anti").drop("_u")
 
 
 def _ends(c: Column, endings: tuple[str, ...]) -> Column:
@@ -168,14 +172,19 @@ def top_links(df: DataFrame, *, key: str, n: int = 3) -> DataFrame:
     return df.withColumn("link_rank", F.row_number().over(w)).where(F.col("link_rank") <= n)
 
 
-def link_stats(raw: DataFrame, best: DataFrame, *, key: str, selected: int = 3, stored: int = 50) -> DataFrame:
+def link_stats(raw: DataFrame, best: DataFrame, *, key: str, selected: int = 3, stored: int = 50, aliases: int = 50) -> DataFrame:
+    """Counts of each post's links: raw, distinct, candidates, their other spellings, selected and ranked (the best
+    ``selected``), stored; and the limits that hold for candidates and for the spellings of one. ``raw`` and ``best`` are
+    the results of ``extract_links`` and ``best_links``.
+    """
     a = raw.groupBy(key).agg(F.count(F.lit(1)).alias("raw"), F.count_distinct("url").alias("unique_urls"))
     b = best.groupBy(key).agg(F.count(F.lit(1)).alias("candidates"), F.sum(F.size("aliases")).alias("aliases"))
-    made = a.join(b, key, "left")
+    made = a.join(b.hint("merge"), key, "left")
     n = F.coalesce("candidates", F.lit(0)).cast("long")
     return made.select(
         key, "raw", "unique_urls", n.alias("candidates"), F.coalesce("aliases", F.lit(0)).cast("long").alias("aliases"),
-        F.least(n, F.lit(selected)).cast("long").alias("selected"), F.least(n, F.lit(stored)).cast("long").alias("stored"),
+        F.least(n, F.lit(selected)).cast("long").alias("selected"), F.least(n, F.lit(selected)).cast("long").alias("ranked"),
+        F.least(n, F.lit(stored)).cast("long").alias("stored"), F.lit(stored).cast("long").alias("stored_limit"), F.lit(aliases).cast("long").alias("alias_limit"),
     )
 
 
@@ -222,19 +231,26 @@ def page_evidence(df: DataFrame, *, url: str = "url", html: str = "html") -> Dat
     return df.withColumn("indicators", indicators).withColumn("is_distribution_site", F.size("indicators") > 0).drop("_t")
 
 
-def blocked_addresses(df: DataFrame, ip: str = "ip", blocks: tuple[str, ...] = fixed.BLOCKED_BLOCKS) -> DataFrame:
-    """``df`` with ``blocked``: IPv4 numbers within a blocked range (also mapped into IPv6), or an IPv6 prefix that is; no address: blocked."""
+def blocked_addresses(df: DataFrame, ip: str = "ip", blocks: tuple[str, ...] = (*fixed.BLOCKED_BLOCKS, *fixed.BLOCKED_SIX), spared: tuple[str, ...] = fixed.GLOBAL_SIX) -> DataFrame:
+    """``df`` with ``blocked``: an IPv4 number or an IPv6 address within a blocked network. An IPv4 address mapped into IPv6,
+    in any spelling, counts as the IPv4 address; ``spared`` networks are allowed again; what is no address, and null, is blocked.
+    """
     import ipaddress
 
     nets = [ipaddress.ip_network(b) for b in blocks]
-    mapped = F.regexp_extract(F.lower(F.col(ip)), r"^::ffff:(\d+\.\d+\.\d+\.\d+)$", 1)
-    n = F.coalesce(U.ipv4_number(F.col(ip)), U.ipv4_number(mapped))
-    v6 = F.lower(F.col(ip))
-    six = v6.isin("::", "::1") | v6.rlike(r"^(f[cd]|fe[89ab]|ff)")
-    # A fixed list: a range test of an expression, no join.
-    ranges = F.array(*[F.struct(F.lit(int(x.network_address)).alias("lo"), F.lit(int(x.broadcast_address)).alias("hi")) for x in nets])
-    inside = F.exists(ranges, lambda r: n.between(r["lo"], r["hi"]))
-    return df.withColumn("blocked", F.when(n.isNotNull(), inside).otherwise(F.coalesce(six, F.lit(True)) | ~F.contains(v6, F.lit(":"))))
+    digits = U.ipv6_hex(F.col(ip))
+    mapped = F.when(F.startswith(digits, F.lit("0" * 20 + "ffff")), F.conv(F.substring(digits, 25, 8), 16, 10).cast("long"))
+    n = F.coalesce(U.ipv4_number(F.col(ip)), mapped)
+
+    # Fixed lists: range tests of an expression, no join. Addresses of 32 hex digits compare as strings.
+    def within(value: Column, networks: list, shown) -> Column:
+        ranges = F.array(*[F.struct(F.lit(shown(x.network_address)).alias("lo"), F.lit(shown(x.broadcast_address)).alias("hi")) for x in networks])
+        return F.exists(ranges, lambda r: value.between(r["lo"], r["hi"]))
+
+    six = lambda a: f"{int(a):032x}"
+    four = within(n, [x for x in nets if x.version == 4], int)
+    long = within(digits, [x for x in nets if x.version == 6], six) & ~within(digits, [ipaddress.ip_network(x) for x in spared], six)
+    return df.withColumn("blocked", F.when(n.isNotNull(), four).when(digits.isNotNull(), long).otherwise(F.lit(True)))
 
 
 def domain_matches(df: DataFrame, domains: DataFrame, *, host: Column, key: str) -> DataFrame:

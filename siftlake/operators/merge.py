@@ -6,6 +6,9 @@ switches to it; a path that is being read is never overwritten.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,29 +143,37 @@ def retry_schedule(attempts: DataFrame, *, retries: int = 3, base_s: float = 1.0
     return made.withColumn("delay_s", F.when(F.col("state") == "retry", base_s * F.pow(F.lit(2.0), F.col("failures") - 1))).drop("_ok", "_hard")
 
 
-def token_bucket(requests: DataFrame, *, key: str = "key", at: str = "at", capacity: float = 60.0, refill: float = 1.0) -> DataFrame:
-    """Ordered fold of each key's requests: ``admitted`` and ``wait_s``. A key's requests are one ordered stream of state.
+def token_bucket(requests: DataFrame, *, key: str = "key", at: str = "at", tie: str, capacity: float = 60.0, refill: float = 1.0) -> DataFrame:
+    """``key``, ``at``, ``tie``, ``admitted`` and ``wait_s``: an ordered fold of each key's requests, by time and then ``tie``.
 
-    The bucket before a request is full unless drained; only admitted requests drain it.
+    The bucket before a request is full unless drained; only admitted requests drain it. Rows are dealt by key and sorted
+    (Spark spills what does not fit); a task carries two numbers from request to request, whatever the key's size.
+    Requests of one key are one ordered stream by nature, and so one task's work. A null time is an error in the data and
+    comes first.
     """
-    fields = requests.select(key, at, F.unix_micros(F.col(at).cast("timestamp")).alias("_us"))
-
-    def fold(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("_us", kind="stable")
-        tokens, last, out = capacity, None, []
-        for us in pdf["_us"]:
-            now = us / 1e6
-            tokens = capacity if last is None else min(capacity, tokens + (now - last) * refill)
-            last = now
-            good = tokens >= 1
-            out.append((good, 0.0 if good else (1 - tokens) / refill))
-            tokens -= good
-        return pd.DataFrame({key: pdf[key], at: pdf[at], "admitted": [o[0] for o in out], "wait_s": [o[1] for o in out]})
-
-    kinds = dict(fields.dtypes)
-    return fields.groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, {at} {kinds[at]}, admitted boolean, wait_s double")
+    kinds = dict(requests.dtypes)
+    schema = f"{key} {kinds[key]}, {at} {kinds[at]}, {tie} {kinds[tie]}, admitted boolean, wait_s double"
+    dealt = requests.select(key, at, tie, F.unix_micros(F.col(at).cast("timestamp")).alias("_us")).repartition(key).sortWithinPartitions(key, at, tie)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, tokens, last = object(), capacity, None
+        for batch in batches:
+            admitted, waits = [], []
+            for name, us in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if name != own:
+                    own, tokens, last = name, capacity, None
+                now = us / 1e6 if us is not None else None
+                if last is not None and now is not None:
+                    tokens = min(capacity, tokens + (now - last) * refill)
+                last = now if now is not None else last
+                good = tokens >= 1
+                admitted.append(good)
+                waits.append(0.0 if good else (1 - tokens) / refill)
+                tokens -= good
+            columns = [batch.column(0), batch.column(1), batch.column(2), pa.array(admitted, pa.bool_()), pa.array(waits, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, at, tie, "admitted", "wait_s"])
+
+    return dealt.mapInArrow(fold, schema)
 
 
 def with_reused_evidence(links: DataFrame, evidence: DataFrame, as_of: Column, days: int = 7) -> DataFrame:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftlake.functions import fixed
+from siftlake.operators.rules import tier_of
+from siftlake.operators.selection import ranges_of
+
 
 def qualified(df: DataFrame, least: float = 0.70) -> DataFrame:
     return df.where(F.col("is_illegal") & (F.col("confidence") >= least) & ~F.isnan("confidence"))
@@ -116,22 +122,19 @@ def signal_breakdown(df: DataFrame, column: str = "signals") -> DataFrame:
 def latency_summary(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
     """Count, median (whole part), 95th of a hundred (value number min(n, floor(0.95 n) + 1)) and maximum, exactly.
 
-    Values are counted first. Without ``by`` the distinct values are dealt into ranges by approximate
-    quantiles and ranked within each, so no task holds them all; the offsets of the ranges are a few rows.
+    Values are counted first. The distinct values of all groups are dealt into ranges by approximate quantiles
+    and ranked within each group and range, so no task holds a whole group; the ranges' offsets are at most 64 rows a group.
     """
     by = by or []
     counts = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    if by:
-        ranked = counts.withColumn("upto", F.sum("c").over(Window.partitionBy(*by).orderBy("v"))).withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
-    else:
-        cuts = sorted(set(df.approxQuantile(column, [k / 64 for k in range(1, 64)], 0.005)))
-        place = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda x: x < F.col("v")))
-        counts = counts.withColumn("_b", place)
-        ranges = counts.groupBy("_b").agg(F.sum("c").alias("_s"))  # at most 64 rows
-        one = Window.partitionBy(F.lit(0))
-        ranges = ranges.select("_b", (F.sum("_s").over(one.orderBy("_b")) - F.col("_s")).alias("_before"), F.sum("_s").over(one).alias("n"))
-        within = F.sum("c").over(Window.partitionBy("_b").orderBy("v"))
-        ranked = counts.withColumn("upto", within).join(F.broadcast(ranges), "_b").withColumn("upto", F.col("upto") + F.col("_before"))
+    counts = counts.withColumn("_b", ranges_of(counts, "v"))
+    sums = counts.groupBy(*by, "_b").agg(F.sum("c").alias("_s"))  # at most 64 rows a group
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    ranges = sums.select(*by, "_b", (F.sum("_s").over(group.orderBy("_b")) - F.col("_s")).alias("_before"), F.sum("_s").over(group).alias("n"))
+    within = counts.withColumn("upto", F.sum("c").over(Window.partitionBy(*by, "_b").orderBy("v"))).alias("w")
+    same = reduce(lambda a, b: a & b, [F.col(f"w.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*by, "_b")])
+    joined = within.join(ranges.alias("r").hint("merge"), same)
+    ranked = joined.select(*[f"w.{c}" for c in by], "v", "c", (F.col("upto") + F.col("_before")).alias("upto"), "n")
     rank95 = F.least(F.col("n"), F.floor(F.col("n") * 0.95) + 1)
     low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
     pick = lambda r: F.min(F.when(F.col("upto") >= r, F.col("v")))
@@ -164,6 +167,43 @@ def funnel(df: DataFrame, by: str = "site_name") -> DataFrame:
     return made.withColumn("validator_skipped", F.col("empty") + F.col("sticky") + F.col("blocked") + F.col("unknown"))
 
 
+#: Counters of the listings of a run, and of one family of sites whose counts are kept apart.
+LISTING = ("boards", "discovered", "keyword_matched", "keyword_unmatched", "selected", "selected_p0", "selected_p1", "selected_p2", "selected_p3")
+
+
+def crawl_funnel(candidates: DataFrame, posts: DataFrame, *, by: str = "site_name", apart: str | None = None) -> DataFrame:
+    """All counters of a run by site and, with a null site, in all.
+
+    ``candidates``: ``by``, ``board_url``, ``keyword_matched``, ``priority_bucket``, ``selected``. ``posts``: ``by`` and
+    ``disposition``. Counted are boards, candidates found, with and without a keyword, selected and those by bucket;
+    posts attempted (not seen before), each disposition, and the skipped ones in sum. ``apart`` names a family (by
+    ``rules.site_family`` or the site itself): its candidates and posts are counted in columns of their own too.
+    A site with candidates or posts only has zeros for the others.
+    """
+    c = F.col("priority_bucket")
+    picked = F.coalesce("selected", F.lit(False))
+    found = F.coalesce("keyword_matched", F.lit(False))
+    mine = lambda: (F.col(by) == apart) if apart else F.lit(False)
+    listed = candidates.rollup(by).agg(
+        F.count_distinct("board_url").alias("boards"), F.count(F.lit(1)).alias("discovered"), F.count_if(found).alias("keyword_matched"), F.count_if(~found).alias("keyword_unmatched"),
+        F.count_if(picked).alias("selected"), *[F.count_if(picked & (c == f"P{k}")).alias(f"selected_p{k}") for k in range(4)],
+        F.count_if(mine()).alias("apart_discovered"), F.count_if(mine() & picked).alias("apart_selected"), F.grouping_id().alias("_g"),
+    )
+    is_ = lambda *d: F.coalesce(F.col("disposition").isin(*d), F.lit(False))
+    made = posts.rollup(by).agg(
+        F.count_if(~is_("seen_in_run", "seen_before")).alias("attempted"),
+        *[F.count_if(is_(d)).alias(d) for d in FUNNEL],
+        F.count_if(is_("empty", "sticky", "blocked", "unknown")).alias("validator_skipped"),
+        F.count_if(mine() & is_("enqueued")).alias("apart_enqueued"), F.count_if(mine() & is_("seen_in_run", "seen_before")).alias("apart_seen"),
+        F.count_if(mine() & is_("duplicate_body")).alias("apart_duplicates"), F.count_if(mine() & is_("fetch_failed")).alias("apart_failed"), F.grouping_id().alias("_g"),
+    )
+    left, right = listed.alias("l"), made.alias("r")
+    joined = left.join(right, F.col(f"l.{by}").eqNullSafe(F.col(f"r.{by}")) & (F.col("l._g") == F.col("r._g")), "full")
+    zero = lambda n: F.coalesce(F.col(n), F.lit(0)).cast("long").alias(n)
+    names = [n for n in (*listed.columns, *made.columns) if n not in (by, "_g")]
+    return joined.select(F.coalesce(f"l.{by}", f"r.{by}").alias(by), *[zero(n) for n in names])
+
+
 def funnel_total(families: list[DataFrame]) -> DataFrame:
     """Funnels of several families in one row: enqueued by family, duplicates and skipped in sum."""
     both = None
@@ -191,6 +231,23 @@ def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return df.groupBy(truth, predicted).agg(F.count(F.lit(1)).alias("n"))
 
 
+def tier_accuracy(df: DataFrame, *, truth: str = "type", predicted: str = "predicted_type", failed: Column | None = None) -> DataFrame:
+    """``tier``, ``total``, ``correct`` and ``rate`` by the tier of the true type, over rows that did not fail.
+
+    Labels of the older set are read as their newer types, a blank or null one as the type of clean posts.
+    """
+    tier = lambda c: tier_of(newer_type(F.col(c)))
+    rows = df.where(~F.coalesce(failed, F.lit(False))) if failed is not None else df
+    got = rows.select(tier(truth).alias("tier"), (tier(truth) == tier(predicted)).alias("_c"))
+    return got.groupBy("tier").agg(F.count(F.lit(1)).alias("total"), F.count_if("_c").alias("correct")).withColumn("rate", F.col("correct") / F.col("total"))
+
+
+def newer_type(type_: Column) -> Column:
+    """The type of the present set for a label of the older one."""
+    name = F.coalesce(F.trim(type_), F.lit(""))
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in fixed.OLD_TYPES.items() for x in kv])[name], name)
+
+
 def binary_quality(df: DataFrame, truth: Column, predicted: Column) -> DataFrame:
     """Recall, specificity and accuracy; null where nothing is to be judged."""
     good = F.count_if(truth & predicted), F.count_if(truth), F.count_if(~truth & ~predicted), F.count_if(~truth)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -21,11 +22,20 @@ def detection_filter(
     type_: str | None = None,
     language: str | None = None,
     tier: str | None = None,
+    date: str | None = None,
+    range_: str | None = None,
+    as_of: Column | None = None,
 ) -> DataFrame:
     """Illegal detections of enough confidence; a blank or unset option adds no filter. ``since`` is inclusive, ``until`` not.
 
-    Filters are added only when set, so that they reach the scan. NaN confidence is out.
+    ``range_`` (such as ``7d``, counted back from ``as_of``) and ``date`` (a UTC day, ``yyyy-mm-dd``) set both ends; a
+    date overrides a range. Filters are added only when set, so that they reach the scan. NaN confidence is out.
     """
+    if date and date.strip():
+        day = datetime.date.fromisoformat(date.strip())
+        since, until = (F.lit(f"{d} 00:00:00").cast("timestamp_ntz") for d in (day, day + datetime.timedelta(days=1)))
+    elif range_ and range_.strip():
+        since, until = as_of - F.make_dt_interval(F.lit(range_days(range_))), None
     df = df.where((F.col("confidence") >= least_confidence) & ~F.isnan("confidence") & F.col("is_illegal"))
     if since is not None:
         df = df.where(F.col("detected_at") >= since)
@@ -88,26 +98,48 @@ def content_kind(body: Column, family: Column | None = None, least: int = 50) ->
     return kind.when(family.isNull(), "real").otherwise("unknown")
 
 
+def _first_marker(text: Column, markers: tuple[str, ...]) -> Column:
+    """The first of the markers, in their order, that the text holds."""
+    return F.coalesce(*[F.when(F.contains(text, F.lit(m)), F.lit(m)) for m in markers])
+
+
+def content_validation(body: Column, family: Column | None = None, least: int = 50) -> Column:
+    """``kind`` (see ``content_kind``) and ``reason``: what decided it - the length, the marker found, or the family's rules.
+
+    The kind is bound once, as the variable of a function over an array of one, so that the plan does not copy it.
+    """
+
+    def explained(kind: Column) -> Column:
+        text = strip(F.coalesce(body, F.lit("")))
+        quoted = lambda m: F.concat(F.lit("marker: "), m)
+        reason = (
+            F.when(kind == "empty", "empty body")
+            .when(kind == "short", F.concat(F.lit("body of "), F.length(text).cast("string"), F.lit(f" characters, least {least}")))
+            .when(kind == "captcha", quoted(_first_marker(text, fixed.CAPTCHA_MARKERS)))
+            .when(kind == "auth_wall", quoted(F.coalesce(_first_marker(text, fixed.AUTH_WALL_MARKERS), F.lit("by the rules of the site"))))
+            .when(kind == "error", quoted(F.coalesce(_first_marker(text, fixed.ERROR_MARKERS), F.lit("by the rules of the site"))))
+            .when(kind == "sticky", "notice by the rules of the site")
+            .when(kind == "unknown", "no mark of a post by the rules of the site")
+            .otherwise("")
+        )
+        return F.struct(kind.alias("kind"), reason.alias("reason"))
+
+    return F.element_at(F.transform(F.array(content_kind(body, family, least)), explained), 1)
+
+
+#: Counter of each kind of page that is no post.
+SKIPPED = {"sticky": "sticky", "auth_wall": "blocked", "captcha": "blocked", "error": "blocked", "empty": "empty", "short": "empty", "unknown": "unknown"}
+
+
 def skip_reason(kind: Column) -> Column:
-    """Counter of a page that is no post; null for a real one."""
-    return (
-        F.when(kind == "sticky", "sticky")
-        .when(kind.isin("auth_wall", "captcha", "error"), "blocked")
-        .when(kind.isin("empty", "short"), "empty")
-        .when(kind == "unknown", "unknown")
-    )
+    """Counter of a page that is no post; null for a real one. The kind is looked up once."""
+    return F.create_map(*[F.lit(x) for kv in SKIPPED.items() for x in kv])[kind]
 
 
 def disposition(seen_in_run: Column, seen_before: Column, ok: Column, kind: Column, duplicate: Column) -> Column:
-    """What became of a candidate: the first of these that holds."""
-    return (
-        F.when(seen_in_run, "seen_in_run")
-        .when(seen_before, "seen_before")
-        .when(~F.coalesce(ok, F.lit(False)), "fetch_failed")
-        .when(skip_reason(kind).isNotNull(), skip_reason(kind))
-        .when(duplicate, "duplicate_body")
-        .otherwise("enqueued")
-    )
+    """What became of a candidate: the first of these that holds. Each test is in the plan once, and run only where none before it holds."""
+    before = F.when(seen_in_run, "seen_in_run").when(seen_before, "seen_before").when(~F.coalesce(ok, F.lit(False)), "fetch_failed")
+    return F.coalesce(before, skip_reason(kind), F.when(duplicate, "duplicate_body"), F.lit("enqueued"))
 
 
 def split_verdicts(df: DataFrame, types: tuple[str, ...] = fixed.DETECTION_TYPES) -> tuple[DataFrame, DataFrame]:
@@ -149,12 +181,32 @@ def enabled_rules(rules: DataFrame, event_type: str) -> DataFrame:
     return rules.where(F.col("enabled") & F.col("channel_enabled") & (F.col("event_type") == event_type)).orderBy("created_at", "id")
 
 
+#: Rules without type and site up to which they are sent to all tasks.
+BROADCAST_RULES = 10_000
+
+
 def match_rules(detections: DataFrame, rules: DataFrame) -> DataFrame:
     """``detection_id`` and ``rule_id`` of each rule that a detection meets; null or blank fields of a rule match all.
 
-    Rules are few (a person writes each one); where they are small Spark broadcasts them for the
-    comparison, else it falls back to a nested loop over partitions.
+    A rule with a type or a site is joined by that (equal values, a shuffle); the others, which look at every detection,
+    are sent to all tasks behind a count of at most ``BROADCAST_RULES``. More of them than that raise an error: they
+    would give each detection that many rows.
     """
+    blank = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == ""
+    typed = rules.where(~blank("detection_type"))
+    sited = rules.where(blank("detection_type") & ~blank("source_site_name"))
+    wide = rules.where(blank("detection_type") & blank("source_site_name"))
+    if wide.limit(BROADCAST_RULES + 1).count() > BROADCAST_RULES:
+        raise ValueError(f"over {BROADCAST_RULES} rules without a type and a site")
+    return (
+        matches(detections, typed.hint("merge"), F.col("d.type") == F.col("r.detection_type"))
+        .unionAll(matches(detections, sited.hint("merge"), F.col("d.site_name") == F.col("r.source_site_name")))
+        .unionAll(matches(detections, F.broadcast(wide), F.lit(True)))
+    )
+
+
+def matches(detections: DataFrame, rules: DataFrame, first: Column) -> DataFrame:
+    """``match_rules`` by one join whose condition begins with ``first``."""
     d, r = detections.alias("d"), rules.alias("r")
 
     def free(c: str) -> Column:
@@ -168,7 +220,7 @@ def match_rules(detections: DataFrame, rules: DataFrame) -> DataFrame:
         & (free("detection_type") | (F.col("d.type") == F.col("r.detection_type")))
         & (free("source_site_name") | (F.col("d.site_name") == F.col("r.source_site_name")))
     )
-    return d.join(r, meets).select(F.col("d.id").alias("detection_id"), F.col("r.id").alias("rule_id"))
+    return d.join(r, first & meets).select(F.col("d.id").alias("detection_id"), F.col("r.id").alias("rule_id"))
 
 
 def fetch_error_class(error: Column) -> Column:

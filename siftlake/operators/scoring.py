@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlake.functions import fixed
 from siftlake.functions.text import compact, contains_any, match_text
+from siftlake.session import scratch
 
 
 def score_candidates(
@@ -76,3 +77,18 @@ def score_candidates(
 def candidate_order(keyword: str = "keyword_matched", key: str = "numeric_key", ord_: str = "ord") -> list[Column]:
     """Keyword matches first, then the larger key, ties as they came."""
     return [F.desc(keyword), F.desc(key), F.asc(ord_)]
+
+
+def placed(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` with ``place``, from 1, in a stated order over all rows.
+
+    A range sort, written out, numbers the rows of each partition; what came before is a sum over one row a partition.
+    """
+    spark, bits = df.sparkSession, 33  # monotonically_increasing_id: partition and number in it
+    path = scratch(spark, "placed")
+    df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path).withColumn("_part", F.shiftright("_id", bits))
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    place = F.col("_before") + F.col("_id").bitwiseAND((1 << bits) - 1) + 1
+    return rows.join(F.broadcast(before), "_part").withColumn("place", place).drop("_id", "_part", "_before")

@@ -6,6 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges that an order is cut into.
+RANGES = 64
+
+
+def ranges_of(df: DataFrame, column: str) -> Column:
+    """The number of the range that a row's value is in: ranges of about equal size, from approximate quantiles. Null is in the first."""
+    number = F.col(column).cast("double") if dict(df.dtypes)[column] not in ("timestamp", "timestamp_ntz") else F.unix_micros(F.col(column).cast("timestamp")).cast("double")
+    cuts = sorted(set(df.select(number.alias("x")).approxQuantile("x", [k / RANGES for k in range(1, RANGES)], 0.005)))
+    return F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c < number)), F.lit(0))
+
+
 def negated(key: Column) -> Column:
     return F.transform(key, lambda x: -x)
 
@@ -70,10 +81,20 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -
 
 
 def spend_cap(df: DataFrame, *, day: str, order: list[str], micro: str, cap: int) -> DataFrame:
-    """``spent_before`` within the day and ``admitted`` (spent before is below the cap; a cap of 0 admits all)."""
-    w = Window.partitionBy(day).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(micro).over(w), F.lit(0)).cast("bigint")
-    return df.withColumn("spent_before", before).withColumn("admitted", (F.lit(cap) == 0) | (F.col("spent_before") < cap))
+    """``spent_before`` within the day and ``admitted`` (spent before is below the cap; a cap of 0 admits all).
+
+    ``order`` starts with a number or a time and is unique in a day. Each day is cut into ranges of it: sums of the
+    ranges, a row each, give what was spent before a range, so that no task holds a whole day.
+    """
+    part = "_range"
+    ranged = df.withColumn(part, ranges_of(df, order[0]))
+    sums = ranged.groupBy(day, part).agg(F.sum(micro).alias("_s"))  # days x RANGES rows
+    offsets = sums.withColumn("_offset", F.sum("_s").over(Window.partitionBy(day).orderBy(part)) - F.coalesce("_s", F.lit(0))).drop("_s")
+    w = Window.partitionBy(day, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    within = ranged.withColumn("_within", F.coalesce(F.sum(micro).over(w), F.lit(0)))
+    joined = within.join(offsets.hint("merge"), (within[day].eqNullSafe(offsets[day])) & (within[part] == offsets[part]), "left").drop(offsets[day], offsets[part])
+    before = (F.col("_within") + F.coalesce("_offset", F.lit(0))).cast("bigint")
+    return joined.withColumn("spent_before", before).withColumn("admitted", (F.lit(cap) == 0) | (F.col("spent_before") < cap)).drop(part, "_within", "_offset")
 
 
 def latest_per_key(df: DataFrame, keys: list[str], at: str, tie: str) -> DataFrame:
@@ -123,3 +144,13 @@ def trace_of(runs: DataFrame, detections: DataFrame, detection_id: int) -> DataF
     if detections.where(F.col("id") == detection_id).isEmpty():
         raise LookupError(f"no detection {detection_id}")
     return runs.where(F.col("detection_id") == detection_id).orderBy("created_at", "stage")
+
+
+def problem_samples(df: DataFrame, *, order: list[str], kind: str = "kind", n: int = 12) -> DataFrame:
+    """The first ``n`` rows, in a stated order, that are no real posts."""
+    return df.where(F.coalesce(F.col(kind), F.lit("")) != "real").orderBy(*order).limit(n)
+
+
+def top_signal_samples(df: DataFrame, *, tie: str, count: str = "signal_count", site: str = "site_id", n: int = 12) -> DataFrame:
+    """The ``n`` rows of most signals, then by site and ``tie``; rows without a signal are none."""
+    return df.where(F.col(count) > 0).orderBy(F.desc(count), F.coalesce(site, F.lit("")), tie).limit(n)

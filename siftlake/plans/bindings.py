@@ -43,7 +43,11 @@ def with_views(names: str, sql: str) -> str:
 
 
 class Views:
-    """The tables of a folder and the views over them."""
+    """The tables of a folder and the views over them.
+
+    The documents stand for posts. They have no titles: the title of a listing's candidate is the first 80
+    characters of the text, as titles are short; bodies are whole texts.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftlake.functions import fixed
 from siftlake.functions import urls as U
 from siftlake.operators import links as L
 from siftlake.plans.bindings import Views
@@ -29,10 +30,29 @@ def post_id(v: Views) -> DataFrame:
 ABS = "(SELECT page_id, ord, regexp_extract(base, '^([a-z]+://[^/?#]+)', 1) || href AS url, base FROM hrefs WHERE starts_with(href, '/'))"
 
 
-@query("l05_extract_links", f"SELECT page_id, CAST(ord AS INTEGER) AS ord, url FROM (SELECT page_id, regexp_replace(url, '[.,;:!?。，]+$', '') AS url, row_number() OVER (PARTITION BY page_id ORDER BY ord) AS ord FROM {ABS})", "hrefs")
+#: Each page with an address of every kind put in; addresses in tags are bare addresses too, as they stand in the text.
+PUT_IN = (
+    ("iframe_src", '<iframe src="https://k.example/i{n}" title="t"></iframe>', "https://k.example/i{n}", True), ("frame_src", '<frame src="https://k.example/f{n}">', "https://k.example/f{n}", True),
+    ("image_src", '<img src="https://k.example/p{n}.png" alt="a">', "https://k.example/p{n}.png", True), ("script_src", '<script src="https://k.example/s{n}.js"></script>', "https://k.example/s{n}.js", True),
+    ("link_href", '<link rel="x" href="https://k.example/l{n}.css">', "https://k.example/l{n}.css", True), ("meta_refresh", '<meta http-equiv="refresh" content="0; url=https://k.example/m{n}">', "https://k.example/m{n}", True),
+    ("js_location", 'location.href = "https://k.example/j{n}"', "https://k.example/j{n}", True), ("linked_image_href", " [![alt](https://k.example/b{n}.png)](https://k.example/t{n})", "https://k.example/t{n}", False),
+    ("markdown_href", " [Buy now!](https://k.example/x{n})", "https://k.example/x{n}", False), ("markdown_href", " ![pic](https://k.example/y{n})", "https://k.example/y{n}", False), ("bare_url", " https://k.example/z{n}. ", "https://k.example/z{n}", False),
+)
+PUT_IN_SQL = ", ".join(f"('{kind}', '{url}')" for kind, _, url, also in PUT_IN for kind in ((kind, "bare_url") if also else (kind,)))
+
+
+@query("l05_extract_links", f"""SELECT page_id, kind, url FROM (SELECT page_id, 'anchor_href' AS kind, regexp_replace(url, '[.,;:!?。，]+$', '') AS url FROM {ABS})
+    UNION ALL SELECT page_id, kind, replace(k.url, '{{n}}', page_id::VARCHAR) AS url FROM pages, (VALUES {PUT_IN_SQL}) k(kind, url)""", "hrefs")
 def extract(v: Views) -> DataFrame:
+    put_in = F.replace(F.lit("".join(x for _, x, _, _ in PUT_IN)), F.lit("{n}"), F.col("page_id").cast("string"))
+    pages = v.table("pages").select("page_id", "url", F.concat("html", put_in).alias("html"))
+    return L.extract_links(pages, key="page_id", text="html", base="url", resolve_relative=True).select("page_id", "kind", "url")
+
+
+@query("l05_order", f"SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY ord) AS INTEGER) AS ord, regexp_replace(url, '[.,;:!?。，]+$', '') AS url FROM {ABS}", "hrefs")
+def extract_order(v: Views) -> DataFrame:
     got = L.extract_links(v.table("pages"), key="page_id", text="html", base="url", resolve_relative=True)
-    return got.where(F.col("kind") == "anchor_href").select("page_id", "ord", "url")
+    return got.select("page_id", "ord", "url")
 
 
 def absolute(v: Views) -> DataFrame:
@@ -69,7 +89,7 @@ def top(v: Views) -> DataFrame:
     return L.top_links(L.link_priority(absolute(v)), key="page_id", n=3).select("page_id", "ord", "link_rank")
 
 
-@query("l10_link_stats", f"""SELECT page_id, raw, unique_urls, candidates, aliases, least(candidates, 3) AS selected, least(candidates, 50) AS stored FROM (SELECT page_id, count(*) AS raw, count(DISTINCT url) AS unique_urls FROM {ABS} GROUP BY 1)
+@query("l10_link_stats", f"""SELECT page_id, raw, unique_urls, candidates, aliases, least(candidates, 3) AS selected, least(candidates, 3) AS ranked, least(candidates, 50) AS stored, CAST(50 AS BIGINT) AS stored_limit, CAST(50 AS BIGINT) AS alias_limit FROM (SELECT page_id, count(*) AS raw, count(DISTINCT url) AS unique_urls FROM {ABS} GROUP BY 1)
     JOIN (SELECT page_id, count(*) AS candidates, CAST(sum(spelt - 1) AS BIGINT) AS aliases FROM ({BEST}) GROUP BY 1) USING (page_id)""", "hrefs")
 def stats(v: Views) -> DataFrame:
     rows = absolute(v)
@@ -87,17 +107,38 @@ def title(v: Views) -> DataFrame:
     return L.page_evidence(v.table("pages")).select("page_id", "page_title")
 
 
-@query("l14_page_evidence")
+WORDS = r"(lower(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) || ' ' || substr(trim(regexp_replace(regexp_replace(html, '(?is)<(script)[^>]*>.*?</script>|<style[^>]*>.*?</style>|<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')), 1, 4000)))"
+SPREAD, TRADE = "|".join(fixed.DISTRIBUTION_KEYWORDS), "|".join((*fixed.TRADE_KEYWORDS, *fixed.TRADE_PATTERNS))
+
+
+@query("l14_page_evidence", f"""SELECT page_id, list_filter([CASE WHEN regexp_matches(t, '{SPREAD}') THEN 'distribution_keyword' END, CASE WHEN regexp_matches(t, '{TRADE}') THEN 'trade_keyword_or_price' END], lambda x: x IS NOT NULL) AS indicators,
+    regexp_matches(t, '{SPREAD}') OR regexp_matches(t, '{TRADE}') AS is_distribution_site FROM (SELECT page_id, {WORDS} AS t FROM pages)""")
 def evidence(v: Views) -> DataFrame:
     return L.page_evidence(v.table("pages")).select("page_id", "indicators", "is_distribution_site")
 
 
-@query("l15_j05_blocked", "SELECT page_id, page_id % 256 = 10 OR page_id % 256 = 127 OR page_id % 256 >= 224 OR page_id % 256 = 0 OR (page_id % 256 = 172 AND page_id % 40 BETWEEN 16 AND 31) OR (page_id % 256 = 192 AND page_id % 40 = 0 AND page_id % 7 IN (0, 2)) AS blocked FROM (SELECT * FROM pages WHERE page_id % 256 NOT IN (100, 169, 198, 203))")
+@query("l15_j05_blocked", """SELECT page_id, a IN (0, 10, 127) OR a >= 224 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND (b = 168 OR (b = 0 AND c IN (0, 2)))) OR (a = 198 AND (b IN (18, 19) OR (b = 51 AND c = 100)))
+    OR (a = 203 AND b = 0 AND c = 113) AS blocked FROM (SELECT page_id, page_id % 256 AS a, CASE page_id % 3 WHEN 0 THEN page_id % 40 WHEN 1 THEN 64 + page_id % 190 ELSE 18 END AS b, CASE WHEN page_id % 2 = 0 THEN page_id % 7 ELSE 100 + page_id % 20 END AS c FROM pages)""")
 def blocked(v: Views) -> DataFrame:
+    """Addresses of all first octets; every fourth is written as an IPv4 address in IPv6, in two spellings."""
     p = F.col("page_id")
-    ip = F.concat_ws(".", (p % 256).cast("string"), (p % 40).cast("string"), (p % 7).cast("string"), F.lit("5"))
-    rows = v.table("pages").where(~(p % 256).isin(100, 169, 198, 203)).select("page_id", ip.alias("ip"))
-    return L.blocked_addresses(rows).select("page_id", "blocked")
+    a, b, c = p % 256, F.when(p % 3 == 0, p % 40).when(p % 3 == 1, 64 + p % 190).otherwise(18), F.when(p % 2 == 0, p % 7).otherwise(100 + p % 20)
+    plain = F.concat_ws(".", *[x.cast("string") for x in (a, b, c)], F.lit("5"))
+    groups = F.concat(F.lit("0:0:0:0:0:ffff:"), F.hex(a * 256 + b), F.lit(":"), F.hex(c * 256 + 5))
+    ip = F.when(p % 8 == 3, F.concat(F.lit("::FFFF:"), plain)).when(p % 8 == 7, groups).otherwise(plain)
+    return L.blocked_addresses(v.table("pages").select("page_id", ip.alias("ip"))).select("page_id", "blocked")
+
+
+@query("l15_j05_blocked_six", """SELECT page_id, page_id % 6 <> 0 AS blocked FROM pages""")
+def blocked_six(v: Views) -> DataFrame:
+    """Global, documentation, unique local, link local and loopback addresses, and what is no address."""
+    n = F.lower(F.hex("page_id"))
+    k = F.col("page_id") % 6
+    ip = (
+        F.when(k == 0, F.concat(F.lit("2606:4700::"), n)).when(k == 1, F.concat(F.lit("2001:DB8::"), n)).when(k == 2, F.concat(F.lit("fd00:0:0:"), n, F.lit("::1")))
+        .when(k == 3, F.concat(F.lit("fe80::"), n, F.lit("%eth0"))).when(k == 4, F.lit("0:0:0:0:0:0:0:1")).otherwise(F.concat(F.lit("1:2:3:"), n))
+    )
+    return L.blocked_addresses(v.table("pages").select("page_id", ip.alias("ip"))).select("page_id", "blocked")
 
 
 @query("l16_url_policy", r"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'port' WHEN page_id % 3 = 1 THEN 'scheme' END AS reason FROM pages")

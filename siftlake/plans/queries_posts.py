@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlake.functions import text as X
-from siftlake.operators import dedup, merge, reports, rules, scoring, selection
+from siftlake.operators import dedup, languages, merge, reports, rules, scoring, selection
 from siftlake.plans.bindings import LEXICON, Views
 from siftlake.plans.registry import query
+from siftlake.session import scratch
 from siftlake.sources import io
 
 # ---- text functions
@@ -81,13 +82,20 @@ def language_codes(v: Views) -> DataFrame:
     return v.documents.groupBy(X.language_code(F.col("lang")).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("t17_language_profiles", """SELECT lang, g, n FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, g) AS r FROM (
-    SELECT lang, substr(text, p, 3) AS g, count(*) AS n FROM (SELECT lang, lower(text) AS text, unnest(generate_series(1, length(text) - 2)) AS p FROM documents WHERE length(text) >= 3) GROUP BY ALL)) WHERE r <= 100""")
+PROFILES = """SELECT lang, g, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, g) AS place FROM (
+    SELECT lang, substr(text, p, 3) AS g, count(*) AS n FROM (SELECT lang, lower(text) AS text, unnest(generate_series(1, length(text) - 2)) AS p FROM documents WHERE length(text) >= 3) GROUP BY ALL) QUALIFY place <= 100"""
+
+
+@query("t17_language_profiles", f"SELECT lang, g, n, CAST(place AS INTEGER) AS place FROM ({PROFILES})")
 def language_profiles(v: Views) -> DataFrame:
-    grams = F.transform(F.sequence(F.lit(1), F.length("t") - 2), lambda p: F.substring(F.col("t"), p, F.lit(3)))
-    rows = v.documents.select("lang", F.lower("text").alias("t")).where(F.length("t") >= 3)
-    counts = rows.select("lang", F.explode(grams).alias("g")).groupBy("lang", "g").agg(F.count(F.lit(1)).alias("n"))
-    return selection.top_per_group(counts, ["lang"], [F.desc("n"), F.asc("g")], 100)
+    return languages.language_profiles(v.documents)
+
+
+@query("t17_language_scores", f"""WITH p AS ({PROFILES}), s AS (SELECT doc_id, lang, CAST(sum(n * (101 - place)) AS BIGINT) AS score FROM (SELECT doc_id, substr(text, p, 3) AS g, count(*) AS n FROM
+    (SELECT doc_id, lower(text) AS text, unnest(generate_series(1, length(text) - 2)) AS p FROM documents WHERE length(text) >= 3) GROUP BY ALL) d JOIN (SELECT lang, g, place FROM p WHERE lang IS NOT NULL) USING (g) GROUP BY ALL)
+    SELECT doc_id, coalesce(s.lang, 'und') AS language, coalesce(s.score, 0) AS score FROM documents LEFT JOIN (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) = 1) s USING (doc_id)""")
+def language_scores(v: Views) -> DataFrame:
+    return languages.predict_language(v.documents, languages.language_profiles(v.documents), key="doc_id")
 
 
 @query("t21_numeric_key", r"SELECT page_id, CASE WHEN len(k) > 0 THEN k ELSE [0] END AS k FROM (SELECT page_id, list_transform(regexp_extract_all(url, '\d+'), lambda x: CAST(x AS BIGINT)) AS k FROM pages)")
@@ -121,11 +129,10 @@ def scores(v: Views) -> DataFrame:
     return scored(v).select("ord", "score", "priority_bucket")
 
 
-@query("c03_candidate_order", "SELECT ord, row_number() OVER (ORDER BY keyword_matched DESC, [ord % 7, ord] DESC, ord) AS place FROM candidates QUALIFY place <= 200", "candidates")
+@query("c03_candidate_order", "SELECT ord, row_number() OVER (ORDER BY keyword_matched DESC, [ord % 7, ord] DESC, ord) AS place FROM candidates", "candidates")
 def candidate_order(v: Views) -> DataFrame:
     rows = v.candidates.withColumn("numeric_key", F.array(F.col("ord") % 7, "ord"))
-    first = rows.orderBy(*scoring.candidate_order()).limit(200).agg(F.sort_array(F.collect_list(F.struct((~F.col("keyword_matched")).alias("a"), F.transform("numeric_key", lambda x: -x).alias("b"), "ord"))).alias("r"))
-    return first.select(F.posexplode("r").alias("p", "r")).select("r.ord", (F.col("p") + 1).cast("bigint").alias("place"))
+    return scoring.placed(rows, *scoring.candidate_order()).select("ord", "place")
 
 
 SELECTED = f"""SELECT *, row_number() OVER (PARTITION BY board_url ORDER BY p3, q) AS selection_rank FROM (SELECT *, priority_bucket = 'P3' AS p3, row_number() OVER (PARTITION BY board_url, priority_bucket = 'P3'
@@ -165,7 +172,14 @@ def probe_groups(v: Views) -> DataFrame:
 
 @query("o04_problem_samples", "SELECT doc_id, length(text) AS n FROM documents WHERE length(text) < 200 ORDER BY doc_id LIMIT 12")
 def problem_samples(v: Views) -> DataFrame:
-    return v.documents.where(F.length("text") < 200).orderBy("doc_id").limit(12).select("doc_id", F.length("text").cast("bigint").alias("n"))
+    rows = v.documents.select("doc_id", F.length("text").cast("bigint").alias("n"), F.when(F.length("text") >= 200, "real").otherwise("short").alias("kind"))
+    return selection.problem_samples(rows, order=["doc_id"]).select("doc_id", "n")
+
+
+@query("o04_top_signal_samples", "SELECT doc_id, n_chars % 97 AS signals FROM documents WHERE n_chars % 97 > 0 ORDER BY signals DESC, source, doc_id LIMIT 12")
+def top_signal_samples(v: Views) -> DataFrame:
+    rows = v.documents.select("doc_id", F.col("source").alias("site_id"), (F.col("n_chars") % 97).alias("signal_count"))
+    return selection.top_signal_samples(rows, tie="doc_id").select("doc_id", F.col("signal_count").alias("signals"))
 
 
 # ---- validation, dedup, funnel
@@ -173,10 +187,32 @@ def problem_samples(v: Views) -> DataFrame:
 KIND = """CASE WHEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') = '' THEN 'empty' WHEN length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) < 50 THEN 'short' WHEN contains(text, 'hCaptcha') THEN 'captcha' ELSE 'real' END"""
 
 
-@query("r02_r03_a12_content_kinds", f"SELECT {KIND} AS kind, count(*) AS n FROM documents GROUP BY 1")
+#: Sites of several families, and texts that meet their rules, over the whole table.
+FAMILIES = """SELECT *, CASE WHEN strip = '' THEN 'empty' WHEN length(strip) < 50 THEN 'short' WHEN contains(body, 'hCaptcha') THEN 'captcha' WHEN site = 'inven_x' THEN CASE WHEN regexp_matches(body, 'EXP|인벤쪽지|획득스킬|추천') THEN 'real' ELSE 'unknown' END
+    WHEN site = 'ptt_x' THEN CASE WHEN NOT (contains(body, '作者') AND contains(body, '看板') AND contains(body, '標題') AND contains(body, '時間')) THEN 'unknown' WHEN contains(body, '[公告]') THEN 'sticky' ELSE 'real' END
+    WHEN site = 'bahamut_a' THEN CASE WHEN contains(substr(body, 1, 1200), '官方公告') THEN 'sticky' ELSE 'real' END WHEN site = '52pojie' THEN CASE WHEN contains(substr(body, 1, 800), '公告') THEN 'sticky' WHEN contains(body, '楼主') THEN 'real' ELSE 'unknown' END ELSE 'real' END AS kind
+    FROM (SELECT *, regexp_replace(body, '^\\s+|\\s+$', '', 'g') AS strip FROM (SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 'inven_x' WHEN 2 THEN 'ptt_x' WHEN 3 THEN 'bahamut_a' WHEN 4 THEN '52pojie' ELSE source END AS site,
+    CASE doc_id % 7 WHEN 1 THEN '추천' WHEN 2 THEN '作者 看板 標題 時間' WHEN 3 THEN '作者 看板 標題 時間 [公告]' WHEN 4 THEN '官方公告' WHEN 5 THEN '楼主' ELSE '' END || text AS body FROM documents))"""
+
+
+def of_families(v: Views) -> DataFrame:
+    site = F.element_at(F.create_map(*[F.lit(x) for kv in ((1, "inven_x"), (2, "ptt_x"), (3, "bahamut_a"), (4, "52pojie")) for x in kv]), (F.col("doc_id") % 5).cast("int"))
+    marks = ("", "추천", "作者 看板 標題 時間", "作者 看板 標題 時間 [公告]", "官方公告", "楼主", "")
+    mark = F.element_at(F.array(*map(F.lit, marks)), (F.col("doc_id") % 7 + 1).cast("int"))
+    return v.documents.select("doc_id", F.coalesce(site, "source").alias("site"), F.concat(mark, "text").alias("body"))
+
+
+@query("r02_r03_a12_content_kinds", f"SELECT site, kind, count(*) AS n FROM ({FAMILIES}) GROUP BY ALL")
 def content_kinds(v: Views) -> DataFrame:
-    kind = rules.content_kind(F.col("text"), rules.site_family(F.col("source")))
-    return v.documents.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    rows = of_families(v)
+    return rows.groupBy("site", rules.content_kind(F.col("body"), rules.site_family(F.col("site"))).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("r02_validation_reasons", f"""SELECT doc_id, kind, CASE kind WHEN 'empty' THEN 'empty body' WHEN 'short' THEN 'body of ' || length(strip) || ' characters, least 50' WHEN 'captcha' THEN 'marker: hCaptcha' WHEN 'sticky' THEN 'notice by the rules of the site'
+    WHEN 'unknown' THEN 'no mark of a post by the rules of the site' ELSE '' END AS reason FROM ({FAMILIES})""")
+def validation_reasons(v: Views) -> DataFrame:
+    made = rules.content_validation(F.col("body"), rules.site_family(F.col("site")))
+    return of_families(v).select("doc_id", made.alias("v")).select("doc_id", "v.kind", "v.reason")
 
 
 @query("d01_body_duplicates", "SELECT doc_id AS post_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1 AND trim(text) <> '' AS duplicate FROM documents")
@@ -184,11 +220,10 @@ def duplicates(v: Views) -> DataFrame:
     return dedup.body_duplicates(v.posts.withColumn("arrival", F.col("post_id"))).select("post_id", "duplicate")
 
 
-@query("d01_j07_history", "SELECT count(*) FILTER (dup) AS duplicates, count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1 OR text IN (SELECT text FROM documents WHERE doc_id < 300) AS dup FROM documents WHERE doc_id >= 300)")
+@query("d01_j07_history", "SELECT doc_id AS post_id, trim(text) <> '' AND (row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1 OR text IN (SELECT substr(text, 1, 2000) FROM documents WHERE doc_id % 3 = 0)) AS duplicate FROM documents")
 def history(v: Views) -> DataFrame:
-    old = v.posts.where("post_id < 300").select(X.content_hash(F.col("body")).alias("body_hash"))
-    got = dedup.body_duplicates(v.posts.where("post_id >= 300").withColumn("arrival", F.col("post_id")), old)
-    return got.agg(F.count_if("duplicate").alias("duplicates"), F.count(F.lit(1)).alias("n"))
+    old = v.posts.where("post_id % 3 = 0").select(X.content_hash(F.substring("body", 1, 2000)).alias("body_hash"))
+    return dedup.body_duplicates(v.posts.withColumn("arrival", F.col("post_id")), old).select("post_id", "duplicate")
 
 
 @query("d02_first_seen", "SELECT user_id AS url, coalesce(min(ts) FILTER (event_id % 2 = 0), min(ts)) AS first_seen FROM events GROUP BY user_id")
@@ -197,9 +232,10 @@ def first_seen(v: Views) -> DataFrame:
     return dedup.first_seen(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"))
 
 
-@query("d03_a27_purge", "SELECT count(*) FILTER (f > TIMESTAMP '2024-01-08') AS kept, count(*) FILTER (f <= TIMESTAMP '2024-01-08') AS removed FROM (SELECT user_id, min(ts) AS f FROM events WHERE user_id % 3 = 0 OR event_id > 5000 GROUP BY user_id)")
+@query("d03_a27_purge", "SELECT count(*) FILTER (f > TIMESTAMP '2024-01-08') AS kept, count(*) FILTER (f <= TIMESTAMP '2024-01-08') AS removed FROM (SELECT user_id, event_type, event_id % 5 AS k, min(ts) AS f FROM events GROUP BY ALL)")
 def purge(v: Views) -> DataFrame:
-    rows = v.table("events").where("user_id % 3 = 0 or event_id > 5000").groupBy(F.col("user_id").alias("url")).agg(F.min("ts").alias("first_seen"))
+    url = F.concat_ws("/", F.col("user_id").cast("string"), "event_type", (F.col("event_id") % 5).cast("string"))
+    rows = v.table("events").groupBy(url.alias("url")).agg(F.min("ts").alias("first_seen"))
     kept, gone = dedup.purge(rows, F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"))
     return kept.select(F.lit(1).alias("k")).unionAll(gone.select(F.lit(0).alias("k"))).agg(F.count_if(F.col("k") == 1).alias("kept"), F.count_if(F.col("k") == 0).alias("removed"))
 
@@ -233,6 +269,20 @@ def funnel(v: Views) -> DataFrame:
     return reports.funnel(disposed(v))
 
 
+LISTED = f"(SELECT site_id AS site_name, board_url, keyword_matched, priority_bucket AS b, score >= 50 AS selected FROM ({SCORED}))"
+
+
+@query("a18_crawl_funnel", f"""SELECT coalesce(l.site_name, p.site_name) AS site_name, * EXCLUDE (site_name, g, site_name_1, g_1) FROM (SELECT site_name, count(DISTINCT board_url) AS boards, count(*) AS discovered, count(*) FILTER (keyword_matched) AS keyword_matched,
+    count(*) FILTER (NOT keyword_matched) AS keyword_unmatched, count(*) FILTER (selected) AS selected, {", ".join(f"count(*) FILTER (selected AND b = 'P{k}') AS selected_p{k}" for k in range(4))},
+    count(*) FILTER (site_name = 'src1') AS apart_discovered, count(*) FILTER (site_name = 'src1' AND selected) AS apart_selected, grouping(site_name) AS g FROM {LISTED} GROUP BY ROLLUP (site_name)) l
+    JOIN (SELECT site_name, count(*) FILTER (disposition NOT IN ('seen_in_run', 'seen_before')) AS attempted, {", ".join(f"count(*) FILTER (disposition = '{d}') AS {d}" for d in reports.FUNNEL)}, count(*) FILTER (disposition IN ('empty', 'sticky', 'blocked', 'unknown')) AS validator_skipped,
+    {", ".join(f"count(*) FILTER (site_name = 'src1' AND disposition IN ({d})) AS apart_{n}" for n, d in (("enqueued", "'enqueued'"), ("seen", "'seen_in_run', 'seen_before'"), ("duplicates", "'duplicate_body'"), ("failed", "'fetch_failed'")))}, grouping(site_name) AS g
+    FROM ({DISPOSED}) GROUP BY ROLLUP (site_name)) p ON l.site_name IS NOT DISTINCT FROM p.site_name AND l.g = p.g""".replace("coalesce(l.site_name, p.site_name) AS site_name, * EXCLUDE (site_name, g, site_name_1, g_1)", "l.site_name AS site_name, l.* EXCLUDE (site_name, g), p.* EXCLUDE (site_name, g)"), "candidates")
+def crawl_funnel(v: Views) -> DataFrame:
+    listed = scored(v).select(F.col("site_id").alias("site_name"), "board_url", "keyword_matched", "priority_bucket", (F.col("score") >= 50).alias("selected"))
+    return reports.crawl_funnel(listed, disposed(v), apart="src1")
+
+
 @query("a19_u01_funnel_total", f"""SELECT count(*) FILTER (disposition IN ('seen_in_run', 'seen_before', 'duplicate_body')) AS duplicates, count(*) FILTER (disposition IN ('empty', 'sticky', 'blocked', 'unknown')) AS skipped,
     count(*) FILTER (disposition = 'enqueued' AND doc_id % 2 = 0) AS enqueued_0, count(*) FILTER (disposition = 'enqueued' AND doc_id % 2 = 1) AS enqueued_1 FROM ({DISPOSED})""")
 def funnel_total(v: Views) -> DataFrame:
@@ -297,6 +347,15 @@ def quality(v: Views) -> DataFrame:
     return got.select(*[F.round(c, 6).alias(c) for c in got.columns])
 
 
+@query("a22_tier_accuracy", """SELECT t AS tier, count(*) AS total, count(*) FILTER (t = p) AS correct, count(*) FILTER (t = p) / count(*) AS rate FROM (SELECT CASE WHEN toxic = 1 THEN 'T1' WHEN quality = 1 THEN 'T4' ELSE 'T2' END AS t,
+    CASE WHEN length(text) < 1500 THEN 'T1' WHEN doc_id % 3 = 0 THEN 'T2' ELSE 'T4' END AS p FROM documents JOIN labels USING (doc_id) WHERE doc_id % 10 <> 0) GROUP BY 1""")
+def tier_accuracy(v: Views) -> DataFrame:
+    rows = v.documents.join(v.table("labels"), "doc_id")
+    truth = F.when(F.col("toxic") == 1, "핵_배포").when(F.col("quality") == 1, "").otherwise("계정_거래")
+    predicted = F.when(F.length("text") < 1500, "불법프로그램_배포").when(F.col("doc_id") % 3 == 0, "계정_거래").otherwise("기타")
+    return reports.tier_accuracy(rows.select(truth.alias("type"), predicted.alias("predicted_type"), (F.col("doc_id") % 10 == 0).alias("bad")), failed=F.col("bad"))
+
+
 @query("w03_stratified_sample", """WITH l AS (SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'clean' WHEN toxic = 1 THEN 'toxic' ELSE 'poor' END AS k, sha256(doc_id || ':42') AS h FROM labels), m AS (SELECT * FROM l WHERE k <> 'clean')
     SELECT doc_id, k FROM (SELECT *, row_number() OVER (ORDER BY late, h, doc_id) AS o FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY k ORDER BY h, doc_id) > 15 // greatest(1, (SELECT count(DISTINCT k) FROM m)) THEN 1 ELSE 0 END AS late FROM m)) WHERE o <= 15
     UNION ALL SELECT doc_id, k FROM (SELECT *, row_number() OVER (ORDER BY h, doc_id) AS o FROM l WHERE k = 'clean') WHERE o <= 15""")
@@ -316,10 +375,68 @@ def search_results(v: Views) -> DataFrame:
     return io.merge_search_results(rows, 500, "l_partkey")
 
 
-@query("s05_archive_rows", "SELECT source AS site, CAST(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS DATE) AS crawl_date, count(*) AS n FROM documents WHERE trim(text) <> '' GROUP BY ALL")
+@query("s05_archive_rows", "SELECT source AS site, CAST(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS DATE) AS crawl_date, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents WHERE trim(text) <> '' GROUP BY ALL")
 def archive_rows(v: Views) -> DataFrame:
-    kept = v.posts.where((F.coalesce(X.strip(F.col("body")), F.lit("")) != "") & F.col("site_name").rlike(r"^[A-Za-z0-9_\-]+$"))
-    return kept.groupBy(F.col("site_name").alias("site"), F.to_date("crawled_at").alias("crawl_date")).agg(F.count(F.lit(1)).alias("n"))
+    at = scratch(v.spark, "archive")
+    io.write_archive(v.posts, at)
+    kept = v.spark.read.schema("post_id string, body string, site string, crawl_date date").json(at)
+    return kept.groupBy("site", "crawl_date").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("body")).alias("chars"))
+
+
+@query("s03_read_jsonl", "SELECT lang, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY lang")
+def jsonl(v: Views) -> DataFrame:
+    at = scratch(v.spark, "jsonl")
+    v.documents.select("doc_id", "text", "lang").write.json(at)
+    return io.read_jsonl(v.spark, at, "doc_id long, text string, lang string").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("s04_read_labels", "SELECT CAST(doc_id AS VARCHAR) AS post_id, text, CASE WHEN toxic = 1 THEN 'illegal' ELSE 'clean' END AS label FROM (SELECT doc_id, 'a \"q\", ' || chr(10) || source AS text FROM documents) JOIN labels USING (doc_id)")
+def label_file(v: Views) -> DataFrame:
+    at = scratch(v.spark, "labels")
+    rows = v.documents.join(v.table("labels"), "doc_id").select(
+        F.col("doc_id").cast("string").alias("post_id"), F.concat(F.lit('a "q", \n'), "source").alias("text"), F.when(F.col("toxic") == 1, "illegal").otherwise("clean").alias("label"), F.lit("x").alias("type")
+    )
+    rows.write.csv(at, header=True, quoteAll=True, escape='"')
+    return io.read_labels(v.spark, at).select("post_id", "text", "label")
+
+
+@query("s06_write_corpus", "SELECT source AS game_key, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY source")
+def corpus(v: Views) -> DataFrame:
+    at = scratch(v.spark, "corpus")
+    rows = v.documents.select(F.col("source").alias("game_key"), "text")
+    io.write_corpus(rows.select(F.concat("game_key", F.lit("-stale")).alias("game_key"), F.lit("x").alias("text")), at)
+    io.write_corpus(rows, at)
+    return v.spark.read.schema("text string, game_key string").json(at).groupBy("game_key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("s08_assemble_repositories", """SELECT source || '__' || doc_id AS post_id, sha256('Repository: ' || source || '/' || doc_id || chr(10) || 'URL: ' || CASE WHEN doc_id % 2 = 0 THEN 'https://x/' || doc_id ELSE '(unknown)' END || chr(10) || 'Description: (none)' || chr(10) || 'Topics: ' || lang || ', ' || source
+    || chr(10) || 'Stars: ' || CASE WHEN doc_id % 3 = 0 THEN 0 ELSE n_chars END || chr(10) || 'Language: ' || lang || chr(10) || 'README:' || chr(10) || coalesce(nullif(substr(text, 1, 20000), ''), '(none)') || chr(10) || 'Release:' || chr(10)
+    || coalesce(nullif(substr(text, 1, 4000), ''), '(none)') || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '- ' || source || '.zip' || chr(10) || '- b' ELSE '(none)' END) AS h FROM documents""")
+def repositories(v: Views) -> DataFrame:
+    even = F.col("doc_id") % 2 == 0
+    name = lambda n: F.struct(n.alias("name"))
+    assets = F.when(even, F.array(name(F.concat("source", F.lit(".zip"))), name(F.lit("b"))))
+    rows = v.documents.select(
+        F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("full_name"), F.when(even, F.concat(F.lit("https://x/"), F.col("doc_id").cast("string"))).alias("html_url"), F.lit(" ").alias("description"),
+        F.array("lang", "source").alias("topics"), F.when(F.col("doc_id") % 3 != 0, F.col("n_chars")).alias("stargazers_count"), F.col("lang").alias("language"), F.col("text").alias("readme"),
+        F.struct(F.col("text").alias("body"), assets.alias("assets")).alias("release"),
+    )
+    return io.assemble_repo_document(rows).select("post_id", F.sha2("body", 256).alias("h"))
+
+
+@query("s09_x02_build_events", """SELECT CASE page_id % 3 WHEN 0 THEN CAST(page_id AS VARCHAR) WHEN 1 THEN 'own-' || page_id ELSE regexp_extract(regexp_replace(url, '/+$', ''), '([^/]*)$', 1) END AS post_id, CASE page_id % 3 WHEN 0 THEN 'Shown name' WHEN 1 THEN 'own' ELSE 'other' END AS site_name,
+    CASE WHEN page_id % 2 = 0 THEN 'img/' || page_id ELSE '' END AS image, html AS raw_text, 'en' AS language FROM pages""")
+def build_events(v: Views) -> DataFrame:
+    k, number = F.col("page_id") % 3, F.col("page_id").cast("string")
+    site = F.when(k == 0, "nga").when(k == 1, "own").otherwise("other")
+    url = F.when(k == 0, F.concat(F.lit("https://x/read.php?tid="), number)).when(k == 1, F.concat(F.lit("https://own/?n="), number)).otherwise(F.col("url"))
+    image = lambda c: F.array(F.struct(c.alias("src"), F.lit(1).alias("score")))
+    images = F.when(F.col("page_id") % 2 == 0, image(F.concat(F.lit("img/"), number)))
+    posts = v.table("pages").select(site.alias("site_id"), url.alias("post_url"), F.lit("").alias("fit_text"), F.col("html").alias("raw_body"), F.lit("en").alias("language"), F.lit("c").alias("correlation_id"), images.alias("images"))
+    names = v.spark.createDataFrame([("nga", "Shown name")], "site_id string, name string")
+    own = {"own": lambda u: F.concat(F.lit("own-"), F.regexp_extract(u, "n=(.*)$", 1))}
+    good, _ = io.decode_events(io.to_events(posts, F.lit("2024-01-01 00:00:00").cast("timestamp"), names, own))
+    return good.select("post_id", "site_name", F.coalesce(F.try_element_at("image_urls", F.lit(1)), F.lit("")).alias("image"), "raw_text", "language")
 
 
 @query("s01_u02_event_decode", "SELECT count(*) FILTER (doc_id % 3 = 0) AS good, count(*) FILTER (doc_id % 3 <> 0) AS corrupt FROM documents")

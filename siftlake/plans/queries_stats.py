@@ -243,9 +243,9 @@ def unlabelled(v: Views) -> DataFrame:
     return selection.unlabelled(rows, sites=sites, tier="T1", limit=50).select("id")
 
 
-@query("o06_detail", "SELECT d.id, d.type, d.site_name, length(p.body) AS chars FROM star d JOIN posts p USING (post_id) WHERE d.id % 1000 = 7", "posts detections star")
+@query("o06_detail", "SELECT d.id, d.type, d.site_name, length(p.body) AS chars FROM star d JOIN posts p USING (post_id)", "posts detections star")
 def detail(v: Views) -> DataFrame:
-    return v.detections.where(F.col("id") % 1000 == 7).join(v.posts, "post_id").select("id", "type", "site_name", F.length("body").cast("bigint").alias("chars"))
+    return v.detections.join(v.posts, "post_id").select("id", "type", "site_name", F.length("body").cast("bigint").alias("chars"))
 
 
 OUTBOX = """SELECT event_id AS id, CASE WHEN event_type = 'view' THEN 'PENDING' WHEN event_type = 'click' THEN 'PROCESSING' ELSE 'COMPLETED' END AS status, CAST(user_id % 5 AS INTEGER) AS attempts,
@@ -324,15 +324,22 @@ def retry_schedule(v: Views) -> DataFrame:
     return merge.retry_schedule(log).select("post_id", "state", "delay_s")
 
 
-@query("k10_token_bucket")
+@query("k10_token_bucket", """WITH RECURSIVE r AS (SELECT event_type AS key, event_id, epoch_us(ts) / 1e6 AS now, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
+    f AS (SELECT key, event_id, n, now, CAST(4 AS DOUBLE) AS tokens, true AS admitted, CAST(0 AS DOUBLE) AS wait FROM r WHERE n = 1
+    UNION ALL SELECT key, event_id, n, now, t - (t >= 1)::INT, t >= 1, CASE WHEN t >= 1 THEN 0 ELSE (1 - t) * 600 END FROM (SELECT r.*, least(5, f.tokens + (r.now - f.now) / 600) AS t FROM f JOIN r ON r.key = f.key AND r.n = f.n + 1))
+    SELECT key, event_id, admitted, round(wait, 3) AS wait_s FROM f""")
 def token_bucket(v: Views) -> DataFrame:
-    return merge.token_bucket(v.table("events").select(F.col("event_type").alias("key"), F.col("ts").alias("at")), capacity=5.0, refill=1 / 600)
+    rows = v.table("events").select(F.col("event_type").alias("key"), F.col("ts").alias("at"), "event_id")
+    return merge.token_bucket(rows, tie="event_id", capacity=5.0, refill=1 / 600).select("key", "event_id", "admitted", F.round("wait_s", 3).alias("wait_s"))
 
 
-@query("j02_left_sources", "SELECT s.site_name, max(p.crawled_at) AS latest, count(p.post_id) AS n FROM (SELECT DISTINCT site_name FROM posts) s LEFT JOIN (SELECT * FROM posts WHERE post_id % 40 = 0) p USING (site_name) GROUP BY 1", "posts")
+@query("j02_left_sources", "SELECT s.site_name, max(p.crawled_at) AS latest, count(p.post_id) AS n FROM (SELECT DISTINCT site_name FROM posts UNION SELECT DISTINCT 'src' || user_id FROM events) s LEFT JOIN posts p USING (site_name) GROUP BY 1", "posts")
 def left_sources(v: Views) -> DataFrame:
-    some = v.posts.where(F.col("post_id") % 40 == 0).groupBy("site_name").agg(F.max("crawled_at").alias("latest"), F.count(F.lit(1)).alias("n"))
-    return v.posts.select("site_name").distinct().join(some, "site_name", "left").select("site_name", "latest", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+    """Sources are those of the posts and, without posts, one for each user."""
+    found = v.posts.groupBy("site_name").agg(F.max("crawled_at").alias("latest"), F.count(F.lit(1)).alias("n"))
+    named = v.table("events").select(F.concat(F.lit("src"), F.col("user_id").cast("string")).alias("site_name"))
+    sources = v.posts.select("site_name").unionAll(named).distinct()
+    return sources.join(found, "site_name", "left").select("site_name", "latest", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
 @query("j03_u04_full_outer", """SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) AS left_n, coalesce(b.n, 0) AS right_n FROM (SELECT user_id AS k, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1) a

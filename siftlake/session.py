@@ -25,8 +25,10 @@ def build(master: str | None = None, app: str = "siftlake", **conf: str) -> Spar
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's path in the folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (tests)."""
+    """A new folder's path in the folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset and the master is local (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not where:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         where = spark.sparkContext.getCheckpointDir()

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftlake.functions import fixed
 from siftlake.functions.text import language_code, pick_body, strip
+from siftlake.functions.urls import post_id
 
 EVENT_SCHEMA = (
     "post_id string, source_id string, site_name string, raw_text string, language string, detected_at string, correlation_id string, "
@@ -102,20 +105,32 @@ def assemble_turns(df: DataFrame, key: str = "conv_id", order: str = "turn") ->
     return df.groupBy(key).agg(F.array_join(F.transform(turns, lambda t: t["line"]), "\n").alias("document"), F.count(F.lit(1)).alias("turns"))
 
 
-def to_events(posts: DataFrame, as_of: Column) -> DataFrame:
-    """Event messages of fetched posts: ``raw`` JSON of the declared fields."""
+def to_events(posts: DataFrame, as_of: Column, sites: DataFrame | None = None, rules: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """Event messages of fetched posts: ``raw`` JSON of the declared fields.
+
+    ``posts``: ``site_id``, ``post_url``, ``fit_text``, ``raw_body``, ``language``, ``correlation_id``, ``images`` (structs with
+    ``src``), and, where known, the archive's ``s3_text_path`` and ``s3_image_paths``. The post id is found in the address by the
+    site's rule (``rules`` adds some). ``sites`` (``site_id``, ``name``: a person writes each) gives the shown names; a site that is not there
+    is shown by its id.
+    """
     empty = F.array().cast("array<string>")
+    has = lambda c: F.col(c) if c in posts.columns else F.lit(None)
+    if sites is not None:
+        named = sites.select("site_id", F.col("name").alias("_name")).dropDuplicates(["site_id"])
+        posts = posts.join(named.hint("merge"), "site_id", "left")
+    else:
+        posts = posts.withColumn("_name", F.lit(None).cast("string"))
     event = F.struct(
-        F.col("post_id").cast("string").alias("post_id"),
-        F.col("site_name").alias("source_id"),
-        "site_name",
+        post_id(F.col("site_id"), F.col("post_url"), rules).alias("post_id"),
+        F.col("site_id").alias("source_id"),
+        F.coalesce("_name", "site_id").alias("site_name"),
         pick_body(F.col("fit_text"), F.col("raw_body")).alias("raw_text"),
         language_code(F.col("language")).alias("language"),
         F.date_format(as_of, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("detected_at"),
         "correlation_id",
-        F.coalesce("image_urls", empty).alias("image_urls"),
-        F.lit("").alias("s3_text_path"),
-        empty.alias("s3_image_paths"),
+        F.coalesce(F.transform("images", lambda i: i["src"]), empty).alias("image_urls"),
+        F.coalesce(has("s3_text_path"), F.lit("")).alias("s3_text_path"),
+        F.coalesce(has("s3_image_paths").cast("array<string>"), empty).alias("s3_image_paths"),
         F.coalesce("post_url", F.lit("")).alias("post_url"),
     )
     return posts.select(F.to_json(event).alias("raw"))

@@ -72,7 +72,7 @@ def match_alerts(detections: DataFrame, rule_rows: DataFrame) -> DataFrame:
     n = rule_rows.count()
     if n > 10_000:
         raise ValueError(f"{n} rules are too many for a stream; join them in batches")
-    return rules.match_rules(detections, F.broadcast(rule_rows))
+    return rules.matches(detections, F.broadcast(rule_rows), F.lit(True))
 
 
 def depths(df: DataFrame) -> DataFrame:

@@ -102,8 +102,10 @@ def test_evidence_reuse(spark):
 
 
 def test_token_bucket(spark):
-    df = spark.createDataFrame([("k", T0)] * 3 + [("k", T0 + dt.timedelta(seconds=1))], "key string, at timestamp")
-    got = sorted((r.at, r.admitted, r.wait_s) for r in merge.token_bucket(df, capacity=2.0, refill=1.0).collect())
+    df = spark.createDataFrame([("k", T0, n) for n in range(3)] + [("k", T0 + dt.timedelta(seconds=1), 3), (None, T0, 4)], "key string, at timestamp, n int")
+    rows = {r.n: r for r in merge.token_bucket(df, tie="n", capacity=2.0, refill=1.0).collect()}
+    assert rows[4].admitted and [rows[n].admitted for n in range(4)] == [True, True, False, True]
+    got = [(r.at, r.admitted, r.wait_s) for n, r in rows.items() if n < 4]
     assert [g[1] for g in got].count(True) == 3 and max(g[2] for g in got) == 1.0
 
 
@@ -138,9 +140,15 @@ def test_repo_document_and_events(spark):
     s = "full_name string, html_url string, description string, topics array<string>, stargazers_count int, language string, readme string, release struct<body:string,assets:array<struct<name:string>>>"
     got = io.assemble_repo_document(spark.createDataFrame([("o/r", None, None, ["x", "y"], None, None, "R", (None, [("f.zip",)]))], s)).first()
     assert got.post_id == "o__r" and "Topics: x, y" in got.body and "- f.zip" in got.body and "Description: (none)" in got.body
-    posts = spark.createDataFrame([("1", "s", "", "raw", None, "c", None, None)], "post_id string, site_name string, fit_text string, raw_body string, language string, correlation_id string, image_urls array<string>, post_url string")
-    good, bad = io.decode_events(io.to_events(posts, F.lit(T0)))
-    assert bad.count() == 0 and good.first().raw_text == "raw" and good.first().language == "ko"
+    posts = spark.createDataFrame(
+        [("s", "https://x/a/1/", "", "raw", None, "c", [("i.png",)]), ("nga", "https://x/read.php?tid=5", "fit", "raw", None, "c", None)],
+        "site_id string, post_url string, fit_text string, raw_body string, language string, correlation_id string, images array<struct<src:string>>",
+    )
+    sites = spark.createDataFrame([("nga", "NGA")], "site_id string, name string")
+    good, bad = io.decode_events(io.to_events(posts, F.lit(T0), sites))
+    got = {r.source_id: r for r in good.collect()}
+    assert bad.count() == 0 and got["s"].raw_text == "raw" and got["s"].language == "ko" and got["s"].image_urls == ["i.png"] and got["nga"].image_urls == []
+    assert [(got[k].post_id, got[k].site_name) for k in ("s", "nga")] == [("1", "s"), ("5", "NGA")]
 
 
 # ---- streams against their batch twins
