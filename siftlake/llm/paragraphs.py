@@ -362,25 +362,32 @@ def _compare(rows: DataFrame, size: int, similarity: float) -> DataFrame:
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held, index, linked = None, [], {}, set()
+        group, held, sets, index, linked = None, [], [], None, set()
         for batch in batches:
             out = []
             for key, block, salt, role, h, c, words in zip(*(batch.column(n).to_pylist() for n in range(7)), strict=True):
                 if (key, block, salt) != group:
-                    group, held, index, linked = (key, block, salt), [], {}, set()
+                    group, held, sets, index, linked = (key, block, salt), [], [], None, set()
                 found = shingles(words.split(), size)
                 if role == 0:
-                    for s in found.tolist():
-                        index.setdefault(s, []).append(len(held))
-                    held.append((h, c, len(found)))
+                    held.append((h, c))
+                    sets.append(found)
                     continue
-                tally: dict[int, int] = {}
-                for s in found.tolist():
-                    for j in index.get(s, ()):
-                        tally[j] = tally.get(j, 0) + 1
-                for j, both in tally.items():
-                    g, d, n = held[j]
-                    if d != c and (c, d) not in linked and both >= similarity * (n + len(found) - both):
+                if index is None:  # all queries of the group are there: their shingles in order, with whose they are
+                    sizes = np.array([len(x) for x in sets])
+                    all_ = np.concatenate(sets)
+                    order = np.argsort(all_, kind="stable")
+                    index = all_[order], np.repeat(np.arange(len(sets)), sizes)[order], sizes
+                ordered, owners, sizes = index
+                low, high = np.searchsorted(ordered, found, "left"), np.searchsorted(ordered, found, "right")
+                n = high - low
+                total = int(n.sum())
+                if not total:
+                    continue
+                both = np.bincount(owners[np.arange(total) + np.repeat(low - np.cumsum(n) + n, n)], minlength=len(sets))
+                for j in np.flatnonzero(both >= similarity * (sizes + len(found) - both)).tolist():
+                    g, d = held[j]
+                    if d != c and (c, d) not in linked:
                         linked |= {(c, d), (d, c)}
                         out.append((g, h))
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], pa.binary()) for n in (0, 1)], schema=arrow)

@@ -33,8 +33,12 @@ def test_language(spark, tables, odd, empty):
 def test_quality(spark, tables, odd, empty):
     docs, labels = tables("documents"), tables("labels")
     model = quality.fit(docs, labels, usable=~held_out())
-    rows = quality.score(docs, model).join(labels, "doc_id").collect()
-    assert sum(r.predicted == r.quality for r in rows) / len(rows) > 0.9
+    rows = quality.score(docs, model).join(labels, "doc_id").where(held_out()).collect()  # none of these was learnt from
+    assert len(rows) > 5 and sum(r.predicted == r.quality for r in rows) / len(rows) > 0.9
+    blank = spark.createDataFrame([(1, None), (2, ""), (3, " \n")], "doc_id long, text string")
+    assert len({r.score for r in quality.score(blank, model).collect()}) == 1
+    twice = docs.select("doc_id", "text").unionAll(docs.select("doc_id", "text"))  # repeated rows change nothing
+    assert {r.score for r in quality.score(docs, quality.fit(twice, labels, usable=~held_out())).collect()} == {r.score for r in quality.score(docs, model).collect()}
     for m in (model, quality.fit(empty, labels), quality.fit(docs, labels.where("quality = 1"))):
         got = quality.score(odd, m).collect()
         assert len(got) == 9 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
@@ -49,6 +53,17 @@ def test_quality_ignores_ids_and_labels(spark, tables):
     assert [r.score for r in a] == [r.score for r in b]
 
 
+def test_frequent_pre_tokens_over_blocks_and_groups(spark, monkeypatch):
+    """Blocks of few documents, dealt in groups: each document's sum is the library's."""
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(WORD)
+    texts = [f"the the word{k % 7} {'x' * (k % 90)}" for k in range(300)]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").withColumn("block", F.lit(1)).withColumn("n_tokens", F.lit("x")).repartition(70)
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(rows, WORD, shares=5).collect()}
+    assert got == {k: len(made.encode(t, add_special_tokens=False).ids) for k, t in enumerate(texts)}
+
+
 def plain_spans(text):
     """The fixed patterns, each run over the whole text by itself."""
     out = []

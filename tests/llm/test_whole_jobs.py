@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftlake.llm import decontaminate, language_id, secret_scan, warc
+from siftlake.llm import decontaminate, language_id, secret_scan, top_k, warc
+from siftlake.llm.common import held_out
 
 
 def test_edited_copies_beside_a_verbatim_one(spark):
@@ -68,6 +69,56 @@ def test_decontamination_finds_what_aligning_all_pairs_finds(spark, monkeypatch)
     assert (306, 3) in got and got[306, 3] < 0.56  # thirty words with one word between, and one n-gram left
 
 
+def test_pages_with_very_long_html_are_read(spark):
+    rng = random.Random(4)
+    long = "".join(rng.choices("<p>abcdefgh é", k=400_000)) * 8
+    pages = spark.createDataFrame([(1, "http://a/", long), (2, "http://b/", long), (3, "http://c/", "x")], "page_id long, url string, html string")
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.archive_and_read(pages, split_bytes=100_000).collect()}
+    data = long.encode()
+    assert got == {1: (len(data), warc.sha1_of(data), "revisit", 2), 2: (len(data), warc.sha1_of(data), "response", None), 3: (1, warc.sha1_of(b"x"), "response", None)}
+
+
+def test_search_with_clashing_columns(spark):
+    rows = [(k, [float(k % 5), float(k % 3)], 1, 2, 3, "x", "y") for k in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int, rank int, query_id int, block string, v string")
+    plain = top_k.top_k(df.select("vec_id", "embedding"), F.col("vec_id") % 20 == 0, k=5, query_block=2, block=7)
+    assert sorted(map(tuple, top_k.top_k(df, F.col("vec_id") % 20 == 0, k=5).collect())) == sorted(map(tuple, plain.collect())) and plain.count() == 15
+
+
+def test_stages_equal_plain_versions(spark, tables):
+    """Languages, benchmark copies and secrets of the pipeline against row-by-row versions over the same documents."""
+    import corpus_pipeline
+
+    docs = tables("documents")
+    sf = "/root/testdata/sf0.001"
+    rows = docs.collect()
+    kept = corpus_pipeline.identify_language(spark, docs, sf).collect()
+    encoder = language_id.Encoder(language_id.fit(docs, usable=~held_out()))
+    want = {r.doc_id: encoder.decide(r.text or "") for r in rows}
+    assert {r.doc_id: r.lang for r in kept} == {d: lang for d, (lang, _, margin) in want.items() if lang != "und" and margin >= 0.004}
+
+    words_of = decontaminate.Words()
+    items = [words_of(r.text or "") for r in tables("benchmark").collect()]
+    few = docs.where("n_chars < 3000")
+    clean = {r.doc_id for r in corpus_pipeline.drop_benchmark_copies(spark, few, sf).collect()}
+    for r in few.collect():
+        text = words_of(r.text or "")
+        held = {g for x in items for g in decontaminate.grams(x, 3).tolist()} & set(decontaminate.grams(text, 3).tolist())
+        best = max((decontaminate.align(x, text)[0] / 2 / len(x) for x in items if len(x) and np.isin(x, text).sum() >= len(x) / 2), default=0) if held else 0
+        assert (r.doc_id in clean) == (best < 0.5), r.doc_id
+
+    model = secret_scan.train(docs)
+    masked = {r.doc_id: r for r in corpus_pipeline.mask_secrets(spark, docs, sf).collect()}
+    for r in rows:
+        base, added = secret_scan.find_secrets(r.text or "", model, {}, 1.0, 20.0)
+        plain, at = "", 0
+        for s, e in sorted((s, e) for s, _, e in base + added):
+            if s >= at:
+                plain += (r.text or "")[at:s] + "[SECRET]"
+            at = max(at, e)
+        assert masked[r.doc_id].text == plain + (r.text or "")[at:] and masked[r.doc_id].n_chars == len(masked[r.doc_id].text)
+
+
 def test_language_needs_a_letter(spark):
     assert [language_id.letters_of(t) for t in ("½²", "①②", "\u0301\u0308", "Ⅷ", "12_3", "½a²")] == ["", "", "", "", "", "a"]
     train = spark.createDataFrame([(1, "the one and only text of this language", "en"), (2, "der eine und einzige text dieser sprache", "de")] * 3, "doc_id long, text string, lang string")
