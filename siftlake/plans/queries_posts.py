@@ -45,20 +45,21 @@ SIGNALS = {"high": r"(?:ing|tion)\b", "contact": r"\b(?:the|der)\b", "never": "z
 
 
 @query("t10_signals", r"""SELECT doc_id, least(len(list_distinct(regexp_extract_all(text, '(?i)(?:ing|tion)(?:[^\p{L}\p{N}_]|$)'))) , 1) > 0 AS has_high,
-    len(regexp_extract_all(text, '(?i)token = "[0-9a-f]+"')) AS tokens FROM documents""")
+    least(10, len(list_distinct(regexp_extract_all(text, '(?i)token = "[0-9a-f]+"')))) AS tokens, least(10, len(list_distinct(regexp_extract_all(text, '(?i)token = "[0-9a-f]+"'))))
+    + len(list_distinct(regexp_extract_all(text, '(?i)(ing|tion)(?:[^\p{L}\p{N}_]|$)', 1))) AS hits FROM documents""")
 def signals(v: Views) -> DataFrame:
-    got = X.signals(F.col("text"), {"high": r"(?:ing|tion)(?![\p{L}\p{N}_])", "never": "zzzz"})
-    tokens = F.regexp_extract_all("text", F.lit('(?i)token = "[0-9a-f]+"'), F.lit(0))
-    return v.documents.select("doc_id", (X.signal_count(got) > 0).alias("has_high"), F.size(tokens).cast("bigint").alias("tokens"))
+    got = X.signals(F.col("text"), {"high": r"(?:ing|tion)(?![\p{L}\p{N}_])", "token": 'token = "[0-9a-f]+"', "never": "zzzz"})
+    tokens = F.coalesce(F.size(F.col("s")["token"]), F.lit(0)).cast("bigint")
+    rows = v.documents.select("doc_id", got.alias("s"))
+    return rows.select("doc_id", (F.size(F.coalesce(F.col("s")["high"], F.array().cast("array<string>"))) > 0).alias("has_high"), F.greatest(tokens, F.lit(0)).alias("tokens"), X.signal_count(F.col("s")).cast("bigint").alias("hits"))
 
 
 @query("a13_signal_breakdown", r"""SELECT family, count(*) AS docs, CAST(sum(n) AS BIGINT) AS hits FROM (
-    SELECT 'upper' AS family, least(10, len(list_distinct(regexp_extract_all(text, '[A-Z]{4,}')))) AS n FROM documents
+    SELECT 'word' AS family, least(10, len(list_distinct(regexp_extract_all(text, '(?i)token|license|password|the')))) AS n FROM documents
     UNION ALL SELECT 'number', least(10, len(list_distinct(regexp_extract_all(text, '[0-9]+')))) FROM documents) WHERE n > 0 GROUP BY family""")
 def signal_breakdown(v: Views) -> DataFrame:
-    # Case matters here, so the families are made from the flagless forms.
-    found = F.create_map(*[x for name, p in (("upper", "[A-Z]{4,}"), ("number", "[0-9]+")) for x in (F.lit(name), F.slice(F.array_distinct(F.regexp_extract_all("text", F.lit(p), F.lit(0))), 1, 10))])
-    return reports.signal_breakdown(v.documents.select(F.map_filter(found, lambda _, h: F.size(h) > 0).alias("signals")))
+    found = X.signals(F.col("text"), {"word": "token|license|password|the", "number": "[0-9]+", "never": "zzzzz"})
+    return reports.signal_breakdown(v.documents.select(found.alias("signals")))
 
 
 @query("t11_preview", r"SELECT doc_id, sha256(substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 1200)) AS h FROM documents")
@@ -77,9 +78,11 @@ def content_hash(v: Views) -> DataFrame:
     return v.documents.select("doc_id", X.content_hash(F.col("text")).alias("h"))
 
 
-@query("t16_t18_language_time", "SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+@query("t16_t18_language_time", "SELECT CASE doc_id % 4 WHEN 0 THEN 'zh-CN' WHEN 1 THEN 'zh-TW' WHEN 2 THEN 'ko' ELSE lang END AS lang, count(*) AS n FROM documents GROUP BY 1")
 def language_codes(v: Views) -> DataFrame:
-    return v.documents.groupBy(X.language_code(F.col("lang")).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+    k = F.col("doc_id") % 4
+    given = F.when(k == 0, "ZH-cn").when(k == 1, " zh-tw").when(k == 2, " ").otherwise(F.col("lang"))
+    return v.documents.groupBy(X.language_code(given).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
 
 
 PROFILES = """SELECT lang, g, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, g) AS place FROM (
