@@ -33,7 +33,7 @@ REACH, LONGEST = 8, 32
 #: Bands and rows for lines (and whole texts), and for pieces.
 LINE_BANDS, PIECE_BANDS = (8, 3), (3, 2)
 #: Texts that a task remembers to have seen.
-SEEN = 1_000_000
+SEEN = 250_000
 #: Texts of a block that are compared at once, and texts that pass by one block in one task.
 QUERIES, PASSING = 512, 4096
 SLAB = 1_000_000
