@@ -163,23 +163,48 @@ def unit_hashes(words: np.ndarray, place: np.ndarray, first: np.ndarray) -> np.n
     return np.stack([np.add.reduceat(mixed(words ^ mixed(place + np.uint64(seed))), first) for seed in (11, 1 << 40)], axis=1)
 
 
-class Seen(dict):
-    """How many bands a text gives: all at its first occurrence in a task, one at the second, then none."""
-
-    def bands(self, hashes: np.ndarray, n: int) -> np.ndarray:
-        times = np.zeros(len(hashes), dtype=np.int64)
-        for j, h in enumerate(map(tuple, hashes.tolist())):
-            times[j] = self[h] = self.get(h, 0) + 1
-        if len(self) > SEEN:
-            self.clear()
-        return np.where(times == 1, n, np.where(times == 2, 1, 0))
+class Seen:
+    """What a task has met so far, so that it says of each text and band key only what is news.
 
+    A text's band keys count at its first occurrence; its second one shows that it repeats. Of each key the first two texts
+    are to be checked against other tasks; the others collide for certain. So a text or key that very many rows
+    share costs a task two rows of the shuffle at most. Beyond ``SEEN`` texts it begins anew, which costs rows, not results.
+    """
 
-def hash_columns(hashes: np.ndarray, counts: np.ndarray, flat: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
-    """Columns ``h``, ``k`` and ``bands``."""
+    def __init__(self) -> None:
+        self.texts: dict[tuple[int, int], int] = {}
+        self.keys: dict[int, int] = {}
+
+    def news(self, hashes: np.ndarray, keys: np.ndarray) -> dict[str, pa.Array]:
+        """Columns ``bands`` (keys to be checked), ``sure`` (keys that collide) and ``again`` (the text's second occurrence)."""
+        if len(self.texts) > SEEN:
+            self.texts.clear()
+            self.keys.clear()
+        texts, known = self.texts, self.keys
+        again, bands, sure, n_bands, n_sure = np.zeros(len(hashes), dtype=bool), [], [], [0], [0]
+        for j, (h, own) in enumerate(zip(map(tuple, hashes.tolist()), keys.view(np.int64).tolist(), strict=True)):
+            times = texts.get(h, 0)
+            if times == 0:
+                for key in own:
+                    count = known.get(key, 0)
+                    if count < 2:
+                        known[key] = count + 1
+                        bands.append(key)
+                    else:
+                        sure.append(key)
+            if times < 2:
+                texts[h] = times + 1
+                again[j] = times == 1
+            n_bands.append(len(bands))
+            n_sure.append(len(sure))
+        lists = lambda n, flat: pa.ListArray.from_arrays(pa.array(n, pa.int32()), pa.array(flat, pa.int64()))
+        return {"bands": lists(n_bands, bands), "sure": lists(n_sure, sure), "again": pa.array(again)}
+
+
+def hash_columns(hashes: np.ndarray) -> dict[str, pa.Array]:
+    """Columns ``h`` and ``k``."""
     h = pa.Array.from_buffers(pa.binary(16), len(hashes), [None, pa.py_buffer(np.ascontiguousarray(hashes))]).cast(pa.binary())
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(flat.view(np.int64)))
-    return h, pa.array(hashes[:, 0].copy().view(np.int64)), lists
+    return {"h": h, "k": pa.array(hashes[:, 0].copy().view(np.int64))}
 
 
 def whole_texts(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -233,26 +258,20 @@ class Cutter:
 
 def units(docs: DataFrame, *, id_col: str, text_col: str, least_words: int, size: int) -> DataFrame:
     """One row per unit: ``row`` (a number of the document's row), ``id``, ``start``, ``end``, ``words`` (their number),
-    ``kind``, ``h`` (128-bit hash of the words), ``k`` (its first half) and ``bands``.
-
-    A text's bands are given at its first occurrence in a task, at the second only the first band, later none: that
-    shows all collisions and repeats, and a text in very many documents costs at most two rows a task.
+    ``kind``, ``h`` (128-bit hash of the words), ``k`` (its first half), and ``bands``, ``sure`` and ``again`` (see ``Seen``).
     """
-    schema = f"row long, id {dict(docs.dtypes)[id_col]}, start long, end long, words int, kind byte, h binary, k long, bands array<long>"
+    schema = f"row long, id {dict(docs.dtypes)[id_col]}, start long, end long, words int, kind byte, h binary, k long, bands array<long>, sure array<long>, again boolean"
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, seen = Cutter(least_words, size), Seen()
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            made = []
             for kind, (of, starts, ends, sizes, both, keys, _) in enumerate(cut(list(texts_of(batch.column(1))))):
-                counts = seen.bands(both, keys.shape[1])
-                made.append((of, starts, ends, sizes, np.full(len(of), kind), both, counts, keys[np.arange(keys.shape[1])[None, :] < counts[:, None]]))
-            if made:
-                of, starts, ends, sizes, kinds, both, counts, flat = (np.concatenate(c) for c in zip(*made, strict=True))
-                columns = [row + of, batch.column(0).take(pa.array(of)), starts, ends, sizes, kinds, *hash_columns(both, counts, flat)]
-                yield pa.RecordBatch.from_arrays([(c if isinstance(c, pa.Array) else pa.array(c)).cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+                made = {"row": row + of, "id": batch.column(0).take(pa.array(of)), "start": starts, "end": ends, "words": sizes, "kind": np.full(len(of), kind)}
+                made |= hash_columns(both) | seen.news(both, keys)
+                columns = (made[f.name] if isinstance(made[f.name], pa.Array) else pa.array(made[f.name]) for f in arrow)
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
             row += batch.num_rows
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
@@ -430,13 +449,16 @@ def links_of(met: DataFrame, sets: DataFrame, *, size: int, similarity: float) -
 
 
 def text_classes(table: DataFrame, words_for: Callable[[DataFrame], DataFrame], *, order: list[str], size: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``table`` (with ``h``, ``k`` and ``bands``) whose texts repeat or collide, and ``h``, ``class_size`` and
+    """The rows of ``table`` (with ``h``, ``k``, ``bands``, ``sure`` and ``again``) whose texts repeat or collide, and ``h``, ``class_size`` and
     ``least`` (the struct ``order`` of the class's first occurrence) of the texts that have a class of several occurrences.
 
     ``words_for`` gives ``h`` and ``words`` of the texts of a table with ``k``.
     """
-    hits = stored(colliding(table.select(F.explode("bands").alias("key"), "k")), "collisions")
-    again = stored(table.drop("bands").join(hits.select("k").distinct().hint("merge"), "k", "left_semi"), "again")
+    checked = colliding(table.select(F.explode("bands").alias("key"), "k"))
+    sure = table.select(F.explode("sure").alias("key"), "k", F.lit(False).alias("repeats"))
+    twice = table.where("again").select(F.lit(0).cast("long").alias("key"), "k", F.lit(True).alias("repeats"))
+    hits = stored(checked.unionAll(sure).unionAll(twice), "collisions")
+    again = stored(table.drop("bands", "sure", "again").join(hits.select("k").distinct().hint("merge"), "k", "left_semi"), "again")
     texts = stored(again.groupBy("h", "k").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("first")), "texts")
     near = hits.where(~F.col("repeats")).select("key", "k")
     met = near.join(texts.select("k", "h").hint("merge"), "k").select("key", "h")
