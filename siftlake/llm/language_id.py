@@ -77,14 +77,16 @@ def fit(
     )
 
 
-#: Case, digits and signs say nothing of the language. Signs for numbers, such as a half or a raised two, are no letters either.
-_NUMBERS = "".join(chr(c) for c in range(0x110000) if chr(c).isnumeric() and not chr(c).isalpha() and not chr(c).isdecimal())
-NOT_LETTERS = re.compile(rf"[\W\d_{_NUMBERS}]+")
+#: Case, digits and signs say nothing of the language.
+NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def letters_of(text: str) -> str:
     """Lower-case letters with single spaces between; empty for a text without a letter."""
-    return NOT_LETTERS.sub(" ", text.lower()).strip()
+    found = NOT_LETTERS.sub(" ", text.lower()).strip()
+    if found and not found.replace(" ", "").isalpha():  # signs for numbers, such as a half or a raised two, are no letters either
+        found = " ".join("".join(c if c.isalpha() else " " for c in found).split())
+    return found
 
 
 class Encoder:
