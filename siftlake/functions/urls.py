@@ -137,21 +137,38 @@ def backfilled_url(site: Column, post: Column, url: Column, rules: dict[str, Cal
     return F.coalesce(url, made, board)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, as a function's variable, so that the plan does not copy it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def ipv6_hex(c: Column) -> Column:
     """An IPv6 address as 32 hex digits, so that addresses compare as numbers; null for anything else.
 
     Short forms, a zone and a dotted tail are read; groups of zeros left out are put in.
     """
-    text = F.lower(F.regexp_replace(c, "%.*$", ""))
-    dotted = F.regexp_extract(text, r"(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})$", 1)
-    number = ipv4_number(dotted)
-    tail = F.concat(F.hex(F.shiftright(number, 16)), F.lit(":"), F.hex(number.bitwiseAND(65535)))
-    text = F.when(dotted == "", text).otherwise(F.lower(F.concat(F.regexp_replace(text, r"\d{1,3}(\.\d{1,3}){3}$", ""), tail)))
-    sides = F.split(text, "::")
-    groups = lambda side: F.filter(F.split(F.coalesce(side, F.lit("")), ":"), lambda g: g != "")
-    left, right = groups(F.try_element_at(sides, F.lit(1))), groups(F.try_element_at(sides, F.lit(2)))
-    padded = lambda gs: F.array_join(F.transform(gs, lambda g: F.lpad(g, 4, "0")), "")
-    n = F.size(left) + F.size(right)
-    shape = text.rlike(r"^([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?(::([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?)?$") & F.contains(text, F.lit(":"))
-    full = F.when(F.size(sides) == 1, n == 8).otherwise((F.size(sides) == 2) & (n <= 7))
-    return F.when(shape & full, F.concat(padded(left), F.repeat(F.lit("0000"), 8 - n), padded(right)))
+
+    def undotted(text: Column) -> Column:
+        number = ipv4_number(F.regexp_extract(text, r"(\d{1,3}(?:\.\d{1,3}){3})$", 1))
+        tail = _bound(number, lambda n: F.concat(F.hex(F.shiftright(n, 16)), F.lit(":"), F.hex(n.bitwiseAND(65535))))
+        return F.when(F.contains(text, F.lit(".")), F.lower(F.concat(F.regexp_replace(text, r"\d{1,3}(\.\d{1,3}){3}$", ""), tail))).otherwise(text)
+
+    def groups(side: Column) -> Column:
+        return F.filter(F.split(F.coalesce(side, F.lit("")), ":"), lambda g: g != "")
+
+    def padded(gs: Column) -> Column:
+        return F.array_join(F.transform(gs, lambda g: F.lpad(g, 4, "0")), "")
+
+    def joined(parts: Column) -> Column:
+        left, right, sides = parts["left"], parts["right"], parts["sides"]
+        n = F.size(left) + F.size(right)
+        full = ((sides == 1) & (n == 8)) | ((sides == 2) & (n <= 7))
+        return F.when(full, F.concat(padded(left), F.repeat(F.lit("0000"), 8 - n), padded(right)))
+
+    def read(text: Column) -> Column:
+        shape = text.rlike(r"^([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?(::([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?)?$") & F.contains(text, F.lit(":"))
+        sides = F.split(text, "::")
+        parts = F.struct(groups(F.try_element_at(sides, F.lit(1))).alias("left"), groups(F.try_element_at(sides, F.lit(2))).alias("right"), F.size(sides).alias("sides"))
+        return F.when(shape, _bound(parts, joined))
+
+    return _bound(_bound(F.lower(F.regexp_replace(c, "%.*$", "")), undotted), read)

@@ -238,9 +238,10 @@ def blocked_addresses(df: DataFrame, ip: str = "ip", blocks: tuple[str, ...] = (
     import ipaddress
 
     nets = [ipaddress.ip_network(b) for b in blocks]
-    digits = U.ipv6_hex(F.col(ip))
+    df = df.withColumn("_digits", U.ipv6_hex(F.col(ip)))
+    digits, n = F.col("_digits"), F.col("_n")
     mapped = F.when(F.startswith(digits, F.lit("0" * 20 + "ffff")), F.conv(F.substring(digits, 25, 8), 16, 10).cast("long"))
-    n = F.coalesce(U.ipv4_number(F.col(ip)), mapped)
+    df = df.withColumn("_n", F.coalesce(U.ipv4_number(F.col(ip)), mapped))
 
     # Fixed lists: range tests of an expression, no join. Addresses of 32 hex digits compare as strings.
     def within(value: Column, networks: list, shown) -> Column:
@@ -250,7 +251,7 @@ def blocked_addresses(df: DataFrame, ip: str = "ip", blocks: tuple[str, ...] = (
     six = lambda a: f"{int(a):032x}"
     four = within(n, [x for x in nets if x.version == 4], int)
     long = within(digits, [x for x in nets if x.version == 6], six) & ~within(digits, [ipaddress.ip_network(x) for x in spared], six)
-    return df.withColumn("blocked", F.when(n.isNotNull(), four).when(digits.isNotNull(), long).otherwise(F.lit(True)))
+    return df.withColumn("blocked", F.when(n.isNotNull(), four).when(digits.isNotNull(), long).otherwise(F.lit(True))).drop("_digits", "_n")
 
 
 def domain_matches(df: DataFrame, domains: DataFrame, *, host: Column, key: str) -> DataFrame:
