@@ -7,8 +7,8 @@
    a term that one source holds is corrected by that source's distribution of shares (``single_corrections``), and a term
    that both hold by one more correction, which comes from a frequent-pattern tree.
 4. The tree: rows of terms, sources in order, equal rows once with their multiplicity, are sorted and dealt by ranges, so
-   that shared beginnings meet. Each task inserts its rows one by one; as they come sorted, only the path of the last row is
-   open. A node that closes adds its corrections against each ancestor once, times the rows that went through it.
+   that shared beginnings meet. A task's tree is built level by level; each node adds its corrections against each
+   ancestor once, times the rows that went through it.
 
 A row holds one entry a source at most, and the result has a row for each pair of sources, so no group is larger than
 what the result needs. Only the number of groups comes to the driver.
@@ -18,17 +18,19 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftlake.llm.common import arrow_map, stored
+from siftlake.llm.common import arrow_map, arrow_schema, stored
 
 #: All of UTF-8 beyond ASCII is a letter here, so that bytes can be searched.
 TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 #: A task's counts are passed on at so many keys.
-MOST_KEYS = 200_000
+MOST_KEYS = 300_000
 #: Tables of groups of up to so many rows are broadcast.
 BROADCAST_ROWS = 100_000
 SCALE, ADDED = 1_000_000_000, 5
@@ -38,36 +40,35 @@ SALTS = 8
 
 def term_counts(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
     """``lang, source, term, n`` (occurrences), ``docs`` (rows that hold it); one row of a null term for each group."""
+    ddl = "lang string, source string, term string, n long, docs long"
+    schema = arrow_schema(ddl)
 
-    def make():
-        def step(batch):
-            rows: dict[tuple, list[int]] = {}
-            out: list[tuple] = []
-            for lang, source, text in zip(*(batch.column(k) for k in range(3))):
-                lang, source = lang.as_py() or "", source.as_py() or ""
-                rows.setdefault((lang, source, None), [0, 0])[1] += 1
-                for term, n in Counter(TERM.findall((text.as_py() or "").encode().lower())).items():
-                    got = rows.setdefault((lang, source, term), [0, 0])
-                    got[0] += n
-                    got[1] += 1
-                if len(rows) > MOST_KEYS:
-                    out += [(*k, *v) for k, v in rows.items()]
-                    rows.clear()
-            out += [(*k, *v) for k, v in rows.items()]
-            columns = list(zip(*out)) if out else [()] * 5
-            return {
-                "lang": columns[0],
-                "source": columns[1],
-                "term": [t if t is None else t.decode() for t in columns[2]],
-                "n": columns[3],
-                "docs": columns[4],
-            }
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
-        return step
+        def counted() -> Iterator[pa.RecordBatch]:
+            for (lang, source), (n, held) in groups.items():
+                terms = pa.array([None, *n], pa.binary()).cast(pa.string())
+                size = len(n) + 1
+                columns = [pa.array([lang] * size), pa.array([source] * size), terms, pa.array([0, *n.values()], pa.int64()), pa.array([0, *(held[t] for t in n)], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+        size = 0
+        for batch in batches:
+            for lang, source, text in zip(*(batch.column(k) for k in range(3))):
+                n, held = groups.setdefault((lang.as_py() or "", source.as_py() or ""), (Counter(), Counter()))
+                terms = TERM.findall((text.as_py() or "").encode().lower())
+                size -= len(n)
+                n.update(terms)
+                held.update(set(terms))
+                size += len(n)
+                if size > MOST_KEYS:
+                    yield from counted()
+                    groups, size = {}, 0
+        yield from counted()
 
     narrow = docs.select(F.col(lang_col).cast("string"), F.col(source_col).cast("string"), F.col(text_col))
-    counted = arrow_map(narrow, make, "lang string, source string, term string, n long, docs long")
-    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return narrow.mapInArrow(count, ddl).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
@@ -84,67 +85,39 @@ def joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner")
 
 
 def tree_corrections(paths: DataFrame) -> DataFrame:
-    """``lang, source, other, value``: corrections for terms that both sources hold, of rows ``lang, path, times``."""
+    """``lang, source, other, value``: corrections for terms that both sources hold, of rows ``lang, path, times``.
 
-    def make():
-        names: dict[tuple, int] = {}
-        path: list[list[int]] = []  # of the open nodes: name, share, share at zero, rows through it
-        state = {"lang": None, "held": [], "size": 0}
-        sums: dict[tuple[int, int], int] = {}
-
-        def fold():
-            if not state["held"]:
-                return
-            a, b, v = (np.concatenate(x) for x in zip(*state["held"]))
-            order = np.lexsort((b, a))
-            a, b, v = a[order], b[order], v[order]
-            edge = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-            for x, y, z in zip(a[edge].tolist(), b[edge].tolist(), np.add.reduceat(v, edge).tolist()):
-                sums[x, y] = sums.get((x, y), 0) + z
-            state["held"], state["size"] = [], 0
-
-        def close(keep: int):
-            """Close the nodes beyond the first ``keep``; each meets its ancestors once."""
-            if len(path) <= keep:
-                return
-            nodes = np.array(path, dtype=np.int64)
-            for k in range(len(path) - 1, keep - 1, -1):
-                name, p, zero, times = path[k]
-                if k:
-                    other, q, bare = nodes[:k, 0], nodes[:k, 1], nodes[:k, 2]
-                    both = np.abs(p - q) - np.abs(p - bare) - np.abs(zero - q) + np.abs(zero - bare)
-                    state["held"].append((other, np.full(k, name), both * times))
-                    state["size"] += k
-            del path[keep:]
+    A task's tree is built level by level. At each level, neighbouring rows with the same path so far are one node, whose
+    rows' multiplicities are summed; the node's ancestors are the cells before it in its first row.
+    """
 
+    def make():
         def step(batch):
-            for lang, cells, times in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if lang != state["lang"]:
-                    close(0)
-                    state["lang"] = lang
-                shared = 0
-                row = [(names.setdefault((lang, c["source"]), len(names)), c["p"], c["zero"]) for c in cells]
-                while shared < min(len(path), len(row)) and path[shared][:2] == list(row[shared][:2]):
-                    path[shared][3] += times
-                    shared += 1
-                close(shared)
-                path.extend([*cell, times] for cell in row[shared:])
-                if state["size"] > 1_000_000:
-                    fold()
-            # What a batch leaves open goes on as it is; its rows so far are closed, the next batch counts from zero.
-            close(0)
-            state["lang"] = None
-            fold()
-            labels = list(names)
-            out = {"lang": [], "source": [], "other": [], "value": []}
-            for (x, y), v in sums.items():
-                out["lang"].append(labels[x][0])
-                out["source"].append(labels[x][1])
-                out["other"].append(labels[y][1])
-                out["value"].append(v)
-            sums.clear()
-            names.clear()
-            return out
+            cells = batch.column(1).flatten()
+            begin = np.concatenate([[0], np.cumsum(batch.column(1).value_lengths().to_numpy())])
+            length, begin = np.diff(begin), begin[:-1]
+            times = batch.column(2).to_numpy()
+            p, zero = (cells.field(f).to_numpy() for f in ("p", "zero"))
+            langs, sources = batch.column(0).dictionary_encode(), cells.field("source").dictionary_encode()
+            lang = langs.indices.to_numpy()
+            names, name = np.unique(np.repeat(lang, length).astype(np.int64) * len(sources.dictionary) + sources.indices.to_numpy(), return_inverse=True)
+            sums = np.zeros(len(names) ** 2, dtype=np.int64)  # as many as the batch's languages have pairs of sources
+            shared = np.concatenate([[False], lang[1:] == lang[:-1]])
+            for k in range(int(length.max(initial=0))):
+                has = length > k
+                at = np.where(has, begin + k, 0)
+                shared = shared & has & np.roll(has, 1) & (name[at] == np.roll(name[at], 1)) & (p[at] == np.roll(p[at], 1))
+                first = np.flatnonzero(has & ~shared)  # the first row of each node
+                through = np.add.reduceat(times[has], np.flatnonzero(~shared[has]))
+                own, base = begin[first] + k, begin[first]
+                for j in range(k):
+                    up = base + j
+                    both = np.abs(p[own] - p[up]) - np.abs(p[own] - zero[up]) - np.abs(zero[own] - p[up]) + np.abs(zero[own] - zero[up])
+                    np.add.at(sums, name[up] * len(names) + name[own], both * through)
+            found = np.flatnonzero(sums)
+            label = [(langs.dictionary[x // len(sources.dictionary)].as_py(), sources.dictionary[x % len(sources.dictionary)].as_py()) for x in names.tolist()]
+            pairs = [(label[x // len(names)], label[x % len(names)][1]) for x in found.tolist()]
+            return {"lang": [a[0] for a, _ in pairs], "source": [a[1] for a, _ in pairs], "other": [b for _, b in pairs], "value": sums[found]}
 
         return step
 
