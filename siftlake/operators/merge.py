@@ -143,6 +143,16 @@ def retry_schedule(attempts: DataFrame, *, retries: int = 3, base_s: float = 1.0
     return made.withColumn("delay_s", F.when(F.col("state") == "retry", base_s * F.pow(F.lit(2.0), F.col("failures") - 1))).drop("_ok", "_hard")
 
 
+def drawn(tokens: float, last: float | None, now: float | None, capacity: float, refill: float) -> tuple[float, float | None, bool, float]:
+    """A request at ``now``: tokens left, time of the last refill, whether it is admitted, and how long to wait for a token if not."""
+    if now is not None:
+        if last is not None:
+            tokens = min(capacity, tokens + (now - last) * refill)
+        last = now
+    admitted = tokens >= 1
+    return tokens - admitted, last, admitted, 0.0 if admitted else (1 - tokens) / refill
+
+
 def token_bucket(requests: DataFrame, *, key: str = "key", at: str = "at", tie: str, capacity: float = 60.0, refill: float = 1.0) -> DataFrame:
     """``key``, ``at``, ``tie``, ``admitted`` and ``wait_s``: an ordered fold of each key's requests, by time and then ``tie``.
 
@@ -162,14 +172,9 @@ def token_bucket(requests: DataFrame, *, key: str = "key", at: str = "at", tie:
             for name, us in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if name != own:
                     own, tokens, last = name, capacity, None
-                now = us / 1e6 if us is not None else None
-                if last is not None and now is not None:
-                    tokens = min(capacity, tokens + (now - last) * refill)
-                last = now if now is not None else last
-                good = tokens >= 1
+                tokens, last, good, wait = drawn(tokens, last, us / 1e6 if us is not None else None, capacity, refill)
                 admitted.append(good)
-                waits.append(0.0 if good else (1 - tokens) / refill)
-                tokens -= good
+                waits.append(wait)
             columns = [batch.column(0), batch.column(1), batch.column(2), pa.array(admitted, pa.bool_()), pa.array(waits, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[key, at, tie, "admitted", "wait_s"])
 

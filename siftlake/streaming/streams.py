@@ -80,9 +80,10 @@ def depths(df: DataFrame) -> DataFrame:
 
 
 class RetryMachine(StatefulProcessor):
-    """Claims and acknowledgements by post. A claim not acknowledged in time is given out again, then is a dead letter.
+    """Posts that are queued, claimed or dead letters. A claim not acknowledged in time goes back into the queue, after ``most`` such tries it is a dead letter.
 
-    Rows: ``post_id``, ``event`` (claimed, acked). Out: ``post_id``, ``action`` (requeue, dead_letter).
+    Time runs from a claim; a post that waits in the queue has no timer. Rows: ``post_id``, ``event`` (claimed, acked). Out: ``post_id``,
+    ``action`` (requeue, dead_letter). By processing time; ``ordered.queue_machine`` replays a log by event time.
     """
 
     def __init__(self, timeout_ms: int = 300_000, most: int = 3) -> None:
@@ -103,20 +104,17 @@ class RetryMachine(StatefulProcessor):
                 self._clear_timers()
                 if event == "acked":
                     self.tries.clear()
-                else:
-                    if not self.tries.exists():
-                        self.tries.update((0,))
+                elif event == "claimed":
                     self.handle.registerTimer(now + self.timeout_ms)
         yield pd.DataFrame({"post_id": [], "action": []}, dtype=object)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
-        n = (self.tries.get()[0] if self.tries.exists() else 0) + 1
-        if n > self.most:
+        tries = self.tries.get()[0] if self.tries.exists() else 0
+        if tries >= self.most:
             self.tries.clear()
             action = "dead_letter"
         else:
-            self.tries.update((n,))
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
+            self.tries.update((tries + 1,))
             action = "requeue"
         yield pd.DataFrame({"post_id": [key[0]], "action": [action]})
 

@@ -199,18 +199,26 @@ def test_ingest_and_merge(spark):
 
 
 def test_retries(spark):
+    """p1 is claimed once: given out again, then it waits. p2 is claimed again after that: a dead letter. p3 is acknowledged."""
     import time
 
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     at = folder()
-    spark.createDataFrame([("p1", "claimed"), ("p2", "claimed")], "post_id string, event string").write.parquet(f"{at}/in")
+    put = lambda *r: spark.createDataFrame(list(r), "post_id string, event string").coalesce(1).write.mode("append").parquet(f"{at}/in")
+    put(("p1", "claimed"), ("p2", "claimed"), ("p3", "claimed"), ("p3", "acked"))
     source = spark.readStream.schema("post_id string, event string").parquet(f"{at}/in")
     q = streams.retries(source, timeout_ms=1000, most=1).writeStream.format("memory").queryName("k8").outputMode("update").option("checkpointLocation", f"{at}/cp").trigger(processingTime="1 second").start()
+    seen = lambda: {(r.post_id, r.action) for r in spark.table("k8").collect()}
     try:
         end = time.time() + 90
-        while time.time() < end and spark.table("k8").where("action = 'dead_letter'").count() < 2:
+        while time.time() < end and len(seen()) < 2:
             time.sleep(1)
-        assert {(r.post_id, r.action) for r in spark.table("k8").collect()} == {(p, a) for p in ("p1", "p2") for a in ("requeue", "dead_letter")}
+        assert seen() == {("p1", "requeue"), ("p2", "requeue")}
+        put(("p2", "claimed"))
+        while time.time() < end and len(seen()) < 3:
+            time.sleep(1)
+        time.sleep(5)
+        assert seen() == {("p1", "requeue"), ("p2", "requeue"), ("p2", "dead_letter")}
     finally:
         q.stop()
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
