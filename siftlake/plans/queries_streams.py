@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.operators import merge
+from siftlake.operators import merge, versions
 from siftlake.plans.bindings import TIERS, Views
 from siftlake.plans.queries_stats import RULES_SQL, rule_rows
 from siftlake.plans.registry import query
@@ -66,18 +66,17 @@ def enrich(v: Views) -> DataFrame:
 
 @query("k05_stream_merge", """SELECT post_id, model_version, count(*) AS n FROM (SELECT DISTINCT event_id % 300 AS post_id, 'v' || (user_id % 3) AS model_version FROM events) GROUP BY ALL""")
 def merging(v: Views) -> DataFrame:
+    """The stream is stopped after its first batch of files and started again, and one of its batches is given to the table twice."""
     at = scratch(v.spark, "merge")
-    rows = events(v).select(F.col("event_id").alias("id"), (F.col("event_id") % 300).alias("post_id"), F.concat(F.lit("v"), (F.col("user_id") % 3).cast("string")).alias("model_version"))
-    v.spark.createDataFrame([], rows.schema).write.parquet(f"{at}/v=-1")
-    last = [-1]
-
-    def write(batch: DataFrame, number: int) -> None:
-        old = batch.sparkSession.read.schema(rows.schema).parquet(f"{at}/v={last[0]}")
-        old.unionByName(merge.new_detections(old, batch, [F.asc("id")]).select(*old.columns)).write.mode("overwrite").parquet(f"{at}/v={number}")
-        last[0] = number
-
-    streams.merge_batches(rows, write, f"{at}/cp").awaitTermination()
-    return v.spark.read.schema(rows.schema).parquet(f"{at}/v={last[0]}").groupBy("post_id", "model_version").agg(F.count(F.lit(1)).alias("n"))
+    rows = v.table("events").select(F.col("event_id").alias("id"), (F.col("event_id") % 300).alias("post_id"), F.concat(F.lit("v"), (F.col("user_id") % 3).cast("string")).alias("model_version"))
+    state = versions.Versions(v.spark, f"{at}/state", rows.schema, ["post_id", "model_version"], buckets=16)
+    added = lambda old, new: old.unionByName(merge.new_detections(old, new, [F.asc("id")]).select(*old.columns))
+    for half in (0, 1):
+        rows.where(F.pmod(F.xxhash64("id"), F.lit(2)) == half).write.mode("append").parquet(f"{at}/in")
+        stream = v.spark.readStream.schema(rows.schema).parquet(f"{at}/in")
+        streams.merge_batches(stream, lambda batch, number: state.commit(batch, number, added), f"{at}/cp").awaitTermination()
+    assert not state.commit(rows, state.numbers()[0], added)
+    return state.read().groupBy("post_id", "model_version").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("k06_stream_daily_counts", "SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1")
