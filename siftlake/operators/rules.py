@@ -5,11 +5,12 @@ from __future__ import annotations
 import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlake.functions import fixed
 from siftlake.functions.text import any_marker, strip
+from siftlake.session import stored
 
 
 def detection_filter(
@@ -181,46 +182,57 @@ def enabled_rules(rules: DataFrame, event_type: str) -> DataFrame:
     return rules.where(F.col("enabled") & F.col("channel_enabled") & (F.col("event_type") == event_type)).orderBy("created_at", "id")
 
 
-#: Rules without type and site up to which they are sent to all tasks.
-BROADCAST_RULES = 10_000
+#: Rules of a pack, and packs up to which they are sent to all tasks (about a million rules, 16 MB).
+PACK, BROADCAST_PACKS = 512, 2_000
 
 
-def match_rules(detections: DataFrame, rules: DataFrame) -> DataFrame:
-    """``detection_id`` and ``rule_id`` of each rule that a detection meets; null or blank fields of a rule match all.
+def rule_packs(rules: DataFrame) -> DataFrame:
+    """Rules as an index: those of one type, site and tier (null, null and 0 for all) by threshold, in packs with their least threshold ``low``.
 
-    A rule with a type or a site is joined by that (equal values, a shuffle); the others, which look at every detection,
-    are sent to all tasks behind a count of at most ``BROADCAST_RULES``. More of them than that raise an error: they
-    would give each detection that many rows.
+    A rule without a threshold has the least there is. A rule whose tier is none of the known ones meets nothing and goes.
     """
-    blank = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == ""
-    typed = rules.where(~blank("detection_type"))
-    sited = rules.where(blank("detection_type") & ~blank("source_site_name"))
-    wide = rules.where(blank("detection_type") & blank("source_site_name"))
-    if wide.limit(BROADCAST_RULES + 1).count() > BROADCAST_RULES:
-        raise ValueError(f"over {BROADCAST_RULES} rules without a type and a site")
-    return (
-        matches(detections, typed.hint("merge"), F.col("d.type") == F.col("r.detection_type"))
-        .unionAll(matches(detections, sited.hint("merge"), F.col("d.site_name") == F.col("r.source_site_name")))
-        .unionAll(matches(detections, F.broadcast(wide), F.lit(True)))
-    )
 
+    def given(c: str) -> Column:
+        return F.when(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) != "", F.col(c))
 
-def matches(detections: DataFrame, rules: DataFrame, first: Column) -> DataFrame:
-    """``match_rules`` by one join whose condition begins with ``first``."""
-    d, r = detections.alias("d"), rules.alias("r")
+    ranks = F.create_map(*[F.lit(x) for k, t in enumerate(fixed.TIERS, 1) for x in (t, k)])
+    rank = F.when(given("min_tier").isNull(), 0).otherwise(ranks[F.col("min_tier")])
+    threshold = F.coalesce(F.col("min_confidence").cast("double"), F.lit(float("-inf")))
+    rows = rules.select(given("detection_type").alias("r_type"), given("source_site_name").alias("r_site"), rank.alias("r_tier"), threshold.alias("t"), "id").where(F.col("r_tier").isNotNull())
+    key = ["r_type", "r_site", "r_tier"]
+    placed = rows.withColumn("pack", F.floor((F.row_number().over(Window.partitionBy(*key).orderBy("t", "id")) - 1) / PACK))
+    return placed.groupBy(*key, "pack").agg(F.sort_array(F.collect_list(F.struct("t", "id"))).alias("rules"), F.min("t").alias("low"))
 
-    def free(c: str) -> Column:
-        return F.coalesce(F.trim(F.col(f"r.{c}").cast("string")), F.lit("")) == ""
 
-    rank = {t: k for k, t in enumerate(fixed.TIERS, 1)}
-    ranks = F.create_map(*[F.lit(x) for kv in rank.items() for x in kv])
-    meets = (
-        (F.col("r.min_confidence").isNull() | (F.col("d.confidence") >= F.col("r.min_confidence")))
-        & (free("min_tier") | (ranks[F.col("d.tier")] <= ranks[F.col("r.min_tier")]))
-        & (free("detection_type") | (F.col("d.type") == F.col("r.detection_type")))
-        & (free("source_site_name") | (F.col("d.site_name") == F.col("r.source_site_name")))
-    )
-    return d.join(r, first & meets).select(F.col("d.id").alias("detection_id"), F.col("r.id").alias("rule_id"))
+def match_rules(detections: DataFrame, rules: DataFrame) -> DataFrame:
+    """``detection_id`` and ``rule_id`` of each rule that a detection meets; null or blank fields of a rule match all.
+
+    A detection asks the index for the combinations of type, site and tier that occur among the rules (20 at most): an equi join
+    with the packs whose least threshold it reaches, so that a row of the join stands for up to ``PACK`` matches. Packs are broadcast
+    behind a count, else joined by a shuffle. ``detections`` may be a stream: it is read once. A null confidence meets
+    rules without a threshold, an unknown tier rules without a tier.
+    """
+    packs = stored(rule_packs(rules), "rule-packs")
+    kinds = packs.select(F.col("r_type").isNull(), F.col("r_site").isNull(), "r_tier").distinct().collect()  # at most 20 rows
+    ranks = F.create_map(*[F.lit(x) for k, t in enumerate(fixed.TIERS, 1) for x in (t, k)])
+    own = detections.select(
+        F.col("id").alias("detection_id"), F.col("type").alias("_t"), F.col("site_name").alias("_s"), ranks[F.col("tier")].alias("_r"),
+        F.coalesce(F.col("confidence").cast("double"), F.lit(float("-inf"))).alias("_c"),
+    )
+    null = F.lit(None).cast("string")
+    asks = [
+        F.when(
+            (F.lit(any_type) | F.col("_t").isNotNull()) & (F.lit(any_site) | F.col("_s").isNotNull()) & (F.lit(tier == 0) | F.coalesce(F.col("_r") <= tier, F.lit(False))),
+            F.struct((null if any_type else F.col("_t")).alias("a_type"), (null if any_site else F.col("_s")).alias("a_site"), F.lit(tier).alias("a_tier")),
+        )
+        for any_type, any_site, tier in sorted(map(tuple, kinds))
+    ]
+    asked = own.select("detection_id", "_c", F.inline(F.array_compact(F.array(*asks)) if asks else F.array().cast("array<struct<a_type:string,a_site:string,a_tier:int>>")))
+    few = packs.count() <= BROADCAST_PACKS
+    on = F.col("a_type").eqNullSafe(F.col("r_type")) & F.col("a_site").eqNullSafe(F.col("r_site")) & (F.col("a_tier") == F.col("r_tier")) & (F.col("low") <= F.col("_c"))
+    met = asked.join(F.broadcast(packs) if few else packs.hint("merge"), on)
+    reached = F.filter("rules", lambda r: r["t"] <= F.col("_c"))
+    return met.select("detection_id", F.explode(F.transform(reached, lambda r: r["id"])).alias("rule_id"))
 
 
 def fetch_error_class(error: Column) -> Column:

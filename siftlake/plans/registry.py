@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None, views: str = "") -> Callable:
     return register
 
 
-from siftlake.plans import queries_links, queries_more, queries_ordered, queries_posts, queries_stats, queries_streams  # noqa: E402,F401  (they register themselves)
+from siftlake.plans import queries_index, queries_links, queries_more, queries_ordered, queries_posts, queries_stats, queries_streams  # noqa: E402,F401  (they register themselves)
