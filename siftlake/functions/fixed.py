@@ -123,6 +123,15 @@ TRADE_KEYWORDS = (
 )
 TRADE_PATTERNS = (r"\b\d{1,3}(?:,\d{3})+\s*원\b", r"\b\d+\s*(?:원|만원|천원)\b")
 
+# Kinds, states and marks of fetched links, and the types of content that are read.
+FETCH_KINDS = {"messenger": "messenger", "blocked": "blocked", "error": "error", "file": "file_direct_link", "web": "web"}
+FETCH_STATUS = {
+    "messenger": "skipped:messenger", "blocked": "blocked:", "astray": "blocked:redirect_target", "far": "error:too_many_redirects", "type": "abort:content_type:",
+    "failed": "error:http_", "ok": "ok",
+}
+READABLE_TYPES = ("text/html", "text/plain", "application/xhtml+xml")
+MESSENGER_INDICATOR, FILE_INDICATOR = "비공개 채널 유도(메신저 초대링크)", "배포 파일 직링크(%s 응답)"
+
 # Address blocks that must not be fetched.
 BLOCKED_BLOCKS = (
     "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16",

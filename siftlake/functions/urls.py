@@ -1,7 +1,9 @@
-"""Functions on addresses. Addresses that cannot be parsed fall to the lenient branch each docstring names."""
+"""Functions on addresses. An address is split by the generic pattern of RFC 3986, which takes any sign in a host or a path; one that
+cannot be split (brackets that do not fit, a port that is no number or too great) falls to the branch each docstring names."""
 
 from __future__ import annotations
 
+import ipaddress
 from collections.abc import Callable
 from functools import reduce
 
@@ -21,35 +23,84 @@ def is_http(c: Column) -> Column:
     return F.coalesce(c.rlike("(?i)^https?://"), F.lit(False))
 
 
+_SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
+_BEFORE = r"(?s)^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?"
+
+
+def bare(c: Column) -> Column:
+    """Without what no address holds: control signs and blanks before it, tabs and line ends within."""
+    return F.regexp_replace(F.regexp_replace(c, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+
+
+def scheme_of(c: Column) -> Column:
+    """Lower case; empty if there is none."""
+    return F.lower(F.regexp_extract(bare(c), _SCHEME, 1))
+
+
+def authority_of(c: Column) -> Column:
+    """What stands between ``//`` and the path; empty if there is none."""
+    return F.regexp_extract(bare(c), _BEFORE + r"//([^/?#]*)", 1)
+
+
+def path_of(c: Column) -> Column:
+    return F.regexp_extract(bare(c), _BEFORE + r"(?://[^/?#]*)?([^?#]*)", 1)
+
+
+def query_of(c: Column) -> Column:
+    return F.regexp_extract(bare(c), r"(?s)^[^?#]*\?([^#]*)", 1)
+
+
+def _host_port(c: Column) -> Column:
+    return F.regexp_replace(authority_of(c), "(?s)^.*@", "")
+
+
 def host_of(c: Column) -> Column:
-    return F.lower(F.try_parse_url(c, F.lit("HOST")))
+    """Lower case (but for a zone, from ``%`` on), without user and port, without the brackets of an IPv6 address; null if there is none."""
+    rest = _host_port(c)
+    host = F.when(F.contains(rest, F.lit("[")), F.regexp_extract(rest, r"\[([^\]]*)", 1)).otherwise(F.regexp_extract(rest, "^([^:]*)", 1))
+    return F.nullif(F.concat(F.lower(F.regexp_extract(host, "(?s)^([^%]*)", 1)), F.regexp_extract(host, "(?s)(%.*)$", 1)), F.lit(""))
+
+
+def port_text(c: Column) -> Column:
+    """The port as it is written; empty if there is none."""
+    rest = _host_port(c)
+    return F.when(F.contains(rest, F.lit("[")), F.regexp_extract(rest, r"(?s)^[^\[]*\[[^\]]*\][^:]*:(.*)$", 1)).otherwise(F.regexp_extract(rest, "(?s)^[^:]*:(.*)$", 1))
+
+
+def port_of(c: Column) -> Column:
+    """Null if there is none, or if it is no number up to 65535."""
+    text = port_text(c)
+    return F.when(text.rlike("^[0-9]{1,9}$") & (text.try_cast("int") <= 65535), text.try_cast("int"))
+
+
+def splits(c: Column) -> Column:
+    """False where brackets do not pair or hold no IPv6 address, so that nothing can be told of the address."""
+    whole = authority_of(c)
+    opened, closed = F.contains(whole, F.lit("[")), F.contains(whole, F.lit("]"))
+    inner = F.regexp_extract(whole, r"\[([^\]]*)\]", 1)
+    return F.when(opened | closed, opened & closed & (ipv6_hex(inner).isNotNull() | inner.rlike(r"^[vV][0-9A-Fa-f]+\..+"))).otherwise(c.isNotNull())
 
 
 def unwrap_redirect(c: Column, hosts: tuple[str, ...] = fixed.WRAPPER_HOSTS) -> Column:
     """The target in the ``url`` parameter of a wrapper host, if it is an http address; else the address itself."""
-    raw = F.try_parse_url(c, F.lit("QUERY"), F.lit("url"))
+    raw = F.nullif(F.regexp_extract(query_of(c), "(?:^|&)url=([^&]+)", 1), F.lit(""))
     target = strip(F.coalesce(F.try_url_decode(raw), raw))
     return F.when(host_of(c).isin(*hosts) & is_http(target), target).otherwise(c)
 
 
-def port_of(c: Column) -> Column:
-    return F.regexp_extract(F.coalesce(F.try_parse_url(c, F.lit("AUTHORITY")), F.lit("")), r":(\d+)$", 1).try_cast("int")
-
-
 def canonical_url(c: Column, keep_query: bool = False) -> Column:
-    """Scheme and host lower, default port, fragment and last slash out, query sorted or out; unparsable: stripped input."""
+    """Scheme and host lower, default port, fragment and last slash out, query sorted or out; unparsable: stripped input without its last slashes."""
     u = strip(c)
-    scheme = F.lower(F.try_parse_url(u, F.lit("PROTOCOL")))
-    port = port_of(u)
+    scheme, host, port = scheme_of(u), host_of(u), port_of(u)
     default = F.when(scheme == "http", 80).when(scheme == "https", 443)
     shown = F.when(port.isNotNull() & ~port.eqNullSafe(default), F.concat(F.lit(":"), port.cast("string"))).otherwise("")
-    path = F.regexp_replace(F.coalesce(F.try_parse_url(u, F.lit("PATH")), F.lit("")), "/+$", "")
-    query = F.try_parse_url(u, F.lit("QUERY"))
+    path, query = F.regexp_replace(path_of(u), "/+$", ""), query_of(u)
     tail = F.lit("")
     if keep_query:
-        tail = F.when(query.isNotNull() & (query != ""), F.concat(F.lit("?"), F.array_join(F.array_sort(F.split(query, "&")), "&"))).otherwise("")
-    made = F.concat(scheme, F.lit("://"), host_of(u), shown, path, tail)
-    return F.coalesce(made, u)
+        tail = F.when(query != "", F.concat(F.lit("?"), F.array_join(F.array_sort(F.split(query, "&")), "&"))).otherwise("")
+    made = F.concat(scheme, F.lit("://"), F.coalesce(host, F.lit("")), shown, path, tail)
+    good = (scheme != "") & (authority_of(u) != "") & splits(u) & ((port_text(u) == "") | port.isNotNull())
+    return F.when(good, made).otherwise(F.regexp_replace(u, "/+$", ""))
 
 
 def suffixes_of(host: Column) -> Column:
@@ -65,8 +116,7 @@ def in_domains(host: Column, domains: tuple[str, ...]) -> Column:
 
 def is_official_install(url: Column, *texts: Column) -> Column:
     """An official domain with words of installing in its host, path, query or text."""
-    parts = [F.coalesce(F.try_parse_url(url, F.lit(p)), F.lit("")) for p in ("AUTHORITY", "PATH", "QUERY")]
-    hay = F.lower(F.concat_ws(" ", *parts, *texts))
+    hay = F.lower(F.concat_ws(" ", authority_of(url), path_of(url), query_of(url), *texts))
     return in_domains(host_of(url), fixed.OFFICIAL_SUFFIXES) & hay.rlike("|".join(map(_quoted, fixed.INSTALL_HINTS)))
 
 
@@ -75,17 +125,56 @@ def is_messenger(url: Column) -> Column:
 
 
 def policy_reason(url: Column) -> Column:
-    """Why an address must not be fetched: ``unparsable``, ``scheme``, ``no_host`` or ``port``; null if it may."""
-    scheme, host, port = F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))), host_of(url), port_of(url)
+    """Why an address must not be fetched: ``unparsable``, ``scheme`` (none, or another than http), ``no_host`` or ``port``; null if it may."""
+    scheme, port = scheme_of(url), port_of(url)
     default = F.when(scheme == "http", 80).when(scheme == "https", 443)
     return (
-        F.when(scheme.isNull(), "unparsable")
+        F.when(url.isNull() | (url == "") | ~splits(url), "unparsable")
         .when(~scheme.isin("http", "https"), "scheme")
-        .when(host.isNull() | (host == ""), "no_host")
-        .when(port.isNotNull() & (port != default), "port")
+        .when(host_of(url).isNull(), "no_host")
+        .when((port_text(url) != "") & ~F.coalesce(port == default, F.lit(False)), "port")
     )
 
 
+def _in_networks(value: Column, blocks: tuple[str, ...], version: int) -> Column:
+    """Whether a number (IPv4) or 32 hex digits (IPv6, which compare as strings) lie in a network of a fixed list: range tests, no join."""
+    nets = [n for n in map(ipaddress.ip_network, blocks) if n.version == version]
+    shown = int if version == 4 else (lambda a: f"{int(a):032x}")
+    ranges = F.array(*[F.struct(F.lit(shown(n.network_address)).alias("lo"), F.lit(shown(n.broadcast_address)).alias("hi")) for n in nets])
+    return F.exists(ranges, lambda r: value.between(r["lo"], r["hi"]))
+
+
+def is_blocked_ip(ip: Column, blocks: tuple[str, ...] = (*fixed.BLOCKED_BLOCKS, *fixed.BLOCKED_SIX), spared: tuple[str, ...] = fixed.GLOBAL_SIX) -> Column:
+    """Whether an IPv4 number or an IPv6 address lies within a blocked network. An IPv4 address mapped into IPv6, in any
+    spelling, counts as the IPv4 address; ``spared`` networks are allowed again; what is no address, and null, is blocked.
+    """
+
+    def told(x: Column) -> Column:
+        digits = x["digits"]
+        mapped = F.when(F.startswith(digits, F.lit("0" * 20 + "ffff")), F.conv(F.substring(digits, 25, 8), 16, 10).cast("long"))
+        return _bound(
+            F.coalesce(x["number"], mapped),
+            lambda n: F.when(n.isNotNull(), _in_networks(n, blocks, 4)).when(digits.isNotNull(), _in_networks(digits, blocks, 6) & ~_in_networks(digits, spared, 6)).otherwise(F.lit(True)),
+        )
+
+    return _bound(F.struct(ipv4_number(ip).alias("number"), ipv6_hex(ip).alias("digits")), told)
+
+
+def guard_reason(url: Column, resolved: Column | None = None) -> Column:
+    """``policy_reason``, or ``ip`` for a host that is, or was resolved to (an array), a blocked address, ``dns`` where it was resolved to none."""
+
+    def told(x: Column) -> Column:
+        host = x["host"]
+        literal = ipv4_number(host).isNotNull() | F.contains(host, F.lit(":"))
+        made = F.when(x["policy"].isNotNull(), x["policy"]).when(literal, F.when(is_blocked_ip(host), "ip"))
+        if resolved is None:
+            return made
+        return made.when(F.coalesce(F.size(x["resolved"]), F.lit(0)) <= 0, "dns").when(F.exists(x["resolved"], lambda a: is_blocked_ip(a)), "ip")
+
+    parts = [policy_reason(url).alias("policy"), host_of(url).alias("host")] + ([resolved.alias("resolved")] if resolved is not None else [])
+    return _bound(F.struct(*parts), told)
+
+
 def ipv4_number(c: Column) -> Column:
     """An IPv4 address as a number; null for anything else."""
     good = c.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")

@@ -18,28 +18,33 @@ from siftlake.functions.text import _quoted, strip
 KINDS = (
     "anchor_href", "iframe_src", "frame_src", "image_src", "script_src", "link_href", "meta_refresh", "js_location", "linked_image_href", "markdown_href", "bare_url",
 )
+#: Where a tag's label is sought.
+_LABELS = {"iframe": ("title", "name"), "frame": ("title", "name"), "img": ("alt",), "script": (), "link": ("rel",)}
 _TAGS = {"iframe": ("iframe_src", "src"), "frame": ("frame_src", "src"), "img": ("image_src", "src"), "script": ("script_src", "src"), "link": ("link_href", "href")}
 
 
 class _Tags(HTMLParser):
-    """Collects (kind, address, text) of the tags that name addresses; small helper of ``extract_links``."""
+    """Collects (kind, address, label, labels of the images within) of the tags that name addresses; small helper of ``extract_links``."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.found: list[list[str]] = []
-        self.anchor: list[str] | None = None
+        self.found: list[list] = []
+        self.anchor: list | None = None
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         a = {k: v or "" for k, v in attrs}
         if tag == "a" and a.get("href"):
-            self.anchor = ["anchor_href", a["href"], ""]
+            self.anchor = ["anchor_href", a["href"], "", []]
             self.found.append(self.anchor)
         elif tag in _TAGS and a.get(_TAGS[tag][1]):
-            self.found.append([_TAGS[tag][0], a[_TAGS[tag][1]], a.get("alt", "")])
+            label = next((a[x] for x in _LABELS[tag] if a.get(x)), "")
+            self.found.append([_TAGS[tag][0], a[_TAGS[tag][1]], label, []])
         elif tag == "meta" and a.get("http-equiv", "").lower() == "refresh":
             _, _, target = a.get("content", "").partition("=")
             if target.strip():
-                self.found.append(["meta_refresh", target.strip(" '\""), ""])
+                self.found.append(["meta_refresh", target.strip(" '\""), "", []])
+        if tag == "img" and self.anchor is not None:
+            self.anchor[3].append(a.get("alt", ""))
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "a":
@@ -47,11 +52,14 @@ class _Tags(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if self.anchor is not None:
-            self.anchor[2] += data
+            self.anchor[2] += f" {data}"
 
 
 def extract_links(df: DataFrame, *, key: str, text: str, base: str | None = None, resolve_relative: bool = False) -> DataFrame:
-    """``key``, ``ord``, ``kind``, ``url``, ``text``: all http addresses of eleven kinds, kind by kind in the order found.
+    """``key``, ``ord``, ``kind``, ``url``, ``original_url``, ``text``: all http addresses of eleven kinds, kind by kind in the order found.
+
+    ``text`` is the label: an anchor's text, or else its images'; ``title`` or ``name`` of a frame, ``alt`` of an image, ``rel`` of a link.
+    ``url`` is the target where the address is a wrapper's, ``original_url`` the address itself.
 
     One pass with an HTML parser for tags; Markdown, script and bare addresses by patterns in Spark.
     Relative addresses are dropped unless ``resolve_relative`` joins them to ``base``. Null text has none.
@@ -64,13 +72,13 @@ def extract_links(df: DataFrame, *, key: str, text: str, base: str | None = None
             for k, html, root in zip(pdf["_k"], pdf["_t"], pdf["_b"], strict=True):
                 tags = _Tags()
                 tags.feed(html or "")
-                for at, (name, url, label) in enumerate(tags.found):
+                for at, (name, url, label, inner) in enumerate(tags.found):
                     if resolve_relative and root:
                         try:
                             url = urljoin(root, url)
                         except ValueError:
                             continue
-                    rows.append((k, at, name, url, " ".join(label.split())))
+                    rows.append((k, at, name, url, " ".join(label.split()) or " ".join(" ".join(inner).split())))
             yield pd.DataFrame(rows, columns=[key, "at", "kind", "url", "text"])
 
     source = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"), (F.col(base) if base else F.lit(None).cast("string")).alias("_b"))
@@ -99,10 +107,10 @@ def extract_links(df: DataFrame, *, key: str, text: str, base: str | None = None
         found(F.col("_p"), "bare_url", r"""(?i)(https?://[^\s<>"'()\[\]]+)""", 1),
     )
     other = texts.select(key, F.inline(made))
-    links = tags.unionByName(other).withColumn("url", U.unwrap_redirect(U.clean_url(F.col("url")))).where(U.is_http(F.col("url")))
+    links = tags.unionByName(other).withColumn("original_url", U.clean_url(F.col("url"))).withColumn("url", U.unwrap_redirect(F.col("original_url"))).where(U.is_http(F.col("url")))
     rank = F.create_map(*[F.lit(x) for k, n in enumerate(KINDS) for x in (n, k)])[F.col("kind")]
     w = Window.partitionBy(key).orderBy(rank, "at")
-    return links.select(key, F.row_number().over(w).alias("ord"), "kind", "url", "text")
+    return links.select(key, F.row_number().over(w).alias("ord"), "kind", "url", "original_url", "text")
 
 
 def exclude_self(links: DataFrame, excluded: DataFrame, url: str = "url") -> DataFrame:
@@ -121,7 +129,7 @@ def _has(c: Column, parts: tuple[str, ...]) -> Column:
 
 def link_priority(df: DataFrame, *, url: str = "url", kind: str = "kind", text: str = "text") -> DataFrame:
     """``df`` with ``priority`` and ``reasons``: the first rung that holds decides (static 10, official 40, distribution 100, ...)."""
-    shown = F.lower(F.regexp_replace(F.col(url), r"[?#].*$", ""))
+    shown = F.lower(F.concat(U.authority_of(F.col(url)), U.path_of(F.col(url))))
     label = F.lower(F.coalesce(text, F.lit("")))
     k = F.col(kind)
     static = F.array_compact(
@@ -156,15 +164,18 @@ def link_priority(df: DataFrame, *, url: str = "url", kind: str = "kind", text:
 
 
 def best_links(df: DataFrame, *, key: str, most_aliases: int = 50) -> DataFrame:
-    """The best link of each post and canonical address (query kept), with the other spellings as ``aliases`` in the order seen."""
+    """The best link of each post and canonical address (query kept), with the other spellings as ``aliases`` in the order seen, a wrapper's
+    address (``original_url``, if there is one) before its target. ``aliases_truncated_count``: those beyond ``most_aliases``."""
     df = df.withColumn("canonical_url", U.canonical_url(F.col("url"), keep_query=True))
+    spellings = [F.struct("ord", F.lit(k).alias("k"), F.col(c).alias("url")) for k, c in enumerate(("original_url", "url")) if c in df.columns]
     groups = df.groupBy(key, "canonical_url").agg(
         F.min_by(F.struct("url", "kind", "text", "priority", "ord", "reasons"), F.struct(-F.col("priority"), F.col("ord"))).alias("b"),
-        F.sort_array(F.collect_set(F.struct("ord", "url"))).alias("_all"),
+        F.sort_array(F.flatten(F.collect_set(F.array(*spellings)))).alias("_all"),
     )
     spelt = F.array_distinct(F.transform("_all", lambda x: x["url"]))
-    aliases = F.slice(F.filter(spelt, lambda x: x != F.col("b.url")), 1, most_aliases)
-    return groups.select(key, "canonical_url", "b.*", aliases.alias("aliases"))
+    groups = groups.withColumn("_spelt", F.filter(spelt, lambda x: x != F.col("b.url")))
+    beyond = F.greatest(F.size("_spelt") - most_aliases, F.lit(0)).cast("long")
+    return groups.select(key, "canonical_url", "b.*", F.slice("_spelt", 1, most_aliases).alias("aliases"), beyond.alias("aliases_truncated_count"))
 
 
 def top_links(df: DataFrame, *, key: str, n: int = 3) -> DataFrame:
@@ -172,41 +183,48 @@ def top_links(df: DataFrame, *, key: str, n: int = 3) -> DataFrame:
     return df.withColumn("link_rank", F.row_number().over(w)).where(F.col("link_rank") <= n)
 
 
-def link_stats(raw: DataFrame, best: DataFrame, *, key: str, selected: int = 3, stored: int = 50, aliases: int = 50) -> DataFrame:
-    """Counts of each post's links: raw, distinct, candidates, their other spellings, selected and ranked (the best
-    ``selected``), stored; and the limits that hold for candidates and for the spellings of one. ``raw`` and ``best`` are
-    the results of ``extract_links`` and ``best_links``.
+def link_stats(best: DataFrame, *, key: str, stored: int = 50, aliases: int = 50) -> DataFrame:
+    """Counts of each post's links, from the result of ``best_links``: ``candidates`` (all of them are ranked and selected), their other spellings,
+    ``raw`` and ``unique_urls`` (both together), ``stored``; and the limits that hold for candidates and for the spellings of one.
     """
-    a = raw.groupBy(key).agg(F.count(F.lit(1)).alias("raw"), F.count_distinct("url").alias("unique_urls"))
-    b = best.groupBy(key).agg(F.count(F.lit(1)).alias("candidates"), F.sum(F.size("aliases")).alias("aliases"))
-    made = a.join(b.hint("merge"), key, "left")
-    n = F.coalesce("candidates", F.lit(0)).cast("long")
+    made = best.groupBy(key).agg(F.count(F.lit(1)).alias("candidates"), F.sum(F.size("aliases") + F.col("aliases_truncated_count")).alias("aliases"))
+    n, raw = F.col("candidates"), F.col("candidates") + F.col("aliases")
     return made.select(
-        key, "raw", "unique_urls", n.alias("candidates"), F.coalesce("aliases", F.lit(0)).cast("long").alias("aliases"),
-        F.least(n, F.lit(selected)).cast("long").alias("selected"), F.least(n, F.lit(selected)).cast("long").alias("ranked"),
+        key, raw.alias("raw"), raw.alias("unique_urls"), n, "aliases", n.alias("selected"), n.alias("ranked"),
         F.least(n, F.lit(stored)).cast("long").alias("stored"), F.lit(stored).cast("long").alias("stored_limit"), F.lit(aliases).cast("long").alias("alias_limit"),
     )
 
 
-def classify_fetches(log: DataFrame, most_redirects: int = 3) -> DataFrame:
-    """A fetch log with ``kind``, ``fetch_status`` and ``is_distribution_site``: the first step that holds decides."""
+def classify_fetches(log: DataFrame, most_redirects: int = 3, resolved: str | None = None) -> DataFrame:
+    """A fetch log with ``kind``, ``fetch_status``, ``is_distribution_site`` and ``indicators``: the first step that holds decides.
+
+    The address and the one that the fetch ended at (``final_url``) must both pass ``guard_reason``: scheme, port, host, and no literal
+    address of a blocked network; ``resolved`` names a column with the addresses that the host was resolved to, if the log has them.
+    """
     u, final = F.col("url"), F.coalesce("final_url", "url")
     mime = F.lower(F.trim(F.element_at(F.split(F.coalesce("content_type", F.lit("")), ";"), 1)))
-    reason = U.policy_reason(u)
-    bad_mime = (mime != "") & ~mime.isin("text/html", "text/plain", "application/xhtml+xml")
+    log = log.withColumns({"_reason": U.guard_reason(u, F.col(resolved) if resolved else None), "_astray": (final != u) & U.guard_reason(final).isNotNull()})
+    reason, astray = F.col("_reason"), F.col("_astray")
+    bad_mime = (mime != "") & ~mime.isin(*fixed.READABLE_TYPES)
     messenger, guarded, far = U.is_messenger(u), reason.isNotNull(), F.coalesce("redirects", F.lit(0)) > most_redirects
     failed = F.coalesce("http_status", F.lit(0)) >= 400
-    kind = F.when(messenger, "messenger").when(guarded, "blocked").when(far, "error").when(bad_mime, "file_direct_link").when(failed, "error").otherwise("web")
+    blocked, error, file = fixed.FETCH_KINDS["blocked"], fixed.FETCH_KINDS["error"], fixed.FETCH_KINDS["file"]
+    kind = (
+        F.when(messenger, fixed.FETCH_KINDS["messenger"]).when(guarded | astray, blocked).when(far, error).when(bad_mime, file).when(failed, error).otherwise(fixed.FETCH_KINDS["web"])
+    )
     status = (
-        F.when(messenger, "skipped:messenger")
-        .when(guarded, F.concat(F.lit("blocked:"), reason))
-        .when(far, "error:too_many_redirects")
-        .when(bad_mime, F.concat(F.lit("abort:content_type:"), F.col("content_type")))
-        .when(failed, F.concat(F.lit("error:http_"), F.col("http_status").cast("string")))
-        .otherwise("ok")
+        F.when(messenger, fixed.FETCH_STATUS["messenger"])
+        .when(guarded, F.concat(F.lit(fixed.FETCH_STATUS["blocked"]), reason))
+        .when(astray, fixed.FETCH_STATUS["astray"])
+        .when(far, fixed.FETCH_STATUS["far"])
+        .when(bad_mime, F.concat(F.lit(fixed.FETCH_STATUS["type"]), F.col("content_type")))
+        .when(failed, F.concat(F.lit(fixed.FETCH_STATUS["failed"]), F.col("http_status").cast("string")))
+        .otherwise(fixed.FETCH_STATUS["ok"])
     )
-    spread = (kind == "file_direct_link") & F.startswith(mime, F.lit("application/")) & ~U.is_official_install(final)
-    return log.withColumns({"kind": kind, "fetch_status": status, "is_distribution_site": spread})
+    log = log.withColumns({"kind": kind, "fetch_status": status})
+    spread = (F.col("kind") == file) & F.startswith(mime, F.lit("application/")) & ~U.is_official_install(final)
+    found = F.when(F.col("kind") == fixed.FETCH_KINDS["messenger"], F.array(F.lit(fixed.MESSENGER_INDICATOR))).when(spread, F.array(F.format_string(fixed.FILE_INDICATOR, mime)))
+    return log.withColumn("is_distribution_site", spread).withColumn("indicators", F.coalesce(found, F.array().cast("array<string>"))).drop("_reason", "_astray")
 
 
 def page_title(html: Column) -> Column:
@@ -232,26 +250,8 @@ def page_evidence(df: DataFrame, *, url: str = "url", html: str = "html") -> Dat
 
 
 def blocked_addresses(df: DataFrame, ip: str = "ip", blocks: tuple[str, ...] = (*fixed.BLOCKED_BLOCKS, *fixed.BLOCKED_SIX), spared: tuple[str, ...] = fixed.GLOBAL_SIX) -> DataFrame:
-    """``df`` with ``blocked``: an IPv4 number or an IPv6 address within a blocked network. An IPv4 address mapped into IPv6,
-    in any spelling, counts as the IPv4 address; ``spared`` networks are allowed again; what is no address, and null, is blocked.
-    """
-    import ipaddress
-
-    nets = [ipaddress.ip_network(b) for b in blocks]
-    df = df.withColumn("_digits", U.ipv6_hex(F.col(ip)))
-    digits, n = F.col("_digits"), F.col("_n")
-    mapped = F.when(F.startswith(digits, F.lit("0" * 20 + "ffff")), F.conv(F.substring(digits, 25, 8), 16, 10).cast("long"))
-    df = df.withColumn("_n", F.coalesce(U.ipv4_number(F.col(ip)), mapped))
-
-    # Fixed lists: range tests of an expression, no join. Addresses of 32 hex digits compare as strings.
-    def within(value: Column, networks: list, shown) -> Column:
-        ranges = F.array(*[F.struct(F.lit(shown(x.network_address)).alias("lo"), F.lit(shown(x.broadcast_address)).alias("hi")) for x in networks])
-        return F.exists(ranges, lambda r: value.between(r["lo"], r["hi"]))
-
-    six = lambda a: f"{int(a):032x}"
-    four = within(n, [x for x in nets if x.version == 4], int)
-    long = within(digits, [x for x in nets if x.version == 6], six) & ~within(digits, [ipaddress.ip_network(x) for x in spared], six)
-    return df.withColumn("blocked", F.when(n.isNotNull(), four).when(digits.isNotNull(), long).otherwise(F.lit(True))).drop("_digits", "_n")
+    """``df`` with ``blocked`` by fixed lists of networks (``urls.is_blocked_ip``). For a table of networks see ``networks.blocked_by``."""
+    return df.withColumn("blocked", U.is_blocked_ip(F.col(ip), blocks, spared))
 
 
 def domain_matches(df: DataFrame, domains: DataFrame, *, host: Column, key: str) -> DataFrame:

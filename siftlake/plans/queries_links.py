@@ -30,29 +30,54 @@ def post_id(v: Views) -> DataFrame:
 ABS = "(SELECT page_id, ord, regexp_extract(base, '^([a-z]+://[^/?#]+)', 1) || href AS url, base FROM hrefs WHERE starts_with(href, '/'))"
 
 
-#: Each page with an address of every kind put in; addresses in tags are bare addresses too, as they stand in the text.
+WRAPPER = "https://ref.gamer.com.tw/redir.php?url=https%3A%2F%2Fk.example%2Fw{n}"
+#: Each page with an address of every kind put in: its kind, the text, the address, whether it is a bare address too (as it stands in the text), its label.
 PUT_IN = (
-    ("iframe_src", '<iframe src="https://k.example/i{n}" title="t"></iframe>', "https://k.example/i{n}", True), ("frame_src", '<frame src="https://k.example/f{n}">', "https://k.example/f{n}", True),
-    ("image_src", '<img src="https://k.example/p{n}.png" alt="a">', "https://k.example/p{n}.png", True), ("script_src", '<script src="https://k.example/s{n}.js"></script>', "https://k.example/s{n}.js", True),
-    ("link_href", '<link rel="x" href="https://k.example/l{n}.css">', "https://k.example/l{n}.css", True), ("meta_refresh", '<meta http-equiv="refresh" content="0; url=https://k.example/m{n}">', "https://k.example/m{n}", True),
-    ("js_location", 'location.href = "https://k.example/j{n}"', "https://k.example/j{n}", True), ("linked_image_href", " [![alt](https://k.example/b{n}.png)](https://k.example/t{n})", "https://k.example/t{n}", False),
-    ("markdown_href", " [Buy now!](https://k.example/x{n})", "https://k.example/x{n}", False), ("markdown_href", " ![pic](https://k.example/y{n})", "https://k.example/y{n}", False), ("bare_url", " https://k.example/z{n}. ", "https://k.example/z{n}", False),
+    ("iframe_src", '<iframe src="https://k.example/i{n}" title="t" name="no"></iframe>', "https://k.example/i{n}", True, "t"), ("frame_src", '<frame src="https://k.example/f{n}" name="side">', "https://k.example/f{n}", True, "side"),
+    ("image_src", '<img src="https://k.example/p{n}.png" alt="a" title="no">', "https://k.example/p{n}.png", True, "a"), ("script_src", '<script src="https://k.example/s{n}.js"></script>', "https://k.example/s{n}.js", True, ""),
+    ("link_href", '<link rel="x y" title="no" href="https://k.example/l{n}.css">', "https://k.example/l{n}.css", True, "x y"), ("meta_refresh", '<meta http-equiv="refresh" content="0; url=https://k.example/m{n}">', "https://k.example/m{n}", True, ""),
+    ("anchor_href", '<a href="https://k.example/a{n}"><img alt="buy"> <img alt="it"></a>', "https://k.example/a{n}", True, "buy it"), ("anchor_href", '<a href="https://k.example/c{n}">one<b>two</b><img alt="no"></a>', "https://k.example/c{n}", True, "one two"),
+    ("anchor_href", f'<a href="{WRAPPER}">w</a>', "https://k.example/w{n}", True, "w"),
+    ("js_location", 'location.href = "https://k.example/j{n}"', "https://k.example/j{n}", True, ""), ("linked_image_href", " [![alt](https://k.example/b{n}.png)](https://k.example/t{n})", "https://k.example/t{n}", False, "alt"),
+    ("markdown_href", " [Buy now!](https://k.example/x{n})", "https://k.example/x{n}", False, "Buy now!"), ("markdown_href", " ![pic](https://k.example/y{n})", "https://k.example/y{n}", False, "pic"), ("bare_url", " https://k.example/z{n}. ", "https://k.example/z{n}", False, ""),
 )
-PUT_IN_SQL = ", ".join(f"('{kind}', '{url}')" for kind, _, url, also in PUT_IN for kind in ((kind, "bare_url") if also else (kind,)))
+PUT_IN_SQL = ", ".join(f"('{kind}', '{url}', '{label if kind == first else ''}')" for first, _, url, also, label in PUT_IN for kind in ((first, "bare_url") if also else (first,)))
+A = """'<a href="([^"]*)">([^<]*)</a>'"""
+LABELLED = rf"""(SELECT page_id, n AS ord, regexp_replace(regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || href, '[.,;:!?。，]+$', '') AS url, trim(replace(label, '&amp;', '&')) AS text
+    FROM (SELECT page_id, url, unnest(regexp_extract_all(html, {A}, 1)) AS href, unnest(regexp_extract_all(html, {A}, 2)) AS label, unnest(generate_series(1, len(regexp_extract_all(html, {A}, 1)))) AS n FROM pages) WHERE starts_with(href, '/'))"""
 
 
-@query("l05_extract_links", f"""SELECT page_id, kind, url FROM (SELECT page_id, 'anchor_href' AS kind, regexp_replace(url, '[.,;:!?。，]+$', '') AS url FROM {ABS})
-    UNION ALL SELECT page_id, kind, replace(k.url, '{{n}}', page_id::VARCHAR) AS url FROM pages, (VALUES {PUT_IN_SQL}) k(kind, url)""", "hrefs")
+@query("l05_extract_links", f"""SELECT page_id, 'anchor_href' AS kind, url, url AS original_url, text FROM {LABELLED} UNION ALL
+    SELECT page_id, kind, u AS url, CASE WHEN contains(u, '/w') THEN replace('{WRAPPER}', '{{n}}', page_id::VARCHAR) ELSE u END AS original_url, text FROM (SELECT page_id, kind, text, replace(k.url, '{{n}}', page_id::VARCHAR) AS u FROM pages, (VALUES {PUT_IN_SQL}) k(kind, url, text))""")
 def extract(v: Views) -> DataFrame:
-    put_in = F.replace(F.lit("".join(x for _, x, _, _ in PUT_IN)), F.lit("{n}"), F.col("page_id").cast("string"))
+    put_in = F.replace(F.lit("".join(x[1] for x in PUT_IN)), F.lit("{n}"), F.col("page_id").cast("string"))
     pages = v.table("pages").select("page_id", "url", F.concat("html", put_in).alias("html"))
-    return L.extract_links(pages, key="page_id", text="html", base="url", resolve_relative=True).select("page_id", "kind", "url")
+    return L.extract_links(pages, key="page_id", text="html", base="url", resolve_relative=True).select("page_id", "kind", "url", "original_url", "text")
 
 
-@query("l05_order", f"SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY ord) AS INTEGER) AS ord, regexp_replace(url, '[.,;:!?。，]+$', '') AS url FROM {ABS}", "hrefs")
+@query("l05_order", f"SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY ord) AS INTEGER) AS ord, url, text FROM {LABELLED}")
 def extract_order(v: Views) -> DataFrame:
     got = L.extract_links(v.table("pages"), key="page_id", text="html", base="url", resolve_relative=True)
-    return got.select("page_id", "ord", "url")
+    return got.select("page_id", "ord", "url", "text")
+
+
+#: Addresses that strict parsers refuse: what is written, and its canonical form with the query, host, reason and whether it invites to a messenger.
+TOLERANT = (
+    ("https://my_site.example.com/A{n}/#f", "https://my_site.example.com/A{n}", "my_site.example.com", None, False), ("HTTPS://A.example/x|y{n}/?b=1#f", "https://a.example/x|y{n}?b=1", "a.example", None, False),
+    ("http://h.example/a b{n}", "http://h.example/a b{n}", "h.example", None, False), ("http://h.example/[x]{n}?q=a b&c=[1]", "http://h.example/[x]{n}?c=[1]&q=a b", "h.example", None, False),
+    ("http://h.example:99999/p{n}/", "http://h.example:99999/p{n}", "h.example", "port", False), ("http://[::1/p{n}", "http://[::1/p{n}", "::1", "unparsable", False),
+    ("http://user:pw@H.example:80/p{n}/", "http://h.example/p{n}", "h.example", None, False), ("//h.example/p{n}/", "//h.example/p{n}", "h.example", "scheme", False), ("http:///p{n}/", "http:///p{n}", None, "no_host", False),
+    ("https://discord.gg/a|b{n}", "https://discord.gg/a|b{n}", "discord.gg", None, True), ("http://[2001:DB8::1]:8080/p{n}", "http://2001:db8::1:8080/p{n}", "2001:db8::1", "port", False), ("http://h.example:x/p{n}/#y", "http://h.example:x/p{n}/#y", "h.example", "port", False),
+    ("http://h.example:/p{n}^`{}", "http://h.example/p{n}^`{}", "h.example", None, False), ("page{n}/", "page{n}", None, "scheme", False),
+)
+TOLERANT_SQL = ", ".join("(" + ", ".join([str(k), *["NULL" if x is None else str(x) if isinstance(x, bool) else f"'{x}'" for x in r[1:]]]) + ")" for k, r in enumerate(TOLERANT))
+
+
+@query("l04_l11_l12_l16_tolerant", f"""SELECT page_id, replace(canonical, '{{n}}', page_id::VARCHAR) AS canonical, host, reason, messenger FROM pages JOIN (VALUES {TOLERANT_SQL}) t(k, canonical, host, reason, messenger) ON page_id % {len(TOLERANT)} = t.k""")
+def tolerant(v: Views) -> DataFrame:
+    form = F.element_at(F.array(*[F.lit(r[0]) for r in TOLERANT]), (F.col("page_id") % len(TOLERANT) + 1).cast("int"))
+    url = v.table("pages").select("page_id", F.replace(form, F.lit("{n}"), F.col("page_id").cast("string")).alias("u"))
+    return url.select("page_id", U.canonical_url(F.col("u"), keep_query=True).alias("canonical"), U.host_of(F.col("u")).alias("host"), U.policy_reason(F.col("u")).alias("reason"), U.is_messenger(F.col("u")).alias("messenger"))
 
 
 def absolute(v: Views) -> DataFrame:
@@ -66,22 +91,35 @@ def exclude_self(v: Views) -> DataFrame:
     return L.exclude_self(rows, rows.where("page_id % 5 = 0").select("url")).agg(F.count(F.lit(1)).alias("n"))
 
 
-BARE = r"lower(regexp_replace(url, '[?#].*$', ''))"
+BARE = r"lower(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-zA-Z]+://', ''))"
 PRIORITY = rf"CASE WHEN regexp_matches({BARE}, '\.(avif|css|gif|ico|jpeg|jpg|js|png|svg|webp)$') THEN 10 WHEN regexp_matches({BARE}, '/download|/release|/invite|/file|t\.me') THEN 100 ELSE 80 END"
 
 
-@query("l07_link_priority", f"SELECT page_id, ord, {PRIORITY} AS priority FROM {ABS}", "hrefs")
+@query("l07_link_priority", f"SELECT page_id, ord, {PRIORITY} AS priority FROM (SELECT page_id, ord, CASE ord % 4 WHEN 0 THEN replace(url, '://', '://files.') WHEN 1 THEN replace(url, '://', '://download.') ELSE url END AS url FROM {ABS})", "hrefs")
 def priority(v: Views) -> DataFrame:
-    return L.link_priority(absolute(v)).select("page_id", "ord", "priority")
+    """Hosts that begin with a word that counts in a path only."""
+    rows, k = absolute(v), F.col("ord") % 4
+    hosts = F.when(k == 0, F.replace("url", F.lit("://"), F.lit("://files."))).when(k == 1, F.replace("url", F.lit("://"), F.lit("://download."))).otherwise(F.col("url"))
+    return L.link_priority(rows.withColumn("url", hosts)).select("page_id", "ord", "priority")
+
 
+WRAPPED = "'https://ref.gamer.com.tw/redir.php?url=' || url"
+SPELT = f"""x AS (SELECT page_id, {CANON} AS canonical_url, ord, url, {PRIORITY} AS priority FROM {ABS}),
+    s AS (SELECT page_id, canonical_url, ord * 2 + 1 AS pos, url FROM x UNION ALL SELECT page_id, canonical_url, ord * 2, {WRAPPED} FROM x WHERE ord % 4 = 0),
+    f AS (SELECT page_id, canonical_url, url, min(pos) AS pos FROM s GROUP BY ALL),
+    b AS (SELECT page_id, canonical_url, arg_min(url, (-priority, ord)) AS best, arg_min(ord, (-priority, ord)) AS ord FROM x GROUP BY ALL),
+    l AS (SELECT page_id, canonical_url, b.ord, coalesce(string_agg(url, ' ' ORDER BY pos) FILTER (WHERE url <> best), '') AS aliases, count(*) FILTER (WHERE url <> best) AS n FROM f JOIN b USING (page_id, canonical_url) GROUP BY ALL)"""
 
-BEST = f"SELECT page_id, {CANON} AS canonical_url, min(ord) AS ord, count(*) AS n, count(DISTINCT url) AS spelt FROM {ABS} GROUP BY ALL"
 
+def spelt(v: Views) -> DataFrame:
+    """Links of pages, every fourth of which is written as a wrapper's address."""
+    wrapped = F.when(F.col("ord") % 4 == 0, F.concat(F.lit("https://ref.gamer.com.tw/redir.php?url="), "url")).otherwise(F.col("url"))
+    return L.best_links(L.link_priority(absolute(v).withColumn("original_url", wrapped)), key="page_id")
 
-@query("l08_best_links", f"SELECT page_id, canonical_url, ord, spelt - 1 AS aliases FROM ({BEST})", "hrefs")
+
+@query("l08_best_links", f"SELECT page_id, canonical_url, ord, aliases FROM (WITH {SPELT} SELECT * FROM l)", "hrefs")
 def best(v: Views) -> DataFrame:
-    rows = L.best_links(L.link_priority(absolute(v)), key="page_id")
-    return rows.select("page_id", "canonical_url", "ord", F.size("aliases").cast("bigint").alias("aliases"))
+    return spelt(v).select("page_id", "canonical_url", "ord", F.array_join("aliases", " ").alias("aliases"))
 
 
 @query("l09_top_links", f"SELECT page_id, ord, CAST(r AS INTEGER) AS link_rank FROM (SELECT page_id, ord, row_number() OVER (PARTITION BY page_id ORDER BY {PRIORITY} DESC, ord) AS r FROM {ABS}) WHERE r <= 3", "hrefs")
@@ -89,11 +127,10 @@ def top(v: Views) -> DataFrame:
     return L.top_links(L.link_priority(absolute(v)), key="page_id", n=3).select("page_id", "ord", "link_rank")
 
 
-@query("l10_link_stats", f"""SELECT page_id, raw, unique_urls, candidates, aliases, least(candidates, 3) AS selected, least(candidates, 3) AS ranked, least(candidates, 50) AS stored, CAST(50 AS BIGINT) AS stored_limit, CAST(50 AS BIGINT) AS alias_limit FROM (SELECT page_id, count(*) AS raw, count(DISTINCT url) AS unique_urls FROM {ABS} GROUP BY 1)
-    JOIN (SELECT page_id, count(*) AS candidates, CAST(sum(spelt - 1) AS BIGINT) AS aliases FROM ({BEST}) GROUP BY 1) USING (page_id)""", "hrefs")
+@query("l10_link_stats", f"""SELECT page_id, n + a AS raw, n + a AS unique_urls, n AS candidates, a AS aliases, n AS selected, n AS ranked, least(n, 50) AS stored, CAST(50 AS BIGINT) AS stored_limit, CAST(50 AS BIGINT) AS alias_limit
+    FROM (SELECT page_id, count(*) AS n, CAST(sum(n) AS BIGINT) AS a FROM (WITH {SPELT} SELECT * FROM l) GROUP BY page_id)""", "hrefs")
 def stats(v: Views) -> DataFrame:
-    rows = absolute(v)
-    return L.link_stats(rows, L.best_links(L.link_priority(rows), key="page_id"), key="page_id")
+    return L.link_stats(spelt(v), key="page_id")
 
 
 @query("l11_l12_j06_domains", f"SELECT page_id, d.domain FROM pages JOIN (VALUES ('example.net'), ('example.com'), ('blog.tionble.example.com')) d(domain) ON {HOST} = d.domain OR ends_with({HOST}, '.' || d.domain)")

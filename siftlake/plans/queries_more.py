@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftlake.functions import fixed
 from siftlake.functions import text as X
 from siftlake.functions import urls as U
 from siftlake.operators import links as L
@@ -79,14 +80,27 @@ def unwrap(v: Views) -> DataFrame:
     return v.table("pages").select("page_id", U.unwrap_redirect(url).alias("target"))
 
 
-@query("l13_fetch_log", """SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'messenger' WHEN 1 THEN 'blocked' WHEN 2 THEN 'error' WHEN 3 THEN 'file_direct_link' WHEN 4 THEN 'error' ELSE 'web' END AS kind, page_id % 6 = 3 AS is_distribution_site FROM pages""")
+#: Fetches: address, content type, state, redirects, where it ended, what the host was resolved to; and what they are.
+FETCHES = (
+    ("https://discord.gg/x", "text/html", 200, 0, None, "8.8.8.8", "messenger", "skipped:messenger", False, fixed.MESSENGER_INDICATOR), ("ftp://x.org/", "text/html", 200, 0, None, "8.8.8.8", "blocked", "blocked:scheme", False, ""),
+    ("http://h.org/", "text/html", 200, 4, None, "8.8.8.8", "error", "error:too_many_redirects", False, ""), ("http://h.org/a", "application/zip; x=y", 200, 0, None, "8.8.8.8", "file_direct_link", "abort:content_type:application/zip; x=y", True, fixed.FILE_INDICATOR % "application/zip"),
+    ("http://h.org/a", "text/html", 500, 0, None, "8.8.8.8", "error", "error:http_500", False, ""), ("http://h.org/a", "text/html", 200, 1, "https://i.org/b", "8.8.8.8", "web", "ok", False, ""),
+    ("http://h.org/a", "text/html", 200, 1, "ftp://b/", "8.8.8.8", "blocked", "blocked:redirect_target", False, ""), ("http://h.org/a", "text/html", 200, 9, "http://127.0.0.1/", "8.8.8.8", "blocked", "blocked:redirect_target", False, ""),
+    ("http://169.254.169.254/latest", "text/html", 200, 0, None, "8.8.8.8", "blocked", "blocked:ip", False, ""), ("http://[::ffff:10.0.0.1]/", "text/html", 200, 0, None, "8.8.8.8", "blocked", "blocked:ip", False, ""),
+    ("http://h_x.org/a|b", "image/png", 200, 0, None, "8.8.8.8", "file_direct_link", "abort:content_type:image/png", False, ""), ("http://in.org/", "text/html", 200, 0, None, "10.0.0.9", "blocked", "blocked:ip", False, ""),
+    ("http://gone.org/", "text/html", 200, 0, None, None, "blocked", "blocked:dns", False, ""), ("http://8.8.8.8/", "", 200, 3, "http://[2606:4700::1]/", "8.8.8.8", "web", "ok", False, ""),
+    ("http://h.org/get", "application/x-msdownload", 200, 1, "https://store.steampowered.com/install", "8.8.8.8", "file_direct_link", "abort:content_type:application/x-msdownload", False, ""),
+)
+FETCHES_SQL = ", ".join(f"({k}, '{r[6]}', '{r[7]}', {r[8]}, '{r[9]}')" for k, r in enumerate(FETCHES))
+
+
+@query("l13_fetch_log", f"SELECT page_id, kind, fetch_status, is_distribution_site, indicators FROM pages JOIN (VALUES {FETCHES_SQL}) f(k, kind, fetch_status, is_distribution_site, indicators) ON page_id % {len(FETCHES)} = f.k")
 def fetch_log(v: Views) -> DataFrame:
-    k = F.col("page_id") % 6
-    log = v.table("pages").select(
-        "page_id", F.when(k == 0, "https://discord.gg/x").when(k == 1, "ftp://x.org/").otherwise(F.col("url")).alias("url"), F.when(k == 3, "application/zip").otherwise("text/html").alias("content_type"),
-        F.when(k == 4, 500).otherwise(200).alias("http_status"), F.when(k == 2, 4).otherwise(0).alias("redirects"), F.lit(None).cast("string").alias("final_url"),
-    )
-    return L.classify_fetches(log).select("page_id", "kind", "is_distribution_site")
+    names = ("url", "content_type", "http_status", "redirects", "final_url", "ip")
+    forms = F.array(*[F.struct(*[F.lit(x).cast("int" if isinstance(x, int) else "string").alias(n) for n, x in zip(names, r)]) for r in FETCHES])
+    log = v.table("pages").select("page_id", F.element_at(forms, (F.col("page_id") % len(FETCHES) + 1).cast("int")).alias("f")).select("page_id", "f.*")
+    log = log.withColumn("resolved", F.array_compact(F.array("ip")))
+    return L.classify_fetches(log, resolved="resolved").select("page_id", "kind", "fetch_status", "is_distribution_site", F.array_join("indicators", "; ").alias("indicators"))
 
 
 @query("l17_evidence_reuse", """SELECT l.user_id AS url, e.evidence, e.evidence IS NULL AS to_fetch FROM (SELECT DISTINCT user_id FROM events) l LEFT JOIN (SELECT user_id, arg_max(event_id, (ts, event_id)) AS evidence FROM events

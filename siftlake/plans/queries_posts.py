@@ -450,3 +450,23 @@ def event_decode(v: Views) -> DataFrame:
     raw = F.when(F.col("k") == 0, F.to_json(F.struct(*fields))).when(F.col("k") == 1, F.to_json(F.struct(*fields, F.lit(1).alias("surprise")))).otherwise(F.to_json(F.struct(*fields[1:])))
     made = io.with_event(base.select(raw.alias("raw")))
     return made.agg(F.count_if(~F.col("is_corrupt")).alias("good"), F.count_if("is_corrupt").alias("corrupt"))
+
+
+#: What is put at the end of a message: whether it is corrupt then, its text path and its images.
+PARTS = (
+    ("", False, "", ""), (',"image_urls":["a","b"]', False, "", "a b"), (',"image_urls":[]', False, "", ""), (',"s3_text_path":5', True, "", ""), (',"s3_text_path":true', True, "", ""), (',"s3_text_path":"[a"', False, "[a", ""),
+    (',"image_urls":"[x"', True, "", ""), (',"image_urls":null', True, "", ""), (',"s3_text_path":null', True, "", ""), (',"s3_image_paths":{"a":1}', True, "", ""), (',"image_urls":["1","[y"],"s3_text_path":"{b"', False, "{b", "1 [y"), (',"post_url":7', False, "", ""), (',"image_urls":[1', True, "", ""),
+)
+PARTS_SQL = ", ".join(f"({k}, {bad}, '{path}', '{images}')" for k, (_, bad, path, images) in enumerate(PARTS))
+
+
+@query("s01_event_types", f"SELECT doc_id, bad AS is_corrupt, CASE WHEN NOT bad THEN path END AS path, CASE WHEN NOT bad THEN images END AS images, CASE WHEN NOT bad THEN sha256(text) END AS text_hash FROM documents JOIN (VALUES {PARTS_SQL}) p(k, bad, path, images) ON doc_id % {len(PARTS)} = p.k")
+def event_types(v: Views) -> DataFrame:
+    """Fields of other types than they should be, and strings that look like lists, in messages that hold whole texts."""
+    fields = [F.col(c).alias(a) for a, c in (("source_id", "source"), ("site_name", "source"), ("raw_text", "text"), ("language", "lang"))]
+    message = F.to_json(F.struct(F.col("doc_id").cast("string").alias("post_id"), *fields, F.lit("x").alias("detected_at"), F.lit("c").alias("correlation_id")))
+    part = F.element_at(F.array(*[F.lit(p[0]) for p in PARTS]), (F.col("doc_id") % len(PARTS) + 1).cast("int"))
+    raw = F.concat(F.regexp_replace(message, r"\}$", ""), part, F.lit("}"))
+    made = io.with_event(v.documents.select("doc_id", raw.alias("raw")))
+    shown = lambda c: F.when(~F.col("is_corrupt"), c)
+    return made.select("doc_id", "is_corrupt", shown(F.col("event.s3_text_path")).alias("path"), shown(F.array_join("event.image_urls", " ")).alias("images"), shown(F.sha2("event.raw_text", 256)).alias("text_hash"))

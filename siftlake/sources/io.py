@@ -25,20 +25,24 @@ def decode_events(df: DataFrame, column: str = "raw") -> tuple[DataFrame, DataFr
 
 
 def with_event(df: DataFrame, column: str = "raw") -> DataFrame:
-    """``df`` with ``event`` (struct) and ``is_corrupt``; one pass, for batch and stream."""
+    """``df`` with ``event`` (struct) and ``is_corrupt``; one pass, for batch and stream.
+
+    A payload is parsed once to a VARIANT, whose types are tested: lists must be lists and the text path a string; null is neither.
+    JSON that a VARIANT does not take (a key given twice) is corrupt.
+    """
     raw = F.col(column)
     keys = F.json_object_keys(raw)
     need = F.array(*[F.lit(k) for k in fixed.EVENT_REQUIRED])
     known = F.array(*[F.lit(k) for k in (*fixed.EVENT_REQUIRED, *fixed.EVENT_OPTIONAL)])
     unknown, missing = F.size(F.array_except(keys, known)) > 0, F.size(F.array_except(need, keys)) > 0
+    parsed = F.try_parse_json(raw)
 
-    def no_list(field: str) -> Column:
-        got = F.get_json_object(raw, f"$.{field}")
-        return F.array_contains(keys, F.lit(field)) & ~F.coalesce(F.startswith(F.ltrim(got), F.lit("[")), F.lit(False))
+    def other(field: str, kind: str) -> Column:
+        """Whether a field is given and is of another type."""
+        got = F.schema_of_variant(F.try_variant_get(parsed, f"$.{field}", "variant"))
+        return F.array_contains(keys, F.lit(field)) & ~F.coalesce(F.startswith(got, F.lit(kind)), F.lit(False))
 
-    path = F.get_json_object(raw, "$.s3_text_path")
-    bad_path = F.coalesce(path.rlike(r"^\s*[\[{]"), F.lit(False))
-    corrupt = keys.isNull() | unknown | missing | no_list("image_urls") | no_list("s3_image_paths") | bad_path
+    corrupt = keys.isNull() | parsed.isNull() | unknown | missing | other("image_urls", "ARRAY") | other("s3_image_paths", "ARRAY") | other("s3_text_path", "STRING")
     event = F.from_json(raw, EVENT_SCHEMA)
     empty = F.array().cast("array<string>")
     filled = event.withField("image_urls", F.coalesce(event["image_urls"], empty)).withField("s3_image_paths", F.coalesce(event["s3_image_paths"], empty))
@@ -72,7 +76,7 @@ def write_corpus(df: DataFrame, path: str) -> None:
 def candidate_inventory(candidates: DataFrame, selected: DataFrame, key: str = "url") -> DataFrame:
     """Every candidate with ``selected``: whether it was picked."""
     picked = selected.select(key).distinct().withColumn("_p", F.lit(True))
-    return candidates.drop("selected").join(picked, key, "left").withColumn("selected", F.coalesce("_p", F.lit(False))).drop("_p")
+    return candidates.drop("selected").join(picked.hint("merge"), key, "left").withColumn("selected", F.coalesce("_p", F.lit(False))).drop("_p")
 
 
 def assemble_repo_document(df: DataFrame, readme_chars: int = 20_000, release_chars: int = 4_000) -> DataFrame:

@@ -108,6 +108,36 @@ def test_urls(spark):
     assert spark.range(1).select(U.backfilled_url(F.lit("bahamut_x"), F.lit("bsn4_snA9"), F.lit(None).cast("string"))).first()[0] == "https://forum.gamer.com.tw/C.php?bsn=4&snA=9"
 
 
+def test_addresses_are_split_as_by_the_standard_library(spark):
+    import random
+    from urllib.parse import urlsplit
+
+    rng = random.Random(3)
+    signs = [*"ab.:/?#@[]_|% \\&=1289-+~!éA\t\n^`{}", "http://", "https://", "//", "[::1]", ":80", ":99999", ":65535", "h.org", "[2001:db8::2]", "[v1.x]", "user:pw@"]
+    urls = [start + "".join(rng.choice(signs) for _ in range(rng.randint(0, 9))) for start in ("", "http://", "HTTPS://u@h.org:8") for _ in range(1500)]
+    c = F.col("u")
+    parts = {"scheme": U.scheme_of(c), "netloc": U.authority_of(c), "path": U.path_of(c), "query": U.query_of(c), "hostname": U.host_of(c)}
+    df = spark.createDataFrame([(u,) for u in urls], "u string").select(c, U.splits(c).alias("ok"), U.port_of(c).alias("port"), U.port_text(c).alias("written"), *[v.alias(k) for k, v in parts.items()])
+    told = 0
+    for r in df.collect():
+        try:
+            want = urlsplit(r.u)
+        except ValueError:
+            assert not r.ok, r
+            continue
+        assert r.ok and all(r[k] == getattr(want, k) for k in parts), (r, want)
+        try:
+            assert r.port == want.port and (r.written == "") == (want.port is None), r
+        except ValueError:
+            assert r.port is None and r.written, r
+        told += 1
+    assert told > 2000
+    for raw, want in {"https://my_site.example.com/A/#f": "https://my_site.example.com/A", "HTTPS://A.example/x|y/?b=1#f": "https://a.example/x|y", "http://h.org:99999/": "http://h.org:99999", "http://[x/": "http://[x", "": "", None: None}.items():
+        assert text(spark, U.canonical_url, raw) == want
+    assert text(spark, U.is_messenger, "https://discord.gg/a|b") and text(spark, U.policy_reason, "https://my_site.example.com/A") is None
+    assert text(spark, U.guard_reason, "http://169.254.169.254/latest") == "ip" and text(spark, U.guard_reason, "http://8.8.8.8/") is None and text(spark, U.guard_reason, None) == "unparsable"
+
+
 def test_blocked(spark):
     want = {"10.1.2.3": True, "8.8.8.8": False, "100.64.0.1": True, "::1": True, "::ffff:127.0.0.1": True, "2001:4860::8888": False, "fe80::1": True, "x": True, None: True}
     df = spark.createDataFrame([(k,) for k in want], "ip string")
