@@ -111,7 +111,7 @@ def suffixes_of(host: Column) -> Column:
 
 def in_domains(host: Column, domains: tuple[str, ...]) -> Column:
     """Whether the host is one of a short list of domains or below one."""
-    return F.coalesce(reduce(lambda a, b: a | b, [(host == d) | F.endswith(host, F.lit(f".{d}")) for d in domains]), F.lit(False))
+    return F.coalesce(host.rlike(r"(?:^|\.)(?:" + "|".join(map(_quoted, domains)) + r")\z"), F.lit(False))
 
 
 def is_official_install(url: Column, *texts: Column) -> Column:
@@ -161,18 +161,18 @@ def is_blocked_ip(ip: Column, blocks: tuple[str, ...] = (*fixed.BLOCKED_BLOCKS,
 
 
 def guard_reason(url: Column, resolved: Column | None = None) -> Column:
-    """``policy_reason``, or ``ip`` for a host that is, or was resolved to (an array), a blocked address, ``dns`` where it was resolved to none."""
+    """``policy_reason``, or ``ip`` for a host that is, or was resolved to (an array), a blocked address, ``dns`` where it was resolved to none.
+
+    Null ``resolved``, or none given: nothing is known of the host's addresses.
+    """
 
     def told(x: Column) -> Column:
-        host = x["host"]
-        literal = ipv4_number(host).isNotNull() | F.contains(host, F.lit(":"))
-        made = F.when(x["policy"].isNotNull(), x["policy"]).when(literal, F.when(is_blocked_ip(host), "ip"))
-        if resolved is None:
-            return made
-        return made.when(F.coalesce(F.size(x["resolved"]), F.lit(0)) <= 0, "dns").when(F.exists(x["resolved"], lambda a: is_blocked_ip(a)), "ip")
-
-    parts = [policy_reason(url).alias("policy"), host_of(url).alias("host")] + ([resolved.alias("resolved")] if resolved is not None else [])
-    return _bound(F.struct(*parts), told)
+        literal = ipv4_number(x["host"]).isNotNull() | F.contains(x["host"], F.lit(":"))
+        addresses = F.when(literal, F.array(x["host"])).otherwise(x["resolved"])
+        return F.coalesce(x["policy"], F.when(F.exists(addresses, lambda a: is_blocked_ip(a)), "ip").when(F.size(addresses) == 0, "dns"))
+
+    known = resolved if resolved is not None else F.lit(None).cast("array<string>")
+    return _bound(F.struct(policy_reason(url).alias("policy"), host_of(url).alias("host"), known.alias("resolved")), told)
 
 
 def ipv4_number(c: Column) -> Column:

@@ -203,8 +203,10 @@ def classify_fetches(log: DataFrame, most_redirects: int = 3, resolved: str | No
     """
     u, final = F.col("url"), F.coalesce("final_url", "url")
     mime = F.lower(F.trim(F.element_at(F.split(F.coalesce("content_type", F.lit("")), ";"), 1)))
-    log = log.withColumns({"_reason": U.guard_reason(u, F.col(resolved) if resolved else None), "_astray": (final != u) & U.guard_reason(final).isNotNull()})
-    reason, astray = F.col("_reason"), F.col("_astray")
+    known = F.coalesce(resolved, F.array().cast("array<string>")) if resolved else F.lit(None).cast("array<string>")
+    both = F.array(F.struct(u.alias("u"), known.alias("r")), F.struct(final.alias("u"), F.lit(None).cast("array<string>").alias("r")))
+    log = log.withColumn("_reasons", F.transform(both, lambda x: U.guard_reason(x["u"], x["r"])))
+    reason, astray = F.col("_reasons")[0], (final != u) & F.col("_reasons")[1].isNotNull()
     bad_mime = (mime != "") & ~mime.isin(*fixed.READABLE_TYPES)
     messenger, guarded, far = U.is_messenger(u), reason.isNotNull(), F.coalesce("redirects", F.lit(0)) > most_redirects
     failed = F.coalesce("http_status", F.lit(0)) >= 400
@@ -224,7 +226,7 @@ def classify_fetches(log: DataFrame, most_redirects: int = 3, resolved: str | No
     log = log.withColumns({"kind": kind, "fetch_status": status})
     spread = (F.col("kind") == file) & F.startswith(mime, F.lit("application/")) & ~U.is_official_install(final)
     found = F.when(F.col("kind") == fixed.FETCH_KINDS["messenger"], F.array(F.lit(fixed.MESSENGER_INDICATOR))).when(spread, F.array(F.format_string(fixed.FILE_INDICATOR, mime)))
-    return log.withColumn("is_distribution_site", spread).withColumn("indicators", F.coalesce(found, F.array().cast("array<string>"))).drop("_reason", "_astray")
+    return log.withColumn("is_distribution_site", spread).withColumn("indicators", F.coalesce(found, F.array().cast("array<string>"))).drop("_reasons")
 
 
 def page_title(html: Column) -> Column:

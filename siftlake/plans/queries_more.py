@@ -12,6 +12,7 @@ from siftlake.operators import links as L
 from siftlake.operators import merge, reports, rules, selection
 from siftlake.plans.bindings import Views
 from siftlake.plans.registry import query
+from siftlake.session import stored
 
 ERRORS = {"error": "HTTP 403 with HTML content", "click": "Timeout 30000ms", "purchase": "Blocked by anti-bot", "signup": "odd"}
 CLASSES = "CASE event_type WHEN 'error' THEN 'cloudflare_or_waf_403_html' WHEN 'click' THEN 'timeout' WHEN 'purchase' THEN 'anti_bot_blocked' WHEN 'signup' THEN 'other' END"
@@ -99,7 +100,7 @@ def fetch_log(v: Views) -> DataFrame:
     names = ("url", "content_type", "http_status", "redirects", "final_url", "ip")
     forms = F.array(*[F.struct(*[F.lit(x).cast("int" if isinstance(x, int) else "string").alias(n) for n, x in zip(names, r)]) for r in FETCHES])
     log = v.table("pages").select("page_id", F.element_at(forms, (F.col("page_id") % len(FETCHES) + 1).cast("int")).alias("f")).select("page_id", "f.*")
-    log = log.withColumn("resolved", F.array_compact(F.array("ip")))
+    log = stored(log.withColumn("resolved", F.array_compact(F.array("ip"))), "fetch-log")  # else the plan copies the forms for each field
     return L.classify_fetches(log, resolved="resolved").select("page_id", "kind", "fetch_status", "is_distribution_site", F.array_join("indicators", "; ").alias("indicators"))
 
 
