@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftlake.operators.selection import top_per_group
+from siftlake.session import stored
 
 #: Rows of a profile table up to which it is sent to all tasks; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 100_000
@@ -38,11 +39,14 @@ def predict_language(df: DataFrame, profiles: DataFrame, *, key: str, text: str
     ``key`` names a row of ``df``; rows of one key count as one text. Profiles of few languages are sent to all
     tasks, behind a count of their rows.
     """
-    known = profiles.where(F.col("lang").isNotNull()).select("lang", "g", (most + 1 - F.col("place")).cast("long").alias("worth"))
+    known = stored(profiles.where(F.col("lang").isNotNull()).select("lang", "g", (most + 1 - F.col("place")).cast("long").alias("worth")), "profiles")
     small = known.count() <= BROADCAST_ROWS
     grams = df.select(key, F.explode(char_grams(F.col(text), n)).alias("g"))
-    hits = grams.join(known.hint("broadcast" if small else "merge"), "g")
-    sums = hits.groupBy(key, "lang").agg(F.sum("worth").alias("score"))
+    if small:  # n-grams of no profile go at once
+        hits = grams.join(F.broadcast(known), "g").withColumn("times", F.lit(1))
+    else:  # an n-gram that a text holds often is one row of the join
+        hits = grams.groupBy(key, "g").agg(F.count(F.lit(1)).alias("times")).join(known.hint("merge"), "g")
+    sums = hits.groupBy(key, "lang").agg(F.sum(F.col("worth") * F.col("times")).alias("score"))
     best = sums.groupBy(key).agg(F.max("score").alias("score"), F.min_by("lang", F.struct(-F.col("score"), "lang")).alias("language"))
     made = df.select(key).distinct().join(best.hint("merge"), key, "left")
     return made.select(key, F.coalesce("language", F.lit("und")).alias("language"), F.coalesce("score", F.lit(0)).cast("long").alias("score"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftlake.session import stored
 
 #: Ranges that an order is cut into.
 RANGES = 64
@@ -84,9 +85,10 @@ def spend_cap(df: DataFrame, *, day: str, order: list[str], micro: str, cap: int
     """``spent_before`` within the day and ``admitted`` (spent before is below the cap; a cap of 0 admits all).
 
     ``order`` starts with a number or a time and is unique in a day. Each day is cut into ranges of it: sums of the
-    ranges, a row each, give what was spent before a range, so that no task holds a whole day.
+    ranges, a row each, give what was spent before a range, so that no task holds a whole day. The input is read once, and stored.
     """
     part = "_range"
+    df = stored(df, "spend")
     ranged = df.withColumn(part, ranges_of(df, order[0]))
     sums = ranged.groupBy(day, part).agg(F.sum(micro).alias("_s"))  # days x RANGES rows
     offsets = sums.withColumn("_offset", F.sum("_s").over(Window.partitionBy(day).orderBy(part)) - F.coalesce("_s", F.lit(0))).drop("_s")

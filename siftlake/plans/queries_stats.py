@@ -9,6 +9,7 @@ from siftlake.functions import text as X
 from siftlake.operators import merge, reports, rules, selection
 from siftlake.plans.bindings import AS_OF, Views
 from siftlake.plans.registry import query
+from siftlake.session import stored
 
 DAY = "TIMESTAMP '2024-01-30 00:00:00'"
 
@@ -118,6 +119,16 @@ def window_p95(v: Views) -> DataFrame:
     return reports.window_p95(v.table("events"), "ts", "value").withColumn("p95", F.round("p95", 6))
 
 
+@query("a14_a17_sketches", """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n, true AS p50_close, true AS p95_close FROM events GROUP BY 1""")
+def sketches(v: Views) -> DataFrame:
+    """Sketches of five minutes rolled up to hours; an estimate is close if its rank is within 2 % of the rows of its hour, or next to that."""
+    rows = v.table("events").select(F.col("ts"), "value")
+    hours = reports.sketched_quantiles(stored(reports.latency_sketches(rows, "ts", "value"), "sketches"), "1 hour")
+    met = rows.withColumn("window_start", F.window("ts", "1 hour").start).join(hours.hint("merge"), "window_start")
+    within = lambda c, q: (F.count_if(F.col("value") < F.col(c)) <= (q + 0.02) * F.col("n") + 1) & (F.count_if(F.col("value") <= F.col(c)) >= (q - 0.02) * F.col("n") - 1)
+    return met.groupBy("window_start", "n").agg(within("p50", 0.5).alias("p50_close"), within("p95", 0.95).alias("p95_close"))
+
+
 @query("r01_detection_filter", """SELECT id, post_id, type, tier, site_name, language, round(confidence, 9) AS confidence FROM star WHERE is_illegal AND confidence >= 0.7
     AND detected_at >= TIMESTAMP '2024-01-10' AND detected_at < TIMESTAMP '2024-01-20' AND tier = 'T2' AND language = 'en'""", "posts detections star")
 def detection_filter(v: Views) -> DataFrame:
