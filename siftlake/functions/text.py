@@ -19,11 +19,16 @@ def strip_format(c: Column) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    """NFKC form; Spark has no built-in for it."""
+def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def nfkc(c: Column) -> Column:
+    """NFKC form; Spark has no built-in for it. Texts of ASCII, which it does not change, are not sent to Python."""
+    other = c.rlike(r"[^\x00-\x7F]")
+    return F.when(other, _nfkc(F.when(other, c))).otherwise(c)
+
+
 def fold_homoglyphs(c: Column) -> Column:
     return F.translate(c, *fixed.HOMOGLYPHS)
 

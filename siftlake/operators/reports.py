@@ -208,14 +208,15 @@ def funnel(df: DataFrame, by: str = "site_name") -> DataFrame:
 LISTING = ("boards", "discovered", "keyword_matched", "keyword_unmatched", "selected", "selected_p0", "selected_p1", "selected_p2", "selected_p3")
 
 
-def crawl_funnel(candidates: DataFrame, posts: DataFrame, *, by: str = "site_name", apart: str | None = None) -> DataFrame:
+def crawl_funnel(candidates: DataFrame, posts: DataFrame, *, by: str = "site_name", apart: str | None = None, searches: DataFrame | None = None) -> DataFrame:
     """All counters of a run by site and, with a null site, in all.
 
     ``candidates``: ``by``, ``board_url``, ``keyword_matched``, ``priority_bucket``, ``selected``. ``posts``: ``by`` and
     ``disposition``. Counted are boards, candidates found, with and without a keyword, selected and those by bucket;
     posts attempted (not seen before), each disposition, and the skipped ones in sum. ``apart`` names a family (by
     ``rules.site_family`` or the site itself): its candidates and posts are counted in columns of their own too.
-    A site with candidates or posts only has zeros for the others.
+    A site with candidates or posts only has zeros for the others. ``searches``, a row of ``by`` for each search that was made for the
+    family, adds ``apart_searches``.
     """
     c = F.col("priority_bucket")
     picked = F.coalesce("selected", F.lit(False))
@@ -234,11 +235,13 @@ def crawl_funnel(candidates: DataFrame, posts: DataFrame, *, by: str = "site_nam
         F.count_if(mine() & is_("enqueued")).alias("apart_enqueued"), F.count_if(mine() & is_("seen_in_run", "seen_before")).alias("apart_seen"),
         F.count_if(mine() & is_("duplicate_body")).alias("apart_duplicates"), F.count_if(mine() & is_("fetch_failed")).alias("apart_failed"), F.grouping_id().alias("_g"),
     )
-    left, right = listed.alias("l"), made.alias("r")
-    joined = left.join(right, F.col(f"l.{by}").eqNullSafe(F.col(f"r.{by}")) & (F.col("l._g") == F.col("r._g")), "full")
-    zero = lambda n: F.coalesce(F.col(n), F.lit(0)).cast("long").alias(n)
-    names = [n for n in (*listed.columns, *made.columns) if n not in (by, "_g")]
-    return joined.select(F.coalesce(f"l.{by}", f"r.{by}").alias(by), *[zero(n) for n in names])
+    parts = [listed, made]
+    if searches is not None:
+        parts.append(searches.rollup(by).agg(F.count_if(mine()).alias("apart_searches"), F.grouping_id().alias("_g")))
+    names = [n for part in parts for n in part.columns if n not in (by, "_g")]
+    zero = lambda c, n: (F.col(n) if n in c.columns else F.lit(None)).cast("long").alias(n)
+    rows = reduce(DataFrame.unionByName, [part.select(by, "_g", *[zero(part, n) for n in names]) for part in parts])  # a row a site each
+    return rows.groupBy("_g", by).agg(*[F.coalesce(F.max(n), F.lit(0)).alias(n) for n in names]).drop("_g")
 
 
 def funnel_total(families: list[DataFrame]) -> DataFrame:

@@ -248,17 +248,24 @@ def fetch_error_class(error: Column) -> Column:
     )
 
 
+BROADCAST_PRICES = 10_000
+
+
 def token_cost(usage: DataFrame, prices: DataFrame, fallback: str, overrides: DataFrame | None = None) -> DataFrame:
-    """``usage`` with ``cost_usd``: tokens times the model's rates per million; an unknown model has the fallback's rates."""
+    """``usage`` (or a stream of it) with ``cost_usd``: tokens times the model's rates per million; an unknown model has the fallback's rates.
+
+    Prices are broadcast up to ``BROADCAST_PRICES`` models, else joined by a shuffle.
+    """
     p = prices.select("model", F.col("input").alias("_in"), F.col("output").alias("_out"))
     if overrides is not None:
         o = overrides.select("model", F.col("input").alias("_oin"), F.col("output").alias("_oout"))
-        p = p.join(o, "model", "full").select("model", F.coalesce("_oin", "_in").alias("_in"), F.coalesce("_oout", "_out").alias("_out"))
+        p = p.join(o.hint("merge"), "model", "full").select("model", F.coalesce("_oin", "_in").alias("_in"), F.coalesce("_oout", "_out").alias("_out"))
     base = p.where(F.col("model") == fallback).select(F.struct("_in", "_out")).limit(1)
     row = base.first()
     spare_in, spare_out = (row[0]["_in"], row[0]["_out"]) if row else (0.0, 0.0)
     cost = (F.col("input_tokens") * F.coalesce("_in", F.lit(spare_in)) + F.col("output_tokens") * F.coalesce("_out", F.lit(spare_out))) / 1e6
-    return usage.join(p, "model", "left").withColumn("cost_usd", cost).drop("_in", "_out")
+    side = F.broadcast(p) if p.count() <= BROADCAST_PRICES else p.hint("merge")
+    return usage.join(side, "model", "left").withColumn("cost_usd", cost).drop("_in", "_out")
 
 
 def micro_usd(cost: Column) -> Column:

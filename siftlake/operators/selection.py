@@ -15,7 +15,15 @@ def ranges_of(df: DataFrame, column: str) -> Column:
     """The number of the range that a row's value is in: ranges of about equal size, from approximate quantiles. Null is in the first."""
     number = F.col(column).cast("double") if dict(df.dtypes)[column] not in ("timestamp", "timestamp_ntz") else F.unix_micros(F.col(column).cast("timestamp")).cast("double")
     cuts = sorted(set(df.select(number.alias("x")).approxQuantile("x", [k / RANGES for k in range(1, RANGES)], 0.005)))
-    return F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c < number)), F.lit(0))
+
+    def found(low: int, high: int) -> Column:
+        """How many cuts lie below the value, between ``low`` and ``high``: a binary search."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(number > cuts[middle], found(middle + 1, high)).otherwise(found(low, middle))
+
+    return found(0, len(cuts))
 
 
 def negated(key: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftlake.functions import fixed
 from siftlake.functions import text as X
 from siftlake.operators import dedup, languages, merge, reports, rules, scoring, selection
 from siftlake.plans.bindings import LEXICON, Views
@@ -19,7 +20,24 @@ def clean_text(v: Views) -> DataFrame:
     return v.documents.select("doc_id", F.sha2(X.fold_homoglyphs(X.strip_format(F.col("text"))), 256).alias("h"))
 
 
-@query("t04_t05_normalize")
+def _clean(text: str) -> str:
+    """SQL of the normal form of a text that NFKC does not change: look-alikes folded, of three or more equal characters two kept."""
+    old, new = (x.replace("'", "''") for x in fixed.HOMOGLYPHS)
+    chars = rf"regexp_extract_all(translate(regexp_replace({text}, '\p{{Cf}}', '', 'g'), '{old}', '{new}'), '(?s).')"
+    return f"array_to_string(list_transform(list_filter(list_transform([{chars}], lambda c: list_filter(c, lambda x, i: NOT (i > 2 AND c[i - 1] = x AND c[i - 2] = x))), lambda y: true), lambda z: array_to_string(z, '')), '')"
+
+
+PUT = "'\u200b\u0430\u0440\uff21\u2460\ufb01 aaaa \u202e!!!!'"  # a zero-width sign, Cyrillic look-alikes, a wide letter, a number in a ring, a ligature, runs
+PUT_SQL = "'\u200b\u0430\u0440A1fi aaaa \u202e!!!!'"
+
+
+@query("t02_x03_nfkc", f"SELECT doc_id, sha256({_clean('text || ' + PUT_SQL)}) AS h FROM documents")
+def compatible(v: Views) -> DataFrame:
+    """Characters that NFKC changes put into each text; in SQL what they become."""
+    return v.documents.select("doc_id", F.sha2(X.normalize_text(F.concat("text", F.lit(PUT.strip("'")))), 256).alias("h"))
+
+
+@query("t04_t05_normalize", f"SELECT doc_id, sha256(clean) AS h, CAST(greatest(length(text) - length(clean), 0) AS INTEGER) AS removed FROM (SELECT doc_id, text, {_clean('text')} AS clean FROM documents)")
 def normalize(v: Views) -> DataFrame:
     rows = v.documents.select("doc_id", "text", X.normalize_text(F.col("text")).alias("clean"))
     return rows.select("doc_id", F.sha2("clean", 256).alias("h"), X.removed_chars(F.col("text"), F.col("clean")).alias("removed"))
@@ -282,10 +300,12 @@ LISTED = f"(SELECT site_id AS site_name, board_url, keyword_matched, priority_bu
     count(*) FILTER (site_name = 'src1') AS apart_discovered, count(*) FILTER (site_name = 'src1' AND selected) AS apart_selected, grouping(site_name) AS g FROM {LISTED} GROUP BY ROLLUP (site_name)) l
     JOIN (SELECT site_name, count(*) FILTER (disposition NOT IN ('seen_in_run', 'seen_before')) AS attempted, {", ".join(f"count(*) FILTER (disposition = '{d}') AS {d}" for d in reports.FUNNEL)}, count(*) FILTER (disposition IN ('empty', 'sticky', 'blocked', 'unknown')) AS validator_skipped,
     {", ".join(f"count(*) FILTER (site_name = 'src1' AND disposition IN ({d})) AS apart_{n}" for n, d in (("enqueued", "'enqueued'"), ("seen", "'seen_in_run', 'seen_before'"), ("duplicates", "'duplicate_body'"), ("failed", "'fetch_failed'")))}, grouping(site_name) AS g
-    FROM ({DISPOSED}) GROUP BY ROLLUP (site_name)) p ON l.site_name IS NOT DISTINCT FROM p.site_name AND l.g = p.g""".replace("coalesce(l.site_name, p.site_name) AS site_name, * EXCLUDE (site_name, g, site_name_1, g_1)", "l.site_name AS site_name, l.* EXCLUDE (site_name, g), p.* EXCLUDE (site_name, g)"), "candidates")
+    FROM ({DISPOSED}) GROUP BY ROLLUP (site_name)) p ON l.site_name IS NOT DISTINCT FROM p.site_name AND l.g = p.g
+    LEFT JOIN (SELECT site_name, count(*) FILTER (site_name = 'src1') AS apart_searches, grouping(site_name) AS g FROM (SELECT 'src' || (user_id % 20) AS site_name FROM events WHERE event_type = 'view') GROUP BY ROLLUP (site_name)) s ON l.site_name IS NOT DISTINCT FROM s.site_name AND l.g = s.g""".replace("coalesce(l.site_name, p.site_name) AS site_name, * EXCLUDE (site_name, g, site_name_1, g_1)", "l.site_name AS site_name, l.* EXCLUDE (site_name, g), p.* EXCLUDE (site_name, g), coalesce(apart_searches, 0) AS apart_searches"), "candidates")
 def crawl_funnel(v: Views) -> DataFrame:
     listed = scored(v).select(F.col("site_id").alias("site_name"), "board_url", "keyword_matched", "priority_bucket", (F.col("score") >= 50).alias("selected"))
-    return reports.crawl_funnel(listed, disposed(v), apart="src1")
+    searches = v.table("events").where("event_type = 'view'").select(F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("site_name"))
+    return reports.crawl_funnel(listed, disposed(v), apart="src1", searches=searches)
 
 
 @query("a19_u01_funnel_total", f"""SELECT count(*) FILTER (disposition IN ('seen_in_run', 'seen_before', 'duplicate_body')) AS duplicates, count(*) FILTER (disposition IN ('empty', 'sticky', 'blocked', 'unknown')) AS skipped,

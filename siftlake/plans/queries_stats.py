@@ -75,6 +75,27 @@ def weekly(v: Views) -> DataFrame:
     return reports.stats_bundle(v.star, v.posts.select("site_name").distinct(), v.posts, runs, AS_OF, "weekly")["distributions"]
 
 
+GOOD_DAY = "(SELECT count(*) FROM good WHERE detected_at >= TIMESTAMP '2024-01-{0}' AND detected_at < TIMESTAMP '2024-01-{1}')"
+
+
+@query("a08_stats_frames", f"""SELECT 'today' AS frame, 'today' AS name, {GOOD_DAY.format(30, 31)} AS n UNION ALL SELECT 'today', 'delta', {GOOD_DAY.format(30, 31)} - {GOOD_DAY.format(29, 30)}
+    UNION ALL SELECT 'distributions', dimension || ':' || value, count(*) FROM (SELECT unnest(['type', 'site_name', 'language']) AS dimension, unnest([type, site_name, language]) AS value FROM good WHERE detected_at >= TIMESTAMP '2024-01-01' AND detected_at < TIMESTAMP '2024-01-31') GROUP BY dimension, value
+    UNION ALL SELECT 'trend', CAST(day AS VARCHAR), (SELECT count(*) FROM good WHERE CAST(detected_at AS DATE) = day) FROM (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS day)
+    UNION ALL SELECT 'sources', site_name, coalesce(max(fetched), 0) FROM (SELECT site_name, NULL AS fetched FROM posts UNION ALL SELECT 'src' || user_id, count(*) FROM events GROUP BY user_id) GROUP BY site_name""", "posts detections star good")
+def frames(v: Views) -> DataFrame:
+    """All four frames of the overview of a month; a run for each user."""
+    runs = v.table("events").groupBy(F.concat(F.lit("run:src"), F.col("user_id").cast("string")).alias("run_key")).agg(F.max("ts").alias("last_checked_at"), F.count(F.lit(1)).alias("fetched"))
+    got = reports.stats_bundle(v.star, v.posts.select("site_name").distinct(), v.posts, runs.withColumn("site_name", F.lit(" ")), AS_OF, "monthly")
+    shown = lambda frame, name, n: got[frame].select(F.lit(frame).alias("frame"), name.cast("string").alias("name"), n.cast("long").alias("n"))
+    today = got["today"].select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("long").alias("n")) for c in ("today", "delta")])))
+    return (
+        today.select(F.lit("today").alias("frame"), "name", "n")
+        .unionByName(shown("distributions", F.concat_ws(":", "dimension", "value"), F.col("n")))
+        .unionByName(shown("trend", F.col("day"), F.col("n")))
+        .unionByName(shown("sources", F.col("site_name"), F.col("fetched")))
+    )
+
+
 HOT = """SELECT type, site_name, count(*) AS n, round(max(confidence), 9) AS max_confidence, min(tier) AS top_tier FROM {src} WHERE is_illegal GROUP BY type, site_name
     ORDER BY top_tier, n DESC, max(confidence) DESC, site_name, type LIMIT 6"""
 
@@ -375,7 +396,7 @@ def games(v: Views) -> DataFrame:
 
 @query("j09_dimension_lookup", f"SELECT coalesce(g.game_key, '(unmapped)') AS game_key, count(*) AS n FROM star LEFT JOIN {GAMES_SQL} USING (site_name) GROUP BY 1", "posts detections star")
 def lookup(v: Views) -> DataFrame:
-    return v.star.join(games(v), "site_name", "left").groupBy(F.coalesce("game_key", F.lit("(unmapped)")).alias("game_key")).agg(F.count(F.lit(1)).alias("n"))
+    return v.star.join(F.broadcast(games(v)), "site_name", "left").groupBy(F.coalesce("game_key", F.lit("(unmapped)")).alias("game_key")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("j11_left_chain", "SELECT count(*) AS n, count(d.id) AS with_detection, count(p.post_id) AS with_post FROM events e LEFT JOIN detections d ON d.id = e.event_id + 5000 LEFT JOIN posts p ON p.post_id = d.post_id", "posts detections")

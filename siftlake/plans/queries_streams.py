@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.operators import merge, versions
+from siftlake.operators import merge, rules, versions
 from siftlake.plans.bindings import TIERS, Views
-from siftlake.plans.queries_stats import RULES_SQL, rule_rows
+from siftlake.plans.queries_stats import COST, RULES_SQL, rule_rows
 from siftlake.plans.registry import query
 from siftlake.session import scratch
 from siftlake.streaming import streams
@@ -24,7 +24,7 @@ def events(v: Views) -> DataFrame:
 
 
 def drained(v: Views, df: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over all there is; append mode gives all rows, complete mode those of the last batch."""
+    """Run a stream over all there is; append mode gives all rows, complete mode those of the last batch, update mode each key's last."""
     at = scratch(v.spark, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
@@ -32,6 +32,9 @@ def drained(v: Views, df: DataFrame, mode: str) -> DataFrame:
 
     df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{at}/cp").trigger(availableNow=True).start().awaitTermination()
     got = v.spark.read.parquet(f"{at}/out")
+    if mode == "update":  # rows of a key, its first column
+        key, *rest = [c for c in got.columns if c != "batch"]
+        return got.groupBy(key).agg(*[F.max_by(c, "batch").alias(c) for c in rest])
     if mode == "complete":
         got = got.where(F.col("batch") == got.agg(F.max("batch")).first()[0])
     return got.drop("batch")
@@ -64,6 +67,16 @@ def enrich(v: Views) -> DataFrame:
     return drained(v, rows, "append").groupBy("tier", "is_illegal").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("k04_stream_cost", f"SELECT model, count(*) AS n, round(sum({COST}), 6) AS cost_usd FROM usage GROUP BY model", "usage")
+def costs(v: Views) -> DataFrame:
+    """Calls of a stream priced by a join with a static table."""
+    calls = source(v, "lineitem").select(
+        F.concat(F.lit("m"), (F.col("l_partkey") % 5).cast("string")).alias("model"), (F.col("l_quantity") * 100).cast("bigint").alias("input_tokens"), (F.col("l_linenumber") * 10).cast("bigint").alias("output_tokens")
+    )
+    priced = drained(v, rules.token_cost(calls, v.prices, "base"), "append")
+    return priced.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("cost_usd"), 6).alias("cost_usd"))
+
+
 @query("k05_stream_merge", """SELECT post_id, model_version, count(*) AS n FROM (SELECT DISTINCT event_id % 300 AS post_id, 'v' || (user_id % 3) AS model_version FROM events) GROUP BY ALL""")
 def merging(v: Views) -> DataFrame:
     """The stream is stopped after its first batch of files and started again, and one of its batches is given to the table twice."""
@@ -84,6 +97,12 @@ def daily(v: Views) -> DataFrame:
     return drained(v, streams.daily_counts(events(v)), "complete")
 
 
+@query("k06_stream_daily_updates", "SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1")
+def daily_updates(v: Views) -> DataFrame:
+    """In update mode only days that a batch changed come out; the last word on each day holds."""
+    return drained(v, streams.daily_counts(events(v)), "update")
+
+
 @query("k07_stream_latest", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
 def latest(v: Views) -> DataFrame:
     return drained(v, streams.latest_runs(events(v).select("user_id", "event_id", "event_type"), key="user_id", at="event_id"), "complete")
