@@ -1,6 +1,8 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-1. Every word n-gram of a test item is a seed, so that a document's result depends on no other row.
+1. Rare word n-grams of a test item, those of at most ``RARE`` items, are its seeds. A more common n-gram is a seed only together with one of
+   the item's rarest words: an alignment of the least score holds ceil(least_score * L) of an item's L words, so it holds one
+   of any L - ceil(least_score * L) + 1 of them. Which words and n-grams count as rare changes the work but no result.
 2. Seeds are joined to the documents that hold them; the words around them travel along, as many on each side as an
    alignment of the least score may reach: inserted words and all, an item of L words spans L + 2L(1 - least_score).
    Items are put into classes by length, so that a very long item widens the surroundings of its own seeds only.
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlake.llm.common import arrow_map, arrow_schema, stored
@@ -25,6 +27,8 @@ from siftlake.llm.common import arrow_map, arrow_schema, stored
 FILTER_BITS = 1 << 24
 CHUNK = 50_000
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Items of an n-gram up to which it names them by itself.
+RARE = 8
 
 
 class Words(dict):
@@ -78,6 +82,36 @@ def items_of(benchmark: DataFrame, n: int, item_col: str, text_col: str) -> Data
     return arrow_map(benchmark.select(item_col, text_col), make, f"item {kind}, words array<long>, g array<long>")
 
 
+def joint(g: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """A key for an n-gram together with a word, elementwise."""
+    out = (g ^ (words * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0x9E3779B97F4A7C15)
+    return out ^ (out >> np.uint64(29))
+
+
+def rare_words(items: DataFrame, least_score: float) -> DataFrame:
+    """``item`` and ``w``: the words at an item's rarest places, as many as an alignment of the least score cannot all miss."""
+    places = items.select("item", F.size("words").alias("size"), F.explode("words").alias("w"))
+    held = places.select("item", "w").distinct().groupBy("w").agg(F.count(F.lit(1)).alias("in_items"))
+    order = Window.partitionBy("item").orderBy("in_items", "w")  # the places of one item
+    ranked = places.join(held.hint("merge"), "w").withColumn("place", F.row_number().over(order))
+    return ranked.where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * least_score) + 1).select("item", "w").distinct()
+
+
+def seeds_of(items: DataFrame, least_score: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``key`` and ``item`` of all seeds; the common n-grams ``g``; the words ``g`` that go with them."""
+    grams_ = items.where(F.size("words") > 0).select(F.explode("g").alias("g"), "item").distinct()
+    common = stored(grams_.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > RARE).select("g"), "common")
+    alone = grams_.join(common.hint("merge"), "g", "left_anti").select(F.col("g").alias("key"), "item")
+    pairs = grams_.join(common.hint("merge"), "g", "left_semi")
+    words = stored(rare_words(items.join(pairs.select("item").distinct().hint("merge"), "item", "left_semi"), least_score), "rare-words")
+
+    def make():
+        return lambda batch: {"item": batch.column(0), "key": joint(*(np.asarray(batch.column(k)).view(np.uint64) for k in (1, 2))).view(np.int64)}
+
+    both = arrow_map(pairs.join(words.hint("merge"), "item").select("item", "g", "w"), make, f"item {dict(items.dtypes)['item']}, key long")
+    return alone.unionByName(both.distinct()), common, words.select(F.col("w").alias("g")).distinct()
+
+
 def filter_of(keys: DataFrame) -> np.ndarray:
     """A bit for each value of the lowest 24 bits of the longs in column ``g``, built by a bitmap aggregate."""
     low = F.col("g").bitwiseAND(FILTER_BITS - 1)
@@ -150,23 +184,37 @@ def contaminated(
     """
     items = stored(items_of(benchmark.where(F.col(item_col).isNotNull()), n, item_col, item_text_col), "items")
     length_class = F.ceil(F.log2(F.size("words"))).cast("int")  # up to two to this power words
-    seeds = stored(items.where(F.size("words") > 0).select(F.explode("g").alias("g"), "item", length_class.alias("length_class")).distinct(), "seeds")
+    classed = stored(items.where(F.size("words") > 0).select(F.explode("g").alias("g"), length_class.alias("length_class")).distinct(), "seeds")
+    seeds, common, rare = seeds_of(items, least_score)
+    seeds = stored(seeds, "keys")
     sizes = sorted({r[0] for r in items.select(F.least(F.size("words"), F.lit(n)).alias("m")).distinct().collect() if r[0] > 0})
-    classes = sorted(r[0] for r in seeds.select("length_class").distinct().collect())  # about thirty at most
+    classes = sorted(r[0] for r in classed.select("length_class").distinct().collect())  # about thirty at most
     reaches = np.zeros(FILTER_BITS, dtype=np.uint8)  # for a key, one more than the class of the longest item that may have it
     for c in classes:
-        reaches[filter_of(seeds.where(F.col("length_class") == c))] = c + 1
-    shared = docs.sparkSession.sparkContext.broadcast(reaches)  # 16 MB, whatever the data
+        reaches[filter_of(classed.where(F.col("length_class") == c))] = c + 1
+    # 20 MB, whatever the data.
+    shared = docs.sparkSession.sparkContext.broadcast((reaches, np.packbits(filter_of(common)), np.packbits(filter_of(rare))))
     kind = dict(docs.dtypes)[id_col]
-    schema = f"id {kind}, start long, g array<long>, words array<long>"
+    schema = f"id {kind}, start long, keys array<long>, words array<long>"
     arrow = arrow_schema(schema)
 
     def reach(words: np.ndarray | int) -> np.ndarray | int:
         return words + np.floor(2 * words * (1 - least_score)).astype(np.int64) if isinstance(words, np.ndarray) else words + int(2 * words * (1 - least_score))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reaches, words_of = shared.value, Words()
+        (reaches, *packed), words_of = shared.value, Words()
         bits = reaches > 0
+        often, seldom = (np.unpackbits(x).astype(bool) for x in packed)
+
+        def keys_of(g: np.ndarray, words: np.ndarray) -> np.ndarray:
+            """A passage's n-grams, and the common ones with each word that may go with them."""
+            g = np.unique(g)
+            many = g[places(g, often)]
+            if not len(many):
+                return g
+            words = np.unique(words[places(words, seldom)])
+            return np.concatenate([g, joint(many[:, None], words[None, :]).ravel()])
+
         for batch in batches:
             rows = []
             for key, value in zip(batch.column(0), batch.column(1), strict=True):
@@ -190,12 +238,12 @@ def contaminated(
                 cut = np.flatnonzero((low[1:] > np.maximum.accumulate(high)[:-1]) | (np.diff(at // CHUNK) > 0)) + 1
                 for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(at)], strict=True):
                     begin, end = int(low[a:b].min()), int(high[a:b].max())
-                    rows.append((key.as_py(), begin, np.unique(g[a:b]).view(np.int64), words[begin:end].view(np.int64)))
+                    rows.append((key.as_py(), begin, keys_of(g[a:b], words[begin:end]).view(np.int64), words[begin:end].view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(arrow)], schema=arrow)
 
     passages = stored(docs.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(run, schema), "passages")
-    keyed = passages.select("id", "start", F.explode("g").alias("g"))
-    pairs = keyed.join(seeds.select("g", "item").hint("merge"), "g").select("id", "start", "item").distinct()
+    keyed = passages.select("id", "start", F.explode("keys").alias("key"))
+    pairs = keyed.join(seeds.hint("merge"), "key").select("id", "start", "item").distinct()
     asked = pairs.join(items.select("item", F.col("words").alias("item_words")).hint("merge"), "item")
     ready = asked.join(passages.select("id", "start", "words").distinct().hint("merge"), ["id", "start"])
 

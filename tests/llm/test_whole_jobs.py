@@ -30,8 +30,10 @@ def test_pages_with_very_long_urls_are_read(spark):
         assert sorted(r.page_id for r in warc.archive_and_read(pages, split_bytes=split).collect()) == list(range(12))
 
 
-def test_decontamination_finds_what_aligning_all_pairs_finds(spark, monkeypatch):
+@pytest.mark.parametrize("rare", [8, 0])  # n-grams that name items by themselves, and only together with a word
+def test_decontamination_finds_what_aligning_all_pairs_finds(spark, monkeypatch, rare):
     """Copies with words put in, left out and changed, items of all lengths: every pair, and its score, as by brute force."""
+    monkeypatch.setattr(decontaminate, "RARE", rare)
     rng = random.Random(8)
     vocabulary = [f"v{k}" for k in range(3000)]
     items = {k: [rng.choice(vocabulary) for _ in range(n)] for k, n in enumerate([4, 9, 17, 30, 30, 40, 64, 65, 90, 300])}
@@ -69,6 +71,25 @@ def test_decontamination_finds_what_aligning_all_pairs_finds(spark, monkeypatch)
     assert (306, 3) in got and got[306, 3] < 0.56  # thirty words with one word between, and one n-gram left
 
 
+def test_a_common_n_gram_names_no_pair(spark, monkeypatch):
+    """Items and documents that share only a common n-gram are not aligned; a copy of an item that keeps no other one is found."""
+    rows = [(k, " ".join(["what is the", *[f"i{k}n{j}" for j in range(17)]])) for k in range(60)]
+    docs = [(d, " ".join([*[f"d{d}n{j}" for j in range(60)], "what is the", *[f"e{d}n{j}" for j in range(60)]])) for d in range(100)]
+    kept = [w for j, w in enumerate(rows[7][1].split()) if j < 3 or j % 3]  # every third word changed: no other n-gram is left
+    docs.append((500, " ".join(w if j < 3 or w in kept else f"x{j}" for j, w in enumerate(rows[7][1].split()))))
+    aligned = []
+    made = decontaminate.arrow_map
+
+    def counted(df, make, schema):
+        if "score double" in schema:
+            aligned.append(df.count())
+        return made(df, make, schema)
+
+    monkeypatch.setattr(decontaminate, "arrow_map", counted)
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(rows, "item_id long, text string"), least_score=0.45).collect()
+    assert [(r.doc_id, r.item_id) for r in got] == [(500, 7)] and aligned == [1]  # of 6060 pairs
+
+
 def test_pages_with_very_long_html_are_read(spark):
     rng = random.Random(4)
     long = "".join(rng.choices("<p>abcdefgh é", k=400_000)) * 8
