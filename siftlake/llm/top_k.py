@@ -1,7 +1,8 @@
 """Exact top-k by inner product: Fagin's threshold algorithm over sorted per-dimension lists.
 
-Vectors are quantised to integers. A task cuts its candidates into blocks and sorts each dimension of
-a block once. For a query the lists are read from their favourable ends, level by level; vectors seen
+Vectors are quantised to integers and written as blocks of queries and of candidates. Groups of query blocks and groups of
+candidate blocks form a grid with about as many cells as tasks: a query travels to each group of candidates once, a candidate to each
+group of queries. The task of a cell holds its queries, and sorts each dimension of a candidate block once. For a query the lists are read from their favourable ends, level by level; vectors seen
 for the first time are scored in full, and the block is left as soon as the threshold - the score an
 unseen vector could have at most - falls below the query's k-th score so far. Where a level brings a quarter of
 the block or more, all of the block's scores are computed at once, which is cheaper than picking out its new vectors.
@@ -75,13 +76,18 @@ class Best:
             self.bound[q] = s[order[-1]]
 
 
-def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, best: Best) -> int:
-    """Run all queries over one block of candidates; returns how many vectors were scored."""
+def sorted_lists(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each dimension the rows in the order of their values, and these values."""
+    order = np.argsort(x, axis=0, kind="stable")
+    return order, np.take_along_axis(x, order, axis=0)
+
+
+def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, best: Best, lists: tuple[np.ndarray, np.ndarray] | None = None) -> int:
+    """Run all queries over one block of candidates (its sorted ``lists``, if they are made already); returns how many vectors were scored."""
     kind = exact_type(x, queries)
-    x, queries = x.astype(kind), queries.astype(kind)
+    order, values = lists or sorted_lists(x)
+    x, queries, values = x.astype(kind), queries.astype(kind), values.astype(kind)
     n, dim = x.shape
-    order = np.argsort(x, axis=0, kind="stable")
-    values = np.take_along_axis(x, order, axis=0)
     up, down = np.maximum(queries, 0), np.minimum(queries, 0)
     levels = [d for d in LEVELS if d < n] + [n]
     # Threshold of each query after each level, from the last values read.
@@ -119,6 +125,12 @@ def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries:
     return scored
 
 
+def grid(query_blocks: int, candidate_blocks: int, tasks: int) -> tuple[int, int]:
+    """Groups of query blocks and groups of candidate blocks."""
+    across = max(1, -(-query_blocks // HELD))
+    return across, max(1, min(candidate_blocks, -(-tasks // across)))
+
+
 _BLOCK = "block long, ids binary, vectors binary, dim int, rows int"
 
 
@@ -177,34 +189,43 @@ def packed(rows: DataFrame, size: int, block_col: str | None = None) -> DataFram
     return rows.select("vec_id", "v", *([F.col(block_col).cast("long")] if block_col else [])).mapInArrow(run, _BLOCK)
 
 
-def _search(pairs: DataFrame, k: int) -> DataFrame:
-    """The k best of each query over the pairs of blocks of a task, which come sorted by the queries' block."""
+def _search(cells: DataFrame, k: int) -> DataFrame:
+    """The k best of each query over the candidates of its cell. Rows come by cell, its blocks of queries (``role`` 0) first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, own_ids, own, best = None, None, None, None
+        cell, asked = None, []
 
         def told() -> Iterator[pa.RecordBatch]:
-            counts = [len(i) for i in best.ids] if best else []
-            if sum(counts):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(own_ids, counts)), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.scores))], schema=_SCHEMA
-                )
+            for own_ids, _, best in asked:
+                counts = [len(i) for i in best.ids]
+                if sum(counts):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat(own_ids, counts)), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.scores))], schema=_SCHEMA
+                    )
 
         for batch in batches:
             for n in range(batch.num_rows):
                 row = {f.name: batch.column(j)[n].as_py() for j, f in enumerate(batch.schema)}
-                if (row["q"]["block"], row["q"]["ids"]) != asked:
+                if row["cell"] != cell:
                     yield from told()
-                    asked = row["q"]["block"], row["q"]["ids"]
-                    own_ids, own = _unpacked(row["q"])
-                    best = Best(len(own_ids), k)
-                ids, x = _unpacked(row["c"])
-                dim = max(x.shape[1], own.shape[1])
-                x, queries = (np.pad(m, ((0, 0), (0, dim - m.shape[1]))) for m in (x, own))
-                search_block(ids, x, own_ids, queries, best)
+                    cell, asked = row["cell"], []
+                ids, x = _unpacked(row)
+                if row["role"] == 0:
+                    asked.append((ids, x, Best(len(ids), k)))
+                    continue
+                lists = None
+                for own_ids, own, best in asked:
+                    if own.shape[1] > x.shape[1]:
+                        x, lists = np.pad(x, ((0, 0), (0, own.shape[1] - x.shape[1]))), None
+                    lists = lists or sorted_lists(x)
+                    search_block(ids, x, own_ids, np.pad(own, ((0, 0), (0, x.shape[1] - own.shape[1]))), best, lists)
         yield from told()
 
-    return pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+    return cells.mapInArrow(run, "query_id long, vec_id long, score long")
+
+
+#: Query blocks that a task holds.
+HELD = 8
 
 
 def top_k(
@@ -226,9 +247,9 @@ def top_k(
     A repeated candidate row is a candidate each time, a repeated query row one query (of rows with one
     id, the least vector asks). Scores must fit in a long. Other columns are ignored.
 
-    Queries and candidates are written as tables of blocks (about ``query_block`` and at most ``block`` vectors), whose
-    numbers are joined: each pair of a block of queries and a block of candidates is searched in one task, and the bests
-    are combined by query. No vector comes to the driver, whatever the numbers.
+    Queries and candidates are written as tables of blocks (about ``query_block`` and at most ``block`` vectors). With Q groups of
+    about ``HELD`` query blocks and C groups of candidate blocks, Q x C about the number of tasks, a vector is shuffled Q or C times.
+    No vector comes to the driver, whatever the numbers.
     """
     spark = session(vectors.sparkSession)
     rows = quantised(vectors, scale, id_col, vector_col)
@@ -238,15 +259,14 @@ def top_k(
     # A block may come in several rows where its hash has more than its share: each is a block of its own.
     queries = stored(packed(dealt, 2 * query_block, "of"), "query-blocks")
     candidates = stored(packed(rows, block), "candidate-blocks")
-    salts = max(1, candidates.count())
-    tasks = max(1, min(asked * salts, 4 * spark.sparkContext.defaultParallelism))
-    whole = lambda name: F.struct("block", "ids", "vectors", "dim", "rows").alias(name)
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select(F.col("block").alias("of"), every(salts).alias("salt"), whole("q"))
-    numbered = candidates.select(whole("c"), F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int").alias("salt"), every(asked).alias("of"))
-    right = numbered.select("c", "salt", F.col("of").cast("long").alias("of"))
-    joined = left.repartition(tasks, "of", "salt").join(right.repartition(tasks, "of", "salt").hint("merge"), ["of", "salt"])
-    found = _search(joined.sortWithinPartitions("of").select("q", "c"), k)
+    across, down = grid(queries.count(), candidates.count(), 4 * spark.sparkContext.defaultParallelism)
+    fields = ["block", "ids", "vectors", "dim", "rows"]
+    groups = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    mine = lambda n: F.pmod(F.xxhash64("block", "ids"), F.lit(n)).cast("int")
+    left = queries.select(mine(across).alias("a"), groups(down).alias("b"), F.lit(0).alias("role"), *fields)
+    right = candidates.select(groups(across).alias("a"), mine(down).alias("b"), F.lit(1).alias("role"), *fields)
+    cells = left.unionByName(right).withColumn("cell", F.col("a") * down + F.col("b"))
+    found = _search(cells.repartition(across * down, "cell").sortWithinPartitions("cell", "role").select("cell", "role", *fields), k)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -30,6 +30,23 @@ def test_pages_with_very_long_urls_are_read(spark):
         assert sorted(r.page_id for r in warc.archive_and_read(pages, split_bytes=split).collect()) == list(range(12))
 
 
+def test_search_over_a_grid_of_groups(spark, monkeypatch):
+    rng = random.Random(21)
+    rows = [(k, [rng.uniform(-1, 1) for _ in range(rng.choice([3, 4]))]) for k in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    q = {k: [np.floor(64 * x) for x in v] for k, v in rows}
+    want = []
+    for a in range(0, 400, 20):
+        scored = sorted((-sum(x * y for x, y in zip(q[a], q[b])), b) for b in q if b != a)[:6]
+        want += [(a, r, b, -s) for r, (s, b) in enumerate(scored, 1)]
+    for held in (1, 3, 8):
+        monkeypatch.setattr(top_k, "HELD", held)
+        got = top_k.top_k(df, F.col("vec_id") % 20 == 0, k=6, query_block=3, block=16)
+        assert sorted(map(tuple, got.collect())) == want
+    assert top_k.grid(100, 50, 32) == (13, 3) and top_k.grid(0, 0, 32) == (1, 1) and top_k.grid(3, 2, 32) == (1, 2)  # copies: 13 of a candidate, 3 of a query
+    assert top_k.top_k(df, F.lit(False), k=6).count() == 0 and top_k.top_k(df.limit(0), F.lit(True), k=6).count() == 0
+
+
 @pytest.mark.parametrize("rare", [8, 0])  # n-grams that name items by themselves, and only together with a word
 def test_decontamination_finds_what_aligning_all_pairs_finds(spark, monkeypatch, rare):
     """Copies with words put in, left out and changed, items of all lengths: every pair, and its score, as by brute force."""
