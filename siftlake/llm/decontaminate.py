@@ -25,6 +25,7 @@ from siftlake.llm.common import arrow_map, arrow_schema, stored
 
 #: Bits of the filter that spares documents' other n-grams the join; its size is fixed (2 MB).
 FILTER_BITS = 1 << 24
+MOST_BITS, BITMAP = 1 << 28, 1 << 15
 CHUNK = 50_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Items of an n-gram up to which it names them by itself.
@@ -112,24 +113,25 @@ def seeds_of(items: DataFrame, least_score: float) -> tuple[DataFrame, DataFrame
     return alone.unionByName(both.distinct()), common, words.select(F.col("w").alias("g")).distinct()
 
 
-def filter_of(keys: DataFrame) -> np.ndarray:
-    """A bit for each value of the lowest 24 bits of the longs in column ``g``, built by a bitmap aggregate."""
-    low = F.col("g").bitwiseAND(FILTER_BITS - 1)
-    rows = keys.select(low.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m"))
-    bits = np.zeros(FILTER_BITS + 32768, dtype=bool)
-    for r in rows.collect():  # at most FILTER_BITS / 32768 + 1 bitmaps of 4 KB
-        bits[r["k"] * 32768 : (r["k"] + 1) * 32768] = np.unpackbits(np.frombuffer(r["m"], dtype=np.uint8), bitorder="little")
-    # Value 0 has bucket 0 to itself; a value v > 0 is bit v - 1 from bucket 1 on.
-    out = bits[32767 : 32767 + FILTER_BITS].copy()
-    out[0] = bits[0]
-    return out
+def filter_of(keys: DataFrame, size: int = FILTER_BITS) -> np.ndarray:
+    """A bit for each value of the lowest bits of the longs in column ``g`` (``size`` values), built by a bitmap aggregate."""
+    low = F.col("g").bitwiseAND(size - 1)
+    rows = keys.select(F.floor(low / BITMAP).alias("k"), (low % BITMAP).alias("b")).groupBy("k").agg(F.bitmap_construct_agg("b").alias("m"))
+    bits = np.zeros(size // 8, dtype=np.uint8)
+    for r in rows.collect():  # at most size / BITMAP bitmaps of 4 KB
+        bits[r["k"] * BITMAP // 8 : (r["k"] + 1) * BITMAP // 8] = np.frombuffer(r["m"], dtype=np.uint8)
+    return bits
+
+
+def sized_filter(keys: DataFrame) -> np.ndarray:
+    """``filter_of`` of a stored table, sized by its rows: 16 bits each, 2 MB at least and 32 MB at most."""
+    return filter_of(keys, min(MOST_BITS, max(FILTER_BITS, 1 << (16 * keys.count() - 1).bit_length())))
 
 
 def places(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Places in ``keys`` whose bit is set."""
-    if not len(keys):
-        return np.zeros(0, dtype=np.int64)
-    return np.flatnonzero(bits[keys & np.uint64(FILTER_BITS - 1)])
+    low = keys & np.uint64(8 * len(bits) - 1)
+    return np.flatnonzero((bits[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8)) & 1)
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -191,9 +193,9 @@ def contaminated(
     classes = sorted(r[0] for r in classed.select("length_class").distinct().collect())  # about thirty at most
     reaches = np.zeros(FILTER_BITS, dtype=np.uint8)  # for a key, one more than the class of the longest item that may have it
     for c in classes:
-        reaches[filter_of(classed.where(F.col("length_class") == c))] = c + 1
+        reaches[np.unpackbits(filter_of(classed.where(F.col("length_class") == c)), bitorder="little").astype(bool)] = c + 1
     # 20 MB, whatever the data.
-    shared = docs.sparkSession.sparkContext.broadcast((reaches, np.packbits(filter_of(common)), np.packbits(filter_of(rare))))
+    shared = docs.sparkSession.sparkContext.broadcast((reaches, filter_of(common), filter_of(rare)))
     kind = dict(docs.dtypes)[id_col]
     schema = f"id {kind}, start long, keys array<long>, words array<long>"
     arrow = arrow_schema(schema)
@@ -202,9 +204,7 @@ def contaminated(
         return words + np.floor(2 * words * (1 - least_score)).astype(np.int64) if isinstance(words, np.ndarray) else words + int(2 * words * (1 - least_score))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (reaches, *packed), words_of = shared.value, Words()
-        bits = reaches > 0
-        often, seldom = (np.unpackbits(x).astype(bool) for x in packed)
+        (reaches, often, seldom), words_of = shared.value, Words()
 
         def keys_of(g: np.ndarray, words: np.ndarray) -> np.ndarray:
             """A passage's n-grams, and the common ones with each word that may go with them."""
@@ -223,7 +223,7 @@ def contaminated(
                 for size in sizes:
                     if len(words) >= size:
                         g = grams(words, size)
-                        at = places(g, bits)
+                        at = np.flatnonzero(reaches[g & np.uint64(FILTER_BITS - 1)])
                         if len(at):
                             hits.append(at)
                             keys.append(g[at])

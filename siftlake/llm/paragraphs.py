@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from siftlake.llm.common import arrow_map, arrow_schema, stored, texts_of
 from siftlake.llm.components import connected_components
-from siftlake.llm.decontaminate import filter_of, places
+from siftlake.llm.decontaminate import places, sized_filter
 
 #: A piece ends before a word whose hash is least among this many on both sides; the longest piece.
 REACH, LONGEST = 8, 32
@@ -110,7 +110,7 @@ def word_hashes(text: str) -> np.ndarray:
 def runs(words: np.ndarray, size: int) -> np.ndarray:
     """Hashes of the runs of ``size`` words from each word on, as far as they go; the last ones are of no use."""
     out = np.zeros(len(words), dtype=np.uint64)
-    for k in range(size):
+    for k in range(min(size, len(words))):
         out[: len(words) - k] = mixed(out[: len(words) - k] ^ words[k:])
     return out
 
@@ -279,11 +279,11 @@ def units(docs: DataFrame, *, id_col: str, text_col: str, least_words: int, size
 
 def words_of(docs: DataFrame, wanted: DataFrame, *, text_col: str, least_words: int, size: int) -> DataFrame:
     """``h`` and ``words`` (in lower case, space-joined) of the units whose ``k`` is in ``wanted``, from a second reading of
-    the texts: storing all words would cost several times the input. A bitmap of fixed size passes over most others."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(filter_of(wanted.select(F.col("k").alias("g")))))
+    the texts: storing all words would cost several times the input. A bitmap, sized by their number up to 32 MB, passes over most others."""
+    shared = docs.sparkSession.sparkContext.broadcast(sized_filter(wanted.select(F.col("k").alias("g"))))
 
     def make():
-        bits, cut, seen = np.unpackbits(shared.value).astype(bool), Cutter(least_words, size), set()
+        bits, cut, seen = shared.value, Cutter(least_words, size), set()
 
         def step(batch):
             hashes, found, words = [], [], None

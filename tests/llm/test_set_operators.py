@@ -324,7 +324,7 @@ def test_pipeline(spark, tables):
         sizes.append(out.count())
         if name != "sentencepiece":
             assert out.columns == docs.columns
-        if name == "simhash_dedup":  # Jaccard 0.8 of five-word shingles, as for all stages on word shingles
+        if name == "near_dedup":  # Jaccard 0.8 of five-word shingles, as for all stages on word shingles
             sets = {r.doc_id: paragraphs.shingles((r.text or "").lower().split(), 5) for r in before.collect()}
             want = classes(sorted(sets), lambda a, b: paragraphs.jaccard(sets[a], sets[b]) >= 0.8)
             assert {r.doc_id for r in out.collect()} == set(want.values())

@@ -30,6 +30,72 @@ def test_pages_with_very_long_urls_are_read(spark):
         assert sorted(r.page_id for r in warc.archive_and_read(pages, split_bytes=split).collect()) == list(range(12))
 
 
+def test_quality_scores_written_out(spark, tables):
+    """Scores of all documents against vectors of words and n-grams, their mean over words, the layer and the softmax, one by one."""
+    from siftlake.llm import quality
+
+    docs = tables("documents")
+    model = quality.fit(docs, tables("labels"), usable=~held_out())
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    vectors: dict[str, np.ndarray] = {}
+
+    def vector(word: str) -> np.ndarray:
+        if word not in vectors:
+            buckets, owners = quality.features([word], model.settings)
+            assert set(owners.tolist()) == {0}
+            vectors[word] = np.mean([model.vectors[b].astype(np.float64) for b in buckets.tolist()], axis=0)
+        return vectors[word]
+
+    far = 0
+    for r in docs.collect():
+        words = (r.text or "").split()
+        words = [quality.REPEAT if k and w == words[k - 1] else w for k, w in enumerate(words)]
+        hidden = np.mean([vector(w) for w in words], axis=0) if words else np.zeros(model.vectors.shape[1])
+        z = model.layer.astype(np.float64) @ hidden + model.bias
+        softmax = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert got[r.doc_id] == pytest.approx(softmax[1], abs=1e-4), r.doc_id
+        far += abs(softmax[1] - 0.5) > 0.4
+    assert far > 50
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd):
+    """Null, empty, blank, very long and repeated rows, names that clash with the stages' own, no ``n_chars``, no rows."""
+    import tempfile
+
+    import corpus_pipeline
+
+    columns = ["doc_id", "text", "lang", "source", "score", "h", "words"]
+    made = odd.withColumn("h", F.lit("x")).withColumn("words", F.lit(3)).select(*columns)
+    bench = spark.createDataFrame([(1, "the same text again and again and so on"), (2, None), (None, "x")], "item_id long, text string")
+    for rows in (made, made.limit(0)):
+        at = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        rows.write.parquet(f"{at}/documents.parquet")
+        bench.write.parquet(f"{at}/benchmark.parquet")
+        docs = rows
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, at)
+            assert docs.columns == columns, name
+        got = corpus_pipeline.run(spark, at)
+        ids = [r.doc_id for r in got.collect()]
+        kept = set(ids)
+        assert kept <= {1, 2, 3, 4, 5, 6, 7, None} and not kept & {1, 2, 3}  # without a letter no language
+        if rows is not made:
+            assert ids == []
+
+
+def test_bitmaps_grow_with_what_they_hold(spark, monkeypatch):
+    keys = spark.range(3000).select(F.xxhash64("id").alias("g"))
+    own = np.array([r.g for r in keys.collect()], dtype=np.int64).view(np.uint64)
+    others = np.array([r.g for r in spark.range(10**6, 10**6 + 3000).select(F.xxhash64("id").alias("g")).collect()], dtype=np.int64).view(np.uint64)
+    for least, most, size in ((1 << 10, 1 << 28, 1 << 16), (1 << 10, 1 << 15, 1 << 15), (1 << 20, 1 << 28, 1 << 20)):
+        monkeypatch.setattr(decontaminate, "FILTER_BITS", least)
+        monkeypatch.setattr(decontaminate, "MOST_BITS", most)
+        bits = decontaminate.sized_filter(keys)
+        assert 8 * len(bits) == size and len(decontaminate.places(own, bits)) == 3000
+        assert len(decontaminate.places(others, bits)) < 3000 * 3000 / size * 1.5 + 20
+    assert not len(decontaminate.places(own, decontaminate.sized_filter(keys.limit(0))))
+
+
 def test_search_over_a_grid_of_groups(spark, monkeypatch):
     rng = random.Random(21)
     rows = [(k, [rng.uniform(-1, 1) for _ in range(rng.choice([3, 4]))]) for k in range(400)]
@@ -190,7 +256,7 @@ def test_added_secret_spans_on_strings_held_out_of_training(spark):
     new_secrets, new_names = [secret() for _ in range(400)], [name() for _ in range(400)]
     found = [bool(secret_scan.find_secrets(f"see {t} here", model, {}, 1.0, 20.0)[1]) for t in new_secrets + new_names]
     recall, wrong = np.mean(found[:400]), np.mean(found[400:])
-    assert recall >= 0.85 and wrong <= 0.01, (recall, wrong)
+    assert recall >= 0.9 and wrong <= 0.01, (recall, wrong)
     text = " ".join(f"token={t} {u}" for t, u in zip(new_secrets, reversed(new_secrets)))
     base, added = secret_scan.find_secrets(text, model, {}, 1.0, 20.0)
-    assert len(base) == 400 and not any(s < e2 and s2 < e for s, _, e in base for s2, _, e2 in added) and len(added) >= 0.85 * 400
+    assert len(base) == 400 and not any(s < e2 and s2 < e for s, _, e in base for s2, _, e2 in added) and len(added) >= 0.9 * 400
