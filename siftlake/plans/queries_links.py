@@ -27,6 +27,20 @@ def post_id(v: Views) -> DataFrame:
     return v.table("pages").select("page_id", U.post_id(F.lit("other"), F.col("url")).alias("post_id"))
 
 
+@query("t19_post_id_rules", r"""SELECT page_id, CASE page_id % 7 WHEN 0 THEN page_id::VARCHAR WHEN 1 THEN page_id || '_2_3' WHEN 2 THEN 'bsn' || page_id || '_snA9' WHEN 3 THEN page_id::VARCHAR WHEN 6 THEN regexp_extract(regexp_replace(url, '/+$', ''), '([^/]*)$', 1) END AS post_id FROM pages""")
+def post_id_rules(v: Views) -> DataFrame:
+    """Addresses of each family of sites, some without an id; others by the default rule."""
+    k, n = F.col("page_id") % 7, F.col("page_id").cast("string")
+    forms = (
+        ("ptt", F.concat(F.lit("https://p.example/bbs/M."), n, F.lit(".A.4F.html"))), ("52pojie", F.concat(F.lit("https://p.example/thread-"), n, F.lit("-2-3.html"))), ("bahamut_x", F.concat(F.lit("https://p.example/C.php?snA=9&bsn="), n)),
+        ("nga", F.concat(F.lit("https://p.example/read.php?tid="), n)), ("nga", F.lit("https://p.example/none")), ("ptt_b", F.lit("https://p.example/M.html")), ("other", F.col("url")),
+    )
+    site, url = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for j, (name, address) in enumerate(forms):
+        site, url = F.when(k == j, name).otherwise(site), F.when(k == j, address).otherwise(url)
+    return v.table("pages").select("page_id", U.post_id(site, url).alias("post_id"))
+
+
 ABS = "(SELECT page_id, ord, regexp_extract(base, '^([a-z]+://[^/?#]+)', 1) || href AS url, base FROM hrefs WHERE starts_with(href, '/'))"
 
 

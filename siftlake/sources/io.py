@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from siftlake.functions import fixed
 from siftlake.functions.text import language_code, pick_body, strip
@@ -51,8 +52,18 @@ def with_event(df: DataFrame, column: str = "raw") -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines of a declared schema; a line that does not fit is an error that names its file. Blank lines are skipped."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """JSON lines of a declared schema; a line that does not fit is an error that shows its file and how it begins. Blank lines are skipped.
+
+    Lines have no numbers when many tasks read a file, so the error names the line by its text.
+    """
+    fields = StructType.fromDDL(schema)
+    bad = "_malformed"
+    lines = spark.read.text(path).where(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("file"))
+    row = F.from_json("value", StructType([*fields, StructField(bad, StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad})
+    lines = lines.withColumn("row", row)
+    message = F.concat(F.lit("no row of the declared schema in "), "file", F.lit(": "), F.substring("value", 1, 200))
+    checked = F.when(F.col(f"row.{bad}").isNull(), F.col("row")).otherwise(F.raise_error(message))
+    return lines.select(checked.alias("row")).select(*[F.col(f"row.`{c}`") for c in fields.names])
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:

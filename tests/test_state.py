@@ -132,8 +132,11 @@ def test_files(spark):
     assert io.read_labels(spark, f"{at}/l.csv").first().text == 'a "q"\nb'
     with open(f"{at}/x.jsonl", "w") as f:
         f.write('{"a": 1}\n\n{"a": "x"}\n')
-    with pytest.raises(Exception):  # noqa: B017
+    with pytest.raises(Exception, match=r'x\.jsonl: \{"a": "x"\}'):  # noqa: B017  the file and the line
         io.read_jsonl(spark, f"{at}/x.jsonl", "a int").collect()
+    with open(f"{at}/y.jsonl", "w") as f:
+        f.write('{"a": 1, "more": 2}\n  \n{"a": null}\n{}\n')
+    assert [r.a for r in io.read_jsonl(spark, f"{at}/y.jsonl", "a int").collect()] == [1, None, None]
 
 
 def test_repo_document_and_events(spark):
