@@ -6,8 +6,8 @@
    find lines of similarity 0.8 with probability 0.997; pieces (about a dozen shingles) have three bands of two rows,
    0.953, and equal ones always collide.
 3. In each collision the most central text is compared with the others; components are formed; where a collision still
-   holds several components, each text outside the central one is compared, in blocks, with all of other components. So
-   no colliding pair that is similar enough stays apart, and no group is paired with itself.
+   holds several components, texts that share one of their rarest shingles are compared, a few of them in pairs, more in
+   blocks. So no colliding pair that is similar enough stays apart, and no group is paired with itself.
 4. Candidates are verified by the exact Jaccard similarity of their shingle sets; connected components make the classes;
    all occurrences but the first of a class are removals.
 5. Neighbouring units are joined into spans; spans of fewer than ``least_run`` words of pieces are no repeat.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from siftlake.llm.common import arrow_map, arrow_schema, stored, texts_of
 from siftlake.llm.components import connected_components
-from siftlake.llm.decontaminate import places, sized_filter
+from siftlake.llm.decontaminate import FILTER_BITS, filter_of, places, sized_filter
 
 #: A piece ends before a word whose hash is least among this many on both sides; the longest piece.
 REACH, LONGEST = 8, 32
@@ -36,6 +36,8 @@ LINE_BANDS, PIECE_BANDS = (8, 3), (3, 2)
 SEEN = 250_000
 #: Texts of a block that are compared at once, and texts that pass by one block in one task.
 QUERIES, PASSING = 512, 4096
+#: Texts of a collision with a rarest shingle in common that are paired; more of them are compared in blocks.
+FEW = 16
 SLAB = 1_000_000
 _RNG = np.random.default_rng(7)
 _A = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
@@ -414,13 +416,46 @@ def _compare(rows: DataFrame, size: int, similarity: float) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def rarest(texts: DataFrame, *, size: int, similarity: float) -> DataFrame:
+    """``h``, ``n`` (the number of its shingles) and ``rare`` (the rarest of them, in order) of each text (``h``, ``words``).
+
+    Of two sets with at least that Jaccard similarity, each holds at least that part of the other in common with it. So of n
+    shingles in an order that all texts agree on, the first n - ceil(similarity * n) + 1 cannot all be missing in the other
+    set. Which order is free; shingles come first that few texts hold. How many is told in four levels by three bitmaps
+    of 2 MB over the shingles' lowest bits: a wrong level costs rows, not results.
+    """
+
+    def listed():
+        return lambda batch: {"g": [(shingles(w.split(), size) & np.uint64(FILTER_BITS - 1)).view(np.int64) for w in texts_of(batch.column(0))]}
+
+    held = arrow_map(texts.select("words"), listed, "g array<long>").select(F.explode("g").alias("g"))
+    counts = stored(held.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shingle-counts")
+    levels = texts.sparkSession.sparkContext.broadcast([filter_of(counts.where(F.col("n") > least).select("g")) for least in (1, 16, 256)])
+
+    def first():
+        def step(batch):
+            sizes, rare = [], []
+            for words in texts_of(batch.column(1)):
+                found = shingles(words.split(), size)
+                low = found & np.uint64(FILTER_BITS - 1)
+                level = sum((bits[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 for bits in levels.value)
+                order = np.lexsort((found, level))
+                sizes.append(len(found))
+                rare.append(found[order[: len(found) - int(np.ceil(similarity * len(found) - 1e-9)) + 1]].view(np.int64))
+            return {"h": batch.column(0), "n": sizes, "rare": rare}
+
+        return step
+
+    return arrow_map(texts.select("h", "words"), first, "h binary, n int, rare array<long>")
+
+
 def links_of(met: DataFrame, sets: DataFrame, *, size: int, similarity: float) -> DataFrame:
     """Links (a, b) that join just the texts which a chain of similar, colliding texts joins.
 
     ``met`` has the collisions (``key``, ``h``), each with several texts, and ``sets`` the ``words`` of these. The text of a
     collision that has most company over all its collisions is its centre: for the copies of one text that is the
     same text in all bands, so that each copy is verified once. What is not joined to the centre of a collision by
-    then is compared, in blocks, with all texts of other components there; where there are but two texts, that is done.
+    then is looked for among the texts of other components there; where there are but two texts, that is done.
     """
     met = stored(met.distinct(), "met")
     company = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
@@ -434,10 +469,37 @@ def links_of(met: DataFrame, sets: DataFrame, *, size: int, similarity: float) -
     named = stored(met.join(parts.hint("merge"), F.col("h") == F.col("node"), "left").select("key", "h", own), "named")
     central = centres.join(parts.hint("merge"), F.col("centre") == F.col("node"), "left").select("key", F.coalesce("component", "centre").alias("main"))
     sides = named.join(central.hint("merge"), "key").withColumn("outside", F.col("c") != F.col("main"))
-    count = sides.groupBy("key").agg(F.count_if("outside").alias("o"), F.count(F.lit(1)).alias("n")).where("o > 0 and n > 2")
+    count = sides.groupBy("key").agg(F.count_if("outside").alias("o"), F.count(F.lit(1)).alias("n")).where("o > 0 and n > 2").select("key")
+    sides = stored(sides.join(stored(count, "open-collisions").hint("merge"), "key").select("key", "h", "c", "outside"), "open-sides")
+    return links.unionAll(links_outside(sides, sets, size=size, similarity=similarity))
+
+
+def links_outside(sides: DataFrame, sets: DataFrame, *, size: int, similarity: float) -> DataFrame:
+    """Links between texts of different components in the open collisions ``sides`` (``key``, ``h``, ``c``, ``outside``).
+
+    Similar texts share one of their rarest shingles (see ``rarest``). Where at most ``FEW`` texts of a collision share one,
+    pairs of like size are verified, so a text meets a bounded number of others for each. The texts with a rarest
+    shingle that more of them share are compared in blocks, the outside ones with all such texts of the collision.
+    """
+    texts = stored(sets.join(sides.select("h").distinct().hint("merge"), "h", "left_semi").select("h", "words"), "open-texts")
+    rare = stored(rarest(texts, size=size, similarity=similarity), "rarest")
+    told = sides.join(rare.hint("merge"), "h").select("key", "h", "c", "outside", "n", F.posexplode("rare").alias("at", "g"))
+    told = stored(told.select(F.xxhash64("key", "g").alias("g"), "key", "h", "c", "outside", "n", (F.col("n") - F.col("at")).alias("left")), "rare-shingles")
+    groups = told.groupBy("g").agg(F.count(F.lit(1)).alias("texts"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+    shared = stored(told.join(groups.select("g", (F.col("texts") > FEW).alias("many")).hint("merge"), "g"), "shared-shingles")
+
+    few = shared.where("not many").select("g", "h", "c", "n", "left")
+    other = few.toDF("g", "h2", "c2", "n2", "left2")
+    common = F.least("left", "left2")  # of the first shingle in order that both have on, so many at most are in both
+    alike = (F.col("h") < F.col("h2")) & (F.col("c") != F.col("c2")) & (common >= F.lit(similarity - 1e-9) * (F.col("n") + F.col("n2") - common))
+    pairs = few.join(other.hint("merge"), "g").where(alike).select(F.col("h").alias("a"), F.col("h2").alias("b")).distinct()
+    links = stored(verified(pairs, texts, size, similarity), "links-few")
+
+    dense = stored(shared.where("many").select("key", "h", "c", "outside").distinct(), "dense-sides")
+    count = dense.groupBy("key").agg(F.count_if("outside").alias("o"), F.count(F.lit(1)).alias("n")).where("o > 0")
     blocks, salts = F.ceil(F.col("o") / QUERIES).cast("int").alias("blocks"), F.ceil(F.col("n") / PASSING).cast("int").alias("salts")
-    split = sides.join(stored(count.select("key", blocks, salts), "open-collisions").hint("merge"), "key")
-    open_rows = stored(split.join(sets.hint("merge"), "h").select("key", "blocks", "salts", "outside", "h", "c", "words"), "open-rows")
+    split = dense.join(stored(count.select("key", blocks, salts), "dense-collisions").hint("merge"), "key")
+    open_rows = stored(split.join(texts.hint("merge"), "h").select("key", "blocks", "salts", "outside", "h", "c", "words"), "open-rows")
     at = F.xxhash64("h")
     asking = open_rows.where("outside").select("key", F.pmod(at, F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), "h", "c", "words")
     passing = open_rows.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(at, F.col("salts")).alias("salt"), F.lit(1).alias("role"), "h", "c", "words")

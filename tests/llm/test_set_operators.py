@@ -234,6 +234,30 @@ def test_paragraph_chains_are_not_cut(spark, monkeypatch):
     assert sorted(map(tuple, got)) == plain_repeats(rows)
 
 
+def test_unlike_texts_over_one_form_grow_with_their_number(spark, monkeypatch):
+    """Candidates of open collisions grow like the texts."""
+    counts, compare, verify = [], paragraphs._compare, paragraphs.verified
+
+    def counted(function):
+        def call(rows, *rest):
+            counts[-1] += rows.count()
+            return function(rows, *rest)
+
+        return call
+
+    monkeypatch.setattr(paragraphs, "_compare", counted(compare))
+    monkeypatch.setattr(paragraphs, "verified", counted(verify))
+    for n in (150, 600):
+        rng, rows = random.Random(n), []
+        for k in range(n):
+            rows.append((" ".join(f"form{j}" if j % 20 < 14 else f"own{rng.randrange(20 * n)}" for j in range(60)),))
+        texts = spark.createDataFrame(rows, "words string").withColumn("h", F.unhex(F.md5("words")))
+        sides = texts.select(F.lit(1).cast("long").alias("key"), "h", F.col("h").alias("c"), F.lit(True).alias("outside"))
+        counts.append(0)
+        assert paragraphs.links_outside(sides, texts, size=5, similarity=0.8).count() == 0
+    assert counts[1] <= 6 * max(counts[0], n), counts
+
+
 def test_band_recall():
     """Lines and pieces of similarity 0.8 collide as often as the bands say."""
     rng, met = random.Random(9), {0: [], 1: []}
