@@ -6,8 +6,7 @@
    find lines of similarity 0.8 with probability 0.997; pieces (about a dozen shingles) have three bands of two rows,
    0.953, and equal ones always collide.
 3. In each collision the most central text is compared with the others; components are formed; where a collision still
-   holds several components, texts that share one of their rarest shingles are compared, a few of them in pairs, more in
-   blocks. So no colliding pair that is similar enough stays apart, and no group is paired with itself.
+   holds several components, its texts, or in large ones those that share one of their rarest shingles, are compared. So no colliding pair that is similar enough stays apart, and no group is paired with itself.
 4. Candidates are verified by the exact Jaccard similarity of their shingle sets; connected components make the classes;
    all occurrences but the first of a class are removals.
 5. Neighbouring units are joined into spans; spans of fewer than ``least_run`` words of pieces are no repeat.
@@ -36,8 +35,8 @@ LINE_BANDS, PIECE_BANDS = (8, 3), (3, 2)
 SEEN = 250_000
 #: Texts of a block that are compared at once, and texts that pass by one block in one task.
 QUERIES, PASSING = 512, 4096
-#: Texts of a collision with a rarest shingle in common that are paired; more of them are compared in blocks.
-FEW = 16
+#: Texts of a collision that are compared at once; in larger ones, texts with a rarest shingle in common that are paired.
+SMALL, FEW = 64, 16
 SLAB = 1_000_000
 _RNG = np.random.default_rng(7)
 _A = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
@@ -469,21 +468,23 @@ def links_of(met: DataFrame, sets: DataFrame, *, size: int, similarity: float) -
     named = stored(met.join(parts.hint("merge"), F.col("h") == F.col("node"), "left").select("key", "h", own), "named")
     central = centres.join(parts.hint("merge"), F.col("centre") == F.col("node"), "left").select("key", F.coalesce("component", "centre").alias("main"))
     sides = named.join(central.hint("merge"), "key").withColumn("outside", F.col("c") != F.col("main"))
-    count = sides.groupBy("key").agg(F.count_if("outside").alias("o"), F.count(F.lit(1)).alias("n")).where("o > 0 and n > 2").select("key")
-    sides = stored(sides.join(stored(count, "open-collisions").hint("merge"), "key").select("key", "h", "c", "outside"), "open-sides")
+    count = sides.groupBy("key").agg(F.count_if("outside").alias("o"), F.count(F.lit(1)).alias("n")).where("o > 0 and n > 2").select("key", F.col("n").alias("company"))
+    sides = stored(sides.join(stored(count, "open-collisions").hint("merge"), "key").select("key", "company", "h", "c", "outside"), "open-sides")
     return links.unionAll(links_outside(sides, sets, size=size, similarity=similarity))
 
 
 def links_outside(sides: DataFrame, sets: DataFrame, *, size: int, similarity: float) -> DataFrame:
-    """Links between texts of different components in the open collisions ``sides`` (``key``, ``h``, ``c``, ``outside``).
+    """Links between texts of different components in the open collisions ``sides`` (``key``, its number of texts ``company``, ``h``, ``c``, ``outside``).
 
-    Similar texts share one of their rarest shingles (see ``rarest``). Where at most ``FEW`` texts of a collision share one,
-    pairs of like size are verified, so a text meets a bounded number of others for each. The texts with a rarest
-    shingle that more of them share are compared in blocks, the outside ones with all such texts of the collision.
+    Collisions of at most ``SMALL`` texts are compared as they are. In larger ones, similar texts share one of their rarest
+    shingles (see ``rarest``). Where at most ``FEW`` texts of a collision share one, pairs of like size are verified, so a text
+    meets a bounded number of others for each. The texts with a rarest shingle that more of them share are compared in
+    blocks, the outside ones with all such texts of the collision. All ways are exact.
     """
-    texts = stored(sets.join(sides.select("h").distinct().hint("merge"), "h", "left_semi").select("h", "words"), "open-texts")
+    large = sides.where(F.col("company") > SMALL)
+    texts = stored(sets.join(large.select("h").distinct().hint("merge"), "h", "left_semi").select("h", "words"), "open-texts")
     rare = stored(rarest(texts, size=size, similarity=similarity), "rarest")
-    told = sides.join(rare.hint("merge"), "h").select("key", "h", "c", "outside", "n", F.posexplode("rare").alias("at", "g"))
+    told = large.join(rare.hint("merge"), "h").select("key", "h", "c", "outside", "n", F.posexplode("rare").alias("at", "g"))
     told = stored(told.select(F.xxhash64("key", "g").alias("g"), "key", "h", "c", "outside", "n", (F.col("n") - F.col("at")).alias("left")), "rare-shingles")
     groups = told.groupBy("g").agg(F.count(F.lit(1)).alias("texts"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
     shared = stored(told.join(groups.select("g", (F.col("texts") > FEW).alias("many")).hint("merge"), "g"), "shared-shingles")
@@ -495,11 +496,12 @@ def links_outside(sides: DataFrame, sets: DataFrame, *, size: int, similarity: f
     pairs = few.join(other.hint("merge"), "g").where(alike).select(F.col("h").alias("a"), F.col("h2").alias("b")).distinct()
     links = stored(verified(pairs, texts, size, similarity), "links-few")
 
-    dense = stored(shared.where("many").select("key", "h", "c", "outside").distinct(), "dense-sides")
+    small = sides.where(F.col("company") <= SMALL).select("key", "h", "c", "outside")
+    dense = stored(shared.where("many").select("key", "h", "c", "outside").distinct().unionAll(small), "dense-sides")
     count = dense.groupBy("key").agg(F.count_if("outside").alias("o"), F.count(F.lit(1)).alias("n")).where("o > 0")
     blocks, salts = F.ceil(F.col("o") / QUERIES).cast("int").alias("blocks"), F.ceil(F.col("n") / PASSING).cast("int").alias("salts")
     split = dense.join(stored(count.select("key", blocks, salts), "dense-collisions").hint("merge"), "key")
-    open_rows = stored(split.join(texts.hint("merge"), "h").select("key", "blocks", "salts", "outside", "h", "c", "words"), "open-rows")
+    open_rows = stored(split.join(sets.hint("merge"), "h").select("key", "blocks", "salts", "outside", "h", "c", "words"), "open-rows")
     at = F.xxhash64("h")
     asking = open_rows.where("outside").select("key", F.pmod(at, F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), "h", "c", "words")
     passing = open_rows.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(at, F.col("salts")).alias("salt"), F.lit(1).alias("role"), "h", "c", "words")

@@ -215,6 +215,8 @@ def test_equal_rows_are_told_apart(spark):
 def test_paragraph_chains_are_not_cut(spark, monkeypatch):
     """Edited copies of edited copies, and many unlike texts over one form, equal brute force: no joining link is lost."""
     monkeypatch.setattr(paragraphs, "QUERIES", 7)
+    monkeypatch.setattr(paragraphs, "SMALL", 6)
+    monkeypatch.setattr(paragraphs, "FEW", 4)
     monkeypatch.setattr(paragraphs, "PASSING", 20)
     rows = []
     for chain in range(12):
@@ -252,7 +254,7 @@ def test_unlike_texts_over_one_form_grow_with_their_number(spark, monkeypatch):
         for k in range(n):
             rows.append((" ".join(f"form{j}" if j % 20 < 14 else f"own{rng.randrange(20 * n)}" for j in range(60)),))
         texts = spark.createDataFrame(rows, "words string").withColumn("h", F.unhex(F.md5("words")))
-        sides = texts.select(F.lit(1).cast("long").alias("key"), "h", F.col("h").alias("c"), F.lit(True).alias("outside"))
+        sides = texts.select(F.lit(1).cast("long").alias("key"), F.lit(n).alias("company"), "h", F.col("h").alias("c"), F.lit(True).alias("outside"))
         counts.append(0)
         assert paragraphs.links_outside(sides, texts, size=5, similarity=0.8).count() == 0
     assert counts[1] <= 6 * max(counts[0], n), counts
