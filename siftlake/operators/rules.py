@@ -186,8 +186,8 @@ def enabled_rules(rules: DataFrame, event_type: str) -> DataFrame:
 PACK, BROADCAST_PACKS = 512, 2_000
 
 
-def rule_packs(rules: DataFrame) -> DataFrame:
-    """Rules as an index: those of one type, site and tier (null, null and 0 for all) by threshold, in packs with their least threshold ``low``.
+def _placed_rules(rules: DataFrame) -> DataFrame:
+    """``id``, ``r_type``, ``r_site``, ``r_tier`` (null, null and 0 for all) and threshold ``t`` of each rule.
 
     A rule without a threshold has the least there is. A rule whose tier is none of the known ones meets nothing and goes.
     """
@@ -198,22 +198,20 @@ def rule_packs(rules: DataFrame) -> DataFrame:
     ranks = F.create_map(*[F.lit(x) for k, t in enumerate(fixed.TIERS, 1) for x in (t, k)])
     rank = F.when(given("min_tier").isNull(), 0).otherwise(ranks[F.col("min_tier")])
     threshold = F.coalesce(F.col("min_confidence").cast("double"), F.lit(float("-inf")))
-    rows = rules.select(given("detection_type").alias("r_type"), given("source_site_name").alias("r_site"), rank.alias("r_tier"), threshold.alias("t"), "id").where(F.col("r_tier").isNotNull())
+    return rules.select(given("detection_type").alias("r_type"), given("source_site_name").alias("r_site"), rank.alias("r_tier"), threshold.alias("t"), "id").where(F.col("r_tier").isNotNull())
+
+
+def rule_packs(rules: DataFrame) -> DataFrame:
+    """Rules as an index: those of one type, site and tier by threshold, in packs with their least threshold ``low``."""
+    rows = _placed_rules(rules)
     key = ["r_type", "r_site", "r_tier"]
     placed = rows.withColumn("pack", F.floor((F.row_number().over(Window.partitionBy(*key).orderBy("t", "id")) - 1) / PACK))
     return placed.groupBy(*key, "pack").agg(F.sort_array(F.collect_list(F.struct("t", "id"))).alias("rules"), F.min("t").alias("low"))
 
 
-def match_rules(detections: DataFrame, rules: DataFrame) -> DataFrame:
-    """``detection_id`` and ``rule_id`` of each rule that a detection meets; null or blank fields of a rule match all.
-
-    A detection asks the index for the combinations of type, site and tier that occur among the rules (20 at most): an equi join
-    with the packs whose least threshold it reaches, so that a row of the join stands for up to ``PACK`` matches. Packs are broadcast
-    behind a count, else joined by a shuffle. ``detections`` may be a stream: it is read once. A null confidence meets
-    rules without a threshold, an unknown tier rules without a tier.
-    """
-    packs = stored(rule_packs(rules), "rule-packs")
-    kinds = packs.select(F.col("r_type").isNull(), F.col("r_site").isNull(), "r_tier").distinct().collect()  # at most 20 rows
+def _asked(detections: DataFrame, index: DataFrame) -> DataFrame:
+    """``detection_id``, its confidence ``_c``, and the combinations ``a_type``, ``a_site``, ``a_tier`` of the index that a detection may meet (20 at most)."""
+    kinds = index.select(F.col("r_type").isNull(), F.col("r_site").isNull(), "r_tier").distinct().collect()  # at most 20 rows
     ranks = F.create_map(*[F.lit(x) for k, t in enumerate(fixed.TIERS, 1) for x in (t, k)])
     own = detections.select(
         F.col("id").alias("detection_id"), F.col("type").alias("_t"), F.col("site_name").alias("_s"), ranks[F.col("tier")].alias("_r"),
@@ -227,7 +225,19 @@ def match_rules(detections: DataFrame, rules: DataFrame) -> DataFrame:
         )
         for any_type, any_site, tier in sorted(map(tuple, kinds))
     ]
-    asked = own.select("detection_id", "_c", F.inline(F.array_compact(F.array(*asks)) if asks else F.array().cast("array<struct<a_type:string,a_site:string,a_tier:int>>")))
+    return own.select("detection_id", "_c", F.inline(F.array_compact(F.array(*asks)) if asks else F.array().cast("array<struct<a_type:string,a_site:string,a_tier:int>>")))
+
+
+def match_rules(detections: DataFrame, rules: DataFrame) -> DataFrame:
+    """``detection_id`` and ``rule_id`` of each rule that a detection meets; null or blank fields of a rule match all.
+
+    A detection asks the index for the combinations of type, site and tier that occur among the rules (20 at most): an equi join
+    with the packs whose least threshold it reaches, so that a row of the join stands for up to ``PACK`` matches. Packs are broadcast
+    behind a count, else joined by a shuffle. ``detections`` may be a stream: it is read once. A null confidence meets
+    rules without a threshold, an unknown tier rules without a tier.
+    """
+    packs = stored(rule_packs(rules), "rule-packs")
+    asked = _asked(detections, packs)
     few = packs.count() <= BROADCAST_PACKS
     on = F.col("a_type").eqNullSafe(F.col("r_type")) & F.col("a_site").eqNullSafe(F.col("r_site")) & (F.col("a_tier") == F.col("r_tier")) & (F.col("low") <= F.col("_c"))
     met = asked.join(F.broadcast(packs) if few else packs.hint("merge"), on)
@@ -235,6 +245,35 @@ def match_rules(detections: DataFrame, rules: DataFrame) -> DataFrame:
     return met.select("detection_id", F.explode(F.transform(reached, lambda r: r["id"])).alias("rule_id"))
 
 
+def rule_totals(detections: DataFrame, rules: DataFrame) -> DataFrame:
+    """``rule_id``, ``n`` and ``ids`` of each rule that a detection meets: how many ``match_rules`` gives it, and the sum of their ids.
+
+    No pair is made. Detections are summed by the combinations of type, site and tier that they ask for and by confidence, and a
+    rule gets the sum of its combination from its threshold on: a running sum within a thousandth of confidence, and the total of
+    the higher thousandths. So no combination goes to one task, however many detections ask for it.
+    """
+    key = ["r_type", "r_site", "r_tier"]
+    placed = stored(_placed_rules(rules), "rules")
+    asked = _asked(detections, placed).groupBy(F.col("a_type").alias("r_type"), F.col("a_site").alias("r_site"), F.col("a_tier").alias("r_tier"), F.col("_c").alias("t"))
+    cells = asked.agg(F.count(F.lit(1)).alias("n"), F.sum("detection_id").alias("ids"))
+    none = F.lit(0).cast("long")
+    steps = cells.unionByName(placed.select(*key, "t", none.alias("n"), none.alias("ids")).distinct()).groupBy(*key, "t").agg(F.sum("n").alias("n"), F.sum("ids").alias("ids"))
+    # NaN is above all, as in the comparison of a rule with a detection.
+    steps = stored(steps.withColumn("part", F.floor(F.least(F.greatest(F.col("t") * 1000, F.lit(-1.0)), F.lit(1001.0))).cast("int")), "confidences")
+    higher = Window.partitionBy(*key).orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = steps.groupBy(*key, "part").agg(F.sum("n").alias("n"), F.sum("ids").alias("ids"))
+    parts = parts.select(*[F.col(c).alias(f"p_{c}") for c in (*key, "part")], F.coalesce(F.sum("n").over(higher), none).alias("n_above"), F.coalesce(F.sum("ids").over(higher), none).alias("ids_above"))
+    within = Window.partitionBy(*key, "part").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
+    sums = steps.select(*key, "part", "t", F.sum("n").over(within).alias("n"), F.sum("ids").over(within).alias("ids"))
+    same = [F.col(c).eqNullSafe(F.col(f"p_{c}")) for c in (*key, "part")]
+    whole = sums.join(parts.hint("merge"), reduce(lambda a, b: a & b, same)).select(
+        *[F.col(c).alias(f"s_{c}") for c in (*key, "t")], (F.col("n") + F.col("n_above")).alias("n"), (F.col("ids") + F.col("ids_above")).alias("ids")
+    )
+    met = stored(whole.where("n > 0"), "rule-totals")
+    same = [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in (*key, "t")]
+    return placed.join(met.hint("merge"), reduce(lambda a, b: a & b, same)).groupBy(F.col("id").alias("rule_id")).agg(F.sum("n").alias("n"), F.sum("ids").alias("ids"))
+
+
 def fetch_error_class(error: Column) -> Column:
     """Class of a fetch error by the first of these parts that its text holds."""
     e = F.lower(F.coalesce(error, F.lit("")))

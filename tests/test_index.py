@@ -97,3 +97,23 @@ def test_a_hundred_thousand_rules_without_a_nested_loop(spark, monkeypatch, most
     got = rules.match_rules(df, table)
     assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
     assert {r.detection_id: r["count"] for r in got.groupBy("detection_id").count().collect()} == {k: k * 100 + 1 for k in range(50)}
+
+
+def test_totals_of_rules_are_those_of_the_pairs_and_make_none(spark):
+    rng = random.Random(12)
+    pick = lambda *x: rng.choice(x)
+    nan, levels = float("nan"), [None, 0.0, 0.3, 0.3001, 0.3002, 0.5, 1.0, -2.0, 7.0, float("nan"), float("inf")]
+    rows = [(k % 590, pick(*levels), pick(None, "", "T1", "T2", "T3", "T4", "T9"), pick(None, " ", "a", "b"), pick(None, "", "s", "u")) for k in range(600)]
+    seen = [(k, pick("a", "b", "c", None), pick("s", "u", "v", None), pick("T1", "T2", "T3", "T4", "T9", None), pick(*levels, 0.30015, nan)) for k in range(200)]
+    table = spark.createDataFrame(rows, RULES)
+    df = spark.createDataFrame(seen, "id long, type string, site_name string, tier string, confidence double")
+    want = rules.match_rules(df, table).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.sum("detection_id").alias("ids"))
+    got = rules.rule_totals(df, table)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.schema["n"].dataType == want.schema["n"].dataType
+    assert rules.rule_totals(df, table.limit(0)).count() == 0 and rules.rule_totals(df.limit(0), table).count() == 0
+    # 4000 rules times 4000 detections: 16 million pairs, of which the plan makes none
+    many = spark.range(4000).select("id", F.lit(0.1).alias("min_confidence"), F.lit("").alias("min_tier"), F.lit("").alias("detection_type"), F.lit("").alias("source_site_name"))
+    all_ = spark.range(4000).select("id", F.lit("a").alias("type"), F.lit("s").alias("site_name"), F.lit("T1").alias("tier"), (F.col("id") % 10 / 10).alias("confidence"))
+    totals = rules.rule_totals(all_, many)
+    assert "explode" not in totals._jdf.queryExecution().toString()
+    assert [tuple(r) for r in totals.select("n", "ids").distinct().collect()] == [(3600, sum(k for k in range(4000) if k % 10))]
