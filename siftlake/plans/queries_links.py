@@ -182,8 +182,11 @@ def blocked(v: Views) -> DataFrame:
 
 @query("l15_j05_blocked_six", """SELECT page_id, page_id % 6 <> 0 AS blocked FROM pages""")
 def blocked_six(v: Views) -> DataFrame:
-    """Global, documentation, unique local, link local and loopback addresses, and what is no address."""
-    n = F.lower(F.hex("page_id"))
+    """Global, documentation, unique local, link local and loopback addresses, and what is no address.
+
+    A page's number takes two groups of 16 bits: in one, from 65,536 on, it would make no address.
+    """
+    n = F.concat_ws(":", *[F.lower(F.hex(F.pmod(F.shiftright("page_id", k), F.lit(65536)))) for k in (16, 0)])
     k = F.col("page_id") % 6
     ip = (
         F.when(k == 0, F.concat(F.lit("2606:4700::"), n)).when(k == 1, F.concat(F.lit("2001:DB8::"), n)).when(k == 2, F.concat(F.lit("fd00:0:0:"), n, F.lit("::1")))

@@ -117,3 +117,12 @@ def test_totals_of_rules_are_those_of_the_pairs_and_make_none(spark):
     totals = rules.rule_totals(all_, many)
     assert "explode" not in totals._jdf.queryExecution().toString()
     assert [tuple(r) for r in totals.select("n", "ids").distinct().collect()] == [(3600, sum(k for k in range(4000) if k % 10))]
+
+
+def test_addresses_of_pages_with_large_numbers(spark, tmp_path):
+    from siftlake.plans.registry import QUERIES
+
+    pages = [*range(30), *range(65_520, 65_560), *range(2**31 - 20, 2**31 + 20)]
+    spark.createDataFrame([(p,) for p in pages], "page_id long").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.blocked for r in QUERIES["l15_j05_blocked_six"](spark, str(tmp_path)).collect()}
+    assert got == {p: p % 6 != 0 for p in pages}
