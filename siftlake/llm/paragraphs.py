@@ -424,11 +424,17 @@ def rarest(texts: DataFrame, *, size: int, similarity: float) -> DataFrame:
     of 2 MB over the shingles' lowest bits: a wrong level costs rows, not results.
     """
 
-    def listed():
-        return lambda batch: {"g": [(shingles(w.split(), size) & np.uint64(FILTER_BITS - 1)).view(np.int64) for w in texts_of(batch.column(0))]}
+    def counted():
+        def step(batch):
+            held = [shingles(w.split(), size) for w in texts_of(batch.column(0))]
+            if held:  # summed in the batch: texts over one form have most shingles in common
+                g, n = np.unique(np.concatenate(held) & np.uint64(FILTER_BITS - 1), return_counts=True)
+                return {"g": g.view(np.int64), "n": n}
+
+        return step
 
-    held = arrow_map(texts.select("words"), listed, "g array<long>").select(F.explode("g").alias("g"))
-    counts = stored(held.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shingle-counts")
+    held = arrow_map(texts.select("words"), counted, "g long, n long")
+    counts = stored(held.groupBy("g").agg(F.sum("n").alias("n")).where("n > 1"), "shingle-counts")
     levels = texts.sparkSession.sparkContext.broadcast([filter_of(counts.where(F.col("n") > least).select("g")) for least in (1, 16, 256)])
 
     def first():
