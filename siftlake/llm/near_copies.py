@@ -1,18 +1,22 @@
-"""Near copies among whole documents: MinHash bands find candidates, exact Jaccard decides.
+"""Near copies among whole documents: the SimHash index and MinHash bands find candidates, exact Jaccard decides.
 
-A SimHash index of eight byte positions guarantees matches within seven bits at most, while texts of
-similarity 0.8 differ in about ten. Eight bands of three rows find a pair of similarity 0.8 with
-probability 0.997; collisions, verification and classes are those of ``paragraphs``.
+The groups of ``simhash`` (fingerprints within four bits, by its index) are collisions like those of a band. Its index of eight
+byte positions guarantees matches within seven bits at most, while texts of similarity 0.8 differ in about ten; so eight
+MinHash bands of three rows, which find a pair of similarity 0.8 with probability 0.997, stand beside it. Collisions,
+verification and classes are those of ``paragraphs``.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftlake.llm import simhash
 from siftlake.llm.common import arrow_map, stored, texts_of
+from siftlake.llm.components import connected_components
 from siftlake.llm.decontaminate import places, sized_filter
-from siftlake.llm.paragraphs import SEEN, Seen, hash_columns, text_classes, whole_texts
+from siftlake.llm.paragraphs import SEEN, Seen, colliding, hash_columns, text_classes, whole_texts
 
 
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -28,8 +32,10 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         seen = Seen()
 
         def step(batch):
-            hashes, keys = whole_texts(list(texts_of(batch.column(1))), size)
-            return {"id": batch.column(0)} | hash_columns(hashes) | seen.news(hashes, keys)
+            texts = list(texts_of(batch.column(1)))
+            hashes, keys = whole_texts(texts, size)
+            fps = np.array([simhash.fingerprint(t.encode()) for t in texts], dtype=np.uint64).view(np.int64)
+            return {"id": batch.column(0), "fp": fps} | hash_columns(hashes) | seen.news(hashes, keys)
 
         return step
 
@@ -56,6 +62,10 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
         return arrow_map(named.select("text"), make, "h binary, words string").dropDuplicates(["h"])
 
-    rows = stored(arrow_map(named, signed, f"id {kind}, h binary, k long, bands array<long>, sure array<long>, again boolean"), "signed")
-    _, of_text = text_classes(rows, words_for, order=["id"], size=size, similarity=similarity)
+    rows = stored(arrow_map(named, signed, f"id {kind}, fp long, h binary, k long, bands array<long>, sure array<long>, again boolean"), "signed")
+    printed = stored(rows.select("fp", "k").distinct(), "fingerprints")
+    groups = connected_components(simhash.near_links(printed.select("fp").distinct()))
+    group = F.xxhash64(F.lit("simhash"), F.coalesce("component", "fp")).alias("key")
+    alike = colliding(printed.join(groups.hint("merge"), F.col("fp") == F.col("node"), "left").select(group, "k"))
+    _, of_text = text_classes(rows.drop("fp"), words_for, order=["id"], size=size, similarity=similarity, more=alike)
     return rows.join(of_text.hint("merge"), "h", "left").select(F.col("id").alias(id_col), F.coalesce("least.id", "id").alias("component_id"))

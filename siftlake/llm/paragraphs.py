@@ -518,16 +518,17 @@ def links_outside(sides: DataFrame, sets: DataFrame, *, size: int, similarity: f
 # ---- the operator
 
 
-def text_classes(table: DataFrame, words_for: Callable[[DataFrame], DataFrame], *, order: list[str], size: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+def text_classes(table: DataFrame, words_for: Callable[[DataFrame], DataFrame], *, order: list[str], size: int, similarity: float, more: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The rows of ``table`` (with ``h``, ``k``, ``bands``, ``sure`` and ``again``) whose texts repeat or collide, and ``h``, ``class_size`` and
     ``least`` (the struct ``order`` of the class's first occurrence) of the texts that have a class of several occurrences.
 
-    ``words_for`` gives ``h`` and ``words`` of the texts of a table with ``k``.
+    ``words_for`` gives ``h`` and ``words`` of the texts of a table with ``k``; ``more`` has collisions found elsewhere, as of ``colliding``.
     """
     checked = colliding(table.select(F.explode("bands").alias("key"), "k"))
     sure = table.select(F.explode("sure").alias("key"), "k", F.lit(False).alias("repeats"))
     twice = table.where("again").select(F.lit(0).cast("long").alias("key"), "k", F.lit(True).alias("repeats"))
-    hits = stored(checked.unionAll(sure).unionAll(twice), "collisions")
+    found = checked.unionAll(sure).unionAll(twice)
+    hits = stored(found if more is None else found.unionAll(more), "collisions")
     again = stored(table.drop("bands", "sure", "again").join(hits.select("k").distinct().hint("merge"), "k", "left_semi"), "again")
     texts = stored(again.groupBy("h", "k").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("first")), "texts")
     near = hits.where(~F.col("repeats")).select("key", "k")

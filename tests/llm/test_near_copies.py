@@ -36,3 +36,26 @@ def test_pipeline_drops_near_copies_from_similarity_08(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
     assert sorted(got, key=str) == sorted([*{root(i) for i in sets}, 1000, None], key=str)
+
+
+def test_simhash_finds_a_pair_that_no_band_has(spark):
+    """Jaccard 0.83, fingerprints four bits apart, and not one MinHash band in common."""
+    import corpus_pipeline
+    from siftlake.llm import simhash
+
+    middle = "w88848 w214530 w549574 w605028 w836212 w436523 w405781 w688463 w554415 w36140 w309011 w131325 w561519 w55273 w778047 w293667 w937889 w4971 w33080 w418487 w542932 w9707 w102885 w781000"
+    a, b = f"w877369 {middle} w591167", f"q {middle} x"
+    _, keys = paragraphs.whole_texts([a, b], 5)
+    assert not (keys[0] == keys[1]).any() and (simhash.fingerprint(a.encode()) ^ simhash.fingerprint(b.encode())).bit_count() == 4
+    docs = spark.createDataFrame([(1, a), (2, b), (3, "other words"), (4, b)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [1, 3]
+
+
+def test_shingles_of_texts_over_one_form_are_summed_before_they_leave_a_task(spark, monkeypatch):
+    form = [f"w{j}" for j in range(200)]
+    rows = [(bytes([k // 256, k % 256]), " ".join([*form, f"own{k}"])) for k in range(400)]
+    texts = spark.createDataFrame(rows, "h binary, words string").coalesce(1)
+    made, keep = [], paragraphs.arrow_map
+    monkeypatch.setattr(paragraphs, "arrow_map", lambda *a: made.append(keep(*a)) or made[-1])
+    assert paragraphs.rarest(texts, size=5, similarity=0.8).count() == 400
+    assert made[0].count() == 196 + 400  # not 400 texts times 197 shingles
