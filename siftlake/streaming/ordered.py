@@ -1,6 +1,6 @@
 """Streams whose result depends on the order of events: rows wait until the watermark has passed them, then are folded in order.
 
-Rows of a key are kept in a map state by bucket of event time, one entry a bucket. A timer at a bucket's end fires when the watermark
+Rows of a key, or of a shard of very many keys, are kept in a map state by bucket of event time, one entry a bucket. A timer at a bucket's end fires when the watermark
 passes it; no row of that bucket can come any more, so its rows are sorted and folded into the key's carried value. Rows that
 come later than the watermark are dropped, by Spark or by the key's horizon. Arrivals in any order, and any cut into
 micro-batches, give the same rows as the fold over the sorted table. The state holds what the lateness spans, and one
@@ -20,6 +20,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from siftlake.operators.merge import drawn
 
 Row = tuple
+#: Groups of the keys of a stream that has very many of them (addresses, posts).
+SHARDS = 256
 #: (key, carried value or None, rows in order, end of what is known in microseconds) ->
 #: (carried value or None, rows to put out, time in microseconds at which to be called again or None)
 Fold = Callable[[tuple, Row | None, list[Row], int], tuple[Row | None, list[Row], int | None]]
@@ -35,88 +37,127 @@ def whole(column: pd.Series) -> list:
 
 
 class InOrder(StatefulProcessor):
-    """Holds rows by bucket until the watermark passes the bucket's end, then folds them."""
+    """Holds rows by bucket until the watermark passes the bucket's end, then folds them, key by key.
 
-    def __init__(self, fold: Fold, held: str, carried: str, out: list[str], bucket_ms: int) -> None:
+    A group is a key (``keys`` is empty) or a shard, whose rows and carried values begin with the columns ``keys``.
+    """
+
+    def __init__(self, fold: Fold, keys: list[str], held: list[str], carried: list[str], out: list[str], bucket_ms: int) -> None:
         self.fold, self.held, self.carried, self.out, self.bucket_ms = fold, held, carried, out, bucket_ms
-        self.columns = [c.split(":")[0] for c in held.split(",")]
+        self.n = len(keys)
+        self.columns, self.kept = ([c.split(":")[0] for c in x] for x in (held, carried))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "bucket long", f"rows array<struct<{self.held}>>")
-        self.carry = handle.getValueState("carry", self.carried)
+        self.waiting = handle.getMapState("waiting", "bucket long", f"rows array<struct<{','.join(self.held)}>>")
+        self.carry = handle.getValueState("carry", f"keys array<struct<{','.join(self.carried)}>>")
         self.known = handle.getValueState("known", "bucket long")  # all buckets before this one are folded
         self.folded: dict[tuple, int] = {}
 
-    def _wake(self, us: int | None) -> None:
-        """A timer at the end of the bucket that holds ``us``."""
-        if us is not None:
-            self.handle.registerTimer((us // 1000 // self.bucket_ms + 1) * self.bucket_ms)
+    def _bucket(self, us: int) -> int:
+        return us // 1000 // self.bucket_ms
+
+    def _wake(self, buckets: set[int]) -> None:
+        """Timers at the ends of buckets."""
+        for bucket in buckets:
+            self.handle.registerTimer((bucket + 1) * self.bucket_ms)
+
+    def _carried(self) -> dict[Row, tuple[int | None, Row]]:
+        """Of each key of the group with a carried value: the time at which it is to be called, and the value."""
+        n = self.n
+        return {tuple(r[:n]): (r[n], tuple(r[n + 1 :])) for r in self.carry.get()[0]} if self.carry.exists() else {}
+
+    def _keep(self, carried: dict[Row, tuple[int | None, Row]]) -> None:
+        if carried:
+            self.carry.update(([(*k, wake, *value) for k, (wake, value) in carried.items()],))
+        else:
+            self.carry.clear()
 
     def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803  names fixed by Spark
-        """A row of carried values; the fold is asked when to be called, without rows."""
-        for row in zip(*(whole(initialState[c.split()[0]]) for c in self.carried.split(","))):
-            carry, _, wake = self.fold(tuple(key), row, [], -(1 << 62))
-            self.carry.update(carry)
-            self._wake(wake)
+        """Rows of carried values; the fold is asked when to be called, without rows."""
+        carried = self._carried()
+        names = self.kept[: self.n] + self.kept[self.n + 1 :]
+        for row in zip(*(whole(initialState[c]) for c in names)):
+            own = row[: self.n]
+            carry, _, wake = self.fold(own or tuple(key), row[self.n :], [], -(1 << 62))
+            carried[own] = wake, carry
+        self._keep(carried)
+        self._wake({self._bucket(wake) for wake, _ in carried.values() if wake is not None})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         known = self.known.get()[0] if self.known.exists() else None
         new: dict[int, list[Row]] = {}
         for pdf in rows:
             for row in zip(*(whole(pdf[c]) for c in self.columns)):
-                if row[0] is None:  # without a time a row has no place
+                if row[self.n] is None:  # without a time a row has no place
                     continue
-                bucket = row[0] // 1000 // self.bucket_ms
+                bucket = self._bucket(row[self.n])
                 if known is None or bucket >= known:
                     new.setdefault(bucket, []).append(row)
         for bucket, more in new.items():
             old = [tuple(r) for r in self.waiting.getValue((bucket,))[0]] if self.waiting.containsKey((bucket,)) else []
             self.waiting.updateValue((bucket,), (old + more,))
-            self._wake(bucket * self.bucket_ms * 1000)
+        self._wake(set(new))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         horizon = timerValues.getCurrentWatermarkInMs() // self.bucket_ms
-        if self.folded.get(key) == horizon:  # the key's first timer of a batch does the work of all
+        if self.folded.get(key) == horizon:  # the group's first timer of a batch does the work of all
             return
         self.folded[key] = horizon
-        rows = []
+        carried = self._carried()
+        due: dict[Row, list[Row]] = {k: [] for k, (wake, _) in carried.items() if wake is not None and self._bucket(wake) < horizon}
         for bucket in sorted(b for (b,) in list(self.waiting.keys()) if b < horizon):
-            rows += sorted((tuple(r) for r in self.waiting.getValue((bucket,))[0]), key=in_order_of)
+            for r in self.waiting.getValue((bucket,))[0]:
+                row = tuple(r)
+                due.setdefault(row[: self.n], []).append(row[self.n :])
             self.waiting.removeKey((bucket,))
-        carry = tuple(self.carry.get()) if self.carry.exists() else None
-        carry, out, wake = self.fold(tuple(key), carry, rows, horizon * self.bucket_ms * 1000)
-        if carry is None:
-            self.carry.clear()
-        else:
-            self.carry.update(carry)
+        made: list[Row] = []
+        woken = set()
+        for own, rows in due.items():
+            _, carry = carried.pop(own, (None, None))
+            carry, out, wake = self.fold(own or tuple(key), carry, sorted(rows, key=in_order_of), horizon * self.bucket_ms * 1000)
+            made += out
+            if carry is not None:
+                carried[own] = wake, carry
+            if wake is not None:
+                woken.add(self._bucket(wake))
+        if due:
+            self._keep(carried)
         self.known.update((horizon,))
-        self._wake(wake)
-        if out:
-            yield pd.DataFrame(out, columns=self.out, dtype=object)
+        self._wake(woken)
+        if made:
+            yield pd.DataFrame(made, columns=self.out, dtype=object)
 
     def close(self) -> None:
         pass
 
 
 def in_order(
-    df: DataFrame, *, keys: list[str], at: str, payload: list[str], fold: Fold, carried: str, out: str, late: str, bucket_ms: int, history: DataFrame | None = None
+    df: DataFrame, *, keys: list[str], at: str, payload: list[str], fold: Fold, carried: str, out: str, late: str, bucket_ms: int, history: DataFrame | None = None, shards: int | None = None
 ) -> DataFrame:
     """Each key's rows folded by time and then ``payload``. ``late``: how much later than others a row may come.
 
-    ``carried`` and ``out`` are DDL; ``history`` has the keys and columns of carried values to begin with.
+    ``carried`` and ``out`` are DDL; ``history`` has the keys and columns of carried values to begin with. Where keys are many and each
+    has few rows, they are kept together in ``shards`` groups by a hash: a call of Python and an access to the state then serve a group's keys.
     """
     kinds = dict(df.dtypes)
-    held = ",".join(["us:bigint", *[f"{c}:{kinds[c]}" for c in payload]])
+    within = keys if shards else []
+    typed = [f"{c}:{kinds[c]}" for c in within]
+    held = [*typed, "us:bigint", *[f"{c}:{kinds[c]}" for c in payload]]
+    kept = [*typed, "_wake:bigint", *[":".join(c.split()) for c in carried.split(",")]]
+
+    def grouped(rows: DataFrame):
+        return rows.withColumn("_shard", F.pmod(F.xxhash64(*keys), F.lit(shards))).groupBy("_shard") if shards else rows.groupBy(*keys)
+
     rows = df.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).select(*keys, at, F.unix_micros(at).alias("us"), *payload)
     names = [c.split()[0] for c in out.split(",")]
-    return rows.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=InOrder(fold, held, carried, names, bucket_ms),
+    return grouped(rows).transformWithStateInPandas(
+        statefulProcessor=InOrder(fold, within, held, kept, names, bucket_ms),
         outputStructType=out,
         outputMode="Append",
         timeMode="EventTime",
-        initialState=history.groupBy(*keys) if history is not None else None,
+        initialState=grouped(history) if history is not None else None,
     )
 
 
@@ -161,7 +202,7 @@ def spend_cap(
     return in_order(calls, keys=[day], at=at, payload=[tie, micro], fold=fold, carried="spent long, breached long, last long", out=out, late=late, bucket_ms=bucket_ms)
 
 
-def first_of_ttl(df: DataFrame, *, url: str, at: str, ttl_us: int, late: str = "1 day", history: DataFrame | None = None, bucket_ms: int = 3_600_000) -> DataFrame:
+def first_of_ttl(df: DataFrame, *, url: str, at: str, ttl_us: int, late: str = "1 day", history: DataFrame | None = None, bucket_ms: int = 3_600_000, shards: int = SHARDS) -> DataFrame:
     """``url`` and ``us``: each address's events that come at least ``ttl_us`` after the last one let through.
 
     The time counts from the event let through and is not renewed by those held back. ``history``: ``url`` and ``first_us``,
@@ -180,7 +221,7 @@ def first_of_ttl(df: DataFrame, *, url: str, at: str, ttl_us: int, late: str = "
         return (first,), out, first + ttl_us
 
     out = f"{url} {dict(df.dtypes)[url]}, us long"
-    return in_order(df, keys=[url], at=at, payload=[], fold=fold, carried="first_us long", out=out, late=late, bucket_ms=bucket_ms, history=history)
+    return in_order(df, keys=[url], at=at, payload=[], fold=fold, carried="first_us long", out=out, late=late, bucket_ms=bucket_ms, history=history, shards=shards)
 
 
 def queue_step(carry: Row | None, us: int, event: str, timeout_us: int, most: int) -> tuple[Row | None, list[tuple[int, str, int]]]:
@@ -207,7 +248,7 @@ def overdue(carry: Row | None, us: int, timeout_us: int, most: int) -> tuple[Row
 
 
 def queue_machine(
-    log: DataFrame, *, post: str = "post_id", at: str = "at", event: str = "event", tie: str, timeout_us: int = 300_000_000, most: int = 3, late: str = "1 day", bucket_ms: int = 3_600_000
+    log: DataFrame, *, post: str = "post_id", at: str = "at", event: str = "event", tie: str, timeout_us: int = 300_000_000, most: int = 3, late: str = "1 day", bucket_ms: int = 3_600_000, shards: int = SHARDS
 ) -> DataFrame:
     """Actions of a log of posts (queued, claimed, acked): ``post``, ``us``, ``action`` (requeue, dead_letter), ``tries``.
 
@@ -226,7 +267,7 @@ def queue_machine(
         return carry, [(name[0], *a) for a in out + actions], carry[2] + timeout_us if claimed else None
 
     out = f"{post} {dict(log.dtypes)[post]}, us long, action string, tries int"
-    return in_order(log, keys=[post], at=at, payload=[tie, event], fold=fold, carried="status string, tries int, since long", out=out, late=late, bucket_ms=bucket_ms)
+    return in_order(log, keys=[post], at=at, payload=[tie, event], fold=fold, carried="status string, tries int, since long", out=out, late=late, bucket_ms=bucket_ms, shards=shards)
 
 
 def settings(partitions: int) -> dict[str, Any]:
