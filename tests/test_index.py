@@ -126,3 +126,16 @@ def test_addresses_of_pages_with_large_numbers(spark, tmp_path):
     spark.createDataFrame([(p,) for p in pages], "page_id long").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r.page_id: r.blocked for r in QUERIES["l15_j05_blocked_six"](spark, str(tmp_path)).collect()}
     assert got == {p: p % 6 != 0 for p in pages}
+
+
+@pytest.mark.parametrize("ranges", [256, 3])
+def test_an_address_is_not_shuffled_for_each_length(spark, monkeypatch, ranges):
+    monkeypatch.setattr(networks, "RANGES", ranges)
+    made, keep = [], networks._innermost
+    monkeypatch.setattr(networks, "_innermost", lambda rows: made.append(rows) or keep(rows))
+    nets = spark.range(33).select(F.concat(F.lit("10.1.2.3/"), "id").alias("network"), "id")
+    ips = spark.range(1000).select("id", F.concat(F.lit("10.1."), F.floor(F.col("id") / 250).cast("string"), F.lit("."), (F.col("id") % 250).cast("string")).alias("ip"))
+    got = {r.ip: r.match.id for r in networks.longest_match(ips, nets).collect()}
+    start = int(ipaddress.ip_address("10.1.2.3"))
+    assert got == {ip: 32 - (int(ipaddress.ip_address(ip)) ^ start).bit_length() for ip in got} and len(got) == 1000
+    assert made[0].where("_ip is not null").count() == 1000
