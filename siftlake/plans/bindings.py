@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftlake.session import small_batches
 
 AS_OF = "2024-01-30"
 #: Terms that occur in the synthetic prose; the library's own lists are tested on literal rows.
@@ -50,7 +51,7 @@ class Views:
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir = small_batches(spark), sf_dir
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

@@ -8,6 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of a batch that goes to Python: narrow rows go by the thousand, long texts few at a time.
+BATCH_BYTES = 2_000_000
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """The session, with batches small enough for long texts: a setting of the whole session, as Spark has no other."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
+
+
 def build(master: str | None = None, app: str = "siftlake", **conf: str) -> SparkSession:
     """A session in UTC with adaptive execution; the cluster's own settings win where it has them."""
     builder = SparkSession.builder.appName(app)
@@ -18,6 +28,7 @@ def build(master: str | None = None, app: str = "siftlake", **conf: str) -> Spar
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES),
     } | {k.replace("_", "."): v for k, v in conf.items()}
     for key, value in settings.items():
         builder = builder.config(key, value)
