@@ -416,7 +416,8 @@ def _compare(rows: DataFrame, size: int, similarity: float) -> DataFrame:
 
 
 def rarest(texts: DataFrame, *, size: int, similarity: float) -> DataFrame:
-    """``h``, ``n`` (the number of its shingles) and ``rare`` (the rarest of them, in order) of each text (``h``, ``words``).
+    """``h``, ``n`` (the number of its shingles), and of the rarest of them, in order, those that another text may hold: ``rare``,
+    and ``left``, how many of the text's shingles come from it on.
 
     Of two sets with at least that Jaccard similarity, each holds at least that part of the other in common with it. So of n
     shingles in an order that all texts agree on, the first n - ceil(similarity * n) + 1 cannot all be missing in the other
@@ -439,19 +440,79 @@ def rarest(texts: DataFrame, *, size: int, similarity: float) -> DataFrame:
 
     def first():
         def step(batch):
-            sizes, rare = [], []
+            sizes, rare, left = [], [], []
             for words in texts_of(batch.column(1)):
                 found = shingles(words.split(), size)
                 low = found & np.uint64(FILTER_BITS - 1)
                 level = sum((bits[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 for bits in levels.value)
-                order = np.lexsort((found, level))
+                order = np.lexsort((found, level))[: len(found) - int(np.ceil(similarity * len(found) - 1e-9)) + 1]
+                at = np.flatnonzero(level[order])  # a shingle of the lowest level is in this text alone
                 sizes.append(len(found))
-                rare.append(found[order[: len(found) - int(np.ceil(similarity * len(found) - 1e-9)) + 1]].view(np.int64))
-            return {"h": batch.column(0), "n": sizes, "rare": rare}
+                rare.append(found[order[at]].view(np.int64))
+                left.append(len(found) - at)
+            return {"h": batch.column(0), "n": sizes, "rare": rare, "left": left}
 
         return step
 
-    return arrow_map(texts.select("h", "words"), first, "h binary, n int, rare array<long>")
+    return arrow_map(texts.select("h", "words"), first, "h binary, n int, rare array<long>, left array<int>")
+
+
+def _shared_keys(keys: np.ndarray, rare: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of collision and shingle for each rare shingle of each row, and the rows' numbers."""
+    sizes = rare.value_lengths().to_numpy()
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    return mixed(keys.view(np.uint64)[of] ^ mixed(rare.flatten().to_numpy().view(np.uint64))), of
+
+
+def shared_shingles(rows: DataFrame) -> DataFrame:
+    """The rows (``key``, ``h``, ``c``, ``outside``, ``n``, ``rare``, ``left``) with a rare shingle that another row of their collision has: ``dense`` if more than
+    ``FEW`` rows there share one; ``g`` and ``left`` of those that fewer share.
+
+    Rows are never joined by shingle: texts with collision and shingle are counted, summed in the task first, and two bitmaps over the counts, sized
+    by their number up to 32 MB, tell which are shared and by how many. A bit that is set by chance makes a row dense or keeps a lone shingle.
+    """
+    arrow = arrow_schema("g long, n long")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+
+        def told():
+            g, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], schema=arrow)
+
+        for batch in batches:
+            if total > SLAB:
+                yield told()
+                held, total = [], 0
+            held.append(_shared_keys(batch.column(0).to_numpy(), batch.column(1))[0])
+            total += len(held[-1])
+        if held:
+            yield told()
+
+    sums = rows.select("key", "rare").mapInArrow(counted, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = stored(sums, "shared-counts")
+    shared = rows.sparkSession.sparkContext.broadcast([sized_filter(counts.where(F.col("n") > least).select("g")) for least in (1, FEW)])
+
+    def make():
+        def step(batch):
+            keys, of = _shared_keys(batch.column(0).to_numpy(), batch.column(5))
+            left = batch.column(6).flatten().to_numpy()
+            any_, many = (np.zeros(len(keys), dtype=bool) for _ in range(2))
+            for hit, bits in zip((any_, many), shared.value, strict=True):
+                hit[places(keys, bits)] = True
+            dense = np.bincount(of[many], minlength=batch.num_rows) > 0
+            few = np.flatnonzero(any_ & ~many)
+            sizes = np.bincount(of[few], minlength=batch.num_rows)
+            keep = np.flatnonzero(dense | (sizes > 0))  # rows come in order, so the lists of those kept are whole
+            ends = np.concatenate(([0], np.cumsum(sizes[keep]))).astype(np.int32)
+            lists = (pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (keys[few].view(np.int64), left[few]))
+            columns = [batch.column(k).take(pa.array(keep)) for k in range(5)]
+            return dict(zip(("key", "h", "c", "outside", "n", "dense", "g", "left"), [*columns, pa.array(dense[keep]), *lists], strict=True))
+
+        return step
+
+    columns = rows.select("key", "h", "c", "outside", "n", "rare", "left")
+    return arrow_map(columns, make, "key long, h binary, c binary, outside boolean, n int, dense boolean, g array<long>, left array<int>")
 
 
 def links_of(met: DataFrame, sets: DataFrame, *, size: int, similarity: float) -> DataFrame:
@@ -490,12 +551,10 @@ def links_outside(sides: DataFrame, sets: DataFrame, *, size: int, similarity: f
     large = sides.where(F.col("company") > SMALL)
     texts = stored(sets.join(large.select("h").distinct().hint("merge"), "h", "left_semi").select("h", "words"), "open-texts")
     rare = stored(rarest(texts, size=size, similarity=similarity), "rarest")
-    told = large.join(rare.hint("merge"), "h").select("key", "h", "c", "outside", "n", F.posexplode("rare").alias("at", "g"))
-    told = stored(told.select(F.xxhash64("key", "g").alias("g"), "key", "h", "c", "outside", "n", (F.col("n") - F.col("at")).alias("left")), "rare-shingles")
-    groups = told.groupBy("g").agg(F.count(F.lit(1)).alias("texts"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-    shared = stored(told.join(groups.select("g", (F.col("texts") > FEW).alias("many")).hint("merge"), "g"), "shared-shingles")
+    told = stored(large.join(rare.hint("merge"), "h").select("key", "h", "c", "outside", "n", "rare", "left"), "rare-shingles")
+    shared = stored(shared_shingles(told), "shared-shingles")
 
-    few = shared.where("not many").select("g", "h", "c", "n", "left")
+    few = shared.select("h", "c", "n", F.inline(F.arrays_zip("g", "left"))).select("g", "h", "c", "n", "left")
     other = few.toDF("g", "h2", "c2", "n2", "left2")
     common = F.least("left", "left2")  # of the first shingle in order that both have on, so many at most are in both
     alike = (F.col("h") < F.col("h2")) & (F.col("c") != F.col("c2")) & (common >= F.lit(similarity - 1e-9) * (F.col("n") + F.col("n2") - common))
@@ -503,7 +562,7 @@ def links_outside(sides: DataFrame, sets: DataFrame, *, size: int, similarity: f
     links = stored(verified(pairs, texts, size, similarity), "links-few")
 
     small = sides.where(F.col("company") <= SMALL).select("key", "h", "c", "outside")
-    dense = stored(shared.where("many").select("key", "h", "c", "outside").distinct().unionAll(small), "dense-sides")
+    dense = stored(shared.where("dense").select("key", "h", "c", "outside").unionAll(small), "dense-sides")
     count = dense.groupBy("key").agg(F.count_if("outside").alias("o"), F.count(F.lit(1)).alias("n")).where("o > 0")
     blocks, salts = F.ceil(F.col("o") / QUERIES).cast("int").alias("blocks"), F.ceil(F.col("n") / PASSING).cast("int").alias("salts")
     split = dense.join(stored(count.select("key", blocks, salts), "dense-collisions").hint("merge"), "key")

@@ -59,3 +59,31 @@ def test_shingles_of_texts_over_one_form_are_summed_before_they_leave_a_task(spa
     monkeypatch.setattr(paragraphs, "arrow_map", lambda *a: made.append(keep(*a)) or made[-1])
     assert paragraphs.rarest(texts, size=5, similarity=0.8).count() == 400
     assert made[0].count() == 196 + 400  # not 400 texts times 197 shingles
+
+
+def test_texts_of_a_large_collision_are_a_row_each_however_many_rarest_shingles_they_share(spark, monkeypatch):
+    """Texts that repeat a few forms word by word in their rarest shingles: 100 texts, of which no row is made for each shared shingle."""
+    rng = random.Random(5)
+    forms = [[f"f{k}w{j}" for j in range(60)] for k in range(4)]
+    texts, sides = [], []
+    for k in range(100):
+        words = [*forms[k % 4][:57], *(f"own{rng.randint(0, 2)}x{j}" for j in range(3))]
+        h = bytes([k])
+        texts.append((h, " ".join(words)))
+        sides.append((7, 100, h, h, k > 0))
+    want = {(a, b) for a, x in texts for b, y in texts if a < b and paragraphs.jaccard(paragraphs.shingles(x.split(), 5), paragraphs.shingles(y.split(), 5)) >= 0.8}
+    counts, keep = {}, paragraphs.stored
+
+    def counted(df, name):
+        made = keep(df, name)
+        counts[name] = made.count()
+        return made
+
+    monkeypatch.setattr(paragraphs, "stored", counted)
+    links = paragraphs.links_outside(
+        spark.createDataFrame(sides, "key long, company long, h binary, c binary, outside boolean"), spark.createDataFrame(texts, "h binary, words string"), size=5, similarity=0.8
+    )
+    found = paragraphs.connected_components(links)
+    parts = {r.node[0]: r.component[0] for r in found.collect()}
+    assert want and all(parts.get(a[0], a[0]) == parts.get(b[0], b[0]) for a, b in want) and len(set(parts.values())) == 4
+    assert max(counts["rare-shingles"], counts["shared-shingles"]) <= 100
