@@ -9,6 +9,8 @@ carried value a key. Needs the RocksDB state store.
 
 from __future__ import annotations
 
+import io
+import pickle
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -31,26 +33,49 @@ def in_order_of(row: Row) -> list:
     return [(x is not None, x) for x in row]
 
 
+def by_time(rows: list[Row]) -> list[Row]:
+    """Rows in order, nulls first."""
+    try:
+        return sorted(rows)
+    except TypeError:  # nulls are compared
+        return sorted(rows, key=in_order_of)
+
+
+def packed(rows: list[Row]) -> bytes:
+    return pickle.dumps(rows, pickle.HIGHEST_PROTOCOL)
+
+
+def unpacked(parts: bytes) -> Iterator[Row]:
+    """The rows of ``packed`` lists that stand one behind the other."""
+    stream = io.BytesIO(parts)
+    while stream.tell() < len(parts):
+        yield from pickle.load(stream)
+
+
 def whole(column: pd.Series) -> list:
     """Values of a column; pandas' floats for whole numbers beside nulls are put right."""
+    if column.dtype.kind in "iub":
+        return column.tolist()
+    if not column.isna().any():
+        return [int(x) if isinstance(x, float) and x == int(x) else x for x in column.tolist()]
     return [None if pd.isna(x) else int(x) if isinstance(x, float) and x == int(x) else x for x in column.tolist()]
 
 
 class InOrder(StatefulProcessor):
     """Holds rows by bucket until the watermark passes the bucket's end, then folds them, key by key.
 
-    A group is a key (``keys`` is empty) or a shard, whose rows and carried values begin with the columns ``keys``.
+    A group is a key (``keys`` is empty) or a shard, whose rows and carried values begin with the columns ``keys``. The state keeps
+    lists of rows as bytes: one value for Spark to convert and store, however many rows; later rows of a bucket are put behind.
     """
 
-    def __init__(self, fold: Fold, keys: list[str], held: list[str], carried: list[str], out: list[str], bucket_ms: int) -> None:
-        self.fold, self.held, self.carried, self.out, self.bucket_ms = fold, held, carried, out, bucket_ms
+    def __init__(self, fold: Fold, keys: list[str], columns: list[str], kept: list[str], out: list[str], bucket_ms: int) -> None:
+        self.fold, self.columns, self.kept, self.out, self.bucket_ms = fold, columns, kept, out, bucket_ms
         self.n = len(keys)
-        self.columns, self.kept = ([c.split(":")[0] for c in x] for x in (held, carried))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "bucket long", f"rows array<struct<{','.join(self.held)}>>")
-        self.carry = handle.getValueState("carry", f"keys array<struct<{','.join(self.carried)}>>")
+        self.waiting = handle.getMapState("waiting", "bucket long", "rows binary")
+        self.carry = handle.getValueState("carry", "keys binary")
         self.known = handle.getValueState("known", "bucket long")  # all buckets before this one are folded
         self.folded: dict[tuple, int] = {}
 
@@ -64,20 +89,18 @@ class InOrder(StatefulProcessor):
 
     def _carried(self) -> dict[Row, tuple[int | None, Row]]:
         """Of each key of the group with a carried value: the time at which it is to be called, and the value."""
-        n = self.n
-        return {tuple(r[:n]): (r[n], tuple(r[n + 1 :])) for r in self.carry.get()[0]} if self.carry.exists() else {}
+        return dict(unpacked(bytes(self.carry.get()[0]))) if self.carry.exists() else {}
 
     def _keep(self, carried: dict[Row, tuple[int | None, Row]]) -> None:
         if carried:
-            self.carry.update(([(*k, wake, *value) for k, (wake, value) in carried.items()],))
+            self.carry.update((packed(list(carried.items())),))
         else:
             self.carry.clear()
 
     def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803  names fixed by Spark
         """Rows of carried values; the fold is asked when to be called, without rows."""
         carried = self._carried()
-        names = self.kept[: self.n] + self.kept[self.n + 1 :]
-        for row in zip(*(whole(initialState[c]) for c in names)):
+        for row in zip(*(whole(initialState[c]) for c in self.kept)):
             own = row[: self.n]
             carry, _, wake = self.fold(own or tuple(key), row[self.n :], [], -(1 << 62))
             carried[own] = wake, carry
@@ -95,8 +118,8 @@ class InOrder(StatefulProcessor):
                 if known is None or bucket >= known:
                     new.setdefault(bucket, []).append(row)
         for bucket, more in new.items():
-            old = [tuple(r) for r in self.waiting.getValue((bucket,))[0]] if self.waiting.containsKey((bucket,)) else []
-            self.waiting.updateValue((bucket,), (old + more,))
+            old = bytes(self.waiting.getValue((bucket,))[0]) if self.waiting.containsKey((bucket,)) else b""
+            self.waiting.updateValue((bucket,), (old + packed(more),))
         self._wake(set(new))
         return iter(())
 
@@ -108,15 +131,14 @@ class InOrder(StatefulProcessor):
         carried = self._carried()
         due: dict[Row, list[Row]] = {k: [] for k, (wake, _) in carried.items() if wake is not None and self._bucket(wake) < horizon}
         for bucket in sorted(b for (b,) in list(self.waiting.keys()) if b < horizon):
-            for r in self.waiting.getValue((bucket,))[0]:
-                row = tuple(r)
+            for row in unpacked(bytes(self.waiting.getValue((bucket,))[0])):
                 due.setdefault(row[: self.n], []).append(row[self.n :])
             self.waiting.removeKey((bucket,))
         made: list[Row] = []
         woken = set()
         for own, rows in due.items():
             _, carry = carried.pop(own, (None, None))
-            carry, out, wake = self.fold(own or tuple(key), carry, sorted(rows, key=in_order_of), horizon * self.bucket_ms * 1000)
+            carry, out, wake = self.fold(own or tuple(key), carry, by_time(rows), horizon * self.bucket_ms * 1000)
             made += out
             if carry is not None:
                 carried[own] = wake, carry
@@ -141,11 +163,9 @@ def in_order(
     ``carried`` and ``out`` are DDL; ``history`` has the keys and columns of carried values to begin with. Where keys are many and each
     has few rows, they are kept together in ``shards`` groups by a hash: a call of Python and an access to the state then serve a group's keys.
     """
-    kinds = dict(df.dtypes)
     within = keys if shards else []
-    typed = [f"{c}:{kinds[c]}" for c in within]
-    held = [*typed, "us:bigint", *[f"{c}:{kinds[c]}" for c in payload]]
-    kept = [*typed, "_wake:bigint", *[":".join(c.split()) for c in carried.split(",")]]
+    held = [*within, "us", *payload]
+    kept = [*within, *[c.split()[0] for c in carried.split(",")]]
 
     def grouped(rows: DataFrame):
         return rows.withColumn("_shard", F.pmod(F.xxhash64(*keys), F.lit(shards))).groupBy("_shard") if shards else rows.groupBy(*keys)

@@ -87,3 +87,68 @@ def test_spend_without_a_cap_and_null_costs(spark):
     for cap, want in ((0, [(1, 0, True, None), (2, 5, True, None), (3, 5, True, None)]), (5, [(1, 0, True, None), (2, 5, False, US0), (3, 5, False, US0)])):
         made = lambda df, cap=cap: ordered.spend_cap(df, day="day", at="at", tie="n", micro="micro", cap=cap, late="1 hour")
         assert [(r[2], *r[3:]) for r in played(spark, "day date, at timestamp, n int, micro long", batches, made)] == want
+
+
+def test_rows_wait_as_one_value_a_bucket():
+    """A bucket's rows are bytes in the state, later ones put behind: Spark converts one value, not each row."""
+    import pandas as pd
+
+    stored = {}
+
+    class State:
+        def __init__(self, name):
+            self.name = name
+
+        def exists(self):
+            return self.name in stored
+
+        def get(self):
+            return stored[self.name]
+
+        def update(self, value):
+            assert isinstance(value[0], (bytes, int))
+            stored[self.name] = value
+
+        def containsKey(self, key):
+            return (self.name, key) in stored
+
+        def getValue(self, key):
+            return stored[self.name, key]
+
+        def updateValue(self, key, value):
+            assert isinstance(value[0], bytes)
+            stored[self.name, key] = value
+
+        def keys(self):
+            return [k[1] for k in stored if isinstance(k, tuple)]
+
+        def removeKey(self, key):
+            del stored[self.name, key]
+
+    class Handle:
+        timers = set()
+
+        def getMapState(self, name, *schemas):
+            return State(name)
+
+        getValueState = getMapState
+
+        def registerTimer(self, ms):
+            self.timers.add(ms)
+
+    class Time:
+        def getCurrentWatermarkInMs(self):
+            return 3 * 3_600_000
+
+    def fold(name, carry, rows, until):
+        return (len(rows) + (carry or (0,))[0],), [(name[0], us, tie) for us, tie in rows], None
+
+    machine = ordered.InOrder(fold, ["k"], ["k", "us", "tie"], ["k", "n"], ["k", "us", "tie"], 3_600_000)
+    machine.init(Handle())
+    for rows in ([("a", 5, None), ("b", 7, 1), ("a", HOUR, 2)], [("a", 5, 3), ("a", 2, 4), (None, 9, 5), ("a", 5 * HOUR, 6), ("a", None, 7)]):
+        list(machine.handleInputRows((1,), iter([pd.DataFrame(rows, columns=["k", "us", "tie"])]), None))
+    (got,) = machine.handleExpiredTimer((1,), Time(), None)
+    assert sorted(map(tuple, got.values.tolist()), key=ordered.in_order_of) == [(None, 9, 5), ("a", 2, 4), ("a", 5, None), ("a", 5, 3), ("a", HOUR, 2), ("b", 7, 1)]
+    assert got[got.k == "a"].values.tolist() == [["a", 2, 4], ["a", 5, None], ["a", 5, 3], ["a", HOUR, 2]]  # in order, nulls first
+    assert machine._carried() == {("a",): (None, (4,)), ("b",): (None, (1,)), (None,): (None, (1,))} and machine.waiting.keys() == [(5,)]
+    assert {h * 3_600_000 for h in (1, 2, 6)} == Handle.timers
