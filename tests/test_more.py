@@ -124,3 +124,36 @@ def test_bucket_folds_across_batches(spark):
             last = i
             assert got[i] == (tokens >= 1)
             tokens -= tokens >= 1
+
+
+def test_language_scores_count_grams_in_the_batch(spark, monkeypatch):
+    """Plain counts over odd texts, by both ways of the join, with short and long n-grams; no row is made for each n-gram of a text."""
+    import random
+    from collections import Counter
+
+    from siftlake.operators import languages
+
+    rng = random.Random(3)
+    rows = [(k, rng.choice(["x", "y", None]), "".join(rng.choice("aAbé\x00\n𝒳 ") for _ in range(rng.choice([0, 1, 2, 5, 300])))) for k in range(60)]
+    rows += [(3, "x", "aab aab"), (None, "y", "aabb"), (900, "y", None), (901, "x", "zzzzzzzz")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    for n in (3, 5):
+        counts, sums = {}, {}
+        for _, lang, text in rows:
+            low = (text or "").lower()
+            counts.setdefault(lang, Counter()).update(low[p : p + n] for p in range(len(low) - n + 1))
+        places = {lang: {g: p for p, (g, _) in enumerate(sorted(c.items(), key=lambda x: (-x[1], x[0].encode()))[:20], 1)} for lang, c in counts.items()}
+        profiles = languages.language_profiles(docs, n=n, most=20)
+        assert {(r.lang, r.g, r.n, r.place) for r in profiles.collect()} == {(lang, g, counts[lang][g], p) for lang, of in places.items() for g, p in of.items()}
+        for key, _, text in rows:
+            low = (text or "").lower()
+            for lang in ("x", "y"):
+                for g in (low[p : p + n] for p in range(len(low) - n + 1)):
+                    if g in places[lang] and key is not None:
+                        sums[key, lang] = sums.get((key, lang), 0) + 21 - places[lang][g]
+        want = {(k, *min(((-s, lang) for (d, lang), s in sums.items() if d == k), default=(0, "und"))) for k in {r[0] for r in rows}}
+        for most in (100_000, 0):
+            monkeypatch.setattr(languages, "BROADCAST_ROWS", most)
+            got = languages.predict_language(docs, profiles, key="doc_id", n=n, most=20)
+            assert {(r.doc_id, -r.score, r.language) for r in got.collect()} == want and got.count() == len(want)
+            assert "Generate" not in got._jdf.queryExecution().toString()
