@@ -85,7 +85,9 @@ def unwrap_redirect(c: Column, hosts: tuple[str, ...] = fixed.WRAPPER_HOSTS) ->
     """The target in the ``url`` parameter of a wrapper host, if it is an http address; else the address itself."""
     raw = F.nullif(F.regexp_extract(query_of(c), "(?:^|&)url=([^&]+)", 1), F.lit(""))
     target = strip(F.coalesce(F.try_url_decode(raw), raw))
-    return F.when(host_of(c).isin(*hosts) & is_http(target), target).otherwise(c)
+    unwrapped = F.when(host_of(c).isin(*hosts) & is_http(target), target).otherwise(c)
+    # Most addresses have no parameter: within a branch, the patterns of hosts and queries are not run for them.
+    return F.when(F.contains(c, F.lit("?")) & F.contains(c, F.lit("=")), unwrapped).otherwise(c)
 
 
 def canonical_url(c: Column, keep_query: bool = False) -> Column:

@@ -90,11 +90,11 @@ def extract_links(df: DataFrame, *, key: str, text: str, base: str | None = None
     texts = texts.withColumn("_m", F.regexp_replace("_t", linked_image, " ")).withColumn("_p", F.regexp_replace("_m", markdown, " "))
 
     def found(t: Column, name: str, pattern: str, group: int, label: int | None = None) -> Column:
-        hits = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+        hits = F.regexp_extract_all(t, F.lit(pattern), F.lit(0 if label else group))
         return F.transform(
             hits,
             lambda h, i: F.struct(
-                i.cast("int").alias("at"), F.lit(name).alias("kind"), F.regexp_extract(h, pattern, group).alias("url"),
+                i.cast("int").alias("at"), F.lit(name).alias("kind"), (F.regexp_extract(h, pattern, group) if label else h).alias("url"),
                 (F.regexp_extract(h, pattern, label) if label else F.lit("")).alias("text"),
             ),
         )
@@ -107,7 +107,9 @@ def extract_links(df: DataFrame, *, key: str, text: str, base: str | None = None
         found(F.col("_p"), "bare_url", r"""(?i)(https?://[^\s<>"'()\[\]]+)""", 1),
     )
     other = texts.select(key, F.inline(made))
-    links = tags.unionByName(other).withColumn("original_url", U.clean_url(F.col("url"))).withColumn("url", U.unwrap_redirect(F.col("original_url"))).where(U.is_http(F.col("url")))
+    links = tags.unionByName(other).withColumn("original_url", U.clean_url(F.col("url")))
+    # In a lambda, so that the address is worked out once and not wherever the many patterns name it.
+    links = links.withColumn("url", F.element_at(F.transform(F.array("original_url"), lambda c: U.unwrap_redirect(c)), 1)).where(U.is_http(F.col("url")))
     rank = F.create_map(*[F.lit(x) for k, n in enumerate(KINDS) for x in (n, k)])[F.col("kind")]
     w = Window.partitionBy(key).orderBy(rank, "at")
     return links.select(key, F.row_number().over(w).alias("ord"), "kind", "url", "original_url", "text")

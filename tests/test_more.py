@@ -157,3 +157,19 @@ def test_language_scores_count_grams_in_the_batch(spark, monkeypatch):
             got = languages.predict_language(docs, profiles, key="doc_id", n=n, most=20)
             assert {(r.doc_id, -r.score, r.language) for r in got.collect()} == want and got.count() == len(want)
             assert "Generate" not in got._jdf.queryExecution().toString()
+
+
+def test_addresses_of_links_are_worked_out_once(spark):
+    """Wrapped and odd addresses come out right, and the plan names the cleaning pattern a few times, not once for each pattern of hosts and queries."""
+    from siftlake.operators import links
+
+    wrapper = "https://ref.gamer.com.tw/redir.php"
+    hrefs = {
+        f"{wrapper}?url=https%3A%2F%2Fk.example%2Fa": "https://k.example/a", f"{wrapper}?u\trl=https%3A%2F%2Fk.example%2Fb": "https://k.example/b",
+        f"{wrapper}?x=1&url=ftp%3A%2F%2Fk.example": f"{wrapper}?x=1&url=ftp%3A%2F%2Fk.example", "//ref.gamer.com.tw/redir.php?url=https%3A%2F%2Fk.example%2Fc": "https://k.example/c",
+        f"{wrapper}#?url=https%3A%2F%2Fk.example": f"{wrapper}#?url=https%3A%2F%2Fk.example", "https://k.example/?url=https%3A%2F%2Fx.example": "https://k.example/?url=https%3A%2F%2Fx.example",
+    }
+    df = spark.createDataFrame([(k, f'<a href="{h}">x</a>') for k, h in enumerate(hrefs)], "k long, html string")
+    found = links.extract_links(df, key="k", text="html")
+    assert {r.k: r.url for r in found.where("kind = 'anchor_href'").collect()} == dict(enumerate(hrefs.values()))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("[.,;:!?") <= 8
