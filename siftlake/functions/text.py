@@ -57,9 +57,10 @@ def compact(c: Column) -> Column:
     return F.regexp_replace(c, r"[\p{P}\p{S}\p{Z}]", "")
 
 
-def contains_any(matched: Column, compacted: Column, terms: tuple[str, ...]) -> Column:
+def contains_any(matched: Column, compacted: Column | None, terms: tuple[str, ...]) -> Column:
     """Whether a term occurs. ASCII terms stand alone (no letter or digit at either side); others may be anywhere.
 
+    Without a compacted form, terms are sought in ``matched`` alone. Null if that is null.
     One alternation per kind of term, so a text is read at most three times whatever the number of terms.
     """
     needles = ["".join(ch for ch in unicodedata.normalize("NFKC", t) if unicodedata.category(ch) != "Cf").lower() for t in terms]
@@ -70,6 +71,7 @@ def contains_any(matched: Column, compacted: Column, terms: tuple[str, ...]) ->
         found = found | matched.rlike("(?<![a-z0-9])(?:" + "|".join(map(_quoted, plain)) + ")(?![a-z0-9])")
     if other:
         found = found | matched.rlike("|".join(map(_quoted, other)))
+    if other and compacted is not None:
         bare = [x for x in ("".join(ch for ch in n if unicodedata.category(ch)[0] not in "PSZ") for n in other) if x]
         found = found | compacted.rlike("|".join(map(_quoted, bare)))
     return found

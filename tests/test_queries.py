@@ -57,3 +57,21 @@ def test_entry_lists_all_queries():
 
     assert set(QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_lexicon_of_odd_texts(spark, tmp_path):
+    """Borders of words, characters that NFKC or lower case changes, format characters, null: as in SQL."""
+    import duckdb
+
+    texts = [
+        None, "", "für", "FÜR", "bepfü reatat", "auf ürakb", "f-ür", "pfü. rund", "fu\u0308r", "f\u200bür", "\uff46ür", "f\u00adür", "f\x00ür", "tok\u200ben", "a\u200btoken", "token", "TOKEN.", "a token\n",
+        "tokens", "token\u00b2", "\u2460token", "\uff54oken", "to\u212aen", "l\u0130cense", "\u0130token", "token\u0130", "pa\u017fsword", "éTokenß", "token_password", "9token token", "\U0001f600token\U0001f600",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["t08_lexicon"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert {r.doc_id: r.hit for r in got} == dict(con.execute(ORACLES["t08_lexicon"]).fetchall())
+    hit = {texts[r.doc_id]: r.hit for r in got}
+    assert hit[None] is None and hit["für"] and not hit["bepfü reatat"] and not hit["auf ürakb"]
